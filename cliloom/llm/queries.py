@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mixed_report
+from .packing import pack_documents
 from .quality import quality_report
 
 
@@ -13,12 +15,68 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_source_mixing": op4_source_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_source_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, CAST(CASE (n - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight FROM sources
+), levels AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT)
+      - coalesce(CAST(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
+    / sum(weight) OVER (ORDER BY 2 * source_size / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighted
+), targets AS (
+  SELECT source, source_size, CASE WHEN 2 * source_size <= weight * level THEN CAST(2 * source_size AS DOUBLE)
+    ELSE weight * (max(CASE WHEN 2 * source_size <= weight * level THEN NULL ELSE level END) OVER ()) END AS target
+  FROM levels
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole,
+    CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS part
+  FROM targets
+), ranked AS (
+  SELECT doc_id, s.source, size, source_size, target, whole, target - whole * source_size AS draw,
+    (CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u, part
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source
+), odds AS (
+  SELECT *, CASE WHEN part > 0 THEN u / (1 - u) / (part / (1 - part)) END AS rnk FROM ranked
+), drawn AS (
+  SELECT *, CASE WHEN rnk IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= draw THEN 1 ELSE 0 END AS d
+  FROM odds
+), remaining AS (
+  SELECT *, draw - CAST(sum(size * d) OVER (PARTITION BY source) AS BIGINT) AS remain FROM drawn
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN d = 0 AND rnk IS NOT NULL AND abs(size - remain) < abs(remain) THEN abs(size - remain) END NULLS LAST, rnk, doc_id) = 1
+    AND d = 0 AND rnk IS NOT NULL AND abs(size - remain) < abs(remain) AS extra
+  FROM remaining
+)
+SELECT doc_id, size, source_size, target, size * CAST(whole + d + CAST(extra AS INT) AS BIGINT) AS taken, CAST(whole + d + CAST(extra AS INT) AS BIGINT) AS copies FROM best
+""",
+}
