@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .linededup import line_dedup_report
 from .mixing import mixed_report
 from .neardup import near_components
 from .packing import pack_documents
@@ -36,6 +37,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), num=85, den=100, k=3)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -48,11 +53,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_source_mixing": op4_source_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i, line, count(*) OVER (PARTITION BY doc_id) AS n_lines,
+    CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL)
+), marked AS (
+  SELECT *, i = n_lines - 1 OR (h + coalesce(3 * lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS is_end FROM lines
+), numbered AS (
+  SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM marked
+), chunks AS (
+  SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, chunk
+), ranked AS (
+  SELECT *, n > 1 AND length(translate(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0
+    AND row_number() OVER (PARTITION BY body ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, doc_id NULLS FIRST, chunk) > 1 AS gone
+  FROM chunks
+), kept AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed, count(*) FILTER (gone) AS n_chunks_removed,
+    coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS kept
+  FROM ranked GROUP BY doc_id
+)
+SELECT doc_id, n_lines, n_removed, n_chunks_removed, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM kept
+UNION ALL SELECT doc_id, 0, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
+""",
     "op4_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
