@@ -20,7 +20,7 @@ with clashing names don't matter.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,40 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .shared import written
-
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
-MEMO_WORDS = 300_000
-_memos: dict[str, dict[bytes, bytes]] = {}
-
-
-def word_ids(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """From UTF-8 words to their ids as little-endian unsigned 32-bit numbers.
-
-    For tokenizers that drop white space and split at it, so that a text's ids are its words' ids in a row.
-    """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    memo = _memos.setdefault(path, {})
-
-    def ids(found: list[bytes]) -> list[bytes]:
-        new = list({w for w in found if w not in memo})
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(found))
-            for a in range(0, len(new), 20_000):
-                part = new[a : a + 20_000]
-                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [memo[w] for w in found]
-
-    return ids
-
+from .wordids import lower_word_ids, lower_word_memo
 
 def token_pieces(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and an end id, cut at `capacity` where longer."""
@@ -70,13 +37,15 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_i
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer_path)
+        memo = lower_word_memo(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for a, b, data, offsets in K.blocks(batch.column(1)):
                 rows: list[tuple[int, int, int, int, int]] = []
+                found, first = lower_word_ids(memo, data, offsets)
+                found = found.astype("<u4")
                 for row in range(b - a):
-                    ids = b"".join(encode(data[offsets[row] : offsets[row + 1]].tobytes().split())) + end
+                    ids = found[first[row] : first[row + 1]].tobytes() + end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append((a + row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
