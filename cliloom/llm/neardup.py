@@ -18,7 +18,9 @@ A group of n near copies has n(n-1)/2 links, but components don't need them:
 2. in buckets that still hold several components, each two components get the
    one pair that looks most alike;
 3. what is still apart in a bucket is compared pair by pair, in cells of a
-   bounded number of members; here only pairs that the sketch lets pass leave a cell.
+   bounded number of members, by the sketch and then by a finer one of
+   `FINE_SAMPLES` samples; only pairs that both let pass leave a cell, and only
+   that of the first band that they share.
 
 So every candidate pair is either within one component already or was tested.
 Hubs with many members are dealt over several tasks by a salt.
@@ -46,6 +48,8 @@ from .substrings import _by_bucket, _dealt, _joined, _rows, _slices
 
 BAND_ROWS, UNFOUND = 5, 1e-7
 SKETCH_BITS = 256
+#: The finer odd sketch of those that are still apart, and how many standard errors (parity's noise among them) it allows.
+FINE_SAMPLES, FINE_BITS, FINE_ERRORS = 1024, 2048, 5.0
 #: Band entries for each bucket, members for each half of a cell, members of a hub for each task.
 BUCKET_ENTRIES, CELL, HUB_MEMBERS = 500_000, 1024, 512
 #: Ids are broadcast up to so many (8 bytes each and a hash table's overhead), else joined by a shuffle.
@@ -65,6 +69,30 @@ def least_estimate(num: int, den: int) -> float:
     return t - 4.5 * math.sqrt(t * (1 - t) / n)
 
 
+def most_apart(estimate: float, samples: int, bits: int) -> float:
+    """The differing bits of two odd sketches that give this estimate."""
+    return bits / 2 * (1 - math.exp(-4 * samples * (1 - estimate) / bits))
+
+
+def _fine(k: int):
+    """id and fine odd sketch."""
+    factors = np.random.Generator(np.random.PCG64(78)).integers(1, 2**63, (2, FINE_SAMPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in K.blocks(batch.column(1)):
+                grams, first = _shingles(data, offsets, k)
+                full = np.flatnonzero(np.diff(first))
+                odd = np.zeros((b - a, FINE_BITS), np.uint8)
+                for x, y in zip(factors[0], factors[1], strict=True):
+                    if len(full):
+                        bit = K.mix(np.minimum.reduceat(grams * x, first[full]) + y) % np.uint64(FINE_BITS)
+                        odd[full, bit.astype(np.int64)] ^= 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], ["id", "fine"])
+
+    return run
+
+
 def _shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of each document in a row, first of each document and at last their number)."""
     data = K.LOWER[data]
@@ -149,9 +177,11 @@ def _band_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(num: int, den: int, bands: int, best_only: bool):
     """Pairs of different components within a cell: a, b and the differing bits; `best_only` gives each two components one pair."""
-    most = SKETCH_BITS / 2 * (1 - math.exp(-4 * bands * BAND_ROWS * (1 - least_estimate(num, den)) / SKETCH_BITS))
+    t = num / den
+    most = most_apart(least_estimate(num, den), bands * BAND_ROWS, SKETCH_BITS)
+    fine_most = most_apart(t - FINE_ERRORS * math.sqrt(t * (1 - t) / FINE_SAMPLES), FINE_SAMPLES, FINE_BITS)
 
-    def compared(ids, comp, n, side, cross, sketch, edges, many) -> Iterator[pa.RecordBatch]:
+    def compared(key, ids, comp, n, side, cross, sketch, fine, keys, edges, many) -> Iterator[pa.RecordBatch]:
         each = many * (many - 1) // 2
         group = np.repeat(np.arange(len(edges)), each)
         place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
@@ -166,6 +196,11 @@ def _cells(num: int, den: int, bands: int, best_only: bool):
         apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
         ok = apart <= most
         x, y, group, apart = x[ok], y[ok], group[ok], apart[ok]
+        if fine is not None:
+            ok = np.concatenate([np.bitwise_count(fine[x[c : c + 50_000]] ^ fine[y[c : c + 50_000]]).sum(1, dtype=np.int64) <= fine_most for c in range(0, len(x), 50_000)] or [np.zeros(0, bool)])
+            x, y, group, apart = x[ok], y[ok], group[ok], apart[ok]
+            ok = np.concatenate([(keys[p] == keys[q]).argmax(1) == (keys[p] == key[p, None]).argmax(1) for c in range(0, len(x), 50_000) for p, q in [(x[c : c + 50_000], y[c : c + 50_000])]] or [np.zeros(0, bool)])
+            x, y, group, apart = x[ok], y[ok], group[ok], apart[ok]
         if best_only:
             low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
             order = np.lexsort((apart, high, low))
@@ -180,9 +215,14 @@ def _cells(num: int, den: int, bands: int, best_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "cell", "side", "id", "comp", "n", "s0", "s1", "s2", "s3"]
         held = [np.zeros(0, np.int64) for _ in names]
+        fine, keys = (None, None) if best_only else (np.zeros((0, FINE_BITS // 64), np.uint64), np.zeros((0, bands), np.int64))
         for batch in _with_end(batches):
             if batch is not None:
                 held = [np.concatenate((h, batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64))) for h, c in zip(held, names, strict=True)]
+                if fine is not None:
+                    packed = lambda c: b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist())  # noqa: B023, E731
+                    fine = np.concatenate((fine, np.frombuffer(packed("fine"), np.uint64).reshape(-1, FINE_BITS // 64)))
+                    keys = np.concatenate((keys, np.frombuffer(packed("bands"), np.int64).reshape(-1, bands)))
             if not len(held[0]):
                 continue
             new = np.flatnonzero(np.concatenate(([True], (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))))
@@ -195,10 +235,11 @@ def _cells(num: int, den: int, bands: int, best_only: bool):
                 lo, hi = new[at], new[to] if to < len(new) else len(held[0])
                 part = [h[lo:hi] for h in held]
                 cross = part[1][new[at:to] - lo] % (1 << 20) != part[1][new[at:to] - lo] >> 20
-                yield from compared(part[3], part[4], part[5], part[2], cross, np.stack(part[6:], 1).view(np.uint64), new[at:to] - lo, many[at:to])
+                yield from compared(part[0], part[3], part[4], part[5], part[2], cross, np.stack(part[6:], 1).view(np.uint64), *((None, None) if fine is None else (fine[lo:hi], keys[lo:hi])), new[at:to] - lo, many[at:to])
                 at = to
             rest = new[ready] if ready < len(new) else len(held[0])
             held = [h[rest:] for h in held]
+            fine, keys = (None, None) if fine is None else (fine[rest:], keys[rest:])
 
     return run
 
@@ -238,13 +279,17 @@ def _confirmed(num: int, den: int, k: int):
     return run
 
 
+def _needed(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with these ids."""
+    ids = written(ids, "ids")
+    return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, documents: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """Of the pairs (a, b) of ids, a written table, those whose full sets are alike enough."""
     salts = pairs.groupBy(F.col("a").alias("hub")).agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("salts"))
     members = pairs.select(F.col("a").alias("hub"), F.col("b").alias("member"))
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-    texts = written(documents.join(need, "id", "left_semi"), "texts")
+    texts = written(_needed(documents, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts")
     left = salts.join(texts, F.col("hub") == F.col("id")).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("id").alias("member"), "text")
     right = members.join(salts, "hub").join(texts, F.col("member") == F.col("id")).select("hub", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "member", "text")
     rows = left.unionByName(right).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
@@ -266,7 +311,7 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     # 1. Each member and the hub that looks most alike.
     apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in sketch), F.lit(0))
-    most = SKETCH_BITS / 2 * (1 - math.exp(-4 * bands * BAND_ROWS * (1 - least_estimate(num, den)) / SKETCH_BITS))
+    most = most_apart(least_estimate(num, den), bands * BAND_ROWS, SKETCH_BITS)
     stars = groups.where("id > hub").select("id", "hub").distinct().join(of("hub", "_a"), "hub").join(of("id", "_b"), "id")
     stars = stars.withColumn("apart", apart).where((F.col("apart") <= most) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
     pairs = written(stars.groupBy(F.col("id").alias("b")).agg(F.min_by("hub", F.struct("apart", "hub")).alias("a")), "pairs")
@@ -282,7 +327,11 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         members = members.join(split, "key").withColumn("parts", F.ceil(F.col("members") / CELL).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         members = members.select("key", "id", "comp", "part", other.alias("other")).select("key", (F.least("part", "other").cast("long") * (1 << 20) + F.greatest("part", "other")).alias("cell"), F.col("part").cast("long").alias("side"), "id", "comp")
-        members = members.join(of("id", ""), "id").repartition("key", "cell").sortWithinPartitions("key", "cell")
+        members = members.join(of("id", ""), "id")
+        if not best_only:
+            fine = _needed(docs, members.select("id").distinct()).mapInArrow(_fine(k), "id long, fine binary").dropDuplicates(["id"])
+            members = members.join(fine, "id").join(heads.select("id", "bands").dropDuplicates(["id"]), "id")
+        members = members.repartition("key", "cell").sortWithinPartitions("key", "cell")
         fresh = members.mapInArrow(_cells(num, den, bands, best_only), "a long, b long, apart long").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = written(fresh, "pairs")
         if pairs.isEmpty():
