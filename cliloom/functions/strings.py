@@ -82,7 +82,7 @@ def artifact_stem(path: Column | str) -> Column:
 
 
 def label_slug(c: Column | str) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(col(c), r"[^A-Za-z0-9_.-]+", "-"))
+    return F.trim(F.regexp_replace(col(c), r"[^A-Za-z0-9_.-]+", "-"), F.lit("-"))
 
 
 def version_key(c: Column | str) -> Column:
@@ -181,7 +181,7 @@ def command_shape(c: Column | str) -> Column:
 def short_tokens(n: Column | str) -> Column:
     """950, 878K, 1.8M"""
     n = col(n)
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1000, F.format_string("%.0fK", n / 1000)).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", F.bround(n / 1_000_000, 1))).when(n >= 1000, F.format_string("%.0fK", F.bround(n / 1000, 0))).otherwise(n.cast("string"))
 
 
 def elapsed(seconds: Column | str) -> Column:

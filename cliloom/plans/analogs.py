@@ -44,12 +44,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, idx, short, long, text: the lines of an order as the options of a page."""
+    """page, idx, short, long, text, line_start, line_end, qty, positional: the lines of an order as the options of a page."""
     l = table(spark, sf_dir, "lineitem")
     short = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("-"), F.lower("l_returnflag")), F.concat(F.lit("-"), F.lower("l_linestatus")))))
     long = F.when(F.col("l_partkey") % 3 == 0, F.array(F.concat(F.lit("--opt"), F.col("l_suppkey") % 4))).otherwise(F.array().cast("array<string>"))
     text = F.repeat(F.lit("x"), F.col("l_quantity").cast("int"))
-    return l.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), short.alias("short"), long.alias("long"), text.alias("text"), (F.col("l_linenumber") * 2).alias("line_start"), (F.col("l_linenumber") * 2 + F.col("l_quantity").cast("int") % 9).alias("line_end"), F.col("l_quantity").cast("int").alias("qty"), "l_shipdate")
+    return l.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx"), short.alias("short"), long.alias("long"), text.alias("text"), (F.col("l_linenumber") * 2).alias("line_start"), (F.col("l_linenumber") * 2 + F.col("l_quantity").cast("int") % 9).alias("line_end"), F.col("l_quantity").cast("int").alias("qty"), F.lit(None).cast("string").alias("positional"))
 
 
 #: The same tables for the checking SQL.
@@ -67,9 +67,9 @@ SQL = {
   FROM events)""",
     "a_line": "a_line AS (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
     "a_option": """a_option AS (
-  SELECT l_orderkey AS page, l_linenumber AS idx, list_sort(list_distinct(['-' || lower(l_returnflag), '-' || lower(l_linestatus)])) AS short,
+  SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS idx, list_sort(list_distinct(['-' || lower(l_returnflag), '-' || lower(l_linestatus)])) AS short,
     CASE WHEN l_partkey % 3 = 0 THEN ['--opt' || (l_suppkey % 4)] ELSE CAST([] AS VARCHAR[]) END AS long, repeat('x', CAST(trunc(l_quantity) AS INT)) AS text,
-    l_linenumber * 2 AS line_start, l_linenumber * 2 + CAST(trunc(l_quantity) AS INT) % 9 AS line_end, CAST(trunc(l_quantity) AS INT) AS qty, l_shipdate
+    l_linenumber * 2 AS line_start, l_linenumber * 2 + CAST(trunc(l_quantity) AS INT) % 9 AS line_end, CAST(trunc(l_quantity) AS BIGINT) AS qty
   FROM lineitem)""",
 }
 
