@@ -6,6 +6,7 @@ import difflib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import strings as S
 
@@ -67,7 +68,7 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("path", "metric", "a", "b", change.alias("change")).where("change is not null")
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def text_diff(before: str, after: str) -> str:
     """Unified, one line of context, blank edges trimmed."""
     a, b = ((x or "").strip("\n").split("\n") for x in (before, after))

@@ -1,6 +1,6 @@
 """All queries but those of the training-data operators."""
 
-from . import relational, textual  # noqa: F401
+from . import programs, relational, textual  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
