@@ -108,7 +108,7 @@ def longest_template(source: Column | str, templates: dict[str, str]) -> Column:
 # Text.
 
 _ROFF = [
-    (r"\\f[BIRP]", ""), (r"\\f\(..", ""), (r"\\-", "-"), (r"\\\(en|\\\(em", "-"), (r"\\&", ""), (r"\\e", r"\\\\"), (r"\\\(aq|\\\(cq", "'"), (r"\\\(lq|\\\(rq", '"'), (r"\\\(bu", ""),
+    (r"\\f[BIRP]", ""), (r"\\f\(..", ""), (r"\\-", "-"), (r"\\\(en|\\\(em", "-"), (r"\\&", ""), (r"\\e", r"\\"), (r"\\\(aq|\\\(cq", "'"), (r"\\\(lq|\\\(rq", '"'), (r"\\\(bu", ""),
     (r"\\[~0 ]", " "), (r"\\m\[[^\]]*\]", ""), (r"\\s[-+]?\d+", ""), (r"\\[udc:^|]", ""), (r"\\n\(?\w+", ""), (r"  +", " "),
 ]
 
@@ -255,7 +255,7 @@ def repaired_json(c: Column | str) -> Column:
     """A model's reply as JSON text: fences off, outermost braces, bad escapes doubled; null where it still doesn't parse."""
     body = F.regexp_replace(F.trim(col(c)), r"^```(?:json)?\s*|\s*```$", "")
     body = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    fixed = F.regexp_replace(body, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    fixed = F.regexp_replace(body, r'\\(?!["\\/bfnrtu])', r"\\\\")
     return F.coalesce(F.to_json(F.try_parse_json(body)), F.to_json(F.try_parse_json(fixed)))
 
 

@@ -36,7 +36,7 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:
     """source, text: whole gzip files as text; the codec is found by the name."""
-    df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.gz")
     return df.select(S.source_of_path(F.input_file_name()).alias("source"), F.col("value").alias("text"))
 
 

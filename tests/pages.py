@@ -66,7 +66,7 @@ GOLDEN = [
     ("withargs -b arg bar -a unknown", ["0,8=S 9,15=B", "16,19=S 20,22=A 23,30=?"], "", ""),
     ("withargs -b arg -exec bar -a EOF -b arg", ["0,8=S 9,15=B 16,21=X 29,32=X 33,39=B", "22,25=S 26,28=A"], "", ""),
     ("withargs -b arg -exec bar -a ';' -a", ["0,8=S 9,15=B 16,21=X 29,32=X 33,35=A", "22,25=S 26,28=A"], "", ""),
-    ("withargs -b arg -exec bar -a \; -a", ["0,8=S 9,15=B 16,21=X 29,31=X 32,34=A", "22,25=S 26,28=A"], "", ""),
+    (r"withargs -b arg -exec bar -a \; -a", ["0,8=S 9,15=B 16,21=X 29,31=X 32,34=A", "22,25=S 26,28=A"], "", ""),
     ("withargs -exec bar -a -u", ["0,8=S 9,14=X", "15,18=S 19,21=A 22,24=?"], "", ""),
     ("withargs withargs -b arg bar", ["0,8=S", "9,17=S 18,24=B", "25,28=S"], "", ""),
     ("withargs -b arg unknown", ["0,8=S 9,15=B 16,23=F"], "", ""),
