@@ -14,7 +14,7 @@ from .lm import lm_scores
 from .mixing import mixed_report
 from .neardup import near_components
 from .packing import pack_documents
-from .quality import quality_report
+from .quality import BOILERPLATE, quality_report
 from .substrings import remove_repeats
 from .tokencount import section_tokens
 
@@ -89,6 +89,89 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_formatting": r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|\[/?SYS\]|\[/?INST\]|</?s>|\[/?ROLE\]|\[TEXT\]'))
+    + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 23 + length(role) END AS n
+  FROM rows
+), placed AS (
+  SELECT *, sum(n) OVER w AS through, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS last
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR last THEN through ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+""",
+    "op5_minhash_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), each AS (
+  SELECT doc_id, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT reach.a, l.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON reach.b = l.a
+)
+SELECT doc_id, len(s) AS n_shingles, m AS component_id, doc_id = m AS kept FROM sets JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) ON a = doc_id
+""",
+    "op9_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), each AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM words
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), firsts AS (
+  SELECT s, min(doc_id) AS m FROM windows GROUP BY s
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (s) WHERE m < doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM words LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op10_quality_rules": r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3))
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM grams WHERE c > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM words
+), parts AS (
+  SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, row_number() OVER (PARTITION BY doc_id, line ORDER BY n) > 1 AS dup, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    length(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(line, '[^a-z]', '', 'g')) AS lower
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), judged AS (
+  SELECT *, list_sum(list_transform(w, lambda x: length(x))) AS chars,
+    NOT regexp_matches(line, '[.!?:;"'')\]…”’»。！？][\x20\x09-\x0D]*$')
+    OR len(list_filter(w, lambda x: x IN ('|', '>', '/', '-', '*', '»', '·'))) >= 2 OR 10 * len(list_filter(w, lambda x: x IN ('|', '>', '/', '-', '*', '»', '·'))) > 3 * len(w)
+    OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) >= 3 * len(w)
+    OR (len(w) >= 3 AND upper > 0 AND 10 * upper > 7 * (upper + lower))
+    OR """ + " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE) + r""" AS fails
+  FROM parts
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines, CAST(coalesce(sum(chars) FILTER (fails), 0) AS BIGINT) AS lost_chars FROM judged GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(lost_chars, 0) AS lost_chars
+  FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN per_doc USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM measured
+""",
     "op8_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, i, line, count(*) OVER (PARTITION BY doc_id) AS n_lines,
