@@ -215,7 +215,8 @@ def lenient_date(c: Column | str) -> Column:
 
 
 def released_epoch(c: Column | str) -> Column:
-    return F.coalesce(F.unix_seconds(F.try_to_timestamp(col(c), F.lit("yyyy-MM-dd"))), F.lit(0))
+    """Seconds in UTC, whatever the session's time zone; 0 where there is no date."""
+    return F.coalesce(F.date_diff(F.try_to_date(col(c), "yyyy-MM-dd"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400, F.lit(0))
 
 
 def guarded_ratio(common: Column, a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from ..functions import strings as S
 from ..operators import analytics as O
 from ..operators import compare as D
 from ..operators import ingest as I
+from ..operators import metadata as M
 from ..operators import options as P
 from ..operators import texts as T
 from . import analogs as A
@@ -360,3 +361,34 @@ def _(spark, d):
     raw = F.when(n % 2 == 0, F.concat(F.lit('{"$oid": "id'), "event_id", F.lit('"}'))).otherwise(F.concat(F.lit("id"), "event_id"))
     flag = F.when(n % 4 == 0, "true").when(n % 4 == 1, "1").when(n % 4 == 2, "0").otherwise('"what"')
     return e.select("event_id", raw.alias("raw"), flag.alias("f")).select("event_id", I.unwrapped_id("raw").alias("id"), I.coerced_bool("f", False).alias("flag"))
+
+
+# Metadata and batch replies.
+
+
+@query("opt_aliases", "", "SELECT 'p' || o_custkey AS source, min_by(o_orderstatus, o_orderkey) AS synopsis, list_concat(['n' || o_custkey], list_sort(list(DISTINCT o_orderpriority))) AS names FROM orders GROUP BY o_custkey")
+def _(spark, d):
+    o = A.table(spark, d, "orders")
+    rows = o.select(F.concat(F.lit("p"), "o_custkey").alias("source"), F.concat(F.lit("n"), "o_custkey").alias("name"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("program"), F.col("o_orderstatus").alias("text"))
+    return M.synopsis_and_aliases(rows).select("source", "synopsis", F.transform("aliases", lambda a: a["name"]).alias("names"))
+
+
+@query("exe_batch_replies", "", "SELECT o_custkey || ':' || o_orderkey AS custom_id, CASE WHEN o_orderkey % 3 = 0 THEN 'r' || o_orderkey END AS reply, CASE o_orderkey % 3 WHEN 1 THEN 'status 500' WHEN 2 THEN 'missing' END AS error, CAST(o_custkey AS VARCHAR) AS item, o_orderkey AS chunk FROM orders")
+def _(spark, d):
+    o, k = A.table(spark, d, "orders"), F.col("o_orderkey")
+    cid = F.concat_ws(":", F.col("o_custkey").cast("string"), k.cast("string"))
+    body = F.struct(cid.alias("custom_id"), F.struct(F.when(k % 3 == 0, 200).otherwise(500).alias("status_code"), F.concat(F.lit("r"), k).alias("body")).alias("response"))
+    return M.batch_replies(o.select(cid.alias("custom_id")), o.where("o_orderkey % 3 < 2").select(F.to_json(body).alias("line")))
+
+
+@query("win_span_cover", "", "WITH c AS (SELECT conv_id, turn * 10 + (turn % 3) AS s, turn * 10 + 8 AS e FROM conversations), n AS (SELECT conv_id, max(e) + 2 AS n FROM c GROUP BY 1) SELECT conv_id, r AS at FROM (SELECT conv_id, unnest(range(0, n)) AS r FROM n) u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = u.conv_id AND u.r >= s AND u.r < e)")
+def _(spark, d):
+    t = F.col("turn")
+    c = A.table(spark, d, "conversations").select("conv_id", (t * 10 + t % 3).alias("s"), (t * 10 + 8).alias("e"))
+    c = c.join(c.groupBy("conv_id").agg((F.max("e") + 2).alias("n")), "conv_id")
+    return M.span_cover(c, "conv_id", "s", "e", F.col("n"))
+
+
+@query("dat_age", "", "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' minute' || CASE WHEN s // 60 = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 86400 THEN (s // 3600) || ' hour' || CASE WHEN s // 3600 = 1 THEN '' ELSE 's' END || ' ago' ELSE (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM (SELECT event_id, CAST(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)) AS BIGINT) AS s FROM events)")
+def _(spark, d):
+    return A.table(spark, d, "events").select("event_id", M.age(F.col("ts").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")).alias("age"))
