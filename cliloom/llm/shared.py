@@ -18,7 +18,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_cliloom_tables", []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this application has written there, once its results are safe; how many tables that were."""
+    paths = spark.sparkContext.__dict__.pop("_cliloom_tables", [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

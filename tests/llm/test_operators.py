@@ -389,3 +389,15 @@ def test_pipeline(spark, docs, tmp_path):
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_shared_tables_can_be_cleared(spark):
+    from cliloom.llm.shared import clear, new_path, written
+
+    clear(spark)
+    table = written(spark.range(3), "some")
+    path = table.inputFiles()[0]
+    assert table.count() == 3
+    assert new_path(spark, "other").rsplit("/", 1)[0] in path
+    assert clear(spark) == 2
+    assert clear(spark) == 0
