@@ -401,3 +401,18 @@ def test_shared_tables_can_be_cleared(spark):
     assert new_path(spark, "other").rsplit("/", 1)[0] in path
     assert clear(spark) == 2
     assert clear(spark) == 0
+
+
+def test_stages_on_empty_tables_and_repeated_rows(spark, none):
+    for stage in (clean_documents, dedup_documents, drop_near_copies, mixed_documents):
+        assert stage(none).count() == 0
+        assert stage(none).columns == none.columns
+    text = cases.prose(__import__("random").Random(1), 90)
+    same = spark.createDataFrame([(None, text, None, None, None)] * 4 + [(7, text, "en", "s", 1)] * 3, cases.SCHEMA).coalesce(1)
+    assert clean_documents(same).count() == 7
+    assert [r.near_next for r in fingerprint_report(same).collect()] == [1.0] * 7
+    assert near_components(same).where("kept").count() == 4
+    assert {r.n_removed for r in remove_repeats(same).where("doc_id = 7").collect()} == {len(cases.words(text))}
+    assert sum(r._n_removed == 0 for r in dedup_lines(same).collect()) == 1
+    taken = {(r.doc_id, r.copies) for r in mixed_report(same).collect()}
+    assert len(taken) == 2  # equal rows are drawn together
