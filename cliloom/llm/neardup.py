@@ -43,15 +43,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import new_path, written
-from .substrings import _by_bucket, _dealt, _joined, _rows, _slices
+from .shared import written
 
 BAND_ROWS, UNFOUND = 5, 1e-7
 SKETCH_BITS = 256
 #: The finer odd sketch of those that are still apart, and how many standard errors (parity's noise among them) it allows.
 FINE_SAMPLES, FINE_BITS, FINE_ERRORS = 1024, 2048, 5.0
-#: Band entries for each bucket, members for each half of a cell, members of a hub for each task.
-BUCKET_ENTRIES, CELL, HUB_MEMBERS = 500_000, 1024, 512
+#: Members for each half of a cell, members of a hub for each task.
+CELL, HUB_MEMBERS = 1024, 512
 #: Ids are broadcast up to so many (8 bytes each and a hash table's overhead), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _NO_ID = -(1 << 63)
@@ -141,40 +140,13 @@ def _features(k: int, bands: int):
                 sketch = np.packbits(odd, axis=1).view("<i8")
                 body = np.ascontiguousarray(keys.T)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), *map(pa.array, sums), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4)), pa.array([x.tobytes() for x in body], pa.binary())],
+                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), *map(pa.array, sums), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(4)), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(body.ravel().view(np.int64)))],
                     ["id", "n", "one", "two", "s0", "s1", "s2", "s3", "bands"],
                 )
 
     return run
 
 
-def _band_entries(buckets: int, bands: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
-            ids = np.repeat(batch.column(0).to_numpy(), bands)
-            order = np.argsort(keys % np.uint64(buckets), kind="stable")
-            keys, ids = keys[order], ids[order]
-            rows = [(x, 0, keys[a:b].tobytes(), ids[a:b].tobytes()) for x, a, b in _slices(keys % np.uint64(buckets))]
-            if rows:
-                yield _rows(["bucket", "kind", "a", "b"], rows)
-
-    return run
-
-
-def _band_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys with two members or more: key, id, the smallest id and the number of members."""
-    for _, rows in _by_bucket(batches):
-        key, ids = _joined(rows, "a", "<u8"), _joined(rows, "b", "<i8")
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
-        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        many = np.diff(np.append(edges, len(key)))
-        group = np.repeat(np.arange(len(edges)), many)
-        more = many[group] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(key[more].view(np.int64)), pa.array(ids[more]), pa.array(ids[edges[group[more]]]), pa.array(many[group[more]])], ["key", "id", "hub", "members"])
-
-
 def _cells(num: int, den: int, bands: int, best_only: bool):
     """Pairs of different components within a cell: a, b and the differing bits; `best_only` gives each two components one pair."""
     t = num / den
@@ -220,9 +192,9 @@ def _cells(num: int, den: int, bands: int, best_only: bool):
             if batch is not None:
                 held = [np.concatenate((h, batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64))) for h, c in zip(held, names, strict=True)]
                 if fine is not None:
-                    packed = lambda c: b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist())  # noqa: B023, E731
-                    fine = np.concatenate((fine, np.frombuffer(packed("fine"), np.uint64).reshape(-1, FINE_BITS // 64)))
-                    keys = np.concatenate((keys, np.frombuffer(packed("bands"), np.int64).reshape(-1, bands)))
+                    packed = b"".join(batch.column(batch.schema.get_field_index("fine")).to_pylist())
+                    fine = np.concatenate((fine, np.frombuffer(packed, np.uint64).reshape(-1, FINE_BITS // 64)))
+                    keys = np.concatenate((keys, batch.column(batch.schema.get_field_index("bands")).flatten().to_numpy().reshape(-1, bands)))
             if not len(held[0]):
                 continue
             new = np.flatnonzero(np.concatenate(([True], (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))))
@@ -300,13 +272,15 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept (whether that is the document itself)."""
     bands = band_count(num, den)
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = written(docs.mapInArrow(_features(k, bands), "id long, n long, one long, two long, s0 long, s1 long, s2 long, s3 long, bands binary"), "features")
+    seen = written(docs.mapInArrow(_features(k, bands), "id long, n long, one long, two long, s0 long, s1 long, s2 long, s3 long, bands array<bigint>"), "features")
     sketch = ["s0", "s1", "s2", "s3"]
     classes = seen.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("rep"))
     heads = seen.where("n > 0").select("id", "n", "bands", *sketch, "one", "two").join(classes, ["one", "two"]).where("id = rep").dropDuplicates(["id", "one", "two"]).drop("rep", "one", "two")
     heads = written(heads, "heads")
-    buckets = max(32, heads.count() * bands // BUCKET_ENTRIES)
-    groups = written(_dealt(heads.select("id", "bands").mapInArrow(_band_entries(buckets, bands), "bucket int, kind int, a binary, b binary")).mapInArrow(_band_groups, "key long, id long, hub long, members long"), "groups")
+    # Keys of two members or more, each with its smallest; a key's rows are combined before the shuffle, and the join splits hot ones.
+    keyed = heads.select("id", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    groups = written(keyed.join(hubs, "key"), "groups")
     of = lambda c, s: heads.select(F.col("id").alias(c), F.col("n").alias(f"n{s}"), *(F.col(x).alias(f"{x}{s}") for x in sketch))
 
     # 1. Each member and the hub that looks most alike.
