@@ -18,8 +18,10 @@ the smallest document id is found.  Equal texts form a class (128-bit hash of
 the words); its smallest id stands for it, the others are wholly covered.
 
 Everything moves in buckets of a fixed number of text bytes, as packed numbers
-and compressed texts, so a task's memory doesn't grow with the corpus; equal
-texts of a block move once, so thousands of copies don't fill a bucket.  Tables
+and compressed texts, so a task's memory doesn't grow with the corpus.  What a
+block settles by itself doesn't go through a key's bucket: equal texts move
+once, of the texts that share a fingerprint two, of those that share a window
+the one with the smallest id.  Tables
 between the steps lie in the shared folder: a lost executor costs a task.
 
 Nulls: a null text has no words; null ids rank before all others.  Rows of one
@@ -136,8 +138,16 @@ def _entries(buckets: int):
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
                 key, tag = key[new], tag[new]
+                # Two texts of a block settle that a fingerprint is shared; the block's other texts with it are hits at once.
+                heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+                third = np.arange(len(key)) - np.repeat(heads, np.diff(np.append(heads, len(key)))) >= 2
+                to = tag[third] % np.uint64(buckets)
+                order = np.argsort(to, kind="stable")
+                hit_key, hit_tag = key[third][order], tag[third][order]
+                rows = [(b, 3, hit_key[x:y].tobytes(), hit_tag[x:y].tobytes()) for b, x, y in _slices(to[order])]
+                key, tag = key[~third], tag[~third]
                 low = key.astype(np.uint32)
-                rows = [(b, 1, low[x:y].tobytes(), tag[x:y].tobytes()) for b, x, y in _slices(key >> np.uint64(32))]
+                rows += [(b, 1, low[x:y].tobytes(), tag[x:y].tobytes()) for b, x, y in _slices(key >> np.uint64(32))]
                 if rows:
                     yield _rows(["bucket", "kind", "a", "b"], rows)
 
@@ -145,10 +155,16 @@ def _entries(buckets: int):
 
 
 def _merged(buckets: int):
-    """Merge-joins a bucket's new entries (kind 1) with the runs (kind 0); gives the new run (kind 0) and the hits (kind 1)."""
+    """Merge-joins a bucket's new entries (kind 1) with the runs (kind 0); gives the new run (kind 0) and the hits (kind 1, and what came as 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
+            passed = [(bucket, 1, r["a"], r["b"]) for r in rows if r["kind"] == 3]
+            if passed:
+                yield _rows(["bucket", "kind", "a", "b"], passed)
+            rows = [r for r in rows if r["kind"] < 3]
+            if not rows:
+                continue
             many = [len(r["a"]) // 4 for r in rows]
             low, tag = _joined(rows, "a", "<u4"), _joined(rows, "b", "<u8")
             fresh = np.repeat(np.array([r["kind"] for r in rows], bool), many)
@@ -247,7 +263,10 @@ def _unpacked(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _windows(buckets: int):
-    """Of a bucket's distinct texts, the windows under a hit, dealt by their hash: a (hash), b (more of it), c (smallest id), d (place); kind is the bucket of the text."""
+    """Of a bucket's distinct texts, the windows under a hit, dealt by their hash: a (hash), b (more of it), c (smallest id), d (place); kind is the bucket of the text.
+
+    A window that starts in a smaller id of the same block is settled: kind -1, with a (id) and b (place), for the text's own bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
@@ -271,17 +290,29 @@ def _windows(buckets: int):
                 two = K.gram_hashes(block.h[1], WINDOW, 1)[where].astype(np.uint32)
                 least = np.array([x[0] for x in ids], np.int64)[owner]
                 place = (where - block.first[owner]).astype(np.int32)
+                order = np.lexsort((least, two, one))
+                one, two, least, place = one[order], two[order], least[order], place[order]
+                heads = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+                settled = least > np.repeat(least[heads], np.diff(np.append(heads, len(one))))
+                rows = [(bucket, -1, least[settled].tobytes(), place[settled].tobytes(), None, None)] if settled.any() else []
+                one, two, least, place = one[~settled], two[~settled], least[~settled], place[~settled]
                 to = one % np.uint64(buckets)
                 order = np.argsort(to, kind="stable")
                 one, two, least, place = one[order], two[order], least[order], place[order]
-                yield _rows(["bucket", "kind", "a", "b", "c", "d"], [(b, bucket, one[x:y].tobytes(), two[x:y].tobytes(), least[x:y].tobytes(), place[x:y].tobytes()) for b, x, y in _slices(to[order])])
+                yield _rows(["bucket", "kind", "a", "b", "c", "d"], rows + [(b, bucket, one[x:y].tobytes(), two[x:y].tobytes(), least[x:y].tobytes(), place[x:y].tobytes()) for b, x, y in _slices(to[order])])
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows that also start in a document with a smaller id, sent back to the buckets of their texts (kind 1): a (id), b (place)."""
-    for _, rows in _by_bucket(batches):
+    for bucket, rows in _by_bucket(batches):
+        passed = [(bucket, 1, r["a"], r["b"]) for r in rows if r["kind"] < 0]
+        if passed:
+            yield _rows(["bucket", "kind", "a", "b"], passed)
+        rows = [r for r in rows if r["kind"] >= 0]
+        if not rows:
+            continue
         one, two, ids, place = _joined(rows, "a", "<u8"), _joined(rows, "b", "<u4"), _joined(rows, "c", "<i8"), _joined(rows, "d", "<i4")
         home = np.repeat(np.array([r["kind"] for r in rows], np.int64), [len(r["a"]) // 8 for r in rows])
         order = np.lexsort((ids, two, one))
