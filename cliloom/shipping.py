@@ -9,9 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch, where the session leaves it at Spark's default of 10,000: whole texts travel in these batches.
+_ROWS, _ROWS_KEY = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package's source to the executors, once for each Spark context."""
+    if spark.conf.get(_ROWS_KEY) == "10000":
+        spark.conf.set(_ROWS_KEY, _ROWS)
     context = spark.sparkContext
     if not getattr(context, "_cliloom_shipped", False):
         top = Path(__file__).resolve().parent
