@@ -268,6 +268,28 @@ def test_lm(docs, none, rows):
     assert lm_scores(none, path).count() == 0
 
 
+def test_lm_learns_from_all_training_documents(docs, rows, monkeypatch):
+    from cliloom.llm import lm
+
+    fit, learnt = lm.fit, Counter()
+
+    def counted(samples, *rest):
+        for r in samples.collect():
+            lengths = np.frombuffer(r.b, "<i4")
+            assert lengths.sum() * 2 == len(r.a)
+            learnt["documents"] += len(lengths)
+            learnt["ids"] += int(lengths.sum())
+        learnt["counted"] = int(rest[0].sum() - rest[0][lm.END])
+        return fit(samples, *rest)
+
+    monkeypatch.setattr(lm, "fit", counted)
+    for name, value in (("LEAST_VISITS", 100), ("SHARD_IDS", 500)):
+        monkeypatch.setattr(lm, name, value)
+    assert lm_scores(docs, tokenizer_path("byte_bpe_50k.tiktoken")).count() == len(rows)
+    assert learnt["documents"] == sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in rows)
+    assert learnt["ids"] == learnt["counted"] > 1000
+
+
 def test_attention_model_is_causal_and_normalised():
     from cliloom.llm.attention import WINDOW, Model
 
