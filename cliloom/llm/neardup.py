@@ -8,8 +8,9 @@ if ``den * |intersection| >= num * |union|``, always confirmed on the full sets.
 Candidates share a band of `BAND_ROWS` MinHash values; there are as many bands
 as leave a pair at the threshold unfound once in ten million.  The samples are
 also folded into an odd sketch, a parity bitmap; the population count of two
-sketches' XOR gives the similarity of a candidate pair, and pairs estimated over
-four standard errors under the threshold go no further.
+sketches' XOR tells how alike a candidate pair is.  A pair goes no further if
+more bits differ than a pair at the threshold has once in ten million times, by
+the exact distribution of both MinHash and parity.
 
 A group of n near copies has n(n-1)/2 links, but components don't need them:
 
@@ -33,6 +34,7 @@ clashing names don't matter.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -47,8 +49,8 @@ from .shared import written
 
 BAND_ROWS, UNFOUND = 5, 1e-7
 SKETCH_BITS = 256
-#: The finer odd sketch of those that are still apart, and how many standard errors (parity's noise among them) it allows.
-FINE_SAMPLES, FINE_BITS, FINE_ERRORS = 1024, 2048, 5.0
+#: The finer odd sketch of those that are still apart.
+FINE_SAMPLES, FINE_BITS = 1024, 2048
 #: Members for each half of a cell, members of a hub for each task.
 CELL, HUB_MEMBERS = 1024, 512
 #: Ids are broadcast up to so many (8 bytes each and a hash table's overhead), else joined by a shuffle.
@@ -62,15 +64,25 @@ def band_count(num: int, den: int) -> int:
     return math.ceil(math.log(UNFOUND) / math.log(1 - (num / den) ** BAND_ROWS))
 
 
-def least_estimate(num: int, den: int) -> float:
-    """The least estimate with which a pair goes on."""
-    t, n = num / den, band_count(num, den) * BAND_ROWS
-    return t - 4.5 * math.sqrt(t * (1 - t) / n)
-
-
-def most_apart(estimate: float, samples: int, bits: int) -> float:
-    """The differing bits of two odd sketches that give this estimate."""
-    return bits / 2 * (1 - math.exp(-4 * samples * (1 - estimate) / bits))
+@functools.cache
+def most_apart(num: int, den: int, samples: int, bits: int) -> int:
+    """The differing bits of two odd sketches that a pair at the threshold exceeds with a probability of `UNFOUND` at most."""
+    t = num / den
+    odd = np.zeros(bits + 1)  # the probability of each number of odd bits after some flips
+    odd[0] = 1
+    up, down = 1 - np.arange(bits) / bits, np.arange(1, bits + 1) / bits
+    total = np.zeros(bits + 1)
+    for differ in range(samples + 1):  # each sample that differs flips a bit of either sketch
+        log = math.lgamma(samples + 1) - math.lgamma(differ + 1) - math.lgamma(samples - differ + 1)
+        chance = math.exp(log + differ * math.log(1 - t) + (samples - differ) * math.log(t)) if 0 < t < 1 else float(differ == (0 if t else samples))
+        total += chance * odd
+        for _ in range(2):
+            new = np.zeros(bits + 1)
+            new[1:] += odd[:-1] * up
+            new[:-1] += odd[1:] * down
+            odd = new
+    beyond = np.cumsum(total[::-1])[::-1]  # so many or more
+    return int(np.flatnonzero(beyond > UNFOUND)[-1])
 
 
 def _fine(k: int):
@@ -149,9 +161,8 @@ def _features(k: int, bands: int):
 
 def _cells(num: int, den: int, bands: int, best_only: bool):
     """Pairs of different components within a cell: a, b and the differing bits; `best_only` gives each two components one pair."""
-    t = num / den
-    most = most_apart(least_estimate(num, den), bands * BAND_ROWS, SKETCH_BITS)
-    fine_most = most_apart(t - FINE_ERRORS * math.sqrt(t * (1 - t) / FINE_SAMPLES), FINE_SAMPLES, FINE_BITS)
+    most = most_apart(num, den, bands * BAND_ROWS, SKETCH_BITS)
+    fine_most = most_apart(num, den, FINE_SAMPLES, FINE_BITS)
 
     def compared(key, ids, comp, n, side, cross, sketch, fine, keys, edges, many) -> Iterator[pa.RecordBatch]:
         each = many * (many - 1) // 2
@@ -285,7 +296,7 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     # 1. Each member and the hub that looks most alike.
     apart = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in sketch), F.lit(0))
-    most = most_apart(least_estimate(num, den), bands * BAND_ROWS, SKETCH_BITS)
+    most = most_apart(num, den, bands * BAND_ROWS, SKETCH_BITS)
     stars = groups.where("id > hub").select("id", "hub").distinct().join(of("hub", "_a"), "hub").join(of("id", "_b"), "id")
     stars = stars.withColumn("apart", apart).where((F.col("apart") <= most) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
     pairs = written(stars.groupBy(F.col("id").alias("b")).agg(F.min_by("hub", F.struct("apart", "hub")).alias("a")), "pairs")

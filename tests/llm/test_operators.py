@@ -219,6 +219,22 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert by_id(near_components(spark.createDataFrame(rows, "doc_id long, text string"), num=85, k=3), "component_id") == component
 
 
+@pytest.mark.parametrize("num, fine", [(85, False), (80, False), (85, True), (80, True)])
+def test_sketches_keep_pairs_at_the_threshold(num, fine):
+    """Simulated pairs: samples differ at random, and each that does flips a bit of either sketch."""
+    from cliloom.llm import neardup as N
+
+    samples, bits = (N.FINE_SAMPLES, N.FINE_BITS) if fine else (N.band_count(num, 100) * N.BAND_ROWS, N.SKETCH_BITS)
+    rng, apart, pairs = np.random.default_rng(5), [], 4000
+    for _ in range(5 if fine else 15):
+        flips = 2 * rng.binomial(samples, 1 - num / 100, pairs)
+        place = np.repeat(np.arange(pairs), flips) * bits + rng.integers(0, bits, flips.sum())
+        apart.append((np.bincount(place, minlength=pairs * bits) % 2).reshape(pairs, bits).sum(1))
+    apart, most = np.concatenate(apart), N.most_apart(num, 100, samples, bits)
+    assert (apart > most).sum() == 0
+    assert 4.5 < (most - apart.mean()) / apart.std() < 6.5  # and no wider than a loss of 1e-7 takes
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40) if i % 10] + [(100, 60), (60, 80), (80, 3), (7, 7)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
