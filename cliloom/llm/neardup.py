@@ -16,14 +16,17 @@ A group of n near copies has n(n-1)/2 links, but components don't need them:
 
 1. in each band bucket, members are paired with the smallest id only, each member
    keeps the partner that looks most alike, and these pairs are confirmed;
-2. in buckets that still hold several components, each two components get the
-   one pair that looks most alike;
-3. what is still apart in a bucket is compared pair by pair, in cells of a
-   bounded number of members, by the sketch and then by a finer one of
-   `FINE_SAMPLES` samples; only pairs that both let pass leave a cell, and only
-   that of the first band that they share.
-
-So every candidate pair is either within one component already or was tested.
+2. buckets that still hold several components are compared pair by pair, in cells
+   of a bounded number of members, by the sketch and then by a finer one of
+   `FINE_SAMPLES` samples; of each cell only the members that look alike with one
+   of another component go on, each once;
+3. those meet again, in cells of a bounded number of shingles, with their full
+   sets.  Pairs are confirmed inside the cell, in the bucket of the first band that
+   they share, and components that a link joins are one from there on: what leaves
+   a cell is a forest of confirmed links, fewer than it has members.
+
+So every candidate pair is within one component already or was tested, and no
+step writes more rows than members times cells.
 Hubs with many members are dealt over several tasks by a salt.
 
 Nulls: a null text has no words and is linked with nothing; a null id ranks
@@ -51,8 +54,12 @@ BAND_ROWS, UNFOUND = 5, 1e-7
 SKETCH_BITS = 256
 #: The finer odd sketch of those that are still apart.
 FINE_SAMPLES, FINE_BITS = 1024, 2048
-#: Members for each half of a cell, members of a hub for each task.
-CELL, HUB_MEMBERS = 1024, 512
+#: Members for each part of a bucket, members of a hub for each task.
+CELL, HUB_MEMBERS = 2048, 512
+#: Shingles for each part of a bucket whose full sets are compared; what a member counts besides its shingles.
+CELL_SETS, SET_COST = 1 << 19, 256
+#: Pairs of a cell that are looked at together.
+PAIRS = 500_000
 #: Ids are broadcast up to so many (8 bytes each and a hash table's overhead), else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _NO_ID = -(1 << 63)
@@ -85,21 +92,35 @@ def most_apart(num: int, den: int, samples: int, bits: int) -> int:
     return int(np.flatnonzero(beyond > UNFOUND)[-1])
 
 
-def _fine(k: int):
-    """id and fine odd sketch."""
+def _class_hashes(grams: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each document's set."""
+    out = []
+    for seed in (0, 1):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(grams * _SEEDS[seed][511]), dtype=np.uint64)))
+        out.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+    return out
+
+
+def _sets(k: int, fine: bool):
+    """id, one and the document's fine odd sketch or its full set."""
     factors = np.random.Generator(np.random.PCG64(78)).integers(1, 2**63, (2, FINE_SAMPLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in K.blocks(batch.column(1)):
                 grams, first = _shingles(data, offsets, k)
-                full = np.flatnonzero(np.diff(first))
-                odd = np.zeros((b - a, FINE_BITS), np.uint8)
-                for x, y in zip(factors[0], factors[1], strict=True):
-                    if len(full):
-                        bit = K.mix(np.minimum.reduceat(grams * x, first[full]) + y) % np.uint64(FINE_BITS)
-                        odd[full, bit.astype(np.int64)] ^= 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in np.packbits(odd, axis=1)], pa.binary())], ["id", "fine"])
+                one = _class_hashes(grams, first)[0]
+                if fine:
+                    full = np.flatnonzero(np.diff(first))
+                    odd = np.zeros((b - a, FINE_BITS), np.uint8)
+                    for x, y in zip(factors[0], factors[1], strict=True):
+                        if len(full):
+                            bit = K.mix(np.minimum.reduceat(grams * x, first[full]) + y) % np.uint64(FINE_BITS)
+                            odd[full, bit.astype(np.int64)] ^= 1
+                    held = [x.tobytes() for x in np.packbits(odd, axis=1)]
+                else:
+                    held = [grams[x:y].tobytes() for x, y in zip(first, first[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(one), pa.array(held, pa.binary())], ["id", "one", "fine" if fine else "grams"])
 
     return run
 
@@ -132,10 +153,7 @@ def _features(k: int, bands: int):
                 grams, first = _shingles(data, offsets, k)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
-                sums = []
-                for seed in (0, 1):
-                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix(grams * _SEEDS[seed][511]), dtype=np.uint64)))
-                    sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+                sums = _class_hashes(grams, first)
                 least = np.zeros((samples, len(n)), np.uint64)
                 for i in range(samples if len(full) else 0):
                     least[i, full] = np.minimum.reduceat(grams * _SEEDS[0][i], first[full])
@@ -159,74 +177,119 @@ def _features(k: int, bands: int):
     return run
 
 
-def _cells(num: int, den: int, bands: int, best_only: bool):
-    """Pairs of different components within a cell: a, b and the differing bits; `best_only` gives each two components one pair."""
-    most = most_apart(num, den, bands * BAND_ROWS, SKETCH_BITS)
-    fine_most = most_apart(num, den, FINE_SAMPLES, FINE_BITS)
-
-    def compared(key, ids, comp, n, side, cross, sketch, fine, keys, edges, many) -> Iterator[pa.RecordBatch]:
-        each = many * (many - 1) // 2
-        group = np.repeat(np.arange(len(edges)), each)
-        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        # The pair of a group's members (i < j) at a place: j(j-1)/2 + i.
+def _binary(batch: pa.RecordBatch, name: str) -> bytes:
+    return b"".join(batch.column(name).to_pylist())
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by key and cell, as runs of whole cells of up to `PAIRS` pairs (or one cell), and the bounds of the cells."""
+    rest: list[pa.RecordBatch] = []
+    for batch in _with_end(batches):
+        if batch is not None:
+            rest.append(batch)
+        held = pa.Table.from_batches(rest).combine_chunks().to_batches() if rest else []
+        if not held:
+            continue
+        held = held[0]
+        key, cell = held.column("key").to_numpy(), held.column("cell").to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]), [True])))
+        ready, at = len(edges) - (1 if batch is None else 2), 0
+        many = np.diff(edges)
+        while at < ready:
+            to = min(ready, at + max(1, int(np.searchsorted(np.cumsum(many[at:ready] * (many[at:ready] - 1) // 2), PAIRS))))
+            yield held.slice(edges[at], edges[to] - edges[at]), edges[at : to + 1] - edges[at]
+            at = to
+        rest = [held.slice(edges[ready])] if edges[ready] < len(held) else []
+
+
+def _alike(rows: pa.RecordBatch, edges: np.ndarray, label: np.ndarray, num: int, den: int, bands: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a cell, in chunks, that have different labels and that both sketches let pass, each in the bucket of the first band that it shares."""
+    most, fine_most = most_apart(num, den, bands * BAND_ROWS, SKETCH_BITS), most_apart(num, den, FINE_SAMPLES, FINE_BITS)
+    n, side, cell, key = (rows.column(c).to_numpy() for c in ("n", "side", "cell", "key"))
+    sketch = np.stack([rows.column(f"s{i}").to_numpy() for i in range(4)], 1).view(np.uint64)
+    fine = np.frombuffer(_binary(rows, "fine"), np.uint64).reshape(-1, FINE_BITS // 64)
+    keys = rows.column("bands").flatten().to_numpy().reshape(-1, bands)
+    cross = cell % (1 << 20) != cell >> 20
+    each = np.diff(edges) * (np.diff(edges) - 1) // 2
+    ends = np.cumsum(each)
+    for low in range(0, int(ends[-1]), PAIRS):
+        place = np.arange(low, min(low + PAIRS, int(ends[-1])))
+        group = np.searchsorted(ends, place, "right")
+        place -= (ends - each)[group]
+        # The pair of a cell's members (i < j) at a place: j(j-1)/2 + i.
         j = ((1 + np.sqrt(1 + 8 * place.astype(np.float64))) / 2).astype(np.int64)
         j -= j * (j - 1) // 2 > place
         j += (j + 1) * j // 2 <= place
-        i = place - j * (j - 1) // 2
-        x, y = edges[group] + i, edges[group] + j
-        ok = (comp[x] != comp[y]) & (~cross[group] | (side[x] != side[y])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
-        x, y, group = x[ok], y[ok], group[ok]
-        apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-        ok = apart <= most
-        x, y, group, apart = x[ok], y[ok], group[ok], apart[ok]
-        if fine is not None:
-            ok = np.concatenate([np.bitwise_count(fine[x[c : c + 50_000]] ^ fine[y[c : c + 50_000]]).sum(1, dtype=np.int64) <= fine_most for c in range(0, len(x), 50_000)] or [np.zeros(0, bool)])
-            x, y, group, apart = x[ok], y[ok], group[ok], apart[ok]
-            ok = np.concatenate([(keys[p] == keys[q]).argmax(1) == (keys[p] == key[p, None]).argmax(1) for c in range(0, len(x), 50_000) for p, q in [(x[c : c + 50_000], y[c : c + 50_000])]] or [np.zeros(0, bool)])
-            x, y, group, apart = x[ok], y[ok], group[ok], apart[ok]
-        if best_only:
-            low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-            order = np.lexsort((apart, high, low))
-            head = np.ones(len(order), bool)
-            head[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-            at = order[head]
-            x, y, apart = x[at], y[at], apart[at]
-        a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-        pairs = np.unique(np.stack((a, b, apart), 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(3)], ["a", "b", "apart"])
+        x, y = edges[group] + place - j * (j - 1) // 2, edges[group] + j
+        ok = (label[x] != label[y]) & (~cross[x] | (side[x] != side[y])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= most
+        x, y = x[ok], y[ok]
+        for c in range(0, len(x), 50_000):
+            p, q = x[c : c + 50_000], y[c : c + 50_000]
+            ok = np.bitwise_count(fine[p] ^ fine[q]).sum(1, dtype=np.int64) <= fine_most
+            p, q = p[ok], q[ok]
+            ok = (keys[p] == keys[q]).argmax(1) == (keys[p] == key[p, None]).argmax(1)
+            if ok.any():
+                yield p[ok], q[ok]
+
+
+def _partnered(num: int, den: int, bands: int):
+    """The members of each cell that look alike with one of another component: key, id, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "cell", "side", "id", "comp", "n", "s0", "s1", "s2", "s3"]
-        held = [np.zeros(0, np.int64) for _ in names]
-        fine, keys = (None, None) if best_only else (np.zeros((0, FINE_BITS // 64), np.uint64), np.zeros((0, bands), np.int64))
-        for batch in _with_end(batches):
-            if batch is not None:
-                held = [np.concatenate((h, batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64))) for h, c in zip(held, names, strict=True)]
-                if fine is not None:
-                    packed = b"".join(batch.column(batch.schema.get_field_index("fine")).to_pylist())
-                    fine = np.concatenate((fine, np.frombuffer(packed, np.uint64).reshape(-1, FINE_BITS // 64)))
-                    keys = np.concatenate((keys, batch.column(batch.schema.get_field_index("bands")).flatten().to_numpy().reshape(-1, bands)))
-            if not len(held[0]):
-                continue
-            new = np.flatnonzero(np.concatenate(([True], (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))))
-            ready = len(new) if batch is None else len(new) - 1
-            many = np.diff(np.append(new, len(held[0])))
-            at = 0
-            while at < ready:
-                to = at + max(1, int(np.searchsorted(np.cumsum(many[at:ready] * (many[at:ready] - 1) // 2), 1_000_000)))
-                to = min(to, ready)
-                lo, hi = new[at], new[to] if to < len(new) else len(held[0])
-                part = [h[lo:hi] for h in held]
-                cross = part[1][new[at:to] - lo] % (1 << 20) != part[1][new[at:to] - lo] >> 20
-                yield from compared(part[0], part[3], part[4], part[5], part[2], cross, np.stack(part[6:], 1).view(np.uint64), *((None, None) if fine is None else (fine[lo:hi], keys[lo:hi])), new[at:to] - lo, many[at:to])
-                at = to
-            rest = new[ready] if ready < len(new) else len(held[0])
-            held = [h[rest:] for h in held]
-            fine, keys = (None, None) if fine is None else (fine[rest:], keys[rest:])
+        for rows, edges in _whole_cells(batches):
+            mark = np.zeros(len(rows), bool)
+            for x, y in _alike(rows, edges, rows.column("comp").to_numpy(), num, den, bands):
+                mark[x], mark[y] = True, True
+            if mark.any():
+                yield rows.select(["key", "id", "one"]).filter(pa.array(mark))
 
     return run
 
 
+def _links(num: int, den: int, bands: int):
+    """The links between components that the full sets of a cell's members confirm: a forest, as components that are linked within the cell are one from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in _whole_cells(batches):
+            ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
+            # A component's label holds within one cell; each cell has labels of its own.
+            cell = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+            _, label = np.unique(np.stack((cell, rows.column("comp").to_numpy())), axis=1, return_inverse=True)
+            label = label.ravel()
+            grams = np.frombuffer(_binary(rows, "grams"), np.uint64)
+            first = np.concatenate(([0], np.cumsum(n)))
+            out: list[tuple[int, int]] = []
+            for left, right in _alike(rows, edges, label, num, den, bands):
+                order = np.lexsort((left, right))
+                left, right = left[order], right[order]
+                for lo, hi in zip(*_heads(right), strict=True):
+                    y = int(right[lo])
+                    x = left[lo:hi]
+                    x = x[label[x] != label[y]]
+                    if not len(x):
+                        continue
+                    own = grams[first[y] : first[y + 1]]
+                    other = grams[np.repeat(first[x], n[x]) + np.arange(n[x].sum()) - np.repeat(np.cumsum(n[x]) - n[x], n[x])]
+                    hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[x]) - n[x])
+                    for z in x[den * both >= num * (n[x] + n[y] - both)].tolist():
+                        if label[z] != label[y]:
+                            out.append((min(ids[z], ids[y]), max(ids[z], ids[y])))
+                            label[label == label[z]] = label[y]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _heads(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    return starts, np.append(starts[1:], len(values))
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -279,6 +342,16 @@ def confirm(pairs: DataFrame, documents: DataFrame, num: int, den: int, k: int)
     return rows.mapInArrow(_confirmed(num, den, k), "a long, b long")
 
 
+def _in_cells(members: DataFrame, weights: DataFrame, size: int) -> DataFrame:
+    """The members (key, id, one, comp) of the buckets that `weights` has, once for each cell that they are in, with cell and side.
+
+    A bucket's members are dealt to parts of about `size` of its weight; a cell holds a part, or two whose members are compared across.
+    """
+    dealt = members.join(weights.select("key", F.ceil(F.col("weight") / size).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id", "one"), "parts").cast("long"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select("key", (F.least("part", "other") * (1 << 20) + F.greatest("part", "other")).alias("cell"), F.col("part").alias("side"), "id", "one", "comp")
+
+
 def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable) and kept (whether that is the document itself)."""
     bands = band_count(num, den)
@@ -286,10 +359,10 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     seen = written(docs.mapInArrow(_features(k, bands), "id long, n long, one long, two long, s0 long, s1 long, s2 long, s3 long, bands array<bigint>"), "features")
     sketch = ["s0", "s1", "s2", "s3"]
     classes = seen.where("n > 0").groupBy("one", "two").agg(F.min("id").alias("rep"))
-    heads = seen.where("n > 0").select("id", "n", "bands", *sketch, "one", "two").join(classes, ["one", "two"]).where("id = rep").dropDuplicates(["id", "one", "two"]).drop("rep", "one", "two")
+    heads = seen.where("n > 0").select("id", "n", "bands", *sketch, "one", "two").join(classes, ["one", "two"]).where("id = rep").dropDuplicates(["id", "one", "two"]).drop("rep", "two")
     heads = written(heads, "heads")
     # Keys of two members or more, each with its smallest; a key's rows are combined before the shuffle, and the join splits hot ones.
-    keyed = heads.select("id", F.explode("bands").alias("key"))
+    keyed = heads.select("id", "one", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
     groups = written(keyed.join(hubs, "key"), "groups")
     of = lambda c, s: heads.select(F.col("id").alias(c), F.col("n").alias(f"n{s}"), *(F.col(x).alias(f"{x}{s}") for x in sketch))
@@ -301,28 +374,20 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     stars = stars.withColumn("apart", apart).where((F.col("apart") <= most) & (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
     pairs = written(stars.groupBy(F.col("id").alias("b")).agg(F.min_by("hub", F.struct("apart", "hub")).alias("a")), "pairs")
     links = written(confirm(pairs, docs, num, den, k), "links")
-    tested = pairs.select("a", "b")
-
-    for best_only in (True, False):
-        # 2, 3. Buckets that hold several components, in cells of at most two halves.
-        comp = components(links).withColumnRenamed("id", "_i")
-        members = groups.select("key", "id", "members").join(comp, F.col("id") == F.col("_i"), "left").select("key", "id", "members", F.coalesce("component", "id").alias("comp"))
-        members = written(members, "members")
-        split = members.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l < _h").select("key")
-        members = members.join(split, "key").withColumn("parts", F.ceil(F.col("members") / CELL).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        members = members.select("key", "id", "comp", "part", other.alias("other")).select("key", (F.least("part", "other").cast("long") * (1 << 20) + F.greatest("part", "other")).alias("cell"), F.col("part").cast("long").alias("side"), "id", "comp")
-        members = members.join(of("id", ""), "id")
-        if not best_only:
-            fine = _needed(docs, members.select("id").distinct()).mapInArrow(_fine(k), "id long, fine binary").dropDuplicates(["id"])
-            members = members.join(fine, "id").join(heads.select("id", "bands").dropDuplicates(["id"]), "id")
-        members = members.repartition("key", "cell").sortWithinPartitions("key", "cell")
-        fresh = members.mapInArrow(_cells(num, den, bands, best_only), "a long, b long, apart long").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(fresh, "pairs")
-        if pairs.isEmpty():
-            continue  # nothing new with one pair for each two components may still leave others
-        links = written(links.unionByName(confirm(pairs, docs, num, den, k)), "links")
-        tested = tested.unionByName(pairs)
+
+    # 2. Buckets that hold several components: members that look alike with one of another component, then their full sets.
+    comp = components(links).withColumnRenamed("id", "_i")
+    members = written(groups.join(comp, F.col("id") == F.col("_i"), "left").select("key", "id", "one", F.coalesce("component", "id").alias("comp")), "members")
+    split = members.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"), F.count("*").alias("weight")).where("_l < _h").select("key", "weight")
+    mixed = members.select("key", "id", "one").join(split.select("key"), "key", "left_semi").select("id", "one").distinct()
+    fine = _needed(docs, mixed.select("id").distinct()).mapInArrow(_sets(k, True), "id long, one long, fine binary").dropDuplicates(["id", "one"])
+    looks = written(heads.join(fine, ["id", "one"]), "looks")
+    cells = _in_cells(members, split, CELL).join(looks, ["id", "one"]).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    alike = written(cells.mapInArrow(_partnered(num, den, bands), "key long, id long, one long").distinct(), "alike")
+    sets = _needed(docs, alike.select("id").distinct()).mapInArrow(_sets(k, False), "id long, one long, grams binary").dropDuplicates(["id", "one"])
+    weight = alike.join(heads.select("id", "one", "n"), ["id", "one"]).groupBy("key").agg(F.sum(F.col("n") + SET_COST).alias("weight"))
+    cells = _in_cells(alike.join(members, ["key", "id", "one"]), weight, CELL_SETS).join(looks, ["id", "one"]).join(sets, ["id", "one"]).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    links = written(links.unionByName(cells.mapInArrow(_links(num, den, bands), "a long, b long")), "links")
 
     comp = components(links)
     rep = classes.join(comp, F.col("rep") == F.col("id"), "left").select("one", "two", F.coalesce("component", "rep").alias("component"))

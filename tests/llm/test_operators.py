@@ -207,6 +207,8 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     from cliloom.llm import neardup
 
     monkeypatch.setattr(neardup, "CELL", 8)
+    monkeypatch.setattr(neardup, "CELL_SETS", 2000)
+    monkeypatch.setattr(neardup, "PAIRS", 100)
     rng = random.Random(2)
     base, rows = cases.prose(rng, 120).split(), []
     for i in range(150):
@@ -219,6 +221,52 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert by_id(near_components(spark.createDataFrame(rows, "doc_id long, text string"), num=85, k=3), "component_id") == component
 
 
+def test_near_duplicates_just_under_and_at_the_threshold(spark, monkeypatch):
+    """One bucket of 2000 texts that all look alike: what leaves a cell grows with its members, not with its pairs; a chain at the threshold is found whole."""
+    from cliloom.llm import neardup
+
+    base = [f"word{j}" for j in range(200)]
+    rows = []
+    for i in range(2000):  # 6 words of their own: any two have 164 shingles of 198 + 198 - 164 in common, 71 of 100
+        own = list(base)
+        for j in range(6):
+            own[33 * j + 5 + i % 20] = f"own{i}x{j}"
+        rows.append((i, " ".join(own)))
+    at = [w if j % 2 else f"other{j}" for j, w in enumerate(base)]
+    for i in range(50):  # each has 8 further shingles replaced: 182 of 214 or 85.05 of 100 in common with the one before
+        rows.append((5000 + i, " ".join(at)))
+        for j in range(5):
+            at[(i * 41 + 37 * j + 7) % 199] = f"chain{i}x{j}"
+    leaving, links = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda e: (leaving.append(e.count()), links(e))[1])
+    found = by_id(near_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), num=85, k=3), "component_id")
+    sets = {i: cases.shingles(t, 3) for i, t in rows}
+    chain, expected = [5000], {i: i for i in range(2000)}
+    for i in range(5000, 5050):
+        if i > 5000 and 100 * len(sets[i] & sets[i - 1]) < 85 * len(sets[i] | sets[i - 1]):
+            chain.append(i)
+        expected[i] = chain[-1]
+    assert found == expected
+    assert max(leaving) < 2 * len(rows)
+
+
+@pytest.mark.parametrize("num, k", [(85, 3), (80, 5)])
+def test_recall_at_the_threshold(spark, num, k):
+    """500 pairs whose likeness is the least that links them: all are found."""
+    import random
+
+    rng, rows, n = random.Random(num), [], 0
+    while n < 1000:
+        a = [f"p{n}w{j}" for j in range(rng.randint(60, 260))]
+        size = len(a) - k + 1
+        both = -(-2 * num * size // (100 + num))  # the least intersection of two sets of this size
+        b = a[: both + k - 1] + [f"q{n}w{j}" for j in range(size - both)]
+        rows += [(n, " ".join(a)), (n + 1, " ".join(b))]
+        n += 2
+    found = by_id(near_components(spark.createDataFrame(rows, "doc_id long, text string"), num=num, k=k), "component_id")
+    assert found == {i: i - i % 2 for i in range(1000)}
+
+
 @pytest.mark.parametrize("num, fine", [(85, False), (80, False), (85, True), (80, True)])
 def test_sketches_keep_pairs_at_the_threshold(num, fine):
     """Simulated pairs: samples differ at random, and each that does flips a bit of either sketch."""
