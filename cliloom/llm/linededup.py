@@ -1,88 +1,126 @@
-"""Line deduplication by content-defined chunks of lines, with built-in functions only.
-
-A text is split at ``\\n``.  Each line has a 32-bit hash (of its MD5 digest); after
-line i a chunk ends where ``(hash(i) + 3 * hash(i-1)) mod divisor`` is 0, so a
-boundary depends on two lines only and equal passages get equal chunks two lines
-after they begin, wherever they stand.  A chunk of two lines or more (with at
-least one that isn't blank) that occurs again anywhere, in another document or
-in the same, is removed; its first occurrence by id, then by place, stays.
-
-Chunks first meet by a 64-bit hash, as narrow rows.  Only chunks whose hash
-occurs twice are then grouped by their bytes, so equal hashes of different
-chunks remove nothing.  Counts and least places are combined before the shuffle,
-and the skew join of the optimizer splits hot hashes.
+"""Line deduplication by content-defined line chunks, with built-in functions only.
+
+A text is split at ``\\n``.  Each line has a 28-bit hash (of its MD5 digest), and a
+rolling hash over the last two lines, ``(h[i] + base * h[i-1]) mod PRIME`` with 0
+before the first line, ends a chunk after line i where it is even.  So a boundary
+depends on two lines only, and equal passages get equal chunks two lines after
+they begin, wherever they stand.  `BASES` has a base for each of three phases:
+three ways to cut, each on its own, which give a short passage three chances.
+
+A chunk that occurs again anywhere, in another document or in the same, is paired
+with its first occurrence by id, then by place.  Pairs of one document with one
+other at one distance run together.  Then bytes are compared: line by line, the
+run with its first occurrence, and on both sides as far as lines stay equal, up to
+the end of the chunk behind it and the beginning of the second one before it (the
+first line of a passage may end a chunk in one document only).  If at least two lines that aren't blank are
+equal, all that are go; the first occurrence stays.  (Its place is before the
+removed one, so the earliest of equal lines always stays.)
+
+Scale: chunks meet as narrow rows (a 64-bit key and places); only lines of
+repeated chunks and of those beside them are then fetched, once for each range.
+Counts and least places are combined before the shuffle, and the optimizer's skew
+join splits hot keys; all work on a text is linear in its length.
+
+What stays although it is repeated: passages of one or two lines, most likely those
+of three; a passage is found if one of the three phases has a chunk within it.
 
 Nulls: a null text stays null and has no lines; an empty one has one empty line.
 A null id ranks first.  Rows of equal id and text rank in an arbitrary order, and
-one of them stays.  A text all of whose chunks go becomes empty.  Empty tables
-give empty results.  Other columns pass through; the ones added start with an underscore.
+one of them stays.  A text all of whose lines go becomes empty.  Empty tables
+give empty results.  A very long text is one row of its lines.  Other columns pass
+through, whatever their names; added ones get as many underscores as keep them apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIVISOR = 3
-
-
-def _hashes(lines: str) -> Column:
-    return F.expr(f"transform({lines}, x -> cast(conv(substring(md5(cast(x as binary)), 1, 8), 16, 10) as bigint))")
-
-
-def _chunked(df: DataFrame, text_col: str, divisor: int) -> DataFrame:
-    """The rows with `_lines` and `_ends`, the places of the lines that end a chunk."""
-    df = df.withColumn("_lines", F.split(F.col(text_col), "\n", -1)).withColumn("_hashes", _hashes("_lines"))
-    last = "size(_lines) - 1"
-    ends = f"filter(sequence(0, {last}), i -> i = {last} or pmod(_hashes[i] + if(i > 0, 3 * _hashes[greatest(i - 1, 0)], 0), {divisor}) = 0)"
-    return df.withColumn("_ends", F.expr(ends)).drop("_hashes")
-
-
-def _chunks(rows: DataFrame) -> DataFrame:
-    """_row, _id, _from, _to, _text of each chunk of two lines or more that isn't blank."""
-    bounds = "transform(_ends, (e, k) -> struct(if(k = 0, 0, _ends[greatest(k - 1, 0)] + 1) as _from, e as _to))"
-    each = rows.select("_row", "_id", "_lines", F.explode(F.expr(f"filter({bounds}, b -> b._to > b._from)")).alias("_b"))
-    return each.select("_row", "_id", "_b._from", "_b._to", F.expr("array_join(slice(_lines, _b._from + 1, _b._to - _b._from + 1), '\n')").alias("_text")).where(F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")) > 0)
+from .shared import fresh, numbered_columns, written
+
+#: Multipliers of the rolling hash, its modulus, and how many boundaries there are (one in so many lines).
+BASES, PRIME, DIVISOR = (8191, 131071, 524287), 1_000_003, 2
+_BLANKS = "' \\t\\n\\u000b\\f\\r'"
+
+
+def _worded(line: str) -> str:
+    return f"length(translate({line}, {_BLANKS}, '')) > 0"
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _chunks(rows: DataFrame, text_col: str, id_col: str, divisor: int) -> DataFrame:
+    """_row, _id, _key, _from, _to of each chunk that isn't blank, with _low and _high, where the second chunk before it begins and the one behind it ends."""
+    df = rows.select("_row", F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("_lines")).where(F.col("_lines").isNotNull())
+    df = df.withColumn("_h", F.expr("transform(_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 7), 16, 10) as bigint))"))
+    for p, base in enumerate(BASES):
+        ends = f"filter(sequence(0, size(_h) - 1), i -> i = size(_h) - 1 or pmod(pmod(_h[i] + {base} * coalesce(get(_h, i - 1), 0L), {PRIME}), {divisor}) = 0)"
+        df = df.withColumn(f"_ends{p}", F.expr(ends))
+    at = lambda p, k: f"get(_ends{p}, k {k})"
+    bounds = ", ".join(f"transform(_ends{p}, (e, k) -> struct({p} as _phase, coalesce({at(p, '- 1')} + 1, 0) as _from, e as _to, coalesce({at(p, '- 3')} + 1, 0) as _low, coalesce({at(p, '+ 1')}, e) as _high))" for p in range(len(BASES)))
+    own = "slice(_lines, b._from + 1, b._to - b._from + 1)"
+    keyed = f"transform(filter(concat({bounds}), b -> exists({own}, x -> {_worded('x')})), b -> struct(xxhash64(b._phase, {own}) as _key, b._from, b._to, b._low, b._high))"
+    return df.select("_row", "_id", F.inline(F.expr(keyed)))
+
+
+def _repeated(chunks: DataFrame) -> DataFrame:
+    """Ranges of lines that repeat the chunks of a document at a distance: _row, _row0, _off (line minus its first occurrence), _from, _to, _low, _high."""
+    place = F.struct("_id", "_row", "_from")
+    first = chunks.groupBy("_key").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_k"), "_first")
+    pairs = chunks.join(first, F.col("_key") == F.col("_k")).where(place != F.col("_first"))
+    pairs = pairs.select("_row", F.col("_first._row").alias("_row0"), (F.col("_from") - F.col("_first._from")).alias("_off"), "_from", "_to", "_low", "_high")
+    in_order = Window.partitionBy("_row", "_row0", "_off").orderBy("_from", "_to")
+    pairs = pairs.withColumn("_new", (F.col("_from") > F.coalesce(F.max("_to").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1))).cast("int"))
+    pairs = pairs.withColumn("_run", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return pairs.groupBy("_row", "_row0", "_off", "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.min("_low").alias("_low"), F.max("_high").alias("_high")).drop("_run")
+
+
+def _gone(docs: DataFrame, ranges: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """_row, _a, _b: the ranges of lines whose bytes are those of their first occurrences."""
+    wanted = ranges.select("_row", "_low", "_high").union(ranges.select("_row0", F.col("_low") - F.col("_off"), F.col("_high") - F.col("_off"))).distinct()
+    wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("_low", "_high")).alias("_wanted"))
+    # The columns are those of the join that gives the result, so that both share one shuffle of the texts.
+    held = docs.join(wanted, "_row").withColumn("_lines", _lines(F.col(text_col))).select("_row", F.col(id_col).alias("_id"), "_lines", F.inline("_wanted"))
+    part = F.expr("transform(sequence(_low, _high), i -> get(_lines, i))")  # null where the text has no such line
+    parts = written(held.select("_row", "_id", "_low", "_high", part.alias("_part")), "parts")
+    first = parts.select(F.col("_row").alias("_row0"), F.col("_id").alias("_id0"), F.col("_low").alias("_low0"), F.col("_part").alias("_part0"), F.col("_high").alias("_high0"))
+    pairs = ranges.join(parts, ["_row", "_low", "_high"]).withColumn("_low0", F.col("_low") - F.col("_off")).withColumn("_high0", F.col("_high") - F.col("_off"))
+    pairs = pairs.join(first, ["_row0", "_low0", "_high0"]).where(F.struct("_id0", "_row0") <= F.struct("_id", "_row"))
+    apart = F.expr("filter(sequence(0, size(_part) - 1), i -> coalesce(_part[i] <> _part0[i], true))")
+    pairs = pairs.withColumn("_apart", apart).where("not exists(_apart, i -> i between _from - _low and _to - _low)")
+    pairs = pairs.withColumn("_a", F.expr("coalesce(array_max(filter(_apart, i -> i < _from - _low)), -1) + 1")).withColumn("_b", F.expr("coalesce(array_min(filter(_apart, i -> i > _to - _low)), size(_part)) - 1"))
+    worded = F.expr(f"size(filter(slice(_part, _a + 1, _b - _a + 1), x -> {_worded('x')}))")
+    return pairs.where(worded >= 2).select("_row", (F.col("_low") + F.col("_a")).alias("_a"), (F.col("_low") + F.col("_b")).alias("_b"))
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """The rows, texts without repeated chunks, with _n_lines, _n_removed (lines) and _n_chunks_removed.
+    """The rows, texts without repeated passages, with _n_lines and _n_removed (lines).
 
     The input must give the same rows in the same order each time it is read, as files do.
     """
     names = documents.columns
-    numbered = documents.withColumn("_row", F.monotonically_increasing_id())
-    rows = _chunked(numbered.select("_row", F.col(id_col).alias("_id"), F.col(text_col).alias("_whole")), "_whole", divisor)
-    chunks = _chunks(rows).withColumn("_key", F.xxhash64("_text"))
-    place = F.struct("_id", "_row", "_from", "_to")  # both uses of the chunks need the same columns, so that they share one shuffle
-    again = chunks.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
-    texts = chunks.join(again, "_key")
-    # By bytes: the first place of each chunk, then the places that aren't first.
-    first = texts.groupBy("_key", "_text").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_k"), F.col("_text").alias("_t"), "_first")
-    same = F.col("_text").startswith(F.col("_t")) & F.col("_t").startswith(F.col("_text"))  # equal bytes, as no further join key: that would shuffle the texts again
-    gone = texts.join(first, (F.col("_key") == F.col("_k")) & same).where(place != F.col("_first")).select("_row", "_from", "_to")
-    per_row = gone.groupBy("_row").agg(F.collect_list(F.struct("_from", "_to")).alias("_gone"))
-    out = numbered.join(per_row, "_row", "left").withColumn("_split", F.split(F.col(text_col), "\n", -1))
-    kept = F.expr("filter(_split, (x, i) -> not exists(_gone, g -> i >= g._from and i <= g._to))")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    removed = F.expr("coalesce(aggregate(_gone, 0L, (s, g) -> s + g._to - g._from + 1), 0L)")
-    return out.select(
-        *(text.alias(c) if c == text_col else F.col(c) for c in names),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_split")).cast("long").alias("_n_lines"),
-        removed.alias("_n_removed"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_n_chunks_removed"),
-    )
+    plain, (id_at, text_at) = numbered_columns(documents, id_col, text_col)
+    docs = plain.withColumn("_row", F.monotonically_increasing_id())
+    ranges = written(_repeated(_chunks(docs, text_at, id_at, divisor)), "ranges")
+    gone = _gone(docs, ranges, text_at, id_at).groupBy("_row").agg(F.collect_set(F.struct("_a", "_b")).alias("_gone"))
+    out = docs.join(gone, "_row", "left").withColumn("_lines", _lines(F.col(text_at)))
+    left = F.when(F.col("_gone").isNotNull(), F.expr("array_except(sequence(0, size(_lines) - 1), flatten(transform(_gone, g -> sequence(g._a, g._b))))"))
+    out = out.withColumn("_left", left)
+    text = F.when(F.col("_gone").isNull(), F.col(text_at)).otherwise(F.array_join(F.expr("transform(_left, i -> _lines[i])"), "\n"))
+    many = F.when(F.col(text_at).isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long")
+    return out.select(*(text.alias(c) if c == text_at else F.col(c) for c in plain.columns), many, removed).toDF(*names, *fresh(names, "_n_lines", "_n_removed"))
 
 
 def line_dedup_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_chunks_removed and the digest and length of what stays."""
+    """doc_id, n_lines, n_removed and the digest and length of what stays."""
     rows = dedup_lines(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), divisor=divisor)
-    return rows.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_chunks_removed").alias("n_chunks_removed"),
-        F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
-    )
+    return rows.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def dedup_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without repeated chunks; the columns stay as they are."""
-    return dedup_lines(documents, id_col, text_col).select(*documents.columns)
+    """The documents without repeated passages; the columns stay as they are."""
+    rows = dedup_lines(documents, id_col, text_col)
+    return rows.select(rows.columns[: len(documents.columns)])

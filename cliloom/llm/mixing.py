@@ -18,7 +18,7 @@ the range that holds the cut is ordered row by row.
 
 Nulls: a null text has size 0, null sources are one source (the last), a null id
 is drawn as the text "null".  Rows of a source with equal id and size tie and are drawn
-together.  Documents of size 0 are taken 0 words.  Empty tables give empty results; other columns pass
+together.  Documents of size 0 are taken 0 words.  A very long text is counted whole, in one task.  Empty tables give empty results; other columns pass
 through, and those added start with an underscore.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import written
+from .shared import numbered_columns, written
 
 WEIGHTS = (3, 1, 2)
 
@@ -119,8 +119,10 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Texts move once: they meet the copies on id, source and size, which settle a row's draw.
     """
+    names = documents.columns
+    documents, (id_col, text_col, source_col) = numbered_columns(documents, id_col, text_col, source_col)
     sized = with_size(documents, text_col)
     mixed = mix(written(sized.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), "_size"), "sizes"), "_id", "_src")
     taken = mixed.where("_copies > 0").select("_id", "_src", F.col("_size").alias("_words"), "_copies").distinct()
     same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_words"))
-    return sized.join(taken, same).withColumn("_copy", F.explode(F.expr("sequence(1, cast(_copies as int))"))).select(*documents.columns)
+    return sized.join(taken, same).withColumn("_copy", F.explode(F.expr("sequence(1, cast(_copies as int))"))).select(*documents.columns).toDF(*names)

@@ -31,7 +31,8 @@ Hubs with many members are dealt over several tasks by a salt.
 
 Nulls: a null text has no words and is linked with nothing; a null id ranks
 before all others.  Rows of one id are one document, linked by any of its texts.
-Empty tables give empty results.  Only id and text are used, so columns with
+A very long text is one set, in one task; cells
+are bounded by shingles.  Empty tables give empty results.  Only id and text are used, so columns with
 clashing names don't matter.
 """
 
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import written
+from .shared import numbered_columns, written
 
 BAND_ROWS, UNFOUND = 5, 1e-7
 SKETCH_BITS = 256
@@ -399,4 +400,5 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, k: int = 5) -> DataFrame:
     """The documents whose id is the smallest of their component; of rows with equal ids, all or none stay."""
     gone = near_components(documents, id_col, text_col, num, den, k).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    plain, (own,) = numbered_columns(documents, id_col)
+    return plain.join(gone, F.col(own) == F.col("_gone"), "left_anti").toDF(*documents.columns)

@@ -5,15 +5,17 @@
 shuffled: a piece is a row of a few numbers.
 
 Packing works on groups of about `group_size` pieces dealt by a hash of the row
-(so no source or document makes a group large), each an independent stream,
-longest first.  A stream keeps at most `open_bins` open sequences.  A bitset
-with one bit for each amount of free space finds the fullest sequence that a
-piece fits into; where none fits, a new one opens, and if too many are open the
-fullest closes first.  A group holds `group_size` rows of numbers in memory.
+(so no source or document makes a group large), each an independent stream in the
+order of the input: a piece is placed for good before the next one is seen.  A
+stream keeps at most `open_bins` open sequences.  A bitset with one bit for each
+amount of free space finds the fullest sequence that a piece fits into; where none
+fits, a new one opens, and if too many are open the fullest closes first.  Of a
+stream only the open sequences are held in memory.
 
 Nulls: a null text is empty and becomes one piece holding the end id alone; a
 null id is packed as any other.  Repeated rows are packed each time.  Empty
-tables give empty results.  Of the input only id and text are used, so columns
+tables give empty results.  A very long text is encoded whole, in one task, and
+cut into pieces.  Of the input only id and text are used, so columns
 with clashing names don't matter.
 """
 
@@ -31,6 +33,10 @@ from . import kernels as K
 from .shared import written
 from .wordids import lower_word_ids, lower_word_memo
 
+#: Sequences open at once in a stream, and pieces of a stream.
+OPEN_BINS, GROUP = 64, 32_768
+
+
 def token_pieces(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and an end id, cut at `capacity` where longer."""
     df = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -59,7 +65,7 @@ class OpenBins:
     """A fixed number of open sequences, found by their free space."""
 
     def __init__(self, capacity: int, most: int):
-        self.capacity, self.most, self.free, self.held, self.open, self.made = capacity, most, 0, {}, 0, 0
+        self.capacity, self.most, self.free, self.held, self.open, self.made, self.closed = capacity, most, 0, {}, 0, 0, 0
 
     def _take(self, space: int) -> int:
         bins = self.held[space]
@@ -78,6 +84,7 @@ class OpenBins:
         else:
             if self.open >= self.most:
                 self._take((self.free & -self.free).bit_length() - 1)  # the fullest closes
+                self.closed += 1
             space, sequence = self.capacity, self.made
             self.made += 1
         left = space - length
@@ -88,19 +95,18 @@ class OpenBins:
         return sequence, self.capacity - space
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 4096, group_size: int = 16_384) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = OPEN_BINS, group_size: int = GROUP) -> DataFrame:
     """The pieces (a written table or another input that gives the same rows each time) with sequence_id and offset."""
     groups = max(1, -(-pieces.count() // group_size))
     names = pieces.columns
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    order = ["_group", F.desc("length"), *(c for c in names if c != "length")]
+    dealt = pieces.withColumn("_place", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_place"), F.lit(groups)))
     at = names.index("length")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bins = None, None
         for batch in batches:
-            group, length = batch.column(len(names)).to_numpy(), batch.column(at).to_numpy()
+            group, length = batch.column("_group").to_numpy(), batch.column(at).to_numpy()
             sequence, offset = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
             for i, (g, n) in enumerate(zip(group.tolist(), length.tolist(), strict=True)):
                 if g != now:
@@ -109,7 +115,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 4096, group_s
                 sequence[i] = (g << 32) + s
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return dealt.repartition("_group").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return dealt.repartition("_group").sortWithinPartitions("_group", "_place").mapInArrow(run, schema)
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:

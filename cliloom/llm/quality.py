@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .shared import numbered_columns
 
 #: Phrases that mark a line as boilerplate, in lower case.
 BOILERPLATE = (
@@ -180,5 +181,6 @@ def quality_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def clean_documents(documents: DataFrame, text_col: str = "text", most_lost: float = 0.5) -> DataFrame:
     """The documents that are kept, without the lines that fail; the columns stay as they are."""
-    judged = line_first(documents, text_col, most_lost).where("_quality.kept")
-    return judged.select(*(F.col("_quality.cleaned").alias(c) if c == text_col else F.col(c) for c in documents.columns))
+    plain, (text,) = numbered_columns(documents, text_col)
+    judged = line_first(plain, text, most_lost).where("_quality.kept")
+    return judged.select(*(F.col("_quality.cleaned").alias(c) if c == text else F.col(c) for c in plain.columns)).toDF(*documents.columns)

@@ -173,27 +173,41 @@ WITH words AS (
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept FROM measured
 """,
     "op8_line_dedup": r"""
-WITH lines AS (
-  SELECT doc_id, i, line, count(*) OVER (PARTITION BY doc_id) AS n_lines,
-    CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL)
+WITH texts AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+), lines AS (
+  SELECT doc_id, i, line, n_lines, h, coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) AS h1
+  FROM (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i, len(lines) AS n_lines FROM texts))
 ), marked AS (
-  SELECT *, i = n_lines - 1 OR (h + coalesce(3 * lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS is_end FROM lines
-), numbered AS (
-  SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM marked
+  SELECT doc_id, phase, i, line, i = n_lines - 1 OR (h + base * h1) % 1000003 % 2 = 0 AS is_end
+  FROM lines, (VALUES (0, 8191), (1, 131071), (2, 524287)) AS phases(phase, base)
+), cut AS (
+  SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY doc_id, phase ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM marked
 ), chunks AS (
-  SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, chunk
-), ranked AS (
-  SELECT *, n > 1 AND length(translate(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0
-    AND row_number() OVER (PARTITION BY body ORDER BY CASE WHEN n > 1 THEN 0 ELSE 1 END, doc_id NULLS FIRST, chunk) > 1 AS gone
-  FROM chunks
+  SELECT doc_id, phase, chunk, min(i) AS a, max(i) AS b, list(line ORDER BY i) AS body FROM cut GROUP BY ALL
+), beside AS (
+  SELECT *, coalesce(lag(a, 2) OVER w, lag(a) OVER w, a) AS low, coalesce(lead(b) OVER w, b) AS high FROM chunks WINDOW w AS (PARTITION BY doc_id, phase ORDER BY chunk)
+), worded AS (
+  SELECT * FROM beside WHERE regexp_matches(array_to_string(body, chr(10)), '[^\x20\x09-\x0D]')
+), firsts AS (
+  SELECT phase, body, min({'doc_id': doc_id, 'a': a}) AS f FROM worded GROUP BY phase, body HAVING count(*) > 1
+), pairs AS (
+  SELECT w.doc_id, w.a, w.b, w.low, w.high, f.doc_id AS doc0, w.a - f.a AS off FROM worded w JOIN firsts USING (phase, body) WHERE w.doc_id <> f.doc_id OR w.a <> f.a
+), compared AS (
+  SELECT p.*, x.lines, list_filter(range(low, high + 1), lambda i: i < off OR i - off >= len(y.lines) OR x.lines[i + 1] <> y.lines[greatest(i - off, 0) + 1]) AS apart
+  FROM pairs p JOIN texts x USING (doc_id) JOIN texts y ON y.doc_id = p.doc0
+), ranges AS (
+  SELECT doc_id, lines, coalesce(list_max(list_filter(apart, lambda i: i < a)) + 1, low) AS a, coalesce(list_min(list_filter(apart, lambda i: i > b)) - 1, high) AS b FROM compared
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM ranges WHERE len(list_filter(lines[a + 1:b + 1], lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) >= 2
+), removed AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed, count(*) FILTER (gone) AS n_chunks_removed,
-    coalesce(string_agg(body, chr(10) ORDER BY chunk) FILTER (NOT gone), '') AS kept
-  FROM ranked GROUP BY doc_id
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS k FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
 )
-SELECT doc_id, n_lines, n_removed, n_chunks_removed, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM kept
-UNION ALL SELECT doc_id, 0, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, length(coalesce(k, '')) AS kept_chars, sha256(coalesce(k, '')) AS kept_sha256
+FROM texts LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
 """,
     "op4_source_mixing": r"""
 WITH sized AS (

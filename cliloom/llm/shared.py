@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests, one machine), a new temporary folder, which is then set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset and Spark runs on this machine alone (as in tests), a new
+    temporary folder; on a cluster that is an error, as executors share no local folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.__dict__.get("_cliloom_folder")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cliloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
+        folder = spark.sparkContext._cliloom_folder = "file://" + tempfile.mkdtemp(prefix="cliloom-")
     return folder.rstrip("/")
 
 
@@ -37,3 +42,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered_columns(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """The rows with columns named c0, c1 and so on, whatever their names were, and the new names of those wanted."""
+    names = df.columns
+    return df.toDF(*(f"c{i}" for i in range(len(names)))), [f"c{names.index(w)}" for w in wanted]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many more underscores before it as keep it apart from those taken."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        out.append(name)
+    return out

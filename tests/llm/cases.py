@@ -1,5 +1,6 @@
 """Small documents with every odd case, and brute-force versions of the operators."""
 
+import hashlib
 import random
 import re
 
@@ -76,3 +77,33 @@ def repeats(docs, size=13):
         seen.update(own)
         out[i] = (len(w), sum(gone), " ".join(x for x, y in zip(w, gone, strict=True) if not y))
     return out
+
+
+def line_dedup(docs):
+    """(text, lines removed) of each id: from the definition, each chunk against its first occurrence, lines as strings."""
+    texts = {i: t.split("\n") for i, t, *_ in docs if t is not None}
+    chunks, first = [], {}
+    for i in sorted(texts):
+        lines = texts[i]
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+        for phase, base in enumerate((8191, 131071, 524287)):
+            ends = [k for k in range(len(lines)) if k == len(lines) - 1 or (h[k] + (base * h[k - 1] if k else 0)) % 1_000_003 % 2 == 0]
+            starts = [0, *(e + 1 for e in ends[:-1])]
+            for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
+                if words(" ".join(lines[a : b + 1])):
+                    key = (phase, tuple(lines[a : b + 1]))
+                    first.setdefault(key, (i, a))
+                    chunks.append((key, i, a, b, starts[max(k - 2, 0)], ends[min(k + 1, len(ends) - 1)]))
+    gone = {i: set() for i in texts}
+    for key, i, a, b, low, high in chunks:
+        j, c = first[key]
+        if (j, c) == (i, a):
+            continue
+        same = lambda k: 0 <= k - a + c < len(texts[j]) and texts[i][k] == texts[j][k - a + c]  # noqa: B023, E731
+        while a > low and same(a - 1):
+            a, c = a - 1, c - 1
+        while b < high and same(b + 1):
+            b += 1
+        if sum(bool(words(x)) for x in texts[i][a : b + 1]) > 1:
+            gone[i] |= set(range(a, b + 1))
+    return {i: (None, 0) if t is None else ("\n".join(x for k, x in enumerate(texts[i]) if k not in gone[i]), len(gone[i])) for i, t, *_ in docs}

@@ -115,6 +115,23 @@ def test_packing(docs, none, rows):
     assert pack_documents(none, path).count() == 0
 
 
+def test_packing_is_online_and_bounded(spark):
+    """In the order of the input, with at most 64 open sequences, of which full ones are closed by force; still close to the least number of sequences."""
+    from cliloom.llm.packing import OPEN_BINS, pack
+
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(4096, 1 + rng.lognormal(5.5, 1.3, 20_000).astype(int))
+    bins, placed = OpenBins(4096, OPEN_BINS), []
+    for n in lengths.tolist():
+        placed.append(bins.place(n))
+        assert bins.open <= OPEN_BINS == 64
+    assert bins.closed > 100
+    assert bins.made < 1.01 * lengths.sum() / 4096 + 64
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, length long").coalesce(1)
+    found = {r.doc_id: (r.sequence_id, r.offset) for r in pack(df).collect()}
+    assert [found[i] for i in range(len(lengths))] == placed
+
+
 def test_fullest_bin_closes_first():
     bins = OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 5)] == [(0, 0), (1, 0)]
@@ -378,38 +395,47 @@ def test_attention_model_is_causal_and_normalised():
 
 
 def test_line_dedup(docs, none, rows):
-    """Chunks by brute force: the same boundaries, whole chunks compared as strings."""
-    def chunks(text):
-        lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        out, start = [], 0
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or (h[i] + (3 * h[i - 1] if i else 0)) % 3 == 0:
-                out.append(lines[start : i + 1])
-                start = i + 1
-        return out
-
-    seen, kept, removed = set(), {}, {}
-    for i, t, *_ in rows:
-        if t is None:
-            kept[i], removed[i] = None, 0
-            continue
-        left, n = [], 0
-        for c in chunks(t):
-            if len(c) > 1 and "".join(c).strip(" \t\n\x0b\x0c\r"):
-                if tuple(c) in seen:
-                    n += len(c)
-                    continue
-                seen.add(tuple(c))
-            left += c
-        kept[i], removed[i] = "\n".join(left), n
-    assert sum(removed.values()) > 20
-    assert by_id(dedup_lines(docs), "text", "_n_removed") == {i: (kept[i], removed[i]) for i in kept}
-    assert by_id(line_dedup_report(docs), "n_removed") == removed
+    expected = cases.line_dedup(rows)
+    assert sum(n for _, n in expected.values()) > 20
+    assert by_id(dedup_lines(docs), "text", "_n_removed") == expected
+    assert by_id(line_dedup_report(docs), "n_removed") == {i: n for i, (_, n) in expected.items()}
     assert dedup_documents(docs).columns == docs.columns
     assert line_dedup_report(none).count() == 0
 
 
+def test_line_dedup_passages(spark):
+    """Passages of several lines, at any offset: each is removed whole or, if it is short, now and then not at all; a line that others share stays."""
+    import random
+
+    rng, rows, inside = random.Random(4), [], {}
+    line = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(8))
+    for i in range(0, 400, 2):
+        n = (3, 4, 6, 10)[i // 2 % 4]
+        passage = [line() for _ in range(n)]
+        for k in range(2):
+            before, after = ([line() for _ in range(rng.randint(0, 5))] for _ in range(2))
+            rows.append((i + k, "\n".join([*before, "a line in all of them", *passage, *after])))
+        inside[i + 1] = n + 1  # the common line before the passage is the same too
+    found = by_id(dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "_n_removed")
+    assert all(found[i] == 0 for i in found if i % 2 == 0)
+    assert {found[i] for i in inside} <= {0, *inside.values()}
+    share = {n: np.mean([found[i] > 0 for i in inside if inside[i] == n + 1]) for n in (3, 4, 6, 10)}
+    assert share[10] > 0.95 and share[6] > 0.85 and share[4] > 0.6 and share[3] > 0.4, share
+    assert {i: n for i, (_, n) in cases.line_dedup(rows).items()} == found
+
+
+def test_line_boundaries_depend_on_the_line_before(spark):
+    from cliloom.llm.linededup import _chunks
+
+    rows = [(k, f"before {k}\nthe line\nand more\nand still more") for k in range(40)]
+    df = spark.createDataFrame(rows, "_row long, text string").withColumn("doc_id", F.col("_row"))
+    ends = [Counter() for _ in rows]
+    for r in _chunks(df, "text", "doc_id", 2).collect():
+        ends[r._row][r._to] += 1
+    assert len({e[1] for e in ends}) > 1  # how many phases end a chunk after one line depends on the line before it
+    assert len({e[2] for e in ends}) == 1  # and on no other
+
+
 def test_substrings(docs, none, rows):
     expected = cases.repeats(rows)
     for batches in (1, 3):
@@ -466,6 +492,21 @@ def test_extra_columns_with_clashing_names(spark, rows):
         out.collect()
 
 
+def test_extra_columns_named_like_our_own(spark, rows):
+    own = ["_row", "_gone", "_split", "_quality", "_size", "_id", "_copies", "_lines", "_n_removed", "_left", "_text", "c0", "c1"]
+    extra = spark.createDataFrame([r[:2] + ("s",) for r in rows if r[1]][::3], "doc_id long, text string, source string")
+    plain = {f: sorted((r.doc_id, r.text) for r in f(extra).collect()) for f in (clean_documents, mixed_documents, drop_near_copies, dedup_documents)}
+    for k, name in enumerate(own):
+        extra = extra.withColumn(name, F.lit(k))
+    for f, expected in plain.items():
+        found = f(extra)
+        assert found.columns == extra.columns
+        found = found.collect()
+        assert sorted((r.doc_id, r.text) for r in found) == expected
+        assert all(r[c] == k for r in found for k, c in enumerate(own))
+    assert dedup_lines(extra).columns[-2:] == ["_n_lines", "__n_removed"]
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

@@ -44,23 +44,8 @@ def quality(docs):
 
 
 def line_dedup(docs):
-    seen, out = set(), []
-    for i, text, lang, source, _ in sorted(docs):
-        lines, left, start = text.split("\n"), [], 0
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        for k in range(len(lines)):
-            if k == len(lines) - 1 or (h[k] + (3 * h[k - 1] if k else 0)) % 3 == 0:
-                c = tuple(lines[start : k + 1])
-                start = k + 1
-                if len(c) > 1 and cases.words(" ".join(c)):
-                    if c in seen:
-                        continue
-                    seen.add(c)
-                left += c
-        kept = "\n".join(left)
-        if cases.words(kept):
-            out.append((i, kept, lang, source, len(kept)))
-    return out
+    kept = cases.line_dedup(docs)
+    return [(i, kept[i][0], lang, source, len(kept[i][0])) for i, _, lang, source, _ in sorted(docs) if cases.words(kept[i][0])]
 
 
 def near_dedup(docs):
