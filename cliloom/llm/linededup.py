@@ -84,7 +84,7 @@ def _gone(docs: DataFrame, ranges: DataFrame, text_col: str, id_col: str) -> Dat
     # The columns are those of the join that gives the result, so that both share one shuffle of the texts.
     held = docs.join(wanted, "_row").withColumn("_lines", _lines(F.col(text_col))).select("_row", F.col(id_col).alias("_id"), "_lines", F.inline("_wanted"))
     part = F.expr("transform(sequence(_low, _high), i -> get(_lines, i))")  # null where the text has no such line
-    parts = written(held.select("_row", "_id", "_low", "_high", part.alias("_part")), "parts")
+    parts = held.select("_row", "_id", "_low", "_high", part.alias("_part"))
     first = parts.select(F.col("_row").alias("_row0"), F.col("_id").alias("_id0"), F.col("_low").alias("_low0"), F.col("_part").alias("_part0"), F.col("_high").alias("_high0"))
     pairs = ranges.join(parts, ["_row", "_low", "_high"]).withColumn("_low0", F.col("_low") - F.col("_off")).withColumn("_high0", F.col("_high") - F.col("_off"))
     pairs = pairs.join(first, ["_row0", "_low0", "_high0"]).where(F.struct("_id0", "_row0") <= F.struct("_id", "_row"))
@@ -103,7 +103,8 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = documents.columns
     plain, (id_at, text_at) = numbered_columns(documents, id_col, text_col)
     docs = plain.withColumn("_row", F.monotonically_increasing_id())
-    ranges = written(_repeated(_chunks(docs, text_at, id_at, divisor)), "ranges")
+    chunks = written(_chunks(docs, text_at, id_at, divisor), "chunks")
+    ranges = written(_repeated(chunks), "ranges")
     gone = _gone(docs, ranges, text_at, id_at).groupBy("_row").agg(F.collect_set(F.struct("_a", "_b")).alias("_gone"))
     out = docs.join(gone, "_row", "left").withColumn("_lines", _lines(F.col(text_at)))
     left = F.when(F.col("_gone").isNotNull(), F.expr("array_except(sequence(0, size(_lines) - 1), flatten(transform(_gone, g -> sequence(g._a, g._b))))"))
