@@ -7,22 +7,27 @@ smaller id; windows are judged on the input.
 Index.  Of each window only its fingerprint is kept: the least hash among its
 4-word grams.  Equal windows have equal fingerprints, so no equal pair of
 windows is lost, and a text has few distinct ones (about a sixth of its words).
-`ingest` sorts a batch's (fingerprint, text class) pairs, merge-joins them with
-the sorted immutable runs of earlier batches and writes a new run, along with
-the hits: pairs whose fingerprint now stands in two different texts.  Beyond
-`fan_in` runs, `compact` merges them into one.
-
-Verification.  `resolve` goes back to the texts: windows under a hit are
-compared by 96-bit hashes of their whole word sequences, and of each sequence
-the smallest document id is found.  Equal texts form a class (128-bit hash of
-the words); its smallest id stands for it, the others are wholly covered.
+`ingest` sorts a batch's (fingerprint, text class) pairs into a new immutable run
+and merge-joins it with each run of earlier batches; what comes out are hits, pairs
+whose fingerprint stands in two different texts.  Beyond `fan_in` runs, `compact`
+merges them into one.  Runs are tables bucketed by a hash of the fingerprint and
+sorted within a bucket: joining and compacting them shuffles nothing, and within a
+bucket sorted arrays are merged, not sorted anew.
+
+Verification.  `resolve` goes back to the texts: windows under a hit meet by a
+64-bit hash, and those of one hash are compared word by word with the one of the
+smallest document id.  Their words travel as stretches that neighbouring windows
+share.  Texts of equal words form a class (128-bit hash of the words); its smallest
+id stands for it, the others are wholly covered.
 
 Everything moves in buckets of a fixed number of text bytes, as packed numbers
 and compressed texts, so a task's memory doesn't grow with the corpus.  What a
-block settles by itself doesn't go through a key's bucket: equal texts move
+task settles by itself doesn't go through a key's bucket: equal texts move
 once, of the texts that share a fingerprint two, of those that share a window
-the one with the smallest id.  Tables
-between the steps lie in the shared folder: a lost executor costs a task.
+the one with the smallest id.  Buckets of windows that still grow large are
+first settled in parts (`PART_BYTES`).  Texts are shuffled once, into a bucketed
+table that both later steps read.  All tables lie in the shared folder: a lost
+executor costs a task.
 
 Nulls: a null text has no words; null ids rank before all others.  Rows of one
 id are one document and don't count against each other; where their texts
@@ -33,6 +38,7 @@ and text are used, so columns with clashing names don't matter.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +53,10 @@ from .shared import new_path
 WINDOW, GRAM = 13, 4
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 32
+#: Entries that a task gathers before it deals them out; bytes of windows that one task compares at once; most files of a table.
+ENTRIES, PART_BYTES, MOST_FILES = 1_000_000, 64 << 20, 65_536
+#: Batches of `remove_repeats`: more than the runs that an index keeps, so that it compacts.
+BATCHES = 6
 _NO_ID = -(1 << 63)
 _PAIRS = "bucket int, kind int, a binary, b binary"
 _TEXTS = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
@@ -122,79 +132,108 @@ def _joined(rows: list[dict], column: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(r[column] for r in rows), kind)
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    return df.repartition("bucket").sortWithinPartitions("bucket", "kind")
-
-
 def _entries(buckets: int):
+    """Kind 1: fingerprints and classes by the fingerprints' buckets; kind 3: hits, by the buckets of the texts."""
+
+    def dealt(keys: list[np.ndarray], tags: list[np.ndarray]) -> pa.RecordBatch | None:
+        key, tag = np.concatenate(keys), np.concatenate(tags)
+        order = np.lexsort((tag, key))
+        key, tag = key[order], tag[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+        key, tag = key[new], tag[new]
+        # Two texts settle that a fingerprint is shared; the others with it are hits at once.
+        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        third = np.arange(len(key)) - np.repeat(heads, np.diff(np.append(heads, len(key)))) >= 2
+        rows = _hits(key[third], tag[third], buckets, 3)
+        key, tag = key[~third], tag[~third]
+        low = key.astype(np.uint32)
+        rows += [(b, 1, low[x:y].tobytes(), tag[x:y].tobytes()) for b, x, y in _slices(key >> np.uint64(32))]
+        return _rows(["bucket", "kind", "a", "b"], rows) if rows else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, tags = [], []
         for batch in batches:
             for _, _, data, offsets in K.blocks(batch.column(1)):
                 block = _Block(data, offsets, buckets)
                 where, key = block.fingerprints()
-                tag = block.classes()[0][block.owner[where]] if len(where) else key
-                order = np.lexsort((tag, key))
-                key, tag = key[order], tag[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
-                key, tag = key[new], tag[new]
-                # Two texts of a block settle that a fingerprint is shared; the block's other texts with it are hits at once.
-                heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-                third = np.arange(len(key)) - np.repeat(heads, np.diff(np.append(heads, len(key)))) >= 2
-                to = tag[third] % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                hit_key, hit_tag = key[third][order], tag[third][order]
-                rows = [(b, 3, hit_key[x:y].tobytes(), hit_tag[x:y].tobytes()) for b, x, y in _slices(to[order])]
-                key, tag = key[~third], tag[~third]
-                low = key.astype(np.uint32)
-                rows += [(b, 1, low[x:y].tobytes(), tag[x:y].tobytes()) for b, x, y in _slices(key >> np.uint64(32))]
-                if rows:
-                    yield _rows(["bucket", "kind", "a", "b"], rows)
+                if len(where):
+                    tag = block.classes()[0][block.owner[where]]
+                    new = np.concatenate(([True], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])))
+                    keys.append(key[new])
+                    tags.append(tag[new])
+                if sum(map(len, keys)) > ENTRIES:
+                    if (out := dealt(keys, tags)) is not None:
+                        yield out
+                    keys, tags = [], []
+        if keys and (out := dealt(keys, tags)) is not None:
+            yield out
 
     return run
 
 
-def _merged(buckets: int):
-    """Merge-joins a bucket's new entries (kind 1) with the runs (kind 0); gives the new run (kind 0) and the hits (kind 1, and what came as 3)."""
+def _hits(key: np.ndarray, tag: np.ndarray, buckets: int, kind: int = 1) -> list[tuple]:
+    to = tag % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    key, tag = key[order], tag[order]
+    return [(b, kind, key[x:y].tobytes(), tag[x:y].tobytes()) for b, x, y in _slices(to[order])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches):
-            passed = [(bucket, 1, r["a"], r["b"]) for r in rows if r["kind"] == 3]
-            if passed:
-                yield _rows(["bucket", "kind", "a", "b"], passed)
-            rows = [r for r in rows if r["kind"] < 3]
-            if not rows:
-                continue
-            many = [len(r["a"]) // 4 for r in rows]
-            low, tag = _joined(rows, "a", "<u4"), _joined(rows, "b", "<u8")
-            fresh = np.repeat(np.array([r["kind"] for r in rows], bool), many)
-            order = np.lexsort((fresh, tag, low))
-            low, tag, fresh = low[order], tag[order], fresh[order]
-            one = np.ones(len(low), bool)
-            one[1:] = (low[1:] != low[:-1]) | (tag[1:] != tag[:-1])
-            low, tag, fresh = low[one], tag[one], fresh[one]
-            edge = np.ones(len(low), bool)
-            edge[1:] = low[1:] != low[:-1]
-            group = np.cumsum(edge) - 1
-            texts, old = np.bincount(group), np.bincount(group, weights=~fresh)
-            hit = (texts[group] > 1) & (fresh | (old[group] == 1)) & (np.bincount(group, weights=fresh)[group] > 0)
-            yield _rows(["bucket", "kind", "a", "b"], [(bucket, 0, low[fresh].tobytes(), tag[fresh].tobytes())])
-            key = low[hit].astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
-            to = tag[hit] % np.uint64(buckets)
-            order = np.argsort(to, kind="stable")
-            key, hit_tag, to = key[order], tag[hit][order], to[order]
-            hits = [(b, 1, key[x:y].tobytes(), hit_tag[x:y].tobytes()) for b, x, y in _slices(to)]
-            if hits:
-                yield _rows(["bucket", "kind", "a", "b"], hits)
+
+def _pair_table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_rows(["bucket", "kind", "a", "b"], rows)])
+
+
+def _merged(lows: list[np.ndarray], tags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted sequences as one, without repetitions: a stable merge by fingerprint, then by class where fingerprints are equal."""
+    low, tag = np.concatenate(lows), np.concatenate(tags)
+    order = np.argsort(low, kind="stable")
+    low, tag = low[order], tag[order]
+    same = np.concatenate(([False], low[1:] == low[:-1]))
+    tied = np.flatnonzero(same | np.append(same[1:], False))
+    tag[tied] = tag[tied][np.lexsort((tag[tied], low[tied]))]
+    new = np.ones(len(low), bool)
+    new[1:] = ~same[1:] | (tag[1:] != tag[:-1])
+    return low[new], tag[new]
+
+
+def _sorted(buckets: int):
+    """A bucket's new entries as a run (kind 0), and its hits among themselves (kind 1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, rows = table.column("bucket")[0].as_py(), table.to_pylist()
+        low, tag = _merged([np.frombuffer(r["a"], "<u4") for r in rows], [np.frombuffer(r["b"], "<u8") for r in rows])
+        same = low[1:] == low[:-1]
+        hit = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        key = low[hit].astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
+        return _pair_table([(bucket, 0, low.tobytes(), tag.tobytes()), *_hits(key, tag[hit], buckets)])
 
     return run
 
 
-def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, rows in _by_bucket(batches):
-        low, tag = _joined(rows, "a", "<u4"), _joined(rows, "b", "<u8")
-        order = np.lexsort((tag, low))
-        yield _rows(["bucket", "kind", "a", "b"], [(bucket, 0, low[order].tobytes(), tag[order].tobytes())])
+def _joined_runs(buckets: int):
+    """The hits (kind 1) between two runs of a bucket: a merge join."""
+
+    def run(new: pa.Table, old: pa.Table) -> pa.Table:
+        if not len(new) or not len(old):
+            return _pair_table([])
+        bucket, sides = new.column("bucket")[0].as_py(), [(_joined(t.to_pylist(), "a", "<u4"), _joined(t.to_pylist(), "b", "<u8")) for t in (new, old)]
+        hits = []
+        for (low, tag), (other, their) in (sides, sides[::-1]):
+            first = np.searchsorted(other, low, "left")
+            many = np.searchsorted(other, low, "right") - first
+            hit = many > 1  # at most one of them is of the same class
+            one = np.flatnonzero(many == 1)
+            hit[one] = their[first[one]] != tag[one]
+            hits += _hits(low[hit].astype(np.uint64) | np.uint64(bucket) << np.uint64(32), tag[hit], buckets)
+        return _pair_table(hits)
+
+    return run
+
+
+def _compacted(left: pa.Table, right: pa.Table) -> pa.Table:
+    rows = [r for t in (left, right) for r in t.to_pylist()]
+    low, tag = _merged([np.frombuffer(r["a"], "<u4") for r in rows], [np.frombuffer(r["b"], "<u8") for r in rows])
+    return _pair_table([(rows[0]["bucket"], 0, low.tobytes(), tag.tobytes())])
 
 
 def _texts(buckets: int):
@@ -262,98 +301,162 @@ def _unpacked(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield done(part)
 
 
+def _seen_before(hashes: np.ndarray, ids: np.ndarray, start: np.ndarray, length: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows whose words are body[start : start + length]: which have equal words in a smaller id, and which of the others come first for their words (or share the first's id)."""
+    order = np.lexsort((ids, hashes))
+    h, own = hashes[order], ids[order]
+    heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], len(h))
+    later = np.zeros(len(h), bool)
+    several = ends - heads > 1
+    a, n = start[order].tolist(), length[order].tolist()
+    for lo, hi in zip(heads[several].tolist(), ends[several].tolist(), strict=True):
+        least = own[lo]
+        text = body[a[lo] : a[lo] + n[lo]]
+        firsts = None
+        for k in range(lo + 1, hi):
+            if body[a[k] : a[k] + n[k]] == text:
+                later[k] = own[k] > least
+            else:  # other words of the same hash
+                firsts = firsts if firsts is not None else {}
+                later[k] = own[k] > firsts.setdefault(body[a[k] : a[k] + n[k]], own[k])
+    out = np.zeros(len(h), bool)
+    out[order] = later
+    return out, ~out
+
+
 def _windows(buckets: int):
-    """Of a bucket's distinct texts, the windows under a hit, dealt by their hash: a (hash), b (more of it), c (smallest id), d (place); kind is the bucket of the text.
+    """Of a bucket's hits and its distinct texts: the windows under a hit.
 
-    A window that starts in a smaller id of the same block is settled: kind -1, with a (id) and b (place), for the text's own bucket.
+    Kind -1: settled here, as they start in a smaller id of the same bucket too; a (ids), b (places), for the texts' own bucket.
+    Others go by their fingerprints: kind (the texts' bucket), a (hashes), b (ids), c (places), d (start and length of the words in e), e (words, compressed).
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches):
-            hits, texts = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == 2]
-            wanted = np.unique(K.mix(_joined(hits, "a", "<u8") * K._BASE[0] + _joined(hits, "b", "<u8")))
-            if not len(wanted):
+    def run(hits: pa.Table, texts: pa.Table) -> pa.Table:
+        names = ["bucket", "kind", "a", "b", "c", "d", "e"]
+        out = [(0, 0, b"", b"", b"", b"", b"")][:0]
+        if not len(hits) or not len(texts):
+            return pa.Table.from_batches([_rows(names, out)])
+        bucket, rows = hits.column("bucket")[0].as_py(), hits.to_pylist()
+        wanted = np.unique(K.mix(_joined(rows, "a", "<u8") * K._BASE[0] + _joined(rows, "b", "<u8")))
+        packer, found = zstandard.ZstdCompressor(level=1), []
+        size = 0
+
+        def settle() -> None:
+            hashes, ids, place, key, start, length = (np.concatenate(x) for x in list(zip(*found, strict=True))[:6])
+            body = b"".join(x[6] for x in found)
+            base = np.repeat(np.cumsum([0] + [len(x[6]) for x in found])[:-1], [len(x[0]) for x in found])
+            start = start + base
+            before, on = _seen_before(hashes, ids, start, length, body)
+            if before.any():
+                out.append((bucket, -1, ids[before].tobytes(), place[before].tobytes(), None, None, None))
+            hashes, ids, place, key, start, length = (x[on] for x in (hashes, ids, place, key, start, length))
+            to = (key >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((place, ids, to))
+            hashes, ids, place, to, start, length = (x[order] for x in (hashes, ids, place, to, start, length))
+            for f, x, y in _slices(to):
+                # Neighbouring windows overlap: a stretch of words is sent once.
+                s, e = start[x:y], start[x:y] + length[x:y]
+                cut = np.concatenate(([True], (s[1:] > e[:-1]) | (s[1:] < s[:-1])))
+                first = np.flatnonzero(cut)
+                last = np.append(first[1:], y - x) - 1
+                at = np.concatenate(([0], np.cumsum(e[last] - s[first])[:-1]))
+                stretch = np.cumsum(cut) - 1
+                where = np.stack((s - s[first][stretch] + at[stretch], length[x:y]), 1).astype(np.int32)
+                blob = b"".join(body[p:q] for p, q in zip(s[first].tolist(), e[last].tolist(), strict=True))
+                out.append((f, bucket, hashes[x:y].tobytes(), ids[x:y].tobytes(), place[x:y].tobytes(), where.tobytes(), packer.compress(blob)))
+            found.clear()
+
+        for data, offsets, tags, ids in _unpacked(texts.to_pylist()):
+            block = _Block(data, offsets, buckets)
+            where, key = block.fingerprints()
+            if not len(where):
                 continue
-            for data, offsets, tags, ids in _unpacked(texts):
-                block = _Block(data, offsets, buckets)
-                where, key = block.fingerprints()
-                if not len(where):
-                    continue
-                owner = block.owner[where]
-                key = K.mix(key * K._BASE[0] + tags[owner])
-                at = np.searchsorted(wanted, key)
-                under = wanted[np.minimum(at, len(wanted) - 1)] == key
-                where, owner = where[under], owner[under]
-                if not len(where):
-                    continue
-                one = K.gram_hashes(block.h[0], WINDOW)[where]
-                two = K.gram_hashes(block.h[1], WINDOW, 1)[where].astype(np.uint32)
-                least = np.array([x[0] for x in ids], np.int64)[owner]
-                place = (where - block.first[owner]).astype(np.int32)
-                order = np.lexsort((least, two, one))
-                one, two, least, place = one[order], two[order], least[order], place[order]
-                heads = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
-                settled = least > np.repeat(least[heads], np.diff(np.append(heads, len(one))))
-                rows = [(bucket, -1, least[settled].tobytes(), place[settled].tobytes(), None, None)] if settled.any() else []
-                one, two, least, place = one[~settled], two[~settled], least[~settled], place[~settled]
-                to = one % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                one, two, least, place = one[order], two[order], least[order], place[order]
-                yield _rows(["bucket", "kind", "a", "b", "c", "d"], rows + [(b, bucket, one[x:y].tobytes(), two[x:y].tobytes(), least[x:y].tobytes(), place[x:y].tobytes()) for b, x, y in _slices(to[order])])
+            owner = block.owner[where]
+            code = K.mix(key * K._BASE[0] + tags[owner])
+            at = np.searchsorted(wanted, code)
+            under = wanted[np.minimum(at, len(wanted) - 1)] == code
+            where, owner, key = where[under], owner[under], key[under]
+            if not len(where):
+                continue
+            # The block's words, with one space behind each.
+            long = block.ends - block.starts
+            body = np.full(int(long.sum()) + len(long), 32, np.uint8)
+            body[np.arange(int(long.sum())) + np.repeat(np.arange(len(long)), long)] = data[~K.SPACE[data]]
+            start = np.cumsum(long) - long + np.arange(len(long))
+            found.append((K.gram_hashes(block.h[0], WINDOW)[where], np.array([x[0] for x in ids], np.int64)[owner], (where - block.first[owner]).astype(np.int32), key, start[where], start[where + WINDOW - 1] + long[where + WINDOW - 1] - start[where], body.tobytes()))
+            size += len(body)
+            if size > 4 * K.BLOCK_BYTES:
+                settle()
+                size = 0
+        if found:
+            settle()
+        return pa.Table.from_batches([_rows(names, out)])
 
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows that also start in a document with a smaller id, sent back to the buckets of their texts (kind 1): a (id), b (place)."""
-    for bucket, rows in _by_bucket(batches):
-        passed = [(bucket, 1, r["a"], r["b"]) for r in rows if r["kind"] < 0]
-        if passed:
-            yield _rows(["bucket", "kind", "a", "b"], passed)
-        rows = [r for r in rows if r["kind"] >= 0]
-        if not rows:
-            continue
-        one, two, ids, place = _joined(rows, "a", "<u8"), _joined(rows, "b", "<u4"), _joined(rows, "c", "<i8"), _joined(rows, "d", "<i4")
-        home = np.repeat(np.array([r["kind"] for r in rows], np.int64), [len(r["a"]) // 8 for r in rows])
-        order = np.lexsort((ids, two, one))
-        edge = np.ones(len(order), bool)
-        edge[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        group = np.cumsum(edge) - 1
-        later = ids[order] > ids[order][np.flatnonzero(edge)][group]
-        at = order[later]
+def _later(part: bool):
+    """The windows that also start in a document with a smaller id, for the buckets of their texts (kind -1): a (ids), b (places); from a part of a bucket, also those that go on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        unpacker = zstandard.ZstdDecompressor()
+        bodies = [unpacker.decompress(r["e"]) if len(r["e"]) else b"" for r in rows]
+        many = [len(r["a"]) // 8 for r in rows]
+        base = np.repeat(np.cumsum([0] + [len(b) for b in bodies])[:-1], many)
+        where = _joined(rows, "d", "<i4").reshape(-1, 2).astype(np.int64)
+        ids, place = _joined(rows, "b", "<i8"), _joined(rows, "c", "<i4")
+        home = np.repeat(np.array([r["kind"] for r in rows], np.int64), many)
+        before, on = _seen_before(_joined(rows, "a", "<u8"), ids, where[:, 0] + base, where[:, 1], b"".join(bodies))
+        at = np.flatnonzero(before)
         at = at[np.argsort(home[at], kind="stable")]
-        out = [(b, 1, ids[at[x:y]].tobytes(), place[at[x:y]].tobytes()) for b, x, y in _slices(home[at])]
-        if out:
-            yield _rows(["bucket", "kind", "a", "b"], out)
+        out = [(b, -1, ids[at[x:y]].tobytes(), place[at[x:y]].tobytes(), None, None, None) for b, x, y in _slices(home[at])]
+        if part:
+            edges = np.cumsum([0, *many])
+            for r, lo, hi in zip(rows, edges, edges[1:], strict=False):
+                k = np.flatnonzero(on[lo:hi])
+                if len(k):
+                    pick = lambda c, kind, r=r, k=k: np.frombuffer(r[c], kind)[k].tobytes()
+                    out.append((r["bucket"], r["kind"], pick("a", "<u8"), pick("b", "<i8"), pick("c", "<i4"), np.frombuffer(r["d"], "<i4").reshape(-1, 2)[k].tobytes(), r["e"]))
+        return pa.Table.from_batches([_rows(["bucket", "kind", "a", "b", "c", "d", "e"], out)])
+
+    return run
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(later: pa.Table, texts: pa.Table) -> pa.Table:
     """Of each row: id, number of words, words removed, and the kept words joined by one space."""
-    for _, rows in _by_bucket(batches):
-        later, texts = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == 2]
-        ids, place = _joined(later, "a", "<i8"), _joined(later, "b", "<i4")
-        order = np.argsort(ids, kind="stable")
-        ids, place = ids[order], place[order]
-        for data, offsets, _, members in _unpacked(texts):
-            out: list[tuple[int, int, int, bytes]] = []
-            for i, own in enumerate(members):
-                found = data[offsets[i] : offsets[i + 1]].tobytes().split()
-                a, b = np.searchsorted(ids, own[0], "left"), np.searchsorted(ids, own[0], "right")
-                gone = np.zeros(len(found) + 1, np.int64)
-                at = place[a:b]
-                at = at[at <= len(found) - WINDOW]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW, -1)
-                stay = np.cumsum(gone)[:-1] == 0
-                left = b" ".join(found) if stay.all() else b" ".join([found[j] for j in np.flatnonzero(stay)])
-                out.append((own[0], len(found), int(len(found) - stay.sum()), left))
-                whole = len(found) >= WINDOW
-                for x in own[1:].tolist():
-                    out.append((x, *out[-1][1:]) if x == out[-1][0] else (x, len(found), len(found) if whole else 0, b"" if whole else b" ".join(found)))
-            yield pa.RecordBatch.from_arrays(
+    gone_rows = later.to_pylist()
+    ids, place = _joined(gone_rows, "a", "<i8"), _joined(gone_rows, "b", "<i4")
+    order = np.argsort(ids, kind="stable")
+    ids, place = ids[order], place[order]
+    batches = []
+    for data, offsets, _, members in _unpacked(texts.to_pylist()) if len(texts) else ():
+        out: list[tuple[int, int, int, bytes]] = []
+        for i, own in enumerate(members):
+            found = data[offsets[i] : offsets[i + 1]].tobytes().split()
+            a, b = np.searchsorted(ids, own[0], "left"), np.searchsorted(ids, own[0], "right")
+            gone = np.zeros(len(found) + 1, np.int64)
+            at = place[a:b]
+            at = at[at <= len(found) - WINDOW]
+            np.add.at(gone, at, 1)
+            np.add.at(gone, at + WINDOW, -1)
+            stay = np.cumsum(gone)[:-1] == 0
+            left = b" ".join(found) if stay.all() else b" ".join([found[j] for j in np.flatnonzero(stay)])
+            out.append((own[0], len(found), int(len(found) - stay.sum()), left))
+            whole = len(found) >= WINDOW
+            for x in own[1:].tolist():
+                out.append((x, *out[-1][1:]) if x == out[-1][0] else (x, len(found), len(found) if whole else 0, b"" if whole else b" ".join(found)))
+        batches.append(
+            pa.RecordBatch.from_arrays(
                 [pa.array([None if r[0] == _NO_ID else r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.int64()) for i in (1, 2)), pa.array([r[3].decode("utf-8", "replace") for r in out], pa.string()), pa.array([hashlib.sha256(r[3]).hexdigest() for r in out], pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
+                schema=_OUT,
             )
+        )
+    return pa.Table.from_batches(batches, _OUT)
 
 
 class FingerprintIndex:
@@ -362,51 +465,59 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, buckets: int, folder: str | None = None, fan_in: int = 4):
         self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
         self.folder = folder or new_path(spark, "fingerprints")
-        self.runs: list[str] = []
-        self.hits: list[str] = []
-        self._made = 0
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(_PAIRS).parquet(path)
+        self.runs: list[DataFrame] = []
+        self.hits: list[DataFrame] = []
+        self.made = self.compactions = 0
+
+    def _table(self, rows: DataFrame) -> DataFrame:
+        """The rows as a table that is bucketed by `bucket`, which joins and groups of it need not shuffle."""
+        self.made += 1
+        name = f"cliloom_{uuid.uuid4().hex}"
+        rows.write.bucketBy(min(self.buckets, MOST_FILES), "bucket").sortBy("bucket").option("path", f"{self.folder}/{self.made}").saveAsTable(name)
+        return self.spark.table(name)
+
+    def _written(self, rows: DataFrame) -> DataFrame:
+        self.made += 1
+        rows.write.parquet(f"{self.folder}/{self.made}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{self.made}")
 
     def ingest(self, batch: DataFrame) -> None:
-        """doc_id, text: merge-joined with the runs, then a run of its own."""
-        new = batch.select("doc_id", "text").mapInArrow(_entries(self.buckets), _PAIRS)
-        for run in self.runs:
-            new = new.unionByName(self._read(run))
-        self._made += 1
-        out = f"{self.folder}/{self._made}"
-        rows = _dealt(new).mapInArrow(_merged(self.buckets), _PAIRS)
-        rows.withColumn("part", F.when(F.col("kind") == 0, "run").otherwise("hits")).write.partitionBy("part").parquet(out)
-        for part, held in (("run", self.runs), ("hits", self.hits)):
-            if not self.spark.read.schema(_PAIRS + ", part string").parquet(out).where(F.col("part") == part).isEmpty():
-                held.append(f"{out}/part={part}")
+        """doc_id, text: becomes a run, which is merge-joined with the earlier ones."""
+        new = self._written(batch.select("doc_id", "text").mapInArrow(_entries(self.buckets), _PAIRS))
+        table = self._table(new.where("kind = 1").groupBy("bucket").applyInArrow(_sorted(self.buckets), _PAIRS))
+        run = table.where("kind = 0")
+        self.hits += [new.where("kind = 3"), table.where("kind = 1")]
+        for old in self.runs:
+            self.hits.append(self._written(run.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_joined_runs(self.buckets), _PAIRS)))
+        self.runs.append(run)
         if len(self.runs) > self.fan_in:
             self.compact()
 
     def compact(self) -> None:
-        """The runs become one."""
-        rows = self._read(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self._read(run))
-        self._made += 1
-        out = f"{self.folder}/{self._made}"
-        _dealt(rows).mapInArrow(_compacted, _PAIRS).write.parquet(out)
-        self.runs = [out]
+        """The runs become one, the two last ones first."""
+        while len(self.runs) > 1:
+            left, right = self.runs.pop(), self.runs.pop()
+            self.runs.append(self._table(left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_compacted, _PAIRS)))
+        self.compactions += 1
 
     def resolve(self, documents: DataFrame) -> DataFrame:
         """doc_id, n_words, n_removed, kept_text, kept_sha256 of documents (doc_id, text) that hold all that was ingested."""
-        texts = documents.select("doc_id", "text").mapInArrow(_texts(self.buckets), _TEXTS)
-        rows = texts
-        for hits in self.hits:
-            rows = rows.unionByName(self._read(hits), allowMissingColumns=True)
-        found = _dealt(rows).mapInArrow(_windows(self.buckets), "bucket int, kind int, a binary, b binary, c binary, d binary")
-        later = _dealt(found).mapInArrow(_later, _PAIRS)
-        rows = texts.unionByName(later, allowMissingColumns=True)
-        return _dealt(rows).mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-
-
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+        texts = self._table(documents.select("doc_id", "text").mapInArrow(_texts(self.buckets), _TEXTS).repartition(min(self.buckets, MOST_FILES), "bucket"))
+        hits = self.hits[0]
+        for more in self.hits[1:]:
+            hits = hits.unionByName(more)
+        found = self._written(hits.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_windows(self.buckets), _TEXTS))
+        settled, open_ = found.where("kind < 0"), found.where("kind >= 0")
+        parts = open_.groupBy("bucket").agg(F.ceil(F.sum(F.length("a") * 4 + F.length("e") * 4) / PART_BYTES).cast("int").alias("parts")).where("parts > 1")
+        if not parts.isEmpty():
+            salted = open_.join(parts, "bucket").withColumn("part", F.pmod("kind", "parts")).drop("parts")
+            first = self._written(salted.groupBy("bucket", "part").applyInArrow(_later(True), _TEXTS))
+            settled, open_ = settled.unionByName(first.where("kind < 0")), open_.join(parts, "bucket", "left_anti").unionByName(first.where("kind >= 0"))
+        later = settled.unionByName(open_.groupBy("bucket").applyInArrow(_later(False), _TEXTS))
+        return later.select("bucket", "a", "b").groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+
+
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and kept_sha256 of each row, from an index that takes the documents in batches by id."""
     df = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -438,20 +438,58 @@ def test_line_boundaries_depend_on_the_line_before(spark):
 
 def test_substrings(docs, none, rows):
     expected = cases.repeats(rows)
-    for batches in (1, 3):
+    for batches in (1, 2):
         assert by_id(remove_repeats(docs, batches=batches), "n_words", "n_removed", "kept_text") == expected
     assert remove_repeats(none).count() == 0
 
 
 def test_index_runs_are_compacted(spark, docs, rows):
-    index = FingerprintIndex(spark, 5, fan_in=1)
+    index = FingerprintIndex(spark, 5, fan_in=2)
     df = docs.select("doc_id", "text")
     for a in range(0, 800, 150):
         index.ingest(df.where(f"doc_id >= {a} and doc_id < {a + 150}"))
-    assert len(index.runs) <= 2
+    assert len(index.runs) <= 2 and index.compactions == 2
+    for run in index.runs:  # one sorted sequence for each bucket
+        for r in run.collect():
+            low = np.frombuffer(r.a, "<u4").astype(np.int64)
+            assert (np.diff(low) >= 0).all()
+        assert run.count() == run.select("bucket").distinct().count()
     assert by_id(index.resolve(df), "n_words", "n_removed", "kept_text") == cases.repeats(rows)
 
 
+def test_runs_are_joined_without_a_shuffle(spark, docs):
+    from cliloom.llm import substrings as S
+
+    index = FingerprintIndex(spark, 5)
+    df = docs.select("doc_id", "text")
+    index.ingest(df.where("doc_id < 300"))
+    index.ingest(df.where("doc_id >= 300"))
+    left, right = index.runs
+    plan = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(S._joined_runs(5), S._PAIRS)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_the_registered_index_compacts(docs, rows, monkeypatch):
+    from cliloom.llm import substrings as S
+
+    done = []
+    compact = FingerprintIndex.compact
+    monkeypatch.setattr(FingerprintIndex, "compact", lambda self: (done.append(len(self.runs)), compact(self)))
+    monkeypatch.setattr(S, "PART_BYTES", 2000)  # buckets of windows are settled in parts first
+    monkeypatch.setattr(S, "ENTRIES", 200)
+    assert by_id(remove_repeats(docs), "n_words", "n_removed", "kept_text") == cases.repeats(rows)
+    assert done == [5]
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words():
+    from cliloom.llm.substrings import _seen_before
+
+    body = b"aabbaaccbbdd"
+    before, on = _seen_before(np.zeros(6, np.uint64), np.array([3, 1, 5, 9, 1, 2]), np.arange(0, 12, 2), np.full(6, 2), body)
+    assert before.tolist() == [False, False, True, False, False, False]  # only the second aa: bb stands twice in one document
+    assert (before != on).all()
+
+
 def test_quality(docs, none, rows):
     found = by_id(quality_report(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for i, t, *_ in rows:
