@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, numbered_columns, written
+from .shared import drop, fresh, numbered_columns, written
 
 #: Multipliers of the rolling hash, its modulus, and how many boundaries there are (one in so many lines).
 BASES, PRIME, DIVISOR = (8191, 131071, 524287), 1_000_003, 2
@@ -52,7 +52,7 @@ def _lines(text: Column) -> Column:
 
 
 def _chunks(rows: DataFrame, text_col: str, id_col: str, divisor: int) -> DataFrame:
-    """_row, _id, _key, _from, _to of each chunk that isn't blank, with _low and _high, where the second chunk before it begins and the one behind it ends."""
+    """_row, _id, _key, _from, _to of each chunk that isn't blank, with the hashes of the lines beside it (-1: none) as _before and _after, and _low and _high, where the second chunk before it begins and the one behind it ends."""
     df = rows.select("_row", F.col(id_col).alias("_id"), _lines(F.col(text_col)).alias("_lines")).where(F.col("_lines").isNotNull())
     df = df.withColumn("_h", F.expr("transform(_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 7), 16, 10) as bigint))"))
     for p, base in enumerate(BASES):
@@ -61,20 +61,25 @@ def _chunks(rows: DataFrame, text_col: str, id_col: str, divisor: int) -> DataFr
     at = lambda p, k: f"get(_ends{p}, k {k})"
     bounds = ", ".join(f"transform(_ends{p}, (e, k) -> struct({p} as _phase, coalesce({at(p, '- 1')} + 1, 0) as _from, e as _to, coalesce({at(p, '- 3')} + 1, 0) as _low, coalesce({at(p, '+ 1')}, e) as _high))" for p in range(len(BASES)))
     own = "slice(_lines, b._from + 1, b._to - b._from + 1)"
-    keyed = f"transform(filter(concat({bounds}), b -> exists({own}, x -> {_worded('x')})), b -> struct(xxhash64(b._phase, {own}) as _key, b._from, b._to, b._low, b._high))"
+    keyed = f"transform(filter(concat({bounds}), b -> exists({own}, x -> {_worded('x')})), b -> struct(xxhash64(b._phase, {own}) as _key, b._from, b._to, b._low, b._high, cast(coalesce(get(_h, b._from - 1), -1L) as int) as _before, cast(coalesce(get(_h, b._to + 1), -1L) as int) as _after))"
     return df.select("_row", "_id", F.inline(F.expr(keyed)))
 
 
 def _repeated(chunks: DataFrame) -> DataFrame:
-    """Ranges of lines that repeat the chunks of a document at a distance: _row, _row0, _off (line minus its first occurrence), _from, _to, _low, _high."""
+    """Ranges of lines that repeat the chunks of a document at a distance: _row, _row0, _off (line minus its first occurrence), _from, _to, _low, _high.
+
+    Where the hash of the line beside a range isn't that of its first occurrence, _low is _from or _high is _to; ranges of one line then go no further.
+    """
     place = F.struct("_id", "_row", "_from")
-    first = chunks.groupBy("_key").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_k"), "_first")
+    first = chunks.groupBy("_key").agg(F.min(F.struct(place, "_before", "_after")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_k"), F.col("_first.col1").alias("_first"), F.col("_first._before").alias("_b0"), F.col("_first._after").alias("_a0"))
     pairs = chunks.join(first, F.col("_key") == F.col("_k")).where(place != F.col("_first"))
-    pairs = pairs.select("_row", F.col("_first._row").alias("_row0"), (F.col("_from") - F.col("_first._from")).alias("_off"), "_from", "_to", "_low", "_high")
+    pairs = pairs.select("_row", F.col("_first._row").alias("_row0"), (F.col("_from") - F.col("_first._from")).alias("_off"), "_from", "_to", "_low", "_high", ((F.col("_before") >= 0) & (F.col("_before") == F.col("_b0"))).alias("_left"), ((F.col("_after") >= 0) & (F.col("_after") == F.col("_a0"))).alias("_right"))
     in_order = Window.partitionBy("_row", "_row0", "_off").orderBy("_from", "_to")
     pairs = pairs.withColumn("_new", (F.col("_from") > F.coalesce(F.max("_to").over(in_order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1))).cast("int"))
     pairs = pairs.withColumn("_run", F.sum("_new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return pairs.groupBy("_row", "_row0", "_off", "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.min("_low").alias("_low"), F.max("_high").alias("_high")).drop("_run")
+    runs = pairs.groupBy("_row", "_row0", "_off", "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min_by("_left", "_from").alias("_left"), F.max_by("_right", "_to").alias("_right"))
+    low, high = F.when(F.col("_left"), F.col("_low")).otherwise(F.col("_from")), F.when(F.col("_right"), F.col("_high")).otherwise(F.col("_to"))
+    return runs.select("_row", "_row0", "_off", "_from", "_to", low.alias("_low"), high.alias("_high")).where("_low < _high")
 
 
 def _gone(docs: DataFrame, ranges: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -105,6 +110,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = plain.withColumn("_row", F.monotonically_increasing_id())
     chunks = written(_chunks(docs, text_at, id_at, divisor), "chunks")
     ranges = written(_repeated(chunks), "ranges")
+    drop(chunks)
     gone = _gone(docs, ranges, text_at, id_at).groupBy("_row").agg(F.collect_set(F.struct("_a", "_b")).alias("_gone"))
     out = docs.join(gone, "_row", "left").withColumn("_lines", _lines(F.col(text_at)))
     left = F.when(F.col("_gone").isNotNull(), F.expr("array_except(sequence(0, size(_lines) - 1), flatten(transform(_gone, g -> sequence(g._a, g._b))))"))

@@ -32,11 +32,25 @@ def clear(spark: SparkSession) -> int:
     """Deletes what this application has written there, once its results are safe; how many tables that were."""
     paths = spark.sparkContext.__dict__.pop("_cliloom_tables", [])
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, path)
     return len(paths)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table of `written` that nothing reads any more."""
+    tables = table.sparkSession.sparkContext.__dict__.get("_cliloom_tables", [])
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        own = [t for t in tables if t.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]]
+        for t in own:
+            delete(table.sparkSession, t)
+            tables.remove(t)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows, written as Parquet into the shared folder and read from there: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, label)

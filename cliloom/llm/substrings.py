@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import new_path
+from .shared import delete, new_path
 
 WINDOW, GRAM = 13, 4
 #: Bytes of text for each bucket, and the least number of buckets.
@@ -197,15 +197,19 @@ def _merged(lows: list[np.ndarray], tags: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def _sorted(buckets: int):
-    """A bucket's new entries as a run (kind 0), and its hits among themselves (kind 1)."""
+    """A bucket's new entries as a run (kind 0), and its hits: those among themselves and those that came (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, rows = table.column("bucket")[0].as_py(), table.to_pylist()
+        came = [(bucket, 1, r["a"], r["b"]) for r in rows if r["kind"] == 3]
+        rows = [r for r in rows if r["kind"] == 1]
+        if not rows:
+            return _pair_table(came)
         low, tag = _merged([np.frombuffer(r["a"], "<u4") for r in rows], [np.frombuffer(r["b"], "<u8") for r in rows])
         same = low[1:] == low[:-1]
         hit = np.concatenate(([False], same)) | np.concatenate((same, [False]))
         key = low[hit].astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
-        return _pair_table([(bucket, 0, low.tobytes(), tag.tobytes()), *_hits(key, tag[hit], buckets)])
+        return _pair_table([(bucket, 0, low.tobytes(), tag.tobytes()), *came, *_hits(key, tag[hit], buckets)])
 
     return run
 
@@ -465,16 +469,16 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, buckets: int, folder: str | None = None, fan_in: int = 4):
         self.spark, self.buckets, self.fan_in = spark, buckets, fan_in
         self.folder = folder or new_path(spark, "fingerprints")
-        self.runs: list[DataFrame] = []
+        self.runs: list[tuple[DataFrame, int]] = []  # and the number of its folder
         self.hits: list[DataFrame] = []
         self.made = self.compactions = 0
 
     def _table(self, rows: DataFrame) -> DataFrame:
-        """The rows as a table that is bucketed by `bucket`, which joins and groups of it need not shuffle."""
+        """The rows as a table that is bucketed by `bucket`, which joins and groups of it need not shuffle; a folder for each kind."""
         self.made += 1
         name = f"cliloom_{uuid.uuid4().hex}"
-        rows.write.bucketBy(min(self.buckets, MOST_FILES), "bucket").sortBy("bucket").option("path", f"{self.folder}/{self.made}").saveAsTable(name)
-        return self.spark.table(name)
+        rows.write.partitionBy("kind").bucketBy(min(self.buckets, MOST_FILES), "bucket").sortBy("bucket").option("path", f"{self.folder}/{self.made}").saveAsTable(name)
+        return self.spark.table(name).select(*rows.columns)
 
     def _written(self, rows: DataFrame) -> DataFrame:
         self.made += 1
@@ -483,21 +487,23 @@ class FingerprintIndex:
 
     def ingest(self, batch: DataFrame) -> None:
         """doc_id, text: becomes a run, which is merge-joined with the earlier ones."""
-        new = self._written(batch.select("doc_id", "text").mapInArrow(_entries(self.buckets), _PAIRS))
-        table = self._table(new.where("kind = 1").groupBy("bucket").applyInArrow(_sorted(self.buckets), _PAIRS))
+        table = self._table(batch.select("doc_id", "text").mapInArrow(_entries(self.buckets), _PAIRS).groupBy("bucket").applyInArrow(_sorted(self.buckets), _PAIRS))
         run = table.where("kind = 0")
-        self.hits += [new.where("kind = 3"), table.where("kind = 1")]
-        for old in self.runs:
+        self.hits.append(table.where("kind = 1"))
+        for old, _ in self.runs:
             self.hits.append(self._written(run.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_joined_runs(self.buckets), _PAIRS)))
-        self.runs.append(run)
+        self.runs.append((run, self.made - len(self.runs)))
         if len(self.runs) > self.fan_in:
             self.compact()
 
     def compact(self) -> None:
-        """The runs become one, the two last ones first."""
+        """The runs become one, the smallest first; those merged are deleted, their hits stay."""
         while len(self.runs) > 1:
-            left, right = self.runs.pop(), self.runs.pop()
-            self.runs.append(self._table(left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_compacted, _PAIRS)))
+            (left, a), (right, b) = self.runs.pop(), self.runs.pop()
+            merged = self._table(left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_compacted, _PAIRS))
+            self.runs.append((merged, self.made))
+            for made in (a, b):
+                delete(self.spark, f"{self.folder}/{made}/kind=0")
         self.compactions += 1
 
     def resolve(self, documents: DataFrame) -> DataFrame:

@@ -449,7 +449,7 @@ def test_index_runs_are_compacted(spark, docs, rows):
     for a in range(0, 800, 150):
         index.ingest(df.where(f"doc_id >= {a} and doc_id < {a + 150}"))
     assert len(index.runs) <= 2 and index.compactions == 2
-    for run in index.runs:  # one sorted sequence for each bucket
+    for run, _ in index.runs:  # one sorted sequence for each bucket
         for r in run.collect():
             low = np.frombuffer(r.a, "<u4").astype(np.int64)
             assert (np.diff(low) >= 0).all()
@@ -464,7 +464,7 @@ def test_runs_are_joined_without_a_shuffle(spark, docs):
     df = docs.select("doc_id", "text")
     index.ingest(df.where("doc_id < 300"))
     index.ingest(df.where("doc_id >= 300"))
-    left, right = index.runs
+    (left, _), (right, _) = index.runs
     plan = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(S._joined_runs(5), S._PAIRS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
