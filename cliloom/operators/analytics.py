@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +32,23 @@ def index_percentile(sorted_values: Column, q: float) -> Column:
     return F.get(sorted_values, F.least(n - 1, F.floor(q * n).cast("int")))
 
 
+def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """by, and of each group the values at some ranks (from 1; expressions of `_n`, the group's size).
+
+    From counts of distinct values, which are combined before the shuffle; a group's values stream through a running sum.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    per = per.withColumn("_through", F.sum("_c").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(group))
+    return per.groupBy(*by).agg(*(F.min(F.when(F.col("_through") >= rank, F.col("_value"))).alias(name) for name, rank in ranks.items()))
+
+
 def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    v = F.sort_array(F.collect_list(value))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), v.alias("_v"))
-    return out.select(*by, "n", "mean", "least", "most", *(index_percentile(F.col("_v"), q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)))
+    ranks = {f"p{round(q * 100)}": F.least(F.col("_n"), F.floor(q * F.col("_n")) + 1) for q in (0.5, 0.95, 0.99)}
+    at = order_statistics(df, value, by, ranks).toDF(*(f"_{c}" for c in by), *ranks)
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return out.join(at, same, "left").select(*by, "n", "mean", "least", "most", *ranks)
 
 
 # Histograms and summaries.
@@ -53,8 +69,14 @@ def option_histogram(counts: DataFrame, n: str) -> DataFrame:
 
 
 def count_summary(counts: DataFrame, n: str) -> DataFrame:
-    v = F.sort_array(F.collect_list(F.col(n)))
-    return counts.agg(F.count(n).alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.round(F.coalesce(F.avg(n), F.lit(0.0)), 2).alias("mean"), F.coalesce(F.median(n), F.lit(0.0)).alias("median"), F.coalesce(F.max(n), F.lit(0)).alias("most"), v.alias("_v")).withColumn("p90", F.when(F.size("_v") > 0, exclusive_quantile(F.col("_v"), 0.9)).otherwise(0.0)).drop("_v")
+    many = F.col("_n")
+    low = F.least(F.greatest(F.floor(0.9 * (many + 1)), F.lit(1)), F.greatest(many - 1, F.lit(1)))
+    at = order_statistics(counts, n, [], {"_a": low, "_b": F.least(low + 1, many)})
+    out = counts.agg(F.count(n).alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.round(F.coalesce(F.avg(n), F.lit(0.0)), 2).alias("mean"), F.coalesce(F.median(n), F.lit(0.0)).alias("median"), F.coalesce(F.max(n), F.lit(0)).alias("most"))
+    size, place = F.col("n"), 0.9 * (F.col("n") + 1)
+    share = place - F.least(F.greatest(F.floor(place), F.lit(1)), F.greatest(size - 1, F.lit(1)))
+    p90 = F.when(size == 0, 0.0).when(size == 1, F.col("_a").cast("double")).otherwise(F.col("_a") + share * (F.col("_b") - F.col("_a")))
+    return out.join(at).withColumn("p90", p90.cast("double")).drop("_a", "_b")  # one row each
 
 
 def time_buckets(df: DataFrame, t: str, ok: str, latency: str, seconds: int, until: int) -> DataFrame:
@@ -179,18 +201,24 @@ def stratified(df: DataFrame, bucket: str, n: int, order: Column) -> DataFrame:
 def greedy_batches(items: DataFrame, by: str, order: str, size: str, capacity: int) -> DataFrame:
     """Indivisible items into batches in order: a batch closes when the next item would overflow it; a larger item is one of its own.
 
-    A fold over a group's items in order, in the JVM.
+    A group's items stream through one task in order; only the batch that is open is kept.
     """
-    each = items.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("_items"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,batch:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + x["s"] > capacity)
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, x["s"]).otherwise(acc["used"] + x["s"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("long").alias("o"), batch.alias("batch")))).alias("out"))
-
-    folded = each.select(by, F.aggregate("_items", start, step, lambda a: a["out"]).alias("_out"))
-    return folded.select(by, F.explode("_out").alias("_x")).select(by, F.col("_x.o").alias(order), F.col("_x.batch").alias("batch"))
+    rows = items.select(by, F.col(order).cast("long").alias("_order"), F.col(size).cast("long").alias("_size")).repartition(by).sortWithinPartitions(by, "_order", "_size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, number, begun = None, 0, 0, False
+        for batch in batches:
+            out = []
+            for group, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or group != now:
+                    now, used, number, begun = group, 0, 0, True
+                elif used > 0 and used + n > capacity:
+                    used, number = 0, number + 1
+                used += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], [by, order, "batch"])
+
+    return rows.mapInArrow(run, f"`{by}` {items.schema[by].dataType.simpleString()}, `{order}` long, batch long")
 
 
 def rank_then_pick(df: DataFrame) -> DataFrame:

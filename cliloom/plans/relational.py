@@ -86,10 +86,10 @@ def _(spark, d):
     return C.distros_for_name("small ring", A.pages(spark, d), A.mappings(spark, d))
 
 
-@query("jon_two_hop_suggestions", "a_page a_map", """, own AS (SELECT source FROM a_page WHERE p_partkey % 10 = 0)
-SELECT DISTINCT o.source, b.dst AS other FROM own o JOIN a_map a ON a.dst = o.source JOIN a_map b ON a.src = b.src WHERE b.dst <> o.source""")
+@query("jon_two_hop_suggestions", "a_page a_map", """
+SELECT DISTINCT o.source, b.dst AS other FROM a_page o JOIN a_map a ON a.dst = o.source JOIN a_map b ON a.src = b.src WHERE b.dst <> o.source""")
 def _(spark, d):
-    return C.suggestions(A.pages(spark, d).where("p_partkey % 10 = 0"), A.mappings(spark, d))
+    return C.suggestions(A.pages(spark, d), A.mappings(spark, d))
 
 
 @query("jon_orphan_anti", "a_page a_map", "SELECT src, dst FROM a_map WHERE dst NOT IN (SELECT source FROM a_page WHERE p_size > 10)")
@@ -112,7 +112,7 @@ _PARENTS = """, parents AS (SELECT split_part(p_name, ' ', 1) AS name, distro, r
 
 
 def _parents(spark, d):
-    p = A.pages(spark, d).where("p_size % 3 = 0")
+    p = A.pages(spark, d).where("p_size % 3 = 0")  # a table of its own: pages that declare subcommands
     return p.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"), "distro", "release").agg(F.sort_array(F.collect_set(F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("subcommands"))
 
 
@@ -164,12 +164,12 @@ def _(spark, d):
     return j.groupBy("conv_id", "turn").agg(F.count("xs").alias("inside"))
 
 
-@query("jon_set_probe", "a_page", """, tok AS (SELECT doc_id, unnest(regexp_split_to_array(substr(text, 1, 200), '[ \\t\\n|&;<>()"''`$={}]')) AS t FROM documents), names AS (SELECT DISTINCT lower(line) AS t FROM (SELECT unnest(string_split(substr(text, 1, 40), ' ')) AS line FROM documents WHERE doc_id % 50 = 0))
+@query("jon_set_probe", "a_page", """, tok AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n|&;<>()"''`$={}]')) AS t FROM documents), names AS (SELECT DISTINCT lower(line) AS t FROM (SELECT unnest(string_split(text, ' ')) AS line FROM documents WHERE doc_id % 50 = 0))
 SELECT doc_id, count(*) AS hits FROM tok WHERE t <> '' AND t IN (SELECT t FROM names) GROUP BY 1""")
 def _(spark, d):
     docs = A.table(spark, d, "documents")
-    tokens = docs.select("doc_id", F.explode(S.command_tokens(F.substring("text", 1, 200))).alias("t"))
-    names = docs.where("doc_id % 50 = 0").select(F.explode(F.split(F.lower(F.substring("text", 1, 40)), " ")).alias("t"))
+    tokens = docs.select("doc_id", F.explode(S.command_tokens("text")).alias("t"))
+    names = docs.where("doc_id % 50 = 0").select(F.explode(F.split(F.lower("text"), " ")).alias("t"))
     return C.in_set(tokens, "t", names, "t").groupBy("doc_id").agg(F.count("*").alias("hits"))
 
 
@@ -202,14 +202,14 @@ def _(spark, d):
     return C.sections(A.pages(spark, d), "brand2", "economy")
 
 
-@query("agg_having_single", "", "SELECT p_name FROM part WHERE p_size < 3 GROUP BY p_name HAVING count(*) = 1")
+@query("agg_having_single", "", "SELECT p_name, p_size FROM part GROUP BY p_name, p_size HAVING count(*) = 1")
 def _(spark, d):
-    return A.table(spark, d, "part").where("p_size < 3").groupBy("p_name").agg(F.count("*").alias("n")).where("n = 1").select("p_name")
+    return A.table(spark, d, "part").groupBy("p_name", "p_size").agg(F.count("*").alias("n")).where("n = 1").select("p_name", "p_size")
 
 
-@query("agg_having_multi", "", "SELECT p_name, count(*) AS n FROM part WHERE p_size < 3 GROUP BY p_name HAVING count(*) > 1")
+@query("agg_having_multi", "", "SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
 def _(spark, d):
-    return A.table(spark, d, "part").where("p_size < 3").groupBy("p_name").agg(F.count("*").alias("n")).where("n > 1")
+    return A.table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).where("n > 1")
 
 
 _COUNTS = "(SELECT o_orderkey, count(l_orderkey) * 4 - 4 AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)"
@@ -329,9 +329,9 @@ def _(spark, d):
     return O.rank_then_pick(o.select((F.col("o_custkey") % 500).alias("key"), F.col("o_orderpriority").alias("package"), F.col("o_orderdate").alias("released"), F.col("o_orderkey").alias("hash"), (F.col("o_orderstatus") == "F").alias("standard")))
 
 
-@query("win_islands", "", "SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM (SELECT *, o_orderkey - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_custkey % 2 = 0) GROUP BY o_custkey, i")
+@query("win_islands", "", "SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM (SELECT *, o_orderkey - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) GROUP BY o_custkey, i")
 def _(spark, d):
-    return O.islands(A.table(spark, d, "orders").where("o_custkey % 2 = 0"), ["o_custkey"], "o_orderkey")
+    return O.islands(A.table(spark, d, "orders"), ["o_custkey"], "o_orderkey")
 
 
 _SPANS = "(SELECT conv_id, turn * 10 AS s, turn * 10 + 10 - CASE WHEN turn % 3 = 0 THEN 2 ELSE 0 END AS e, CASE WHEN turn % 4 < 2 THEN 'a' ELSE role END AS text FROM conversations)"
@@ -368,12 +368,12 @@ def _(spark, d):
     return O.section_fill(A.lines(spark, d), "doc_id", "n", F.length("line") <= 40).select("doc_id", "n", "section")
 
 
-@query("win_bin_packing", "", """WITH RECURSIVE i AS (SELECT l_suppkey AS g, CAST(l_linenumber AS BIGINT) + l_orderkey * 10 AS o, CAST(trunc(l_quantity) AS BIGINT) AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, CAST(trunc(l_quantity) AS BIGINT)) AS r FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("win_bin_packing", "", """WITH RECURSIVE i AS (SELECT l_suppkey AS g, CAST(l_linenumber AS BIGINT) + l_orderkey * 10 AS o, CAST(trunc(l_quantity) AS BIGINT) AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, CAST(trunc(l_quantity) AS BIGINT)) AS r FROM lineitem),
 f AS (SELECT g, o, r, s AS used, 0::BIGINT AS batch FROM i WHERE r = 1
 UNION ALL SELECT i.g, i.o, i.r, CASE WHEN f.used > 0 AND f.used + i.s > 60 THEN i.s ELSE f.used + i.s END, CASE WHEN f.used > 0 AND f.used + i.s > 60 THEN f.batch + 1 ELSE f.batch END FROM f JOIN i ON i.g = f.g AND i.r = f.r + 1)
 SELECT g, o, batch FROM f""")
 def _(spark, d):
-    l = A.table(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    l = A.table(spark, d, "lineitem")
     return O.greedy_batches(l.select(F.col("l_suppkey").alias("g"), (F.col("l_linenumber") + F.col("l_orderkey") * 10).alias("o"), F.col("l_quantity").cast("int").alias("s")), "g", "o", "s", 60)
 
 
@@ -555,10 +555,10 @@ def _(spark, d):
     return C.section_pages(A.pages(spark, d), "brand2/economy/2/")
 
 
-@query("bot_should_shed", "", """, c AS (SELECT doc_id, substr(text, 1, 400) AS cmd FROM documents), t AS (SELECT doc_id, unnest(regexp_split_to_array(cmd, '[ \\t\\n|&;<>()"''`$={}]')) AS t FROM c),
+@query("bot_should_shed", "", """, c AS (SELECT doc_id, text AS cmd FROM documents), t AS (SELECT doc_id, unnest(regexp_split_to_array(cmd, '[ \\t\\n|&;<>()"''`$={}]')) AS t FROM c),
 h AS (SELECT doc_id, count(*) AS hits FROM t WHERE t IN (SELECT t FROM t WHERE doc_id % 100 = 0 AND length(t) > 9) GROUP BY 1)
 SELECT doc_id, cmd, coalesce(hits, 0) AS hits, strlen(cmd) BETWEEN 1 AND 5000 AND (coalesce(hits, 0) >= 4 OR coalesce(hits, 0) >= 2 AND strlen(cmd) > 250) AS shed FROM c LEFT JOIN h USING (doc_id)""".replace(", c AS", "WITH c AS", 1))
 def _(spark, d):
-    c = A.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("cmd"))
+    c = A.table(spark, d, "documents").select("doc_id", F.col("text").alias("cmd"))
     names = c.where("doc_id % 100 = 0").select(F.explode(S.command_tokens("cmd")).alias("t")).where("length(t) > 9")
     return O.hits_and_verdict(c, names, "doc_id")

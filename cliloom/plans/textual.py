@@ -24,9 +24,9 @@ def _(spark, d):
     return s.select("source", S.distro("source").alias("distro"), S.release("source").alias("release"), S.scope_prefix("source").alias("prefix"), S.source_of_path(F.concat(F.lit("/srv/pages/"), "source")).alias("tail"), S.basename("source").alias("base"), S.page_name("source").alias("name"), S.section_of("source").alias("section"), S.shown_name(S.page_name("source"), S.section_of("source")).alias("shown"), S.artifact_stem("source").alias("stem"))
 
 
-@query("str_name_section", "", "SELECT w, CASE WHEN w LIKE '%.%' AND w <> '.' THEN regexp_extract(w, '^(.*)\\.([^.]*)$', 1) ELSE w END AS name, CASE WHEN w LIKE '%.%' AND w <> '.' THEN regexp_extract(w, '^(.*)\\.([^.]*)$', 2) END AS section FROM (SELECT DISTINCT unnest(string_split(substr(text, 1, 300), ' ')) AS w FROM documents) WHERE w NOT LIKE '%' || chr(10) || '%'")
+@query("str_name_section", "", "SELECT w, CASE WHEN w LIKE '%.%' AND w <> '.' THEN regexp_extract(w, '^(.*)\\.([^.]*)$', 1) ELSE w END AS name, CASE WHEN w LIKE '%.%' AND w <> '.' THEN regexp_extract(w, '^(.*)\\.([^.]*)$', 2) END AS section FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w NOT LIKE '%' || chr(10) || '%'")
 def _(spark, d):
-    w = A.table(spark, d, "documents").select(F.explode(F.split(F.substring("text", 1, 300), " ")).alias("w")).distinct().where(~F.col("w").contains("\n"))
+    w = A.table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).distinct().where(~F.col("w").contains("\n"))
     return w.select("w", S.split_section("w").alias("s")).select("w", "s.name", "s.section")
 
 
@@ -72,9 +72,9 @@ def _(spark, d):
     return A.requests(spark, d).select("event_id", S.url_param("uri", "cmd").alias("cmd"), S.slash24("ip").alias("net"))
 
 
-@query("net_html_escape", "", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;') AS safe FROM pages")
+@query("net_html_escape", "", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;') AS safe FROM pages")
 def _(spark, d):
-    return A.table(spark, d, "pages").select("page_id", S.html_escape(F.substring("html", 1, 500)).alias("safe"))
+    return A.table(spark, d, "pages").select("page_id", S.html_escape(F.col("html")).alias("safe"))
 
 
 @query("hsh_sha256", "", "SELECT doc_id, sha256(text) AS sha, substr(sha256(text), 1, 12) AS short FROM documents")
@@ -210,10 +210,10 @@ def _(spark, d):
     return out.select("page", "idx", "qty", "positional", kept.alias("prefix"), "has_arg")
 
 
-@query("opt_exact_dedup", "a_option", """, k AS (SELECT *, list_sort(list_distinct(list_concat(short, long))) AS key FROM a_option WHERE page % 3 = 0)
+@query("opt_exact_dedup", "a_option", """, k AS (SELECT *, list_sort(list_distinct(list_concat(short, long))) AS key FROM a_option)
 SELECT page, min(idx) AS idx, key, CAST(max(qty) AS BIGINT) AS size FROM k GROUP BY page, key""")
 def _(spark, d):
-    o = A.options(spark, d).where("page % 3 = 0")
+    o = A.options(spark, d)
     return P.exact_dedup(o, "page", "idx", "text").select("page", "idx", F.array_sort(F.array_distinct(P.flags())).alias("key"), F.length("text").alias("size"))
 
 
@@ -228,9 +228,9 @@ def _(spark, d):
     return P.span_sanity(A.options(spark, d), "page")
 
 
-@query("opt_cross_ref", "", "SELECT doc_id, regexp_matches(substr(text, 1, 400), '(^|[^a-zA-Z0-9-])the($|[^a-zA-Z0-9-])') AS named FROM documents")
+@query("opt_cross_ref", "", "SELECT doc_id, regexp_matches(text, '(^|[^a-zA-Z0-9-])the($|[^a-zA-Z0-9-])') AS named FROM documents")
 def _(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", P.mentions(F.substring("text", 1, 400), F.lit("the")).alias("named"))
+    return A.table(spark, d, "documents").select("doc_id", P.mentions(F.col("text"), F.lit("the")).alias("named"))
 
 
 @query("opt_drop_empty", "a_option", "SELECT page, idx, qty FROM a_option WHERE qty % 2 = 0 OR qty % 3 = 0")
@@ -250,7 +250,7 @@ def _(spark, d):
 
 @query("opt_superset_dedup")
 def _(spark, d):
-    return P.superset_dedup(_option_rows(spark, d).where("page % 20 = 0"), "page", "idx").select("page", "idx", "short", "long")
+    return P.superset_dedup(_option_rows(spark, d), "page", "idx").select("page", "idx", "short", "long")
 
 
 # Comparisons.
