@@ -99,6 +99,19 @@ def first_prefix(options: DataFrame, by: str, name: str, prefix: str, order: str
     return options.groupBy(by, name).agg(F.min_by(prefix, order).alias("prefix"))
 
 
+def failure_report(calls: DataFrame, ok: str, status: str, error: str, order: str, most: int = 10) -> DataFrame:
+    """kind (status or error), value, n: of calls that failed, by status, and by the `most` errors that came first."""
+    failed = calls.where(~F.coalesce(F.col(ok), F.lit(False)))
+    statuses = failed.groupBy(F.lit("status").alias("kind"), F.col(status).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    errors = failed.where(F.coalesce(error, F.lit("")) != "").groupBy(F.lit("error").alias("kind"), F.col(error).alias("value")).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    return statuses.unionByName(errors.orderBy("_first", "value").limit(most).drop("_first"))
+
+
+def bucket_report(rows: DataFrame, bucket: str, means: list[str], medians: list[str]) -> DataFrame:
+    """bucket, n, mean_* and median_* of the columns named."""
+    return rows.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in means), *(F.median(c).alias(f"median_{c}") for c in medians))
+
+
 # Log reports.
 
 
@@ -157,10 +170,10 @@ def islands(df: DataFrame, by: list[str], key: str) -> DataFrame:
 
 
 def merge_adjacent(spans: DataFrame, by: str, start: str, end: str, text: str) -> DataFrame:
-    """Neighbours with equal text become one span."""
+    """Neighbours with equal text, of which one ends where the next begins, become one span."""
     w = Window.partitionBy(by).orderBy(start)
-    change = F.coalesce((~F.col(text).eqNullSafe(F.lag(text).over(w))).cast("int"), F.lit(1))
-    change = F.when(F.row_number().over(w) == 1, 1).otherwise(change)
+    joined = F.col(text).eqNullSafe(F.lag(text).over(w)) & F.lag(end).over(w).eqNullSafe(F.col(start))
+    change = F.when((F.row_number().over(w) > 1) & joined, 0).otherwise(1)
     return spans.withColumn("_c", change).withColumn("_g", F.sum("_c").over(w)).groupBy(by, "_g").agg(F.min(start).alias(start), F.max(end).alias(end), F.first(text).alias(text)).drop("_g")
 
 

@@ -105,6 +105,11 @@ def known_hashes(raw: DataFrame, pages: DataFrame, sha: str = "sha") -> DataFram
     return raw.where(F.col(sha).isNotNull()).join(pages.select("source"), "source", "left_semi").groupBy(S.dedup_key(sha, "source").alias("key")).agg(F.min("source").alias("source"))
 
 
+def mapping_scores(pairs: DataFrame, mappings: DataFrame) -> DataFrame:
+    """src, dst, score: null where there is no such mapping."""
+    return pairs.select("src", "dst").join(mappings.select("src", "dst", "score"), ["src", "dst"], "left")
+
+
 # Integrity checks: severity, code, message.
 
 
@@ -150,6 +155,16 @@ def unreachable_pages(pages: DataFrame, mappings: DataFrame) -> DataFrame:
     return _issue(lost, "warning", "unreachable", F.concat(F.col("source"), F.lit(" has no mapping")))
 
 
+def corrupt_options(pages: DataFrame, options: str) -> DataFrame:
+    """Pages whose options aren't JSON; missing and empty ones are none."""
+    bad = pages.where((F.coalesce(options, F.lit("")) != "") & F.try_parse_json(options).isNull())
+    return _issue(bad, "error", "corrupt_options", F.concat(F.col("source"), F.lit(" has options that are no JSON")))
+
+
+def issue_counts(issues: DataFrame) -> DataFrame:
+    return issues.groupBy("severity").agg(F.count("*").alias("n"))
+
+
 def check_all(pages: DataFrame, mappings: DataFrame, parents: DataFrame, options: DataFrame | None = None) -> DataFrame:
     out = malformed_sources(pages).unionByName(shadowed_pages(pages)).unionByName(orphaned_mappings(pages, mappings)).unionByName(stale_subcommands(pages, mappings, parents)).unionByName(unreachable_pages(pages, mappings))
     return out.unionByName(flagged_positionals(options)) if options is not None else out

@@ -68,6 +68,70 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("path", "metric", "a", "b", change.alias("change")).where("change is not null")
 
 
+def change_lines(changes: DataFrame) -> DataFrame:
+    """path, line: what `compare_runs` found, in print."""
+    number = lambda c: F.coalesce(F.format_number(c, 2), F.lit("none"))
+    return changes.select("path", F.concat("metric", F.lit(": "), number("a"), F.lit(" -> "), number("b"), F.lit(" ("), "change", F.lit(")")).alias("line"))
+
+
+def flags(short: Column, long: Column, positional: Column) -> Column:
+    """An option's flags, or its positional in angle brackets."""
+    every = F.concat(F.coalesce(short, F.array().cast("array<string>")), F.coalesce(long, F.array().cast("array<string>")))
+    return F.when(F.size(every) > 0, F.array_join(every, ", ")).otherwise(F.coalesce(F.concat(F.lit("<"), positional, F.lit(">")), F.lit("(no flags)")))
+
+
+def option_lines(option: Column) -> Column:
+    """An option in print: its flags, what it takes, its text."""
+    shown = lambda f: F.coalesce(F.array_join(option[f], ", "), F.lit(""))
+    lines = F.array(F.concat(F.lit("short: "), shown("short")), F.concat(F.lit("long: "), shown("long")), F.concat(F.lit("takes a value: "), F.coalesce(option["has_arg"], F.lit(False)).cast("string")))
+    named = F.when(F.coalesce(option["positional"], F.lit("")) != "", F.array(F.concat(F.lit("positional: "), option["positional"]))).otherwise(F.array().cast("array<string>"))
+    return F.concat(lines, named, F.split(F.trim(F.coalesce(option["text"], F.lit(""))), "\n", -1))
+
+
+def diff_lines(stored: DataFrame, fresh: DataFrame, page: str, idx: str, fields: tuple[str, ...] = ("text", "has_arg")) -> DataFrame:
+    """page, lines: options of two versions in print, stored ones in order, then what was added.
+
+    A kept option has a line, and two for each of `fields` that differs; added and removed ones are shown whole, marked + and -.
+    Of options with one key the last counts.
+    """
+    whole = ("short", "long", "positional", "has_arg", "text")
+    last = lambda df, s: df.withColumn("key", option_key()).groupBy(page, "key").agg(F.max_by(F.struct(idx, *dict.fromkeys((*whole, *fields))), idx).alias(s))
+    j = last(stored, "a").join(last(fresh, "b"), [page, "key"], "full_outer")
+    a, b = F.col("a"), F.col("b")
+    name = lambda o: flags(o["short"], o["long"], o["positional"])
+    marked = lambda mark, o: F.concat(F.array(F.concat(F.lit(f"{mark} "), name(o))), F.transform(option_lines(o), lambda x: F.concat(F.lit(f"{mark}     "), x)))
+    none = F.array().cast("array<string>")
+    value = lambda o, f: F.coalesce(falsy_null(o[f]), F.lit("none"))
+    differ = [F.when(~falsy_null(a[f]).eqNullSafe(falsy_null(b[f])), F.array(F.concat(F.lit(f"    - {f}: "), value(a, f)), F.concat(F.lit(f"    + {f}: "), value(b, f)))).otherwise(none) for f in fields]
+    details = F.concat(*differ)
+    kept = F.when(F.size(details) == 0, F.array(F.concat(F.lit("  "), name(a), F.lit(" (unchanged)")))).otherwise(F.concat(F.array(F.concat(F.lit("  "), name(a))), details))
+    lines = F.when(a.isNull(), marked("+", b)).when(b.isNull(), marked("-", a)).otherwise(kept)
+    each = j.select(page, F.struct(a.isNull().alias("added"), F.coalesce(a[idx], b[idx]).alias("at"), "key", lines.alias("lines")).alias("o"))
+    return each.groupBy(page).agg(F.flatten(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["lines"])).alias("lines"))
+
+
+def paired_outcomes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """source, outcome, reason, tokens of two extractors (outcome success, skipped or failed).
+
+    A failure outranks a skip, a skip a success; a page that one side lacks is skipped. Tokens are those of the sides that succeeded, null where none did.
+    """
+    rank = lambda s: F.when(F.col(f"{s}.outcome") == "failed", 2).when(F.col(f"{s}.outcome") == "success", 0).otherwise(1)
+    side = lambda df, s: df.select("source", F.struct("outcome", "reason", "tokens").alias(s))
+    j = side(left, "l").join(side(right, "r"), "source", "full_outer")
+    worst = F.greatest(rank("l"), rank("r"))
+    reason = lambda s: F.when(F.col(s).isNull(), "missing").otherwise(F.col(f"{s}.reason"))
+    used = lambda s: F.when(F.col(f"{s}.outcome") == "success", F.col(f"{s}.tokens"))
+    tokens = F.when(used("l").isNotNull() | used("r").isNotNull(), F.coalesce(used("l"), F.lit(0)) + F.coalesce(used("r"), F.lit(0)))
+    names = F.element_at(F.array(F.lit("success"), F.lit("skipped"), F.lit("failed")), worst + 1)
+    return j.select("source", names.alias("outcome"), F.when(worst > 0, F.when(rank("l") == worst, reason("l")).otherwise(reason("r"))).alias("reason"), tokens.cast("long").alias("tokens"))
+
+
+def both_succeeded(sampled: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of `sampled` (source) whose page both sides extracted."""
+    good = lambda df: df.where("outcome = 'success'").select("source")
+    return sampled.join(good(left), "source", "left_semi").join(good(right), "source", "left_semi")
+
+
 @F.udf(StringType(), useArrow=True)
 def text_diff(before: str, after: str) -> str:
     """Unified, one line of context, blank edges trimmed."""
@@ -102,6 +166,15 @@ def classify(files: DataFrame, stored: DataFrame, known: DataFrame, overwrite: b
     return f.where("_early is not null").select("pos", "source", F.col("_early").alias("kind"), F.when(F.col("_early") == "symlink", F.col("canonical")).alias("of")).unionByName(late)
 
 
+def applied(decisions: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decisions with a message, pages that stay): a stored page that is now a link goes from the store."""
+    given = decisions.select(F.col("source").alias("of"), F.lit(True).alias("_given")).distinct()
+    at = decisions.join(given, "of", "left")
+    link = F.concat(F.lit("link to "), "of", F.when(F.col("_given"), " (given too)").otherwise(" (give that file to extract it)"))
+    message = F.when(F.col("kind") == "symlink", link).when(F.col("kind") == "content_dup", F.concat(F.lit("same content as "), "of")).when(F.col("kind") == "size_skip", "not of the size asked for").when(F.col("kind") == "stored", "already stored").when(F.col("kind") == "filter_skip", "stored by another extractor")
+    return at.select(*decisions.columns, message.alias("message")), pages.join(decisions.where("kind = 'symlink'").select("source"), "source", "left_anti")
+
+
 def plan_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind")
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import strings as S
 from . import options as P
 from . import texts as T
 
@@ -98,13 +99,19 @@ _REPLY = "source string, part int, parts int, reply string, tokens long, error s
 
 
 def ask(chunks: DataFrame, model: str) -> DataFrame:
-    """chunks: source, part, parts, text.  A row for each with the reply or an error; a chunk that fails fails alone."""
+    """chunks: source, part, parts, text.  A row for each with the reply or an error; a chunk that fails fails alone.
+
+    Pages of more than `MOST_CHUNKS` parts aren't asked about.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = make_provider(model)
         for batch in batches:
             rows = []
             for source, part, parts, text in batch[["source", "part", "parts", "text"]].itertuples(index=False):
+                if parts > T.MOST_CHUNKS:
+                    rows.append((source, part, parts, None, 0, None))
+                    continue
                 try:
                     reply, tokens = call_with_retry(p, text)
                     rows.append((source, part, parts, reply, tokens, None))
@@ -121,9 +128,10 @@ _SCHEMA = "struct<options:array<struct<short:array<string>,long:array<string>,ha
 def assemble(replies: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes, options).  pages: source, text.
 
-    A page succeeds if all its chunks were answered with JSON of the right form and the spans are sane.
+    A page succeeds if it has no more than `MOST_CHUNKS` chunks, all were answered with JSON of the right form (fences and bad escapes are mended)
+    and the spans are sane.  Chunks and tokens are kept on failed pages too.
     """
-    parsed = replies.withColumn("_j", F.from_json("reply", _SCHEMA))
+    parsed = replies.withColumn("_j", F.from_json(S.repaired_json("reply"), _SCHEMA))
     bad = F.col("error").isNotNull() | F.col("_j.options").isNull()
     state = parsed.groupBy("source").agg(F.bool_or(bad).alias("_bad"), F.count("*").alias("_n"), F.max("parts").alias("_parts"), F.sum("tokens").alias("tokens"), F.coalesce(F.bool_or("_j.dashless_opts"), F.lit(False)).alias("dashless"), F.min("error").alias("error"))
     each = parsed.where(~bad).select("source", "part", F.posexplode("_j.options").alias("i", "o"))
@@ -134,8 +142,8 @@ def assemble(replies: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
     each = each.join(lines, "source").withColumn("text", T.line_slice(F.col("_lines"), F.col("line_start"), F.col("line_end"))).drop("_lines").withColumn("prefix", F.lit(None).cast("string")).withColumn("nested", F.lit(False))
     sane = P.span_sanity(each, "source")
     out = state.join(sane, "source", "left")
-    reason = F.when(F.col("_n") < F.col("_parts"), "missing_chunk").when(F.col("_bad"), "bad_reply").when(F.coalesce("failed", F.lit(False)), "line_span_coverage")
-    outcomes = out.select("source", F.when(reason.isNull(), "success").otherwise("failed").alias("outcome"), reason.alias("reason"), "tokens", "dashless", "error")
+    reason = F.when(F.col("_parts") > T.MOST_CHUNKS, "too_many_chunks").when(F.col("_n") < F.col("_parts"), "missing_chunk").when(F.col("_bad"), "bad_reply").when(F.coalesce("failed", F.lit(False)), "line_span_coverage")
+    outcomes = out.select("source", F.when(reason.isNull(), "success").otherwise("failed").alias("outcome"), reason.alias("reason"), "tokens", "dashless", "error", F.col("_parts").alias("chunks"))
     good = outcomes.where("outcome = 'success'").select("source")
     return outcomes, P.postprocess(each.join(good, "source", "left_semi"), "source", "idx")
 

@@ -11,6 +11,11 @@ from .analytics import rank_then_pick
 STANDARD = ("/usr/share/man/", "/usr/local/share/man/")
 
 
+def raw_pages(files: DataFrame, generator: str, version: str) -> DataFrame:
+    """files: source, text, content (the packed file's bytes).  Raw pages with a digest of the file and what made the text."""
+    return files.select("source", "text", F.current_timestamp().alias("generated_at"), F.lit(generator).alias("generator"), F.lit(version).alias("generator_version"), F.sha2("content", 256).alias("sha"))
+
+
 def wanted_locale(c: str = "locale") -> Column:
     return (F.coalesce(F.col(c), F.lit("")) == "") | F.col(c).startswith("en")
 

@@ -215,10 +215,10 @@ def tag_counts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))).alias("t")).groupBy(key, F.lower("t").alias("tag")).agg(F.count("*").alias("n"))
 
 
-#: Rules over Markdown lines (md) or rendered lines without tags (html): name, arm, pattern.
+#: Rules over Markdown lines (md), rendered lines (raw) or those without tags (html): name, arm, pattern.
 RULES = (
     ("quad_star_run", "md", r"(?<!\\)\*{4,}"), ("roff_named_escape", "md", r"\\\[[A-Za-z0-9_-]+\]"), ("roff_two_letter_escape", "md", r"\\\([A-Za-z0-9]{2}"), ("roff_font_escape", "md", r"\\f[BIRP]\b"),
-    ("visible_open_double_backtick", "md", r"\\`\\`"), ("giant_markdown_line", "md", r"^.{2001,}$"), ("empty_emphasis_tag", "raw", r"<(?:em|strong)\b[^>]*>\s*</(?:em|strong)>"),
+    ("visible_open_double_backtick", "md", r"\\`\\`"), ("giant_markdown_line", "md", r"^.{2001,}$"), ("empty_emphasis_tag", "raw", r"<em\b[^>]*>\s*</em>|<strong\b[^>]*>\s*</strong>"),
     ("visible_zwnj_entity", "html", r"&zwnj;"), ("visible_nbsp_entity", "html", r"&nbsp;"), ("visible_double_amp", "html", r"&amp;amp;"),
 )
 
@@ -233,16 +233,28 @@ def audit(pages: DataFrame, key: str, markdown: str, html: str, rules=RULES, kno
     `known_escapes`, an array of names, keeps bracketed escapes to names that are in it.
     """
     arms = {"md": F.col(markdown), "raw": F.col(html), "html": F.regexp_replace(F.col(html), "<[^>]+>", "")}
-    out = None
+    each = []
     for name, arm, pattern in rules:
         found = F.flatten(F.transform(F.split(arms[arm], "\n", -1), _all_of(pattern)))
         if name == "roff_named_escape" and known_escapes is not None:
             found = F.filter(found, lambda x: F.array_contains(known_escapes, F.regexp_extract(x, r"\\\[(.*)\]", 1)) | x.rlike(r"^\\\[u[0-9A-Fa-f]{4,6}\]$"))
-        rows = pages.select(key, F.lit(name).alias("rule"), found.alias("f")).where(F.size("f") > 0).select(key, "rule", F.size("f").alias("hits"), F.slice("f", 1, 3).alias("snippets"))
-        out = rows if out is None else out.unionByName(rows)
+        each.append(F.struct(F.lit(name).alias("rule"), found.alias("f")))
+    out = pages.select(key, F.inline(F.array(*each)))
     runs = sections(pages, key, markdown).where(F.split_part("text", F.lit("\n"), F.lit(1)).rlike(r"(?i)^#+\s+SYNOPSIS\s*$"))
-    runs = runs.select(key, F.lit("synopsis_no_spaces_run").alias("rule"), F.regexp_extract_all("text", F.lit(r"\S{201,}"), F.lit(0)).alias("f")).where(F.size("f") > 0)
-    return out.unionByName(runs.select(key, "rule", F.size("f").alias("hits"), F.slice("f", 1, 3).alias("snippets")))
+    out = out.unionByName(runs.select(key, F.lit("synopsis_no_spaces_run").alias("rule"), F.regexp_extract_all("text", F.lit(r"\S{201,}"), F.lit(0)).alias("f")))
+    return out.where(F.size("f") > 0).select(key, "rule", F.size("f").alias("hits"), F.slice("f", 1, 3).alias("snippets"))
+
+
+def padded(text: Column, found: Column, pad: int = 12) -> Column:
+    """The first place of `found` in a text with up to `pad` characters on either side; empty where it isn't there."""
+    at = F.instr(text, found)
+    first = F.greatest(at - pad, F.lit(1))
+    return F.when(at > 0, F.substr(text, first, at - first + F.length(found) + pad)).otherwise("")
+
+
+def suspicious(pages: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Pages that some rule found something in."""
+    return pages.join(found.select(key).distinct(), key, "left_semi")
 
 
 def audit_summary(found: DataFrame, key: str, most: int = 10) -> DataFrame:

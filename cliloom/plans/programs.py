@@ -77,20 +77,23 @@ def _(spark, d):
     return outcomes.select("source", "outcome", "reason", "dashless")
 
 
-def _streamed(spark, d, make, name):
-    """The stream's whole output on bounded input, in the sink's folder."""
+def _streamed(spark, d, make, name, keys=None):
+    """The stream's whole output on bounded input, in the sink's folder: rows that are final, or the newest of each key."""
     folder = f"{tempfile.mkdtemp(prefix='cliloom-stream-')}/{name}" if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/{name}-{spark.sql('select uuid()').first()[0]}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = make(log.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ip", F.col("user_id").cast("string")))
+    if keys:
+        logs.upsert_batches(out, f"{folder}/out", keys, f"{folder}/state").awaitTermination()
+        return logs.upserted(spark, f"{folder}/out", out.schema, keys)
     logs.append_events(out, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-@query("stm_minute_burst")
+@query("stm_minute_burst", "", "SELECT date_trunc('minute', CAST(ts AS TIMESTAMP)) AS minute, CAST(user_id AS VARCHAR) AS ip, count(*) AS hits FROM events GROUP BY 1, 2")
 def _(spark, d):
     A.table(spark, d, "events")
-    return _streamed(spark, d, logs.minute_bursts, "bursts")
+    return _streamed(spark, d, logs.minute_bursts, "bursts", ["minute", "ip"]).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
 @query("stm_without_overlap", "", "SELECT event_id, user_id FROM events")

@@ -342,7 +342,7 @@ def _spans(spark, d):
     return c.select("conv_id", (t * 10).alias("s"), (t * 10 + 10 - F.when(t % 3 == 0, 2).otherwise(0)).alias("e"), F.when(t % 4 < 2, "a").otherwise(F.col("role")).alias("text"))
 
 
-@query("win_merge_adjacent", "", f"""SELECT conv_id, min(s) AS s, max(e) AS e, first(text) AS text FROM (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY s) AS g FROM (SELECT *, CASE WHEN text = lag(text) OVER (PARTITION BY conv_id ORDER BY s) THEN 0 ELSE 1 END AS c FROM {_SPANS})) GROUP BY conv_id, g""")
+@query("win_merge_adjacent", "", f"""SELECT conv_id, min(s) AS s, max(e) AS e, first(text) AS text FROM (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY s) AS g FROM (SELECT *, CASE WHEN text = lag(text) OVER (PARTITION BY conv_id ORDER BY s) AND s = lag(e) OVER (PARTITION BY conv_id ORDER BY s) THEN 0 ELSE 1 END AS c FROM {_SPANS})) GROUP BY conv_id, g""")
 def _(spark, d):
     return O.merge_adjacent(_spans(spark, d), "conv_id", "s", "e", "text")
 
@@ -492,20 +492,55 @@ def _(spark, d):
     return C.anchored(found, C.preference(C.distro_releases(p), "brand2"))
 
 
-@query("chk_all", "a_page a_map", _PARENTS + """
-, pg AS (SELECT * FROM a_page), mp AS (SELECT * FROM a_map WHERE score > 3 UNION ALL SELECT src, 'gone/' || dst, score FROM a_map WHERE score = 3)
-SELECT 'error' AS severity, 'malformed_source' AS code, 'malformed source: ' || source AS message FROM pg WHERE NOT regexp_matches(source, '^[a-zA-Z][a-zA-Z0-9_-]*/[^/]+/[^/]+/[^/]+\\.\\d\\w*\\.gz$')
+_CHECK_TABLES = _PARENTS + ", pg AS (SELECT * FROM a_page), mp AS (SELECT * FROM a_map WHERE score > 3 UNION ALL SELECT src, 'gone/' || dst, score FROM a_map WHERE score = 3)"
+_CHECK_ROWS = """SELECT 'error' AS severity, 'malformed_source' AS code, 'malformed source: ' || source AS message FROM pg WHERE NOT regexp_matches(source, '^[a-zA-Z][a-zA-Z0-9_-]*/[^/]+/[^/]+/[^/]+\\.\\d\\w*\\.gz$')
 UNION ALL SELECT 'error', 'shadowed', source || ' is shadowed by ' || first FROM (SELECT source, first_value(source) OVER w AS first, row_number() OVER w AS n FROM (SELECT *, replace(p_name, ' ', '-') AS nm FROM pg) WINDOW w AS (PARTITION BY nm, section, distro, release ORDER BY source)) WHERE n > 1
 UNION ALL SELECT 'error', 'orphan', 'mapping ' || src || ' leads to missing ' || dst FROM mp WHERE dst NOT IN (SELECT source FROM pg)
 UNION ALL SELECT CASE WHEN p.name IS NULL THEN 'error' ELSE 'warning' END, CASE WHEN p.name IS NULL THEN 'parent_missing' ELSE 'not_declared' END, src || ' -> ' || dst FROM (SELECT * FROM mp WHERE dst IN (SELECT source FROM pg)) m LEFT JOIN parents p ON p.name = split_part(src, ' ', 1) AND p.distro = split_part(dst, '/', 1) AND p.release = split_part(dst, '/', 2)
   WHERE src LIKE '% %' AND (p.name IS NULL OR NOT list_contains(p.subcommands, substr(src, instr(src, ' ') + 1)))
-UNION ALL SELECT 'warning', 'unreachable', source || ' has no mapping' FROM pg WHERE source NOT IN (SELECT dst FROM mp)""")
-def _(spark, d):
+UNION ALL SELECT 'warning', 'unreachable', source || ' has no mapping' FROM pg WHERE source NOT IN (SELECT dst FROM mp)"""
+
+
+def _checked(spark, d):
     p, m = A.pages(spark, d), A.mappings(spark, d)
     m = m.where("score > 3").unionByName(m.where("score = 3").withColumn("dst", F.concat(F.lit("gone/"), "dst")))
     return C.check_all(p.withColumn("name", F.replace("p_name", F.lit(" "), F.lit("-"))), m, _parents(spark, d))
 
 
+@query("chk_all", "a_page a_map", f"{_CHECK_TABLES} {_CHECK_ROWS}")
+def _(spark, d):
+    return _checked(spark, d)
+
+
+@query("chk_counts", "a_page a_map", f"{_CHECK_TABLES}, ck AS ({_CHECK_ROWS}) SELECT severity, count(*) AS n FROM ck GROUP BY 1")
+def _(spark, d):
+    return C.issue_counts(_checked(spark, d))
+
+
+@query("chk_corrupt_options", "a_page", "SELECT 'error' AS severity, 'corrupt_options' AS code, source || ' has options that are no JSON' AS message FROM a_page WHERE p_size % 4 = 1")
+def _(spark, d):
+    size = F.col("p_size") % 4
+    return C.corrupt_options(A.pages(spark, d).withColumn("options", F.when(size == 0, '[{"short": ["-a"]}]').when(size == 1, '[{"short": ["-a"').when(size == 2, "")), "options")
+
+
+@query("flt_mapping_score", "a_page a_map", "SELECT src, dst, CASE WHEN score > 3 THEN score END AS score FROM a_map")
+def _(spark, d):
+    m = A.mappings(spark, d)
+    return C.mapping_scores(m, m.where("score > 3"))
+
+
+@query("agg_failures", "", """WITH f AS (SELECT * FROM orders WHERE o_orderstatus <> 'O') SELECT 'status' AS kind, o_orderstatus AS value, count(*) AS n FROM f GROUP BY 2
+UNION ALL SELECT 'error', e, n FROM (SELECT CAST(o_custkey % 50 AS VARCHAR) AS e, count(*) AS n, min(o_orderkey) AS first FROM f GROUP BY 1 ORDER BY first, e LIMIT 10)""")
+def _(spark, d):
+    o = A.table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), (F.col("o_orderstatus") == "O").alias("ok"), (F.col("o_custkey") % 50).cast("string").alias("error"), "o_orderkey")
+    return O.failure_report(o, "ok", "status", "error", "o_orderkey")
+
+
+@query("agg_bucket_report", "", "SELECT l_returnflag AS bucket, count(*) AS n, avg(l_linenumber) AS mean_l_linenumber, median(l_linenumber) AS median_l_linenumber FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return O.bucket_report(A.table(spark, d, "lineitem"), "l_returnflag", ["l_linenumber"], ["l_linenumber"])
+
+
 @query("dml_upsert", "a_page", "SELECT source, p_retailprice FROM a_page WHERE p_size % 2 = 0 AND p_size % 3 > 0 UNION ALL SELECT source, p_retailprice + 1 FROM a_page WHERE p_size % 3 = 0")
 def _(spark, d):
     p = A.pages(spark, d).select("source", "p_retailprice", "p_size")

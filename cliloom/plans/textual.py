@@ -177,13 +177,24 @@ def _(spark, d):
     return T.tag_counts(A.table(spark, d, "pages"), "page_id", "html")
 
 
-@query("aud_rules", "", """WITH r AS (SELECT page_id, 'visible_nbsp_entity' AS rule, len(regexp_extract_all(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;')) AS hits FROM pages
-UNION ALL SELECT page_id, 'visible_double_amp', len(regexp_extract_all(regexp_replace(html, '<[^>]+>', '', 'g'), '&amp;amp;')) FROM pages UNION ALL SELECT page_id, 'empty_emphasis_tag', len(regexp_extract_all(html, '<(?:em|strong)\\b[^>]*>\\s*</(?:em|strong)>')) FROM pages
-UNION ALL SELECT page_id, 'giant_markdown_line', len(list_filter(string_split(html, chr(10)), lambda x: length(x) > 2000)) FROM pages) SELECT page_id, rule, hits FROM r WHERE hits > 0""")
+#: The rules as the SQL has them; its patterns look neither back nor at single lines.
+_RULES_SQL = {
+    "quad_star_run": (r"(?:^|[^\\])\*{4,}", "html"),
+    "roff_named_escape": (r"\\\[[A-Za-z0-9_-]+\]", "html"),
+    "roff_two_letter_escape": (r"\\\([A-Za-z0-9]{2}", "html"),
+    "roff_font_escape": (r"\\f[BIRP]\b", "html"),
+    "visible_open_double_backtick": (r"\\`\\`", "html"),
+    "empty_emphasis_tag": (r"<em\b[^>]*>\s*</em>|<strong\b[^>]*>\s*</strong>", "html"),
+    "visible_zwnj_entity": (r"&zwnj;", "plain"),
+    "visible_nbsp_entity": (r"&nbsp;", "plain"),
+    "visible_double_amp": (r"&amp;amp;", "plain"),
+}
+
+
+@query("aud_rules", "", "WITH p AS (SELECT page_id, html, regexp_replace(html, '<[^>]+>', '', 'g') AS plain FROM pages), r AS (" + "".join(f"SELECT page_id, '{name}' AS rule, len(regexp_extract_all({arm}, '{x}')) AS hits FROM p UNION ALL " for name, (x, arm) in _RULES_SQL.items()) + """SELECT page_id, 'giant_markdown_line', len(list_filter(string_split(html, chr(10)), lambda x: length(x) > 2000)) FROM pages) SELECT page_id, rule, hits FROM r WHERE hits > 0""")
 def _(spark, d):
     pages = A.table(spark, d, "pages").withColumn("md", F.col("html"))
-    found = T.audit(pages, "page_id", "md", "html")
-    return found.where(F.col("rule").isin("visible_nbsp_entity", "visible_double_amp", "empty_emphasis_tag", "giant_markdown_line")).select("page_id", "rule", "hits")
+    return T.audit(pages, "page_id", "md", "html").select("page_id", "rule", "hits")
 
 
 @query("aud_summary", "", """WITH r AS (SELECT page_id, len(list_filter(string_split(html, chr(10)), lambda x: length(x) > 2000)) AS hits FROM pages)
@@ -291,11 +302,7 @@ def _(spark, d):
 _FILES = """f AS (SELECT doc_id AS pos, source || '/x/' || doc_id AS src, sha256(text) AS sha, strlen(text) AS len, CASE WHEN doc_id % 9 = 0 THEN 'other' END AS canonical, source || '/x' AS dir FROM documents), st AS (SELECT src FROM f WHERE pos % 10 = 0), kn AS (SELECT sha || ':' || dir AS key, min(src) AS src FROM f WHERE pos % 10 = 0 GROUP BY 1)"""
 
 
-@query("cls_decisions", "", f"""WITH {_FILES}, e AS (SELECT f.*, CASE WHEN len > 2048 THEN 'size_skip' WHEN canonical IS NOT NULL THEN 'symlink' WHEN src IN (SELECT src FROM st) THEN 'stored' END AS early, sha || ':' || dir AS key FROM f),
-o AS (SELECT e.*, kn.src AS db, first_value(e.src) OVER w AS first, row_number() OVER w AS n FROM e LEFT JOIN kn USING (key) WHERE early IS NULL WINDOW w AS (PARTITION BY key ORDER BY pos))
-SELECT pos, src AS source, early AS kind, CASE WHEN early = 'symlink' THEN canonical END AS of FROM e WHERE early IS NOT NULL
-UNION ALL SELECT pos, src, CASE WHEN coalesce(db, CASE WHEN n > 1 THEN first END) IS NOT NULL THEN 'content_dup' ELSE 'work' END, coalesce(db, CASE WHEN n > 1 THEN first END) FROM o""")
-def _(spark, d):
+def _decided(spark, d):
     docs = A.table(spark, d, "documents")
     f = docs.select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/x/"), "doc_id").alias("source"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("length"), F.when(F.col("doc_id") % 9 == 0, "other").alias("canonical"))
     stored = f.where("pos % 10 = 0")
@@ -303,6 +310,37 @@ def _(spark, d):
     return D.classify(f, stored.select("source", F.lit("llm").alias("extractor"), F.lit("m").alias("model")), known, size="small")
 
 
+@query("cls_decisions", "", f"""WITH {_FILES}, e AS (SELECT f.*, CASE WHEN len > 2048 THEN 'size_skip' WHEN canonical IS NOT NULL THEN 'symlink' WHEN src IN (SELECT src FROM st) THEN 'stored' END AS early, sha || ':' || dir AS key FROM f),
+o AS (SELECT e.*, kn.src AS db, first_value(e.src) OVER w AS first, row_number() OVER w AS n FROM e LEFT JOIN kn USING (key) WHERE early IS NULL WINDOW w AS (PARTITION BY key ORDER BY pos))
+SELECT pos, src AS source, early AS kind, CASE WHEN early = 'symlink' THEN canonical END AS of FROM e WHERE early IS NOT NULL
+UNION ALL SELECT pos, src, CASE WHEN coalesce(db, CASE WHEN n > 1 THEN first END) IS NOT NULL THEN 'content_dup' ELSE 'work' END, coalesce(db, CASE WHEN n > 1 THEN first END) FROM o""")
+def _(spark, d):
+    return _decided(spark, d)
+
+
+@query("cls_pages_left", "", f"WITH {_FILES} SELECT src AS source FROM f WHERE pos % 10 = 0 AND NOT (coalesce(len, 0) <= 2048 AND canonical IS NOT NULL)")
+def _(spark, d):
+    stored = A.table(spark, d, "documents").where("doc_id % 10 = 0").select(F.concat("source", F.lit("/x/"), "doc_id").alias("source"))
+    return D.applied(_decided(spark, d), stored)[1]
+
+
+@query("dif_extractors", "", """WITH s AS (SELECT o_orderkey AS source, list_extract(['success', 'skipped', 'failed'], CAST(1 + o_custkey % 3 AS INT)) AS l, list_extract(['success', 'skipped', 'failed'], CAST(1 + o_orderkey % 7 % 3 AS INT)) AS r, o_custkey AS n FROM orders)
+SELECT source, CASE WHEN l = 'failed' OR r = 'failed' THEN 'failed' WHEN l = 'skipped' OR r = 'skipped' THEN 'skipped' ELSE 'success' END AS outcome, CASE WHEN l = 'failed' THEN 'left' WHEN r = 'failed' THEN 'right' WHEN l = 'skipped' THEN 'left' WHEN r = 'skipped' THEN 'right' END AS reason,
+CASE WHEN l = 'success' AND r = 'success' THEN 2 * n WHEN l = 'success' OR r = 'success' THEN n END AS tokens FROM s""")
+def _(spark, d):
+    o = A.table(spark, d, "orders")
+    names = F.array(F.lit("success"), F.lit("skipped"), F.lit("failed"))
+    side = lambda n, which: o.select(F.col("o_orderkey").alias("source"), F.get(names, n.cast("int")).alias("outcome"), F.lit(which).alias("reason"), F.col("o_custkey").alias("tokens"))
+    return D.paired_outcomes(side(F.col("o_custkey") % 3, "left"), side(F.col("o_orderkey") % 7 % 3, "right"))
+
+
+@query("jon_both_succeeded", "", "SELECT o_orderkey AS source FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 3 > 0")
+def _(spark, d):
+    o = A.table(spark, d, "orders")
+    side = lambda good: o.select(F.col("o_orderkey").alias("source"), F.when(good, "success").otherwise("failed").alias("outcome"))
+    return D.both_succeeded(o.select(F.col("o_orderkey").alias("source")), side(F.col("o_orderstatus") != "F"), side(F.col("o_custkey") % 3 > 0))
+
+
 @query("cls_plan_counts", "", f"""WITH {_FILES}, e AS (SELECT f.*, CASE WHEN len > 2048 THEN 'size_skip' WHEN canonical IS NOT NULL THEN 'symlink' WHEN src IN (SELECT src FROM st) THEN 'filter_skip' END AS early, sha || ':' || dir AS key FROM f)
 SELECT kind, count(*) AS n FROM (SELECT early AS kind FROM e WHERE early IS NOT NULL UNION ALL SELECT CASE WHEN row_number() OVER (PARTITION BY key ORDER BY pos) > 1 THEN 'content_dup' ELSE 'work' END FROM e WHERE early IS NULL) GROUP BY 1""")
 def _(spark, d):

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read_log(spark: SparkSession, path: str, schema, files_each: int = 8) -> DataFrame:
@@ -15,7 +16,7 @@ def read_log(spark: SparkSession, path: str, schema, files_each: int = 8) -> Dat
 
 
 def minute_bursts(log: DataFrame, t: str = "ts", late: str = "25 minutes") -> DataFrame:
-    """minute, ip, hits: tumbling minutes, kept open for late rows."""
+    """minute, ip, hits: tumbling minutes, kept open for late rows; in append mode the last ones stay open, so a finite log takes update mode."""
     return log.withWatermark(t, late).groupBy(F.window(t, "1 minute").alias("w"), "ip").agg(F.count("*").alias("hits")).select(F.col("w.start").alias("minute"), "ip", "hits")
 
 
@@ -50,13 +51,24 @@ def append_events(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_batches(events: DataFrame, path: str, key: str, checkpoint: str):
-    """Each micro-batch replaces rows of its keys in the next version of a table."""
+def upsert_batches(events: DataFrame, path: str, keys: list[str], checkpoint: str, order: str | None = None):
+    """Adds each micro-batch's rows, the last of each key by `order`, in a folder of their own; `upserted` reads the table.
+
+    A batch that runs again replaces its own folder. Rows alike in `order` are told apart by their other columns.
+    Without `order` a key has one row in a batch, as in an aggregate, whose changed rows come in update mode.
+    """
 
     def put(batch: DataFrame, n: int) -> None:
-        newest = batch.dropDuplicates([key])
-        if n:
-            newest = batch.sparkSession.read.parquet(f"{path}/v{n - 1}").join(newest.select(key), key, "left_anti").unionByName(newest)
-        newest.write.mode("overwrite").parquet(f"{path}/v{n}")
+        if order is not None:
+            rest = [c for c in batch.columns if c not in keys and c != order]
+            batch = batch.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("_last")).select(*keys, "_last.*")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return events.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upserted(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """The newest row of each key."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    rest = [c for c in schema.names if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_new")).select(*keys, "_new.*").select(*schema.names)

@@ -346,6 +346,48 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     got = {tuple(r) for r in spark.table("bursts").collect()}
     want = {tuple(r) for r in df.groupBy(F.date_trunc("MINUTE", "ts").alias("minute"), "ip").agg(F.count("*").alias("hits")).collect()}
     assert got == want
-    logs.upsert_batches(logs.read_log(spark, f"{tmp_path}/in", df.schema, 1), f"{tmp_path}/v", "ip", f"{tmp_path}/s").awaitTermination()
-    newest = sorted((tmp_path / "v").iterdir(), key=lambda p: int(p.name[1:]))[-1]
-    assert spark.read.parquet(str(newest)).count() == 3
+    stream = logs.minute_bursts(logs.read_log(spark, f"{tmp_path}/in", df.schema, 1), late="1 hour")  # no row of the four files is later
+    logs.upsert_batches(stream, f"{tmp_path}/u", ["minute", "ip"], f"{tmp_path}/su").awaitTermination()
+    assert {tuple(r) for r in logs.upserted(spark, f"{tmp_path}/u", stream.schema, ["minute", "ip"]).collect()} == want
+    df.where("id = 199 or id < 3").coalesce(1).write.parquet(f"{tmp_path}/one")
+    logs.upsert_batches(logs.read_log(spark, f"{tmp_path}/one", df.schema, 1), f"{tmp_path}/v", ["ip"], f"{tmp_path}/s", "id").awaitTermination()
+    assert {(r.ip, r.id) for r in logs.upserted(spark, f"{tmp_path}/v", df.schema, ["ip"]).collect()} == {("10.0.0.0", 0), ("10.0.0.1", 199), ("10.0.0.2", 2)}
+
+
+# Presentation, guards.
+
+
+def test_differences_in_print(spark):
+    schema = "page string, at int, short array<string>, long array<string>, positional string, has_arg boolean, text string"
+    a = spark.createDataFrame([("p", 0, ["-a"], ["--all"], None, False, "all"), ("p", 1, ["-b"], [], None, False, "old"), ("p", 2, [], [], "file", False, "x")], schema)
+    b = spark.createDataFrame([("p", 0, ["-a"], ["--all"], None, None, "all"), ("p", 1, ["-b"], [], None, True, "new"), ("p", 2, ["-c"], [], None, True, " c\nd ")], schema)
+    assert D.diff_lines(a, b, "page", "at").first().lines == [
+        "  -a, --all (unchanged)", "  -b", "    - text: old", "    + text: new", "    - has_arg: none", "    + has_arg: true",
+        "- <file>", "-     short: ", "-     long: ", "-     takes a value: false", "-     positional: file", "-     x",
+        "+ -c", "+     short: -c", "+     long: ", "+     takes a value: true", "+     c", "+     d",
+    ]
+    runs = spark.createDataFrame([("p", "m", 1.0, None, "removed")], "path string, metric string, a double, b double, change string")
+    assert D.change_lines(runs).first().line == "m: 1.00 -> none (removed)"
+
+
+def test_decisions_take_effect(spark):
+    d = spark.createDataFrame([(0, "a", "symlink", "b"), (1, "b", "work", None), (2, "c", "symlink", "z"), (3, "d", "content_dup", "b")], "pos int, source string, kind string, of string")
+    told, left = D.applied(d, spark.createDataFrame([("a",), ("b",), ("q",)], "source string"))
+    assert {r.source: r.message for r in told.collect()} == {"a": "link to b (given too)", "b": None, "c": "link to z (give that file to extract it)", "d": "same content as b"}
+    assert {r.source for r in left.collect()} == {"b", "q"}
+
+
+def test_snippets_and_raw_pages(spark):
+    assert one(spark, T.padded(F.col("t"), F.col("f")), t="0123456789abcdefXYghijklmnopqrstuv", f="XY") == "456789abcdefXYghijklmnopqr"
+    assert one(spark, T.padded(F.col("t"), F.col("f")), t="abXY", f="XY") == "abXY"
+    assert one(spark, T.padded(F.col("t"), F.col("f")), t="ab", f="XY") == ""
+    raw = I.raw_pages(spark.createDataFrame([("s", "t", b"abc")], "source string, text string, content binary"), "g", "1").first()
+    assert (raw.sha[:8], raw.generator, raw.generator_version) == ("ba7816bf", "g", "1")
+
+
+def test_pages_of_too_many_chunks_fail(spark):
+    pages = spark.createDataFrame([("long", "\n\n".join(["-a word " + "x" * 80] * 40)), ("short", "-a word")], "source string, text string")
+    outcomes, _ = X.extract(pages, "reader", 200)
+    got = {r.source: (r.outcome, r.reason, r.chunks > T.MOST_CHUNKS) for r in outcomes.collect()}
+    assert got["long"] == ("failed", "too_many_chunks", True)
+    assert got["short"][1] != "too_many_chunks"
