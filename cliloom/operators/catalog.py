@@ -40,25 +40,28 @@ def not_in_set(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFra
 # Lookups.
 
 
-def find_pages(names: DataFrame, pages: DataFrame, mappings: DataFrame, distro: str | None = None, release: str | None = None) -> DataFrame:
+def find_pages(names: DataFrame, pages: DataFrame, mappings: DataFrame, distro: str | None = None, release: str | None = None, scope: str | None = None) -> DataFrame:
     """For each of `names` (query_id, name): candidates with rank 1 for the winner, or an error.
 
     A name ending in .gz is a source.  Else its mappings count; where there are
     none, the part behind the last dot is a section, whose pages come first and
     must be there.  Higher scores come first, then lower sources.  Only source,
     name, section and score travel; whoever wants a whole page joins the winner.
+    `scope` names a column of `names`: what a row's sources have to start with.
     """
     pages = in_scope(pages.select("source", "name", "section"), "source", distro, release)
     maps = mappings.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("score").cast("int").alias("_score"))
-    named = names.select("query_id", "name").withColumn("_exact", F.col("name").endswith(".gz"))
-    exact = named.where("_exact").join(pages.withColumnRenamed("name", "_n"), F.col("name") == F.col("source")).select("query_id", F.col("name").alias("asked"), "source", F.col("_n").alias("page"), "section", F.lit(10).alias("score"), F.lit(None).cast("string").alias("wanted"))
+    prefix = F.coalesce(F.col(scope), F.lit("")) if scope else F.lit("")
+    named = names.select("query_id", "name", prefix.alias("_scope")).withColumn("_exact", F.col("name").endswith(".gz"))
+    inside = F.col("source").startswith(F.col("_scope"))
+    exact = named.where("_exact").join(pages.withColumnRenamed("name", "_n"), (F.col("name") == F.col("source")) & inside).select("query_id", F.col("name").alias("asked"), "source", F.col("_n").alias("page"), "section", F.lit(10).alias("score"), F.lit(None).cast("string").alias("wanted"))
     rest = named.where("not _exact")
     direct = rest.join(maps, F.col("name") == F.col("_src"))
     missing = rest.join(maps.select("_src").distinct(), F.col("name") == F.col("_src"), "left_anti").where("name <> '.'")
     parted = missing.withColumn("_s", S.split_section("name")).where(F.col("_s.section").isNotNull())
     dotted = parted.join(maps, F.col("_s.name") == F.col("_src"))
-    hits = direct.select("query_id", "name", "_dst", "_score", F.lit(None).cast("string").alias("wanted")).unionByName(dotted.select("query_id", "name", "_dst", "_score", F.col("_s.section").alias("wanted")))
-    hits = hits.join(pages.withColumnRenamed("name", "page"), F.col("_dst") == F.col("source")).select("query_id", F.col("name").alias("asked"), "source", "page", "section", F.col("_score").alias("score"), "wanted")
+    hits = direct.select("query_id", "name", "_scope", "_dst", "_score", F.lit(None).cast("string").alias("wanted")).unionByName(dotted.select("query_id", "name", "_scope", "_dst", "_score", F.col("_s.section").alias("wanted")))
+    hits = hits.join(pages.withColumnRenamed("name", "page"), (F.col("_dst") == F.col("source")) & inside).select("query_id", F.col("name").alias("asked"), "source", "page", "section", F.col("_score").alias("score"), "wanted")
     has = F.max(F.coalesce(F.col("section") == F.col("wanted"), F.lit(False))).over(Window.partitionBy("query_id"))
     found = hits.unionByName(exact).withColumn("_has", has).where(F.col("wanted").isNull() | F.col("_has"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce(F.col("section") == F.col("wanted"), F.lit(False))), F.desc("score"), "source")

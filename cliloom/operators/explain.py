@@ -17,7 +17,7 @@ from .catalog import find_pages
 
 OPTION = "struct<text:string,short:array<string>,long:array<string>,has_arg:boolean,arg_values:array<string>,positional:string,prefix:string,nested:boolean,nested_end:array<string>>"
 PAGE = f"struct<source:string,name:string,section:string,synopsis:string,dashless:boolean,subcommands:array<string>,nested:boolean,nested_end:array<string>,options:array<{OPTION}>>"
-SPANS = "query_id long, group_no int, group_name string, source string, start int, end int, text string, match string, kind string, error string"
+SPANS = "group_no int, group_name string, source string, start int, end int, text string, match string, kind string, error string"
 
 
 def guarded(cmd: Column) -> Column:
@@ -41,8 +41,8 @@ def _page(row: dict) -> dict:
     return {"source": row["source"], "synopsis": row["synopsis"], "dashless": row["dashless"], "subcommands": list(row["subcommands"] if row["subcommands"] is not None else []), "nested": list(ends) if ends is not None and len(ends) else bool(row["nested"]), "options": options}
 
 
-def _explained(query_id: int, line: str, pages: dict[str, dict]) -> list[tuple]:
-    nothing = lambda error: [(query_id, None, None, None, None, None, None, None, None, error)]
+def _explained(line: str, pages: dict[str, dict]) -> list[tuple]:
+    nothing = lambda error: [(None, None, None, None, None, None, None, None, error)]
     try:
         m = match(line, pages.get)
     except ParseError as e:
@@ -51,33 +51,38 @@ def _explained(query_id: int, line: str, pages: dict[str, dict]) -> list[tuple]:
         return nothing(f"unsupported: {e}")
     except UnknownProgram as e:
         return nothing(f"unknown: {e}")
-    out = [(query_id, n, g.name, g.page["source"] if g.page else None, a, b, t, line[a:b], k, g.error) for n, g in enumerate(m.groups) for a, b, t, k in g.spans]
-    return out + [(query_id, -1, "expansion", None, a, b, None, line[a:b], k, None) for a, b, k in m.expansions]
+    out = [(n, g.name, g.page["source"] if g.page else None, a, b, t, line[a:b], k, g.error) for n, g in enumerate(m.groups) for a, b, t, k in g.spans]
+    return out + [(-1, "expansion", None, a, b, None, line[a:b], k, None) for a, b, k in m.expansions]
 
 
-def explain(commands: DataFrame, pages: DataFrame, mappings: DataFrame, distro: str | None = None, release: str | None = None) -> DataFrame:
+def explain(commands: DataFrame, pages: DataFrame, mappings: DataFrame, distro: str | None = None, release: str | None = None, scope: Column | None = None) -> DataFrame:
     """commands: query_id, cmd; pages: the columns of PAGE.  A row for each span; group_no -1 are expansions, 0 the shell.
 
-    Only the pages that a line names travel to it; whole pages are read for the winners alone.
+    `scope` is what the sources of a line's pages have to start with; null or empty: anything.
+    Equal lines of one scope are explained once.  Whole pages are read for the
+    winners alone, and travel once to each set of names that lines have.
     """
-    asked = commands.select("query_id", guarded(F.col("cmd")).alias("line")).where("line is not null")
-    keys = asked.select("query_id", F.explode(names_in("line")).alias("name"))
-    each = keys.select("name").distinct().withColumn("query_id", F.xxhash64("name"))
-    won = find_pages(each, pages, mappings, distro, release).where("rank = 1").select(F.col("asked").alias("name"), "source")
+    within = F.coalesce(scope, F.lit("")) if scope is not None else F.lit("")
+    asked = commands.select(F.col("query_id").cast("long").alias("query_id"), within.alias("scope"), guarded(F.col("cmd")).alias("line")).where("line is not null")
+    lines = asked.select("scope", "line").distinct().withColumn("names", F.array_sort(F.array_distinct(names_in("line"))))
+    keys = lines.select("scope", "names").distinct().withColumn("name", F.explode("names"))
+    each = keys.select("scope", "name").distinct().withColumn("query_id", F.struct("scope", "name"))
+    won = find_pages(each, pages, mappings, distro, release, "scope").where("rank = 1").select("query_id.scope", "query_id.name", "source")
     full = won.join(pages.select("source", F.struct(*(F.col(c) for c in ("source", "name", "section", "synopsis", "dashless", "subcommands", "nested", "nested_end", "options"))).cast(PAGE).alias("page")), "source").drop("source")
-    held = keys.join(full, "name").groupBy("query_id").agg(F.collect_list(F.struct("name", "page")).alias("pages"))
+    held = keys.join(full, ["scope", "name"]).groupBy("scope", "names").agg(F.collect_list(F.struct("name", "page")).alias("pages"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
-            for q, line, found in zip(batch["query_id"], batch["line"], batch["pages"], strict=True):
-                rows += _explained(q, line, {p["name"]: _page(p["page"]) for p in (found if found is not None else [])})
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
+            for scope, line, found in zip(batch["scope"], batch["line"], batch["pages"], strict=True):
+                rows += [(scope, line, *r) for r in _explained(line, {p["name"]: _page(p["page"]) for p in (found if found is not None else [])})]
+            out = pd.DataFrame(rows, columns=["scope", "line", *(c.split()[0] for c in SPANS.split(", "))])
             for c in ("group_no", "start", "end"):
                 out[c] = out[c].astype("Int32")
             yield out
 
-    return asked.join(held, "query_id", "left").mapInPandas(run, SPANS)
+    spans = lines.join(held, ["scope", "names"], "left").select("scope", "line", "pages").mapInPandas(run, "scope string, line string, " + SPANS)
+    return asked.join(spans, ["scope", "line"]).drop("scope", "line")
 
 
 def help_dictionary(spans: DataFrame) -> DataFrame:

@@ -23,10 +23,6 @@ class Duplicate(ValueError):
     """A page of this name, section, distro and release is stored under another source."""
 
 
-#: Releases that `explain_preferring` plans for at most, one after the other; more are an error.
-MOST_SCOPES = 1000
-
-
 class Catalog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = ship(spark), path.rstrip("/")
@@ -122,14 +118,8 @@ class Catalog:
         hits = keys.join(self.mappings.select(F.col("src").alias("name"), F.col("dst").alias("source")), "name")
         hits = hits.withColumn("distro", S.distro("source")).withColumn("release", S.release("source"))
         anchor = C.anchored(hits, order).select("query_id", "distro", "release").distinct()
-        scopes = [tuple(r) for r in anchor.select("distro", "release").distinct().limit(MOST_SCOPES + 1).collect()]
-        if len(scopes) > MOST_SCOPES:
-            raise ValueError(f"the lines have more than {MOST_SCOPES} different releases; explain them in parts")
-        out = E.explain(commands.join(anchor, "query_id", "left_anti"), self.parsed, self.mappings)
-        for distro, release in scopes:
-            own = commands.join(anchor.where((F.col("distro") == distro) & (F.col("release") == release)), "query_id", "left_semi")
-            out = out.unionByName(self.explain(own, distro, release))
-        return out
+        scope = F.concat("distro", F.lit("/"), "release", F.lit("/"))
+        return E.explain(commands.join(anchor, "query_id", "left"), self.parsed, self.mappings, scope=scope)
 
     def distros(self) -> DataFrame:
         return C.distro_releases(self.parsed).orderBy("distro", "release")

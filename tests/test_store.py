@@ -40,6 +40,11 @@ def test_catalog(spark, store):
     assert got[1, "aonly"][0] == "unknown"  # the line is ubuntu's by then
     assert got[2, "git"] == ("synopsis", "arch/latest/1/git.1.gz")
     assert spans.where("query_id = 3").first().error == "unknown: nothing"
+    lines = [(7, "git commit -a"), (8, "git commit -a"), (9, None), (10, ""), (11, "aonly; git"), (12, "git commit -a")]
+    each = store.explain_preferring(spark.createDataFrame(lines, "query_id int, cmd string")).collect()
+    of = lambda q: sorted(tuple(r)[1:] for r in each if r.query_id == q)
+    assert of(7) == of(8) == of(12) and len(of(7)) == 2 and {r.query_id for r in each} == {7, 8, 11, 12}
+    assert {r.source for r in each if r.query_id == 11 and r.source} == {"arch/latest/1/aonly.1.gz", "arch/latest/1/git.1.gz"}
     assert [tuple(r) for r in store.distros().collect()] == [("arch", "latest"), ("ubuntu", "26.04")]
     assert store.default_distro().first().distro == "ubuntu"
     assert {r.what: r.n for r in store.stats().collect()} == {"manpages": 4, "mappings": 6, "raw": 4, "arch/latest/": 2, "ubuntu/26.04/": 2}
