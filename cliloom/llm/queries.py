@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 from .chat import chat_report
+from .filteraudit import filter_audit
 from .fingerprints import fingerprint_report
 from .linededup import line_dedup_report
 from .lm import lm_scores
@@ -17,6 +18,8 @@ from .packing import pack_documents
 from .quality import BOILERPLATE, quality_report
 from .substrings import remove_repeats
 from .tokencount import section_tokens
+from .trie import conversation_trie
+from .warc import DIGITS, page_captures
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +78,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_captures(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_warc": op13_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -246,5 +264,78 @@ WITH sized AS (
   FROM remaining
 )
 SELECT doc_id, size, source_size, target, size * CAST(whole + d + CAST(extra AS INT) AS BIGINT) AS taken, CAST(whole + d + CAST(extra AS INT) AS BIGINT) AS copies FROM best
+""",
+    "op11_filter_interaction_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM texts
+), marks AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+    'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first_id, false)} AS f
+  FROM worded LEFT JOIN marks USING (doc_id)
+), cells AS (
+  SELECT part, good, toxic, f, count(*) AS n FROM failed GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM orders
+), long AS (
+  SELECT part, good, toxic, n, filter_order, step, substr(filter_order, step, 1) AS letter, list_transform(['A', 'B', 'C', 'D', 'E'], lambda l: CASE l WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS fails
+  FROM cells, steps
+), seen AS (
+  SELECT *, fails[ascii(letter) - 64] AS own, len(list_filter(range(1, step), lambda i: fails[ascii(substr(filter_order, i, 1)) - 64])) > 0 AS earlier, len(list_filter(fails, lambda b: b)) = 1 AS alone FROM long
+), summed AS (
+  SELECT part, filter_order, step, letter, CAST(coalesce(sum(n) FILTER (NOT own AND NOT earlier), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (own AND NOT earlier), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (own AND earlier), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (own AND alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (own AND NOT earlier AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (own AND NOT earlier AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM summed
+""",
+    "op12_conversation_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT DISTINCT conv_id, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 6 AS h FROM turns
+), placed AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 WHERE pos <= h
+  UNION ALL SELECT conv_id, 1, pos, role, text FROM turns JOIN convs USING (conv_id) WHERE pos > h
+), paths AS (
+  SELECT conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY part, pos) FILTER (role IS NOT NULL), []) AS path FROM convs LEFT JOIN placed USING (conv_id) GROUP BY conv_id
+), members AS (
+  SELECT conv_id, unnest(range(0, len(path) + 1)) AS depth, path FROM paths
+), nodes AS (
+  SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth) AS ends FROM members GROUP BY 1, 2
+), linked AS (
+  SELECT a.*, b.conv_id AS parent_conv_id, CASE WHEN a.depth = 0 THEN 0 ELSE (a.n_convs - 1) * length(a.node[a.depth].text) END AS own,
+    (SELECT count(*) FROM nodes k WHERE k.depth = a.depth + 1 AND k.node[1:a.depth] = a.node) AS n_children
+  FROM nodes a LEFT JOIN nodes b ON b.depth = a.depth - 1 AND b.node = a.node[1:a.depth - 1]
+), sums AS (
+  SELECT node[1:up] AS node, up AS depth, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM linked) GROUP BY 1, 2
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM linked JOIN sums USING (node, depth)
+""",
+    "op13_warc": """
+WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), firsts AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM sized
+)
+SELECT DISTINCT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('"""
+    + DIGITS
+    + """', 1 + CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS NOT DISTINCT FROM last_id THEN NULL ELSE last_id END AS refers_to
+FROM firsts
 """,
 }
