@@ -87,9 +87,10 @@ def _gone(docs: DataFrame, ranges: DataFrame, text_col: str, id_col: str) -> Dat
     wanted = ranges.select("_row", "_low", "_high").union(ranges.select("_row0", F.col("_low") - F.col("_off"), F.col("_high") - F.col("_off"))).distinct()
     wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("_low", "_high")).alias("_wanted"))
     # The columns are those of the join that gives the result, so that both share one shuffle of the texts.
-    held = docs.join(wanted, "_row").withColumn("_lines", _lines(F.col(text_col))).select("_row", F.col(id_col).alias("_id"), "_lines", F.inline("_wanted"))
-    part = F.expr("transform(sequence(_low, _high), i -> get(_lines, i))")  # null where the text has no such line
-    parts = held.select("_row", "_id", "_low", "_high", part.alias("_part"))
+    held = docs.join(wanted, "_row").withColumn("_lines", _lines(F.col(text_col)))
+    # Only the wanted lines leave a row, each range with its own; null where the text has no such line.
+    cut = F.expr("transform(_wanted, w -> struct(w._low, w._high, transform(sequence(w._low, w._high), i -> get(_lines, i)) as _part))")
+    parts = held.select("_row", F.col(id_col).alias("_id"), F.inline(cut))
     first = parts.select(F.col("_row").alias("_row0"), F.col("_id").alias("_id0"), F.col("_low").alias("_low0"), F.col("_part").alias("_part0"), F.col("_high").alias("_high0"))
     pairs = ranges.join(parts, ["_row", "_low", "_high"]).withColumn("_low0", F.col("_low") - F.col("_off")).withColumn("_high0", F.col("_high") - F.col("_off"))
     pairs = pairs.join(first, ["_row0", "_low0", "_high0"]).where(F.struct("_id0", "_row0") <= F.struct("_id", "_row"))

@@ -10,14 +10,16 @@ section that holds most of its bytes, of equal shares for the earlier one
 Sections are the lines of a text, each with the newline behind it.
 
 Nulls: a null text is empty; an empty text is one section without tokens.  Rows
-are counted one by one, so repeated rows and null ids are nothing special.  Empty
-tables give empty results.  Only id and text are used, so columns with clashing
+are counted one by one, so repeated rows, ties and null ids are nothing special.  A
+text of any length is encoded whole, in one task, which holds its bytes and ids; so
+are runs of one character, white space included.  Empty tables give empty results.  Only id and text are used, so columns with clashing
 names don't matter.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,28 @@ def load(path: str, pattern: str = PATTERN) -> tuple:
     return _loaded[path, pattern]
 
 
+#: White space as the pattern's ``\\s`` has it; runs over 1000 go past the pattern, whose look-ahead keeps a stack entry for each character.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def encode(encoding, text: str) -> list[int]:
+    """The ids of encode_ordinary, for runs of white space of any length.
+
+    `PATTERN` makes one piece of a run but for its last character, which begins the
+    piece behind it, or of the whole run at the end of the text; so texts can be
+    parted there.
+    """
+    if encoding._pat_str != PATTERN:
+        return encoding.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def allot(token_ends: np.ndarray, section_starts: np.ndarray, rule: str = "most") -> np.ndarray:
     """The section of each token; spans are in bytes, the first section starts at 0."""
     starts = np.concatenate((np.zeros(1, np.int64), token_ends[:-1]))
@@ -78,7 +102,7 @@ def section_tokens(documents: DataFrame, tokenizer_path: str, id_col: str = "doc
                     if len(starts) > 1 and starts[-1] == len(body):
                         starts = starts[:-1]
                     points = np.concatenate((np.zeros(1, np.int64), np.cumsum((body & 0xC0) != 0x80)))
-                    ids = encoding.encode_ordinary(body.tobytes().decode("utf-8", "replace")) if len(body) else []
+                    ids = encode(encoding, body.tobytes().decode("utf-8", "replace")) if len(body) else []
                     ends = np.cumsum(length[np.array(ids, np.int64)])
                     section = allot(ends, starts, rule) if len(ids) else np.zeros(0, np.int64)
                     n = np.bincount(section, minlength=len(starts))

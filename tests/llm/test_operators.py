@@ -660,3 +660,25 @@ def test_stages_on_empty_tables_and_repeated_rows(spark, none):
     assert sum(r._n_removed == 0 for r in dedup_lines(same).collect()) == 1
     taken = {(r.doc_id, r.copies) for r in mixed_report(same).collect()}
     assert len(taken) == 2  # equal rows are drawn together
+
+
+@pytest.mark.parametrize("run", [" " * 5_000_000, "\n" * 5_000_000, "　" * 1_200_000, " \t\r\n　" * 1000])
+def test_runs_of_white_space_of_any_length(run):
+    encoding, _ = tokencount.load(tokenizer_path("byte_bpe_50k.tiktoken"))
+    for before, after in (("", ""), ("a b", ""), ("", "x"), ("it's", " 12 x"), ("a", "é")):
+        ids = tokencount.encode(encoding, before + run + after)
+        assert encoding.decode(ids) == before + run + after
+        short = run[:1200]  # the pattern still takes this by itself
+        assert tokencount.encode(encoding, before + short + after) == encoding.encode_ordinary(before + short + after)
+
+
+def test_long_white_space_is_counted_and_scored(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a" + " " * 1_000_000, "　" * 400_000 + "b", "plain words", None] * 3)], "doc_id long, text string")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    assert {r["doc_id"]: r["n_chars"] for r in section_tokens(df, path).collect()}[0] == 1_000_001
+    assert lm_scores(df, path).count() == 12
+
+
+def test_line_dedup_is_linear_in_equal_lines(spark):
+    df = spark.createDataFrame([(1, "\n".join(["the same line"] * 40_000)), (2, "alone")], "doc_id long, text string")
+    assert by_id(line_dedup_report(df), "n_lines", "n_removed") == {1: (40_000, 39_999), 2: (1, 0)}
