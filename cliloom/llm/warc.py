@@ -202,27 +202,34 @@ _CAPTURES = ("response", "revisit", "resource", "conversion")
 
 
 def captures(records: DataFrame, payload: bool = True) -> DataFrame:
-    """One row for each response, revisit or other capture: capture_id, capture, request, metadata, n_requests, n_metadata, original.
+    """One row for each response, revisit or other capture: capture_id, capture, request, metadata, n_requests, n_metadata, original, payload.
 
-    The structs hold the record's columns; `original` is the response a revisit refers to.  Payloads are left out if not asked for.
-    The records are read several times, so they had better be a table than archives.
+    The structs hold the record's columns but for the payload; `original` is the response a revisit refers to.  The payload
+    is the capture's, left out if not asked for.  The records are read several times, so they had better be a table than archives.
     """
-    names = [c for c in records.columns if payload or c != "payload"]
-    whole = F.struct("record_id", *(c for c in names if c != "record_id"))
+    narrow = records.drop("payload")
+    whole = F.struct(*narrow.columns)
     primary = F.col("record_type").isin(*_CAPTURES)
-    one = records.where(primary).groupBy(F.col("record_id").alias("capture_id")).agg(F.min_by(whole, "record_id").alias("capture"))
+    out = narrow.where(primary).groupBy(F.col("record_id").alias("capture_id")).agg(F.any_value(whole).alias("capture"))
     # A capture may also name its request or metadata itself.
-    named = records.where(primary).select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("other_id"))
-    out = one
+    named = narrow.where(primary).select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("other_id"))
     for kind, column, count in (("request", "request", "n_requests"), ("metadata", "metadata", "n_metadata")):
-        own = records.where(F.col("record_type") == kind)
+        own = narrow.where(F.col("record_type") == kind)
         by_them = own.select(F.explode("concurrent_to").alias("of_id"), "record_id", whole.alias("whole"))
         by_us = own.select("record_id", whole.alias("whole")).join(named, F.col("record_id") == F.col("other_id")).select(F.col("capture_id").alias("of_id"), "record_id", "whole")
         side = by_them.unionByName(by_us).groupBy("of_id", "record_id").agg(F.any_value("whole").alias("whole"))
         side = side.groupBy("of_id").agg(F.min_by("whole", "record_id").alias(column), F.count("*").alias(count))
         out = out.join(side, F.col("capture_id") == F.col("of_id"), "left").drop("of_id").withColumn(count, F.coalesce(count, F.lit(0)))
-    originals = out.where("capture.record_type = 'response'").select(F.col("capture_id").alias("original_id"), F.struct(F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.target_uri").alias("target_uri"), F.col("metadata.fields").alias("fields")).alias("original"))
-    return out.join(originals, F.col("capture.refers_to") == F.col("original_id"), "left").drop("original_id")
+    # From a table both sides of the next join are plain shuffles, which adaptive execution can split.
+    out = written(out, "captures")
+    originals = out.where("capture.record_type = 'response'").select(F.col("capture_id").alias("original_id"), F.struct("capture.payload_bytes", "capture.payload_digest", "capture.target_uri", "metadata.fields").alias("original"))
+    refers = F.col("capture.refers_to")
+    # What refers to nothing meets itself, so that nulls don't meet in one task.
+    out = out.join(originals, F.coalesce(refers, "capture_id") == F.col("original_id"), "left").withColumn("original", F.when(refers.isNotNull(), F.col("original"))).drop("original_id")
+    if not payload:
+        return out
+    held = records.where(primary).groupBy(F.col("record_id").alias("of_id")).agg(F.any_value("payload").alias("payload"))
+    return out.join(held, F.col("capture_id") == F.col("of_id"), "left").drop("of_id")
 
 
 def page_captures(pages: DataFrame, least: int = 0) -> DataFrame:

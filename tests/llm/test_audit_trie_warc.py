@@ -227,10 +227,10 @@ def test_captures_are_nested_and_hold_payloads(spark):
     records = warc.read_records(spark, warc.write_archives(spark.createDataFrame(pages()[:5], PAGES)))
     rows = {r["metadata"]["fields"]["page-id"]: r for r in warc.captures(records).collect()}
     one, four = rows["1"], rows["4"]
-    assert bytes(four["capture"]["payload"]).decode() == pages()[3][2]
+    assert bytes(four["payload"]).decode() == pages()[3][2]
     assert one["capture"]["record_type"] == "revisit" and one["original"]["payload_digest"] == four["capture"]["payload_digest"]
     assert one["capture"]["refers_to"] == four["capture_id"] and one["n_requests"] == one["n_metadata"] == 1
-    assert bytes(one["request"]["payload"]) == b"" and one["request"]["concurrent_to"] == [one["capture_id"]]
+    assert bytes(one["payload"]) == b"" and one["request"]["payload_bytes"] == 0 and one["request"]["concurrent_to"] == [one["capture_id"]]
 
 
 def record(kind, name, block, *more):
@@ -256,9 +256,9 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert records.count() == 8
     rows = {r["capture_id"]: r for r in warc.captures(records).collect()}
     assert set(rows) == {"<r>", "<s>", "<t>"}
-    assert bytes(rows["<r>"]["capture"]["payload"]) == b"body\r\n\r\nmore" and rows["<r>"]["request"]["record_id"] == "<q>"
+    assert bytes(rows["<r>"]["payload"]) == b"body\r\n\r\nmore" and rows["<r>"]["request"]["record_id"] == "<q>"
     assert rows["<r>"]["metadata"]["fields"] == {"a": "1", "c": "3"} and rows["<r>"]["n_metadata"] == 2
-    assert bytes(rows["<s>"]["capture"]["payload"]) == b"\xff\x00\r\n\r\n" and rows["<t>"]["request"] is None
+    assert bytes(rows["<s>"]["payload"]) == b"\xff\x00\r\n\r\n" and rows["<t>"]["request"] is None
 
 
 @given(st.lists(st.binary(max_size=40).map(lambda b: b.replace(b"a", b"\r\n")), max_size=5))
