@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from . import selection as Q
 
 #: The option-count buckets.
 BUCKETS = (("0", 0, 0), ("1-5", 1, 5), ("6-15", 6, 15), ("16-50", 16, 50), ("50+", 51, None))
@@ -17,38 +18,11 @@ BUCKETS = (("0", 0, 0), ("1-5", 1, 5), ("6-15", 6, 15), ("16-50", 16, 50), ("50+
 # Percentiles.
 
 
-def exclusive_quantile(sorted_values: Column, q: float) -> Column:
-    """Of a sorted array, at q * (n + 1), between neighbours; one value is itself."""
-    n = F.size(sorted_values)
-    at = q * (n + 1)
-    low = F.least(F.greatest(F.floor(at).cast("int"), F.lit(1)), n - 1)
-    a, b = F.get(sorted_values, low - 1), F.get(sorted_values, low)
-    return F.when(n == 1, F.get(sorted_values, F.lit(0)).cast("double")).otherwise(a + (at - low) * (b - a))
-
-
-def index_percentile(sorted_values: Column, q: float) -> Column:
-    """The value at floor(q * n), or the last."""
-    n = F.size(sorted_values)
-    return F.get(sorted_values, F.least(n - 1, F.floor(q * n).cast("int")))
-
-
-def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str, Column]) -> DataFrame:
-    """by, and of each group the values at some ranks (from 1; expressions of `_n`, the group's size).
-
-    From counts of distinct values, which are combined before the shuffle; a group's values stream through a running sum.
-    """
-    per = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*by)
-    per = per.withColumn("_through", F.sum("_c").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(group))
-    return per.groupBy(*by).agg(*(F.min(F.when(F.col("_through") >= rank, F.col("_value"))).alias(name) for name, rank in ranks.items()))
-
-
 def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    ranks = {f"p{round(q * 100)}": F.least(F.col("_n"), F.floor(q * F.col("_n")) + 1) for q in (0.5, 0.95, 0.99)}
-    at = order_statistics(df, value, by, ranks).toDF(*(f"_{c}" for c in by), *ranks)
+    """by, n, mean, least, most, median and the values at the places floor(q * n)."""
+    at = Q.order_statistics(df, value, by, {f"p{round(q * 100)}": Q.at_index(q) for q in (0.5, 0.95, 0.99)} | Q.middle("_m"))
     out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    return out.join(at, same, "left").select(*by, "n", "mean", "least", "most", *ranks)
+    return Q.beside(out, at, by).select(*by, "n", "mean", "least", "most", Q.median_value("_m").alias("median"), "p50", "p95", "p99")
 
 
 # Histograms and summaries.
@@ -69,24 +43,29 @@ def option_histogram(counts: DataFrame, n: str) -> DataFrame:
 
 
 def count_summary(counts: DataFrame, n: str) -> DataFrame:
-    many = F.col("_n")
-    low = F.least(F.greatest(F.floor(0.9 * (many + 1)), F.lit(1)), F.greatest(many - 1, F.lit(1)))
-    at = order_statistics(counts, n, [], {"_a": low, "_b": F.least(low + 1, many)})
-    out = counts.agg(F.count(n).alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.round(F.coalesce(F.avg(n), F.lit(0.0)), 2).alias("mean"), F.coalesce(F.median(n), F.lit(0.0)).alias("median"), F.coalesce(F.max(n), F.lit(0)).alias("most"))
-    size, place = F.col("n"), 0.9 * (F.col("n") + 1)
-    share = place - F.least(F.greatest(F.floor(place), F.lit(1)), F.greatest(size - 1, F.lit(1)))
-    p90 = F.when(size == 0, 0.0).when(size == 1, F.col("_a").cast("double")).otherwise(F.col("_a") + share * (F.col("_b") - F.col("_a")))
-    return out.join(at).withColumn("p90", p90.cast("double")).drop("_a", "_b")  # one row each
-
-
-def time_buckets(df: DataFrame, t: str, ok: str, latency: str, seconds: int, until: int) -> DataFrame:
-    """bucket, n, ok, fail, rate and percentiles of each span of seconds up to `until`, empty ones too."""
-    axis = df.sparkSession.range(0, -(-until // seconds)).select(F.col("id").alias("bucket"))
-    good = F.sort_array(F.collect_list(F.when(F.col(ok), F.col(latency))))
-    got = df.groupBy(F.floor(F.col(t) / seconds).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), good.alias("_v"))
-    out = axis.join(got, "bucket", "left").withColumn("_v", F.coalesce("_v", F.array().cast("array<double>")))
+    """One row: n, total, mean (two decimals), median, most and the exclusive p90; zeros for an empty table."""
+    out = counts.agg(F.count(n).alias("n"), F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.round(F.coalesce(F.avg(n), F.lit(0.0)), 2).alias("mean"), F.coalesce(F.max(n), F.lit(0)).alias("most"))
+    at = Q.order_statistics(counts, n, [], Q.middle("_m") | Q.exclusive(0.9, "_p"))
+    p90 = F.coalesce(Q.exclusive_value(0.9, "_p", F.col("n")), F.lit(0.0))
+    return Q.beside(out, at, []).select("n", "total", "mean", F.coalesce(Q.median_value("_m"), F.lit(0.0)).alias("median"), "most", p90.alias("p90"))
+
+
+def exclusive_quantiles(df: DataFrame, value: str, by: list[str], q: float) -> DataFrame:
+    """by, and the quantile at q * (n + 1), between neighbours."""
+    at = Q.order_statistics(df, value, by, Q.exclusive(q, "_p"))
+    out = df.groupBy(*by).agg(F.count(value).alias("_n"))
+    return Q.beside(out, at, by).select(*by, Q.exclusive_value(q, "_p", F.col("_n")).alias(f"p{round(q * 100)}"))
+
+
+def time_buckets(df: DataFrame, t: str, ok: str, latency: str, seconds: int, until: int | None = None) -> DataFrame:
+    """bucket, n, ok, fail, rate and percentiles of each span of seconds up to `until` (or the last row), empty ones too."""
+    rows = df.withColumn("bucket", F.floor(F.col(t) / seconds))
+    axis = df.sparkSession.range(0, -(-until // seconds)).select(F.col("id").alias("bucket")) if until else rows.agg(F.max("bucket").alias("_last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("bucket"))
+    got = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.max(F.when(F.col(ok), F.col(latency))).alias("most"))
+    at = Q.order_statistics(rows.where(ok), latency, ["bucket"], {f"p{round(q * 100)}": Q.at_index(q) for q in (0.5, 0.95, 0.99)})
+    out = Q.beside(axis.join(got, "bucket", "left"), at, ["bucket"])
     n, o = F.coalesce("n", F.lit(0)), F.coalesce("ok", F.lit(0))
-    return out.select("bucket", n.alias("n"), o.alias("ok"), (n - o).alias("fail"), (n / seconds).alias("rate"), *(index_percentile(F.col("_v"), q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)), F.try_element_at("_v", F.lit(-1)).alias("most"))
+    return out.select("bucket", n.alias("n"), o.alias("ok"), (n - o).alias("fail"), (n / seconds).alias("rate"), "p50", "p95", "p99", "most")
 
 
 def merge_positionals(options: DataFrame, by: str, name: str, text: str, order: str) -> DataFrame:
@@ -109,7 +88,11 @@ def failure_report(calls: DataFrame, ok: str, status: str, error: str, order: st
 
 def bucket_report(rows: DataFrame, bucket: str, means: list[str], medians: list[str]) -> DataFrame:
     """bucket, n, mean_* and median_* of the columns named."""
-    return rows.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in means), *(F.median(c).alias(f"median_{c}") for c in medians))
+    keyed = rows.withColumn("bucket", F.col(bucket))
+    out = keyed.groupBy("bucket").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"mean_{c}") for c in means))
+    for c in medians:
+        out = Q.beside(out, Q.order_statistics(keyed, c, ["bucket"], Q.middle("_m")), ["bucket"]).withColumn(f"median_{c}", Q.median_value("_m")).drop("_m_low", "_m_high")
+    return out
 
 
 # Log reports.

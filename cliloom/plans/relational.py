@@ -235,24 +235,23 @@ def _(spark, d):
 @query("agg_p90_exclusive", "", """SELECT o_orderpriority, CASE WHEN len(s) = 1 THEN s[1] ELSE s[i] + (0.9 * (len(s) + 1) - i) * (s[i + 1] - s[i]) END AS p90
 FROM (SELECT *, greatest(least(CAST(floor(0.9 * (len(s) + 1)) AS INT), len(s) - 1), 1) AS i FROM (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS s FROM orders GROUP BY 1))""")
 def _(spark, d):
-    v = A.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.sort_array(F.collect_list("o_totalprice")).alias("s"))
-    return v.select("o_orderpriority", O.exclusive_quantile(F.col("s"), 0.9).alias("p90"))
+    return O.exclusive_quantiles(A.table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"], 0.9)
 
 
-@query("agg_index_percentile", "", """SELECT event_type, n, round(mean, 6) AS mean, least, most, s[least(n, CAST(floor(0.5 * n) AS INT) + 1)] AS p50, s[least(n, CAST(floor(0.95 * n) AS INT) + 1)] AS p95, s[least(n, CAST(floor(0.99 * n) AS INT) + 1)] AS p99
-FROM (SELECT event_type, count(*) AS n, avg(value) AS mean, min(value) AS least, max(value) AS most, list_sort(list(value)) AS s FROM events GROUP BY 1)""")
+@query("agg_index_percentile", "", """SELECT event_type, n, round(mean, 6) AS mean, least, most, median, s[least(n, CAST(floor(0.5 * n) AS INT) + 1)] AS p50, s[least(n, CAST(floor(0.95 * n) AS INT) + 1)] AS p95, s[least(n, CAST(floor(0.99 * n) AS INT) + 1)] AS p99
+FROM (SELECT event_type, count(*) AS n, avg(value) AS mean, min(value) AS least, max(value) AS most, median(value) AS median, list_sort(list(value)) AS s FROM events GROUP BY 1)""")
 def _(spark, d):
     return O.latency_summary(A.table(spark, d, "events"), "value", ["event_type"]).withColumn("mean", F.round("mean", 6))
 
 
-@query("agg_time_bucket_zero_fill", "", """WITH e AS (SELECT (date_diff('second', TIMESTAMP '2024-01-01', ts)) AS t, event_type <> 'error' AS ok, value FROM events WHERE user_id = 8 AND ts < TIMESTAMP '2024-01-02'),
-g AS (SELECT t // 3600 AS bucket, count(*) AS n, count(*) FILTER (ok) AS ok, list_sort(coalesce(list(value) FILTER (ok), [])) AS s FROM e GROUP BY 1)
-SELECT b.bucket, coalesce(n, 0) AS n, coalesce(ok, 0) AS ok, coalesce(n, 0) - coalesce(ok, 0) AS fail, coalesce(n, 0) / 3600 AS rate, s[least(len(s), CAST(floor(0.5 * len(s)) AS INT) + 1)] AS p50, s[least(len(s), CAST(floor(0.95 * len(s)) AS INT) + 1)] AS p95, s[least(len(s), CAST(floor(0.99 * len(s)) AS INT) + 1)] AS p99, s[-1] AS most
-FROM range(24) b(bucket) LEFT JOIN g ON g.bucket = b.bucket""")
+@query("agg_time_bucket_zero_fill", "", """WITH e AS (SELECT (date_diff('second', TIMESTAMP '2024-01-01', ts)) AS t, event_type <> 'error' AS ok, value FROM events),
+g AS (SELECT t // 600 AS bucket, count(*) AS n, count(*) FILTER (ok) AS ok, list_sort(coalesce(list(value) FILTER (ok), [])) AS s FROM e GROUP BY 1)
+SELECT b.bucket, coalesce(n, 0) AS n, coalesce(ok, 0) AS ok, coalesce(n, 0) - coalesce(ok, 0) AS fail, coalesce(n, 0) / 600 AS rate, s[least(len(s), CAST(floor(0.5 * len(s)) AS INT) + 1)] AS p50, s[least(len(s), CAST(floor(0.95 * len(s)) AS INT) + 1)] AS p95, s[least(len(s), CAST(floor(0.99 * len(s)) AS INT) + 1)] AS p99, s[-1] AS most
+FROM (SELECT unnest(range(0, (SELECT max(bucket) + 1 FROM g))) AS bucket) b LEFT JOIN g ON g.bucket = b.bucket""")
 def _(spark, d):
-    e = A.table(spark, d, "events").where("user_id = 8 and ts < timestamp '2024-01-02'")
+    e = A.table(spark, d, "events")
     e = e.select((F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))).alias("t"), (F.col("event_type") != "error").alias("ok"), "value")
-    return O.time_buckets(e, "t", "ok", "value", 3600, 86_400)
+    return O.time_buckets(e, "t", "ok", "value", 600)
 
 
 @query("agg_topn_ratio", "a_request", "SELECT ua, count(*) AS hits, count(DISTINCT ip) AS ips, round(count(*) FILTER (status = 200) / count(*), 3) AS ok_ratio FROM a_request GROUP BY 1 ORDER BY hits DESC, ua LIMIT 50")
@@ -536,9 +535,9 @@ def _(spark, d):
     return O.failure_report(o, "ok", "status", "error", "o_orderkey")
 
 
-@query("agg_bucket_report", "", "SELECT l_returnflag AS bucket, count(*) AS n, avg(l_linenumber) AS mean_l_linenumber, median(l_linenumber) AS median_l_linenumber FROM lineitem GROUP BY 1")
+@query("agg_bucket_report", "", "SELECT l_returnflag AS bucket, count(*) AS n, avg(l_linenumber) AS mean_l_linenumber, median(l_linenumber) AS median_l_linenumber, median(l_extendedprice) AS median_l_extendedprice FROM lineitem GROUP BY 1")
 def _(spark, d):
-    return O.bucket_report(A.table(spark, d, "lineitem"), "l_returnflag", ["l_linenumber"], ["l_linenumber"])
+    return O.bucket_report(A.table(spark, d, "lineitem"), "l_returnflag", ["l_linenumber"], ["l_linenumber", "l_extendedprice"])
 
 
 @query("dml_upsert", "a_page", "SELECT source, p_retailprice FROM a_page WHERE p_size % 2 = 0 AND p_size % 3 > 0 UNION ALL SELECT source, p_retailprice + 1 FROM a_page WHERE p_size % 3 = 0")
