@@ -1,4 +1,7 @@
-"""A catalog in a folder: raw pages, parsed pages, mappings and events as versioned tables."""
+"""A catalog in a folder: raw pages, parsed pages and mappings in snapshots, and an event log.
+
+The three tables change in one commit (`sources.snapshots`): a change reads one snapshot and replaces it, or is refused if another writer was first.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,8 @@ from .operators import catalog as C
 from .operators import compare as D
 from .operators import explain as E
 from .shipping import ship
-from .sources.sinks import VersionedTable, append_event
+from .sources.sinks import append_event
+from .sources.snapshots import ReadOnly, Snapshot, Snapshots
 
 RAW = "source string, text string, generated_at timestamp, generator string, generator_version string, sha string"
 PARSED = f"source string, name string, section string, synopsis string, aliases array<struct<name:string,score:int>>, dashless boolean, subcommands array<string>, nested boolean, nested_end array<string>, options array<{E.OPTION}>, extractor string, model string, updated boolean"
@@ -24,72 +28,102 @@ class Duplicate(ValueError):
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False, version: int | None = None):
+        """Read-only, or pinned to one snapshot (and so read-only), or open for changes."""
         self.spark, self.path = ship(spark), path.rstrip("/")
-        self._tables = {n: VersionedTable(spark, f"{self.path}/{n}") for n in ("raw", "parsed", "mappings")}
+        self._store = Snapshots(spark, f"{self.path}/tables", read_only or version is not None)
+        self._pinned = None if version is None else self._store.at(version)
 
     def create(self) -> Catalog:
-        for name, schema in (("raw", RAW), ("parsed", PARSED), ("mappings", MAPPINGS)):
-            if not self._tables[name].versions():
-                self._tables[name].write(self.spark.createDataFrame([], schema))
+        if not self._store.versions():
+            self._store.commit({name: self.spark.createDataFrame([], schema) for name, schema in (("raw", RAW), ("parsed", PARSED), ("mappings", MAPPINGS))})
         return self
 
     def drop_all(self, confirm: bool = False) -> None:
-        for name in ("mappings", "parsed", "raw"):
-            self._tables[name].clear(confirm)
+        """All pages and mappings go; earlier snapshots stay."""
+        if not confirm:
+            raise ValueError("not confirmed")
+        now = self._now()
+        self._store.commit({name: now.read(name).limit(0) for name in now.folders}, now)
+
+    def _now(self) -> Snapshot:
+        return self._pinned or self._store.newest()
+
+    @property
+    def version(self) -> int:
+        return self._now().version
+
+    def pinned(self, version: int | None = None) -> Catalog:
+        """The catalog as it is now (or was), for reading."""
+        return Catalog(self.spark, self.path, version=self.version if version is None else version)
 
     @property
     def raw(self) -> DataFrame:
-        return self._tables["raw"].read()
+        return self._now().read("raw")
 
     @property
     def parsed(self) -> DataFrame:
-        return self._tables["parsed"].read()
+        return self._now().read("parsed")
 
     @property
     def mappings(self) -> DataFrame:
-        return self._tables["mappings"].read()
+        return self._now().read("mappings")
 
     def _scoped(self, parsed: DataFrame) -> DataFrame:
         return parsed.withColumn("distro", S.distro("source")).withColumn("release", S.release("source"))
 
-    # Changes: the tables that hang on each other are written together.
-
-    def _write(self, raw: DataFrame, parsed: DataFrame, mappings: DataFrame) -> None:
-        self._tables["raw"].write(raw)
-        self._tables["parsed"].write(parsed)
-        self._tables["mappings"].write(mappings)
+    # Changes: each reads one snapshot and commits the next.
 
     def add_pages(self, raw: DataFrame, parsed: DataFrame) -> None:
         """Stores pages and the mappings of their aliases; a page that is there is replaced, and its other mappings go."""
+        now = self._now()
         if not raw.where(~S.is_source("source")).isEmpty():
             raise ValueError("a source is malformed")
-        old = self.parsed.join(parsed.select("source"), "source", "left_anti")
+        old = now.read("parsed").join(parsed.select("source"), "source", "left_anti")
         if not C.duplicates_on_insert(self._scoped(old), self._scoped(parsed)).isEmpty():
             raise Duplicate
-        kept = C.delete_pages(parsed, self.raw, self.parsed, self.mappings)
+        kept = C.delete_pages(parsed, now.read("raw"), now.read("parsed"), now.read("mappings"))
         new = parsed.select(F.explode("aliases").alias("a"), "source").select(F.col("a.name").alias("src"), F.col("source").alias("dst"), F.col("a.score").cast("int").alias("score")).dropDuplicates(["src", "dst"])
-        self._write(kept[0].unionByName(raw.select(*kept[0].columns)), kept[1].unionByName(parsed.select(*kept[1].columns)), kept[2].unionByName(new))
+        self._store.commit({"raw": kept[0].unionByName(raw.select(*kept[0].columns)), "parsed": kept[1].unionByName(parsed.select(*kept[1].columns)), "mappings": kept[2].unionByName(new)}, now)
 
     def delete(self, sources: DataFrame) -> None:
-        self._write(*C.delete_pages(sources, self.raw, self.parsed, self.mappings))
+        now = self._now()
+        kept = C.delete_pages(sources, now.read("raw"), now.read("parsed"), now.read("mappings"))
+        self._store.commit(dict(zip(("raw", "parsed", "mappings"), kept, strict=True)), now)
 
     def add_mappings(self, new: DataFrame) -> None:
-        self._tables["mappings"].write(C.add_mappings(self.mappings, new))
+        now = self._now()
+        self._store.commit({"mappings": C.add_mappings(now.read("mappings"), new)}, now)
 
     def upgrade_aliases(self, aliases: DataFrame) -> None:
-        stored = aliases.join(self.parsed.select("source"), F.col("dst") == F.col("source"), "left_semi")
-        self._tables["mappings"].write(C.upgrade_aliases(self.mappings, stored))
+        now = self._now()
+        stored = aliases.join(now.read("parsed").select("source"), F.col("dst") == F.col("source"), "left_semi")
+        self._store.commit({"mappings": C.upgrade_aliases(now.read("mappings"), stored)}, now)
+
+    def _reconciled(self, parsed: DataFrame, mappings: DataFrame) -> DataFrame:
+        pages = self._scoped(parsed)
+        parents = pages.where(F.size("subcommands") > 0).select("name", "distro", "release", "subcommands")
+        return C.reconcile_subcommands(pages, mappings, parents)
 
     def reconcile(self) -> int:
         """Subcommand mappings as the parents declare them; how many there are."""
-        pages = self._scoped(self.parsed)
-        parents = pages.where(F.size("subcommands") > 0).select("name", "distro", "release", "subcommands")
-        out = C.reconcile_subcommands(pages, self.mappings, parents)
-        self._tables["mappings"].write(out)
-        return self.mappings.where(F.col("src").contains(" ") & (F.col("score") == 1)).count()
+        now = self._now()
+        after = self._store.commit({"mappings": self._reconciled(now.read("parsed"), now.read("mappings"))}, now)
+        return after.read("mappings").where(F.col("src").contains(" ") & (F.col("score") == 1)).count()
+
+    def map_extracted(self, aliases: DataFrame) -> int:
+        """What follows an extraction, in one commit: aliases (src, dst) of pages that are stored, then subcommands; how many mappings there are."""
+        now = self._now()
+        stored = aliases.join(now.read("parsed").select("source"), F.col("dst") == F.col("source"), "left_semi")
+        after = self._store.commit({"mappings": self._reconciled(now.read("parsed"), C.upgrade_aliases(now.read("mappings"), stored))}, now)
+        return after.read("mappings").count()
+
+    def vacuum(self, keep: int = 2, older_than: float = 7 * 86_400) -> list[str]:
+        return self._store.vacuum(keep, older_than)
 
     def log_event(self, event: str, metadata: dict) -> None:
+        if self._store.read_only:
+            raise ReadOnly(self.path)
         append_event(self.spark, f"{self.path}/events", event, metadata)
 
     # Queries.
