@@ -73,8 +73,8 @@ def shown_name(name: Column | str, section: Column | str) -> Column:
 
 
 def dedup_key(sha: Column | str, source: Column | str) -> Column:
-    """Content is the same page only within a folder."""
-    return F.concat_ws(":", col(sha), F.regexp_replace(col(source), r"/[^/]*$", ""))
+    """Content is the same page only within a folder; null where the hash or the source is unknown."""
+    return F.concat(col(sha), F.lit(":"), F.regexp_replace(col(source), r"/[^/]*$", ""))
 
 
 def artifact_stem(path: Column | str) -> Column:

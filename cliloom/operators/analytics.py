@@ -173,9 +173,12 @@ def first_seen_ids(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
 
 
 def first_canonical(df: DataFrame, key: Column, order: str, name: str) -> DataFrame:
-    """With `canonical`: the first of those that share a key."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("canonical", F.first(name).over(w)).withColumn("place", F.row_number().over(w))
+    """With `canonical`: the first of those that share a key (itself, where the key is null), and `is_first`."""
+    keyed = df.withColumn("_key", key)
+    firsts = keyed.where("_key is not null").groupBy("_key").agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("_first"))
+    out = keyed.join(firsts, "_key", "left")
+    canonical = F.when(F.col("_key").isNull(), F.col(name)).otherwise(F.col("_first.n"))
+    return out.withColumn("canonical", canonical).withColumn("is_first", canonical.eqNullSafe(F.col(name))).drop("_key", "_first")
 
 
 def section_fill(lines: DataFrame, doc: str, n: str, is_header: Column) -> DataFrame:

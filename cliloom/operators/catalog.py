@@ -146,10 +146,12 @@ def stale_subcommands(pages: DataFrame, mappings: DataFrame, parents: DataFrame)
     """Mappings of two words whose parent (name, distro, release, subcommands) is missing or doesn't declare them."""
     own = mappings.join(pages.select("source", F.col("name").alias("_own")), F.col("dst") == F.col("source")).where(F.col("src").contains(" ") & (F.col("src") != F.col("_own")))
     own = own.select("src", "dst", F.substring_index("src", " ", 1).alias("_parent"), F.substr(F.col("src"), F.instr(F.col("src"), " ") + 1).alias("_sub"), S.distro("dst").alias("_d"), S.release("dst").alias("_r"))
-    p = parents.groupBy(F.col("name").alias("_parent"), F.col("distro").alias("_d"), F.col("release").alias("_r")).agg(F.array_distinct(F.flatten(F.collect_list("subcommands"))).alias("_declared"))
-    j = own.join(p, ["_parent", "_d", "_r"], "left")
-    missing = _issue(j.where("_declared is null"), "error", "parent_missing", F.concat(F.col("src"), F.lit(" -> "), F.col("dst")))
-    undeclared = _issue(j.where(F.col("_declared").isNotNull() & ~F.array_contains("_declared", F.col("_sub"))), "warning", "not_declared", F.concat(F.col("src"), F.lit(" -> "), F.col("dst")))
+    of = ["_parent", "_d", "_r"]
+    p = parents.select(F.col("name").alias("_parent"), F.col("distro").alias("_d"), F.col("release").alias("_r"), "subcommands")
+    declared = p.select(*of, F.explode("subcommands").alias("_sub")).distinct()
+    missing = _issue(own.join(p.select(of).distinct(), of, "left_anti"), "error", "parent_missing", F.concat(F.col("src"), F.lit(" -> "), F.col("dst")))
+    undeclared = own.join(p.select(of).distinct(), of, "left_semi").join(declared, [*of, "_sub"], "left_anti")
+    undeclared = _issue(undeclared, "warning", "not_declared", F.concat(F.col("src"), F.lit(" -> "), F.col("dst")))
     return missing.unionByName(undeclared)
 
 
@@ -168,9 +170,12 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count("*").alias("n"))
 
 
-def check_all(pages: DataFrame, mappings: DataFrame, parents: DataFrame, options: DataFrame | None = None) -> DataFrame:
+def check_all(pages: DataFrame, mappings: DataFrame, parents: DataFrame, options: DataFrame | None = None, options_json: str | None = None) -> DataFrame:
+    """All issues; `options_json` names a column of `pages` that holds options as JSON."""
     out = malformed_sources(pages).unionByName(shadowed_pages(pages)).unionByName(orphaned_mappings(pages, mappings)).unionByName(stale_subcommands(pages, mappings, parents)).unionByName(unreachable_pages(pages, mappings))
-    return out.unionByName(flagged_positionals(options)) if options is not None else out
+    if options is not None:
+        out = out.unionByName(flagged_positionals(options))
+    return out.unionByName(corrupt_options(pages, options_json)) if options_json else out
 
 
 def has_errors(issues: DataFrame) -> bool:

@@ -145,6 +145,7 @@ def classify(files: DataFrame, stored: DataFrame, known: DataFrame, overwrite: b
     kind is, in this order: size_skip, symlink, filter_skip or work (where a
     filter is given and the page is to be overwritten), stored, content_dup, work.
     Content counts as seen from the first file on that gets as far as `work` without a filter, or from the store.
+    A file without a hash is like no other.
     """
     f = files.join(stored.select("source", F.col("extractor").alias("_e"), F.col("model").alias("_m"), F.lit(True).alias("_stored")), "source", "left")
     f = f.withColumn("_key", S.dedup_key("sha", "source"))
@@ -159,9 +160,10 @@ def classify(files: DataFrame, stored: DataFrame, known: DataFrame, overwrite: b
     filtered = F.lit(bool(filters and overwrite)) & F.col("_stored").isNotNull()
     early = F.when(wrong, "size_skip").when(F.col("canonical").isNotNull() & (F.col("canonical") != F.col("source")), "symlink").when(filtered, F.when(F.coalesce(match, F.lit(False)), "work").otherwise("filter_skip")).when(F.col("_stored").isNotNull() & ~F.lit(overwrite), "stored")
     f = f.withColumn("_early", early)
-    w = Window.partitionBy("_key").orderBy("pos")
-    open_rows = f.where("_early is null").withColumn("_first", F.first("source").over(w)).withColumn("_n", F.row_number().over(w))
-    canonical = F.coalesce("_db", F.when(F.col("_n") > 1, F.col("_first")))
+    open_rows = f.where("_early is null")
+    firsts = open_rows.groupBy("_key").agg(F.min(F.struct("pos", "source")).alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _key is not null").drop("_n")
+    open_rows = open_rows.join(firsts, "_key", "left")
+    canonical = F.coalesce("_db", F.when(F.col("pos") > F.col("_first.pos"), F.col("_first.source")))
     late = open_rows.select("pos", "source", F.when(canonical.isNotNull() & (canonical != F.col("source")), "content_dup").otherwise("work").alias("kind"), F.when(canonical != F.col("source"), canonical).alias("of"))
     return f.where("_early is not null").select("pos", "source", F.col("_early").alias("kind"), F.when(F.col("_early") == "symlink", F.col("canonical")).alias("of")).unionByName(late)
 

@@ -58,11 +58,18 @@ def exported_options(paragraphs: Column) -> Column:
     return F.transform(keep, lambda p: F.struct(p["text"].alias("text"), F.coalesce(p["short"], empty).alias("short"), F.coalesce(p["long"], empty).alias("long"), F.coalesce(p["expectsarg"], F.lit(False)).alias("has_arg"), p["argument"].alias("positional"), F.coalesce(p["nestedcommand"], F.lit(False)).alias("nested")))
 
 
-def span_cover(spans: DataFrame, key: str, start: str, end: str, length: Column) -> DataFrame:
-    """key, at: the places of a text that no span covers."""
-    covered = spans.select(key, F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias("at")).distinct()
-    every = spans.select(key, length.alias("_n")).distinct().select(key, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("at"))
-    return every.join(covered, [key, "at"], "left_anti")
+def uncovered(spans: DataFrame, key: str, start: str, end: str, length: str) -> DataFrame:
+    """key, start, end: the gaps that a text's spans leave, from a sweep over them in order of their starts.
+
+    A gap opens where a span begins behind all ends before it; an empty span, one whose bounds
+    are null, or what lies outside the text covers nothing.  `length` is the same in a text's rows.
+    """
+    s, e = F.greatest(F.col(start), F.lit(0)), F.least(F.col(end), F.col(length))
+    ends = F.struct(F.col(length).alias("s"), F.col(length).alias("e"))  # closes the last gap
+    rows = spans.where(F.col(start) < F.col(end)).select(key, s.alias("s"), e.alias("e")).where("s < e")
+    rows = rows.unionByName(spans.select(key, F.inline(F.array(ends))).distinct())
+    w = Window.partitionBy(key).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_from", F.coalesce(F.max("e").over(w), F.lit(0))).where("_from < s").select(key, F.col("_from").cast("long").alias("start"), F.col("s").cast("long").alias("end"))
 
 
 def first_of_group(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+
 #: The signs that mark a prefixed positional.
 SIGILS = ("@", "+", ":")
 #: Fixed value: spans over this many times the page's lines are nonsense.
@@ -74,44 +73,58 @@ def exact_dedup(options: DataFrame, by: str, idx: str, text: str) -> DataFrame:
 
 def mentions(text: Column, flag: Column) -> Column:
     """Whether a text names a flag with nothing of a flag's letters around it."""
-    return F.rlike(text, F.concat(F.lit(r"(?<![a-zA-Z0-9\-])\Q"), flag, F.lit(r"\E(?![a-zA-Z0-9\-])")))
-
-
-def _mentions(text: str, flag: str) -> bool:
-    at, word = -1, lambda c: c.isascii() and c.isalnum() or c == "-"
-    while (at := text.find(flag, at + 1)) >= 0:
-        end = at + len(flag)
-        if not (at and word(text[at - 1])) and not (end < len(text) and word(text[end])):
-            return True
-    return False
-
-
-def superset_merge(rows: list[dict]) -> list[dict]:
-    """An option whose text names a further flag of a larger one merges into the larger one with the fewest further flags; a longer text goes along."""
-    rows = [dict(r, flags=set(r["short"]) | set(r["long"])) for r in rows]
-    gone: set[int] = set()
-    for i, r in enumerate(rows):
-        if not r["flags"]:
-            continue
-        larger = [(len(s["flags"] - r["flags"]), j) for j, s in enumerate(rows) if j not in gone and j != i and r["flags"] < s["flags"]]
-        larger = [(n, j) for n, j in larger if any(_mentions(r["text"], f) for f in rows[j]["flags"] - r["flags"])]
-        if larger:
-            s = rows[min(larger)[1]]
-            if len(r["text"]) > len(s["text"]):
-                s["text"], s["line_start"], s["line_end"] = r["text"], r["line_start"], r["line_end"]
-            gone.add(i)
-    return [{k: v for k, v in r.items() if k != "flags"} for i, r in enumerate(rows) if i not in gone]
+    return F.rlike(text, F.concat(F.lit(r"(?<![a-zA-Z0-9\-])\Q"), F.replace(flag, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-zA-Z0-9\-])")))
 
 
-def superset_dedup(options: DataFrame, by: str, idx: str) -> DataFrame:
-    """The merge above, page by page; each step sees what the steps before changed, so it is a fold over a page's options."""
-    names = options.columns
+def containments(options: DataFrame, by: str, idx: str) -> DataFrame:
+    """by, sub, sup, extra (flags): the pairs of a page whose first option's flags are a part of the second's.
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = [r | {"short": list(r["short"]), "long": list(r["long"])} for r in batch.sort_values(idx).to_dict("records")]
-        return pd.DataFrame(superset_merge(rows), columns=names)
+    A larger set holds the smaller one's rarest flag, so options meet by that flag only, not each with each.
+    """
+    sets = options.select(by, F.col(idx).alias("sub"), F.array_distinct(flags()).alias("_f")).where(F.size("_f") > 0)
+    each = sets.select(by, "sub", F.explode("_f").alias("_flag"))
+    counts = each.groupBy(by, "_flag").agg(F.count("*").alias("_c"))
+    rarest = each.join(counts, [by, "_flag"]).groupBy(by, "sub").agg(F.min(F.struct("_c", "_flag"))["_flag"].alias("_flag"))
+    small = sets.join(rarest, [by, "sub"])
+    large = sets.select(by, F.col("sub").alias("sup"), F.col("_f").alias("_g"), F.explode("_f").alias("_flag"))
+    met = small.join(large, [by, "_flag"]).where((F.size("_g") > F.size("_f")) & (F.size(F.array_except("_f", "_g")) == 0))
+    return met.select(by, "sub", "sup", F.array_except("_g", "_f").alias("extra"))
 
-    return options.groupBy(by).applyInPandas(run, options.schema)
+
+def superset_dedup(options: DataFrame, by: str, idx: str) -> DataFrame:
+    """An option whose text names a further flag of a larger one merges into the larger one with the fewest further flags (of equal ones the first); a longer text goes along.
+
+    Options are settled in order, each seeing what those before it did, and that is all that
+    holds up a round: an option waits for those before it whose flags hold its own or are held
+    by them.  So a page takes as many rounds as its longest chain of nested options, and all
+    pages take them together.
+    """
+    pairs = written(containments(options, by, idx), "pairs")
+    moved = ["text", "line_start", "line_end"]
+    ends = pairs.select(by, F.col("sub").alias(idx)).unionByName(pairs.select(by, F.col("sup").alias(idx))).distinct()
+    state = options.join(ends, [by, idx]).select(by, idx, F.struct(*moved).alias("held"), F.lit(False).alias("gone"), F.lit(False).alias("settled"))
+    touching = pairs.select(by, F.col("sub").alias(idx), F.col("sup").alias("_other")).unionByName(pairs.select(by, F.col("sup").alias(idx), F.col("sub").alias("_other")))
+    touching = touching.where(F.col("_other") < F.col(idx))
+    while True:
+        state = written(state, "options")
+        open_ = state.where("not settled").select(by, idx)
+        if open_.isEmpty():
+            break
+        waits = touching.join(open_.withColumnRenamed(idx, "_other"), [by, "_other"], "left_semi").select(by, idx)
+        ready = open_.join(waits, [by, idx], "left_anti")
+        live = state.where("not gone").select(by, F.col(idx).alias("sup"))
+        texts = state.join(ready, [by, idx], "left_semi").select(by, F.col(idx).alias("sub"), "held")
+        named = F.exists("extra", lambda f: mentions(F.col("held.text"), f))
+        goes = pairs.join(texts, [by, "sub"]).join(live, [by, "sup"], "left_semi").where(named)
+        goes = goes.groupBy(by, "sub").agg(F.min(F.struct(F.size("extra").alias("n"), "sup"))["sup"].alias("sup"), F.any_value("held").alias("held"))
+        # Of several that merge into one the longest text, the first of equally long ones.
+        come = goes.groupBy(by, F.col("sup").alias(idx)).agg(F.max_by("held", F.struct(F.length("held.text"), -F.col("sub"))).alias("_new"))
+        state = state.join(ready.withColumn("_ready", F.lit(True)), [by, idx], "left").join(goes.select(by, F.col("sub").alias(idx), F.lit(True).alias("_goes")), [by, idx], "left").join(come, [by, idx], "left")
+        held = F.when(F.coalesce(F.length("_new.text") > F.length("held.text"), F.lit(False)), F.col("_new")).otherwise(F.col("held"))
+        state = state.select(by, idx, held.alias("held"), (F.col("gone") | F.col("_goes").isNotNull()).alias("gone"), (F.col("settled") | F.col("_ready").isNotNull()).alias("settled"))
+    out = options.join(state.select(by, idx, "held", "gone"), [by, idx], "left").where("not coalesce(gone, false)")
+    put = {c: F.when(F.col("held").isNull(), F.col(c)).otherwise(F.col(f"held.{c}")).alias(c) for c in moved}
+    return out.select(*(put.get(c, F.col(c)) for c in options.columns))
 
 
 def drop_empty(options: DataFrame) -> DataFrame:
@@ -133,14 +146,3 @@ def postprocess(options: DataFrame, by: str, idx: str, steps: tuple[str, ...] =
     if "dedup" in steps:
         out = superset_dedup(exact_dedup(out, by, idx, "text"), by, idx)
     return drop_empty(out) if "empty" in steps else out
-
-
-def batches_of(rows: Iterator[dict], n: int) -> Iterator[list[dict]]:
-    held: list[dict] = []
-    for r in rows:
-        held.append(r)
-        if len(held) == n:
-            yield held
-            held = []
-    if held:
-        yield held

@@ -76,4 +76,4 @@ SQL = {
 
 def sql(needs: str, body: str) -> str:
     """The checking SQL with the stand-ins that it needs in front."""
-    return "WITH " + ",\n".join(SQL[n] for n in needs.split()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(SQL[n] for n in needs.split()) + "\n" + body

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import strings as S
 from ..operators import analytics as O
 from ..operators import catalog as C
+from ..sources.folders import new_folder
+from ..sources.snapshots import Snapshots
 from . import analogs as A
 from .registry import query
 
@@ -356,10 +358,10 @@ def _(spark, d):
     return O.first_seen_ids(A.table(spark, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", "event_type")
 
 
-@query("win_first_canonical", "", "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS canonical, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS place FROM documents")
+@query("win_first_canonical", "", "SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS canonical, text IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY text) AS is_first FROM documents")
 def _(spark, d):
     docs = A.table(spark, d, "documents")
-    return O.first_canonical(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), F.col("sha"), "doc_id", "doc_id").select("doc_id", "canonical", "place")
+    return O.first_canonical(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), F.col("sha"), "doc_id", "doc_id").select("doc_id", "canonical", "is_first")
 
 
 @query("win_section_fill", "a_line", "SELECT doc_id, n, CAST(sum(CASE WHEN length(line) <= 40 AND n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS section FROM a_line")
@@ -554,6 +556,25 @@ def _(spark, d):
     return pages.select(F.lit("page").alias("kind"), F.col("source").alias("key")).unionByName(maps.select(F.lit("mapping").alias("kind"), F.concat_ws(" ", "src", "dst").alias("key")))
 
 
+@query("dml_snapshot", "a_page a_map", """, late AS (SELECT src, dst FROM a_map WHERE dst NOT IN (SELECT source FROM a_page WHERE p_size % 4 = 0))
+SELECT distro, count(*) AS pinned_pages, CAST(sum(m.n) AS BIGINT) AS pinned_mappings, count(*) FILTER (p_size % 4 <> 0) AS pages, (SELECT count(*) FROM late JOIN a_page q ON dst = q.source WHERE q.distro = a.distro) AS mappings
+FROM a_page a JOIN (SELECT dst, count(*) AS n FROM a_map GROUP BY 1) m ON dst = source GROUP BY distro""")
+def _(spark, d):
+    """Pages are deleted in one commit with their mappings; a reader that pinned the snapshot before still sees both."""
+    p, m = A.pages(spark, d), A.mappings(spark, d)
+    store = Snapshots(spark, new_folder(spark, "catalog"))
+    pinned = store.at(store.commit({"pages": p.select("source", "distro", "p_size"), "mappings": m}).version)
+    pages, _, maps = C.delete_pages(pinned.read("pages").where("p_size % 4 = 0"), pinned.read("pages"), pinned.read("pages"), pinned.read("mappings"))
+    now = store.commit({"pages": pages, "mappings": maps}, pinned)
+
+    def counts(at, pages_as, mappings_as):
+        links = at.read("pages").join(at.read("mappings").groupBy("dst").agg(F.count("*").alias("n")), F.col("dst") == F.col("source"), "left")
+        return links.groupBy("distro").agg(F.count("*").alias(pages_as), F.coalesce(F.sum("n"), F.lit(0)).alias(mappings_as))
+
+    both = counts(pinned, "pinned_pages", "pinned_mappings").join(counts(now, "pages", "mappings"), "distro", "left")
+    return both.fillna(0)
+
+
 @query("dml_duplicates_on_insert", "a_page", """, k AS (SELECT *, replace(p_name, ' ', '-') AS nm FROM a_page) SELECT n.source, o.source AS stored FROM k n JOIN k o ON n.nm = o.nm AND n.section = o.section AND n.distro = o.distro AND n.release = o.release WHERE n.p_partkey % 2 = 0 AND o.p_partkey % 2 = 1 AND n.source <> o.source""")
 def _(spark, d):
     p = A.pages(spark, d).withColumn("name", F.replace("p_name", F.lit(" "), F.lit("-")))

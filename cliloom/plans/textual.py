@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
@@ -259,9 +260,37 @@ def _(spark, d):
     return P.normalise(rows).select("event_id", "has_arg", "arg_values", "positional", "prefix")
 
 
-@query("opt_superset_dedup")
-def _(spark, d):
-    return P.superset_dedup(_option_rows(spark, d), "page", "idx").select("page", "idx", "short", "long")
+def _nested_rows(spark, d):
+    """Options whose flags hold each other's, over several steps, with texts that name some of them."""
+    o, q = A.options(spark, d), F.col("qty")
+    none = F.array().cast("array<string>")
+    short = F.when(q % 3 == 0, F.slice("short", 1, 1)).otherwise(F.col("short"))
+    long = F.concat("long", F.when(q % 5 < 2, F.array(F.lit("--more"))).otherwise(none), F.when(q % 7 < 3, F.array(F.lit("--zone"))).otherwise(none))
+    text = F.concat("text", F.lit(" like -f, --opt"), q % 4, F.when(q % 2 == 0, " and --more").otherwise(" but --zone."))
+    rows = o.select("page", "idx", short.alias("short"), long.alias("long"), text.alias("text"), "line_start", "line_end")
+    # One option of each set of flags, at a place of its own.
+    rows = rows.groupBy("page", F.array_sort(F.array_distinct(P.flags())).alias("set")).agg(F.min(F.struct("idx", "text", "line_end", "line_start", "short", "long")).alias("o"))
+    place = F.row_number().over(Window.partitionBy("page").orderBy("o.idx", "set"))
+    return rows.select("page", place.alias("idx"), "o.short", "o.long", "o.text", "o.line_start", "o.line_end")
+
+
+@query("opt_superset_dedup", "a_option", r""", o AS (
+  SELECT page, idx, list_distinct(list_concat(CASE WHEN qty % 3 = 0 THEN short[1:1] ELSE short END, long, CASE WHEN qty % 5 < 2 THEN ['--more'] ELSE [] END, CASE WHEN qty % 7 < 3 THEN ['--zone'] ELSE [] END)) AS f,
+    text || ' like -f, --opt' || (qty % 4) || CASE WHEN qty % 2 = 0 THEN ' and --more' ELSE ' but --zone.' END AS text, line_end FROM a_option
+), k AS (SELECT page, list_sort(f) AS f, min({'idx': idx, 'text': text, 'line_end': line_end}) AS m FROM o GROUP BY 1, 2
+), d AS (SELECT page, f, m.text AS text, m.line_end AS line_end, row_number() OVER (PARTITION BY page ORDER BY m.idx, f) AS idx FROM k
+), p AS (SELECT page, count(*) AS n, list(idx ORDER BY idx) AS idxs, list(f ORDER BY idx) AS f, list(text ORDER BY idx) AS t, list(line_end ORDER BY idx) AS e FROM d GROUP BY page),
+fold AS (
+  SELECT page, n, idxs, f, t, e, list_transform(idxs, lambda x: false) AS gone, 1 AS i FROM p
+  UNION ALL SELECT page, n, idxs, f, CASE WHEN length(t[i]) > length(t[j]) THEN list_transform(range(1, n + 1), lambda k: t[CASE WHEN k = j THEN i ELSE k END]) ELSE t END,
+    CASE WHEN length(t[i]) > length(t[j]) THEN list_transform(range(1, n + 1), lambda k: e[CASE WHEN k = j THEN i ELSE k END]) ELSE e END,
+    CASE WHEN j IS NULL THEN gone ELSE list_transform(range(1, n + 1), lambda k: k = i OR gone[k]) END, i + 1
+  FROM (SELECT *, list_min(list_transform(list_filter(range(1, n + 1), lambda k: NOT gone[k] AND len(f[k]) > len(f[i]) AND list_has_all(f[k], f[i])
+      AND len(list_filter(f[k], lambda g: NOT list_contains(f[i], g) AND regexp_matches(t[i], '(^|[^a-zA-Z0-9\-])' || regexp_escape(g) || '([^a-zA-Z0-9\-]|$)'))) > 0), lambda k: len(f[k]) * 1000 + k)) % 1000 AS j FROM fold WHERE i <= n)
+)
+SELECT page, u.idx, list_sort(u.f) AS flags, u.t AS text, u.e AS line_end FROM (SELECT page, unnest(list_transform(list_filter(range(1, n + 1), lambda k: NOT gone[k]), lambda k: {'idx': idxs[k], 'f': f[k], 't': t[k], 'e': e[k]})) AS u FROM fold WHERE i = n + 1)""")
+def _(spark, d):
+    return P.superset_dedup(_nested_rows(spark, d), "page", "idx").select("page", "idx", F.array_sort(F.array_distinct(P.flags())).alias("flags"), "text", "line_end")
 
 
 # Comparisons.
@@ -299,19 +328,19 @@ def _(spark, d):
     return D.compare_runs(run(o.where("o_orderkey % 2 = 0")), run(o.where("o_orderkey % 2 = 1 and o_orderstatus <> 'P'")))
 
 
-_FILES = """f AS (SELECT doc_id AS pos, source || '/x/' || doc_id AS src, sha256(text) AS sha, strlen(text) AS len, CASE WHEN doc_id % 9 = 0 THEN 'other' END AS canonical, source || '/x' AS dir FROM documents), st AS (SELECT src FROM f WHERE pos % 10 = 0), kn AS (SELECT sha || ':' || dir AS key, min(src) AS src FROM f WHERE pos % 10 = 0 GROUP BY 1)"""
+_FILES = """f AS (SELECT doc_id AS pos, source || '/x/' || doc_id AS src, CASE WHEN doc_id % 8 > 0 THEN sha256(text) END AS sha, strlen(text) AS len, CASE WHEN doc_id % 9 = 0 THEN 'other' END AS canonical, source || '/x' AS dir FROM documents), st AS (SELECT src FROM f WHERE pos % 10 = 0), kn AS (SELECT sha || ':' || dir AS key, min(src) AS src FROM f WHERE pos % 10 = 0 GROUP BY 1)"""
 
 
 def _decided(spark, d):
     docs = A.table(spark, d, "documents")
-    f = docs.select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/x/"), "doc_id").alias("source"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("length"), F.when(F.col("doc_id") % 9 == 0, "other").alias("canonical"))
+    f = docs.select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/x/"), "doc_id").alias("source"), F.when(F.col("doc_id") % 8 > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.octet_length("text").alias("length"), F.when(F.col("doc_id") % 9 == 0, "other").alias("canonical"))
     stored = f.where("pos % 10 = 0")
     known = stored.groupBy(S.dedup_key("sha", "source").alias("key")).agg(F.min("source").alias("source"))
     return D.classify(f, stored.select("source", F.lit("llm").alias("extractor"), F.lit("m").alias("model")), known, size="small")
 
 
 @query("cls_decisions", "", f"""WITH {_FILES}, e AS (SELECT f.*, CASE WHEN len > 2048 THEN 'size_skip' WHEN canonical IS NOT NULL THEN 'symlink' WHEN src IN (SELECT src FROM st) THEN 'stored' END AS early, sha || ':' || dir AS key FROM f),
-o AS (SELECT e.*, kn.src AS db, first_value(e.src) OVER w AS first, row_number() OVER w AS n FROM e LEFT JOIN kn USING (key) WHERE early IS NULL WINDOW w AS (PARTITION BY key ORDER BY pos))
+o AS (SELECT e.*, kn.src AS db, CASE WHEN key IS NOT NULL THEN first_value(e.src) OVER w END AS first, row_number() OVER w AS n FROM e LEFT JOIN kn USING (key) WHERE early IS NULL WINDOW w AS (PARTITION BY key ORDER BY pos))
 SELECT pos, src AS source, early AS kind, CASE WHEN early = 'symlink' THEN canonical END AS of FROM e WHERE early IS NOT NULL
 UNION ALL SELECT pos, src, CASE WHEN coalesce(db, CASE WHEN n > 1 THEN first END) IS NOT NULL THEN 'content_dup' ELSE 'work' END, coalesce(db, CASE WHEN n > 1 THEN first END) FROM o""")
 def _(spark, d):
@@ -345,7 +374,7 @@ def _(spark, d):
 SELECT kind, count(*) AS n FROM (SELECT early AS kind FROM e WHERE early IS NOT NULL UNION ALL SELECT CASE WHEN row_number() OVER (PARTITION BY key ORDER BY pos) > 1 THEN 'content_dup' ELSE 'work' END FROM e WHERE early IS NULL) GROUP BY 1""")
 def _(spark, d):
     docs = A.table(spark, d, "documents")
-    f = docs.select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/x/"), "doc_id").alias("source"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").alias("length"), F.when(F.col("doc_id") % 9 == 0, "other").alias("canonical"))
+    f = docs.select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/x/"), "doc_id").alias("source"), F.when(F.col("doc_id") % 8 > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.octet_length("text").alias("length"), F.when(F.col("doc_id") % 9 == 0, "other").alias("canonical"))
     stored = f.where("pos % 10 = 0").select("source", F.lit("llm").alias("extractor"), F.lit("m").alias("model"))
     none = spark.createDataFrame([], "key string, source string")
     return D.plan_counts(D.classify(f, stored, none, overwrite=True, filters=[("llm", "other")], size="small"))
@@ -419,12 +448,13 @@ def _(spark, d):
     return M.batch_replies(o.select(cid.alias("custom_id")), o.where("o_orderkey % 3 < 2").select(F.to_json(body).alias("line")))
 
 
-@query("win_span_cover", "", "WITH c AS (SELECT conv_id, turn * 10 + (turn % 3) AS s, turn * 10 + 8 AS e FROM conversations), n AS (SELECT conv_id, max(e) + 2 AS n FROM c GROUP BY 1) SELECT conv_id, r AS at FROM (SELECT conv_id, unnest(range(0, n)) AS r FROM n) u WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = u.conv_id AND u.r >= s AND u.r < e)")
+@query("win_span_cover", "", """WITH c AS (SELECT conv_id, turn * 10 + (turn % 3) AS s, turn * 10 + 8 + turn % 4 AS e FROM conversations), n AS (SELECT conv_id, max(e) + 2 AS n FROM c GROUP BY 1),
+r AS (SELECT conv_id, unnest(range(0, n)) AS place FROM n), g AS (SELECT *, place - row_number() OVER (PARTITION BY conv_id ORDER BY place) AS island FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND place >= s AND place < e))
+SELECT conv_id, min(place) AS start, max(place) + 1 AS "end" FROM g GROUP BY conv_id, island""")
 def _(spark, d):
     t = F.col("turn")
-    c = A.table(spark, d, "conversations").select("conv_id", (t * 10 + t % 3).alias("s"), (t * 10 + 8).alias("e"))
-    c = c.join(c.groupBy("conv_id").agg((F.max("e") + 2).alias("n")), "conv_id")
-    return M.span_cover(c, "conv_id", "s", "e", F.col("n"))
+    c = A.table(spark, d, "conversations").select("conv_id", (t * 10 + t % 3).alias("s"), (t * 10 + 8 + t % 4).alias("e"))
+    return M.uncovered(c.join(c.groupBy("conv_id").agg((F.max("e") + 2).alias("n")), "conv_id"), "conv_id", "s", "e", "n")
 
 
 @query("dat_age", "", "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' minute' || CASE WHEN s // 60 = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 86400 THEN (s // 3600) || ' hour' || CASE WHEN s // 3600 = 1 THEN '' ELSE 's' END || ' ago' ELSE (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM (SELECT event_id, CAST(epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)) AS BIGINT) AS s FROM events)")

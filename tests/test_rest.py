@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import re
 import statistics
 
 import pytest
@@ -196,17 +197,45 @@ def opt(flags, text, **more):
         ([(["-A", "-e"], "x"), (["-e"], "no mention")], [({"-A", "-e"}, "x"), ({"-e"}, "no mention")]),
     ],
 )
-def test_superset_merge(rows, out):
-    got = P.superset_merge([opt(f, t) for f, t in rows])
-    assert [(set(r["short"]) | set(r["long"]), r["text"]) for r in got] == out
+def test_superset_merge(spark, rows, out):
+    assert merged(spark, {1: rows})[1] == out
+
+
+OPTION_ROWS = "page int, idx int, short array<string>, long array<string>, text string, line_start int, line_end int"
+
+
+def merged(spark, pages):
+    rows = [(p, i, *opt(f, t).values()) for p, options in pages.items() for i, (f, t) in enumerate(options)]
+    rows = [(*r[:5], r[1] * 10, r[1] * 10 + 1) for r in rows]
+    got = P.superset_dedup(spark.createDataFrame(rows, OPTION_ROWS).repartition(3), "page", "idx").orderBy("page", "idx").collect()
+    assert all(r["line_end"] == r["line_start"] + 1 for r in got)
+    return {p: [(set(r["short"]) | set(r["long"]), r["text"]) for r in got if r["page"] == p] for p in pages}
+
+
+def folded(options):
+    """The same from the rule, one option behind the other."""
+    rows = [[set(f), t] for f, t in options]
+    gone = set()
+    for i, (f, t) in enumerate(rows):
+        named = [j for j, (g, _) in enumerate(rows) if j not in gone and f and f < g and any(re.search(r"(?<![a-zA-Z0-9\-])" + re.escape(x) + r"(?![a-zA-Z0-9\-])", t) for x in g - f)]
+        if named:
+            j = min(named, key=lambda j: (len(rows[j][0]), j))
+            rows[j][1] = max(rows[j][1], t, key=len)
+            gone.add(i)
+    return [(f, t) for i, (f, t) in enumerate(rows) if i not in gone]
+
+
+def test_superset_merge_keeps_the_order_of_the_fold(spark):
+    rng = random.Random(8)
+    flags = ["-a", "-b", "-c", "--all", "--b", "x", "\\E"]
+    pages = {p: [(rng.sample(flags, rng.randint(0, 5)), " ".join(rng.choices([*flags, "-ab", "word"], k=rng.randint(0, 6)))) for _ in range(rng.randint(1, 14))] for p in range(60)}
+    assert merged(spark, pages) == {p: folded(o) for p, o in pages.items()}
 
 
-def test_exact_dedup_and_mentions(spark):
     rows = [(1, 0, ["-o"], [], "short"), (1, 1, ["-x"], [], "x"), (1, 2, ["-o"], [], "a longer text"), (1, 3, [], [], "pos")]
     out = P.exact_dedup(spark.createDataFrame(rows, "p int, idx int, short array<string>, long array<string>, text string"), "p", "idx", "text").orderBy("idx").collect()
     assert [(r.idx, r.text) for r in out] == [(0, "a longer text"), (1, "x"), (3, "pos")]
     for text, flag, yes in (("see -b.", "-b", True), ("see --b", "-b", False), ("see -bc", "-b", False), ("(-b)", "-b", True)):
-        assert one(spark, P.mentions(F.lit(text), F.lit(flag))) == yes == P._mentions(text, flag)
 
 
 # Comparisons and ingest.

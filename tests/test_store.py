@@ -101,5 +101,5 @@ def test_metadata(spark):
     ages = spark.range(1).select(M.age(t("2024-01-01 00:00:00"), t("2024-01-01 00:01:05")), M.age(t("2024-01-01"), t("2024-01-03")), M.parse_model(F.lit("openai/gpt/high")))
     assert tuple(ages.first())[:2] == ("1 minute ago", "2 days ago")
     assert ages.first()[2].effort == "high"
-    spans = spark.createDataFrame([(1, 0, 2, 5), (1, 4, 5, 5)], "k int, s int, e int, n int")
-    assert sorted(r["at"] for r in M.span_cover(spans, "k", "s", "e", F.col("n")).collect()) == [2, 3]
+    spans = spark.createDataFrame([(1, 0, 2, 9), (1, 4, 5, 9), (1, 4, 7, 9), (1, 5, 6, 9), (2, 3, 3, 4), (2, None, 1, 4), (3, -2, 99, 5), (4, 2, 4, 4)], "k int, s int, e int, n int")
+    assert sorted(tuple(r) for r in M.uncovered(spans, "k", "s", "e", "n").collect()) == [(1, 2, 4), (1, 7, 9), (2, 0, 4), (4, 0, 2)]
