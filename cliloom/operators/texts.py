@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,114 +75,96 @@ def size_verdict(text: Column) -> Column:
     return F.when(F.trim(text) == "", "empty").when(F.length(text) > LONGEST, "oversize")
 
 
-# Chunks: a fold over a page's blocks, whose state SQL doesn't keep.
+# Chunks.  Lines are laid end to end on an axis, each as long as it is in print (number and newline
+# included), so whether a run of lines fits is a difference of two places, and where it ends is found
+# by bisection.  Sections are the items, paragraphs where a section doesn't fit, lines where a
+# paragraph doesn't; these blocks are then the items of chunks.
 
-_NUMBERED_HEADING = re.compile(r"\s*\d+\|\s*\*\*[-+]")
+#: How many paragraphs of a section later chunks repeat (None: all).
+_LEADS = {"# NAME": None, "# SYNOPSIS": None, "# DESCRIPTION": 2}
 
 
-def _parts(text: str) -> list[tuple[int, str]]:
-    """(first line's number, text) of each section."""
-    lines = text.split("\n")
-    heads = [0, *(i for i, x in enumerate(lines) if i and re.match("#{1,2} ", x)), len(lines)]
-    return [(a + 1, "\n".join(lines[a:b])) for a, b in zip(heads, heads[1:], strict=False)]
+def _section_bounds(lines: list[str]) -> list[int]:
+    return [0, *(i for i, x in enumerate(lines) if i and re.match("#{1,2} ", x)), len(lines)]
 
 
 def preamble(text: str) -> str:
     """Name, synopsis and the first paragraph of the description, at most `PREAMBLE` characters."""
+    lines = text.split("\n")
+    bounds = _section_bounds(lines)
+    wanted = [("\n".join(lines[a:b]), lines[a].strip()) for a, b in zip(bounds, bounds[1:], strict=False) if lines[a].strip() in _LEADS]
+    out = "\n\n".join("\n\n".join(body.split("\n\n")[: _LEADS[head]]) for body, head in wanted)
+    cut = out.rfind("\n", 0, PREAMBLE)
+    return out if len(out) <= PREAMBLE else out[: cut if cut >= 0 else PREAMBLE] + "\n[…truncated]"
+
+
+def _runs(begins: np.ndarray, ends: np.ndarray, room: int, waits: list[bool], least: int) -> list[tuple[int, int]]:
+    """Runs of items as long as fit into `room`, where item k lies from begins[k] to ends[k].
+
+    Items that wait for what follows don't end a run that something follows, but `least` items
+    of it stay; the item that they wait for goes with them whatever its length.
+    """
+    out, at, bound = [], 0, 1
+    while at < len(ends):
+        stop = max(bound, int(np.searchsorted(ends, begins[at] + room, "right")))
+        back = stop
+        while stop < len(ends) and back - at > least and waits[back - 1]:
+            back -= 1
+        if back > at:
+            out.append((at, min(back, len(ends))))
+        at, bound = back, stop + 1
+    return out
+
+
+def _paragraphs(lines: list[str], a: int, b: int) -> list[tuple[int, int]]:
+    """Lines a to b parted by single blank lines, which belong to no paragraph."""
     out = []
-    for _, body in _parts(text):
-        head = body.split("\n", 1)[0].strip()
-        if head in ("# NAME", "# SYNOPSIS"):
-            out.append(body)
-        elif head == "# DESCRIPTION":
-            out.append("\n\n".join(body.split("\n\n")[:2]))
-    joined = "\n\n".join(out)
-    if len(joined) > PREAMBLE:
-        joined = joined[:PREAMBLE].rsplit("\n", 1)[0] + "\n[…truncated]"
-    return joined
-
-
-class _Chunker:
-    def __init__(self, text: str, size: int):
-        self.width = len(str(text.count("\n") + 1))
-        lead = preamble(text)
-        self.lead = f"{CONTINUED}{lead}\n\n---\n\n" if lead else ""
-        self.budget = size - len(self.lead)
-
-    def show(self, start: int, body: str) -> str:
-        return "\n".join(f"{start + i:>{self.width}}| {x}" for i, x in enumerate(body.split("\n")))
-
-    def fits(self, start: int, pieces: list[str], joint: str) -> bool:
-        return len(self.show(start, joint.join(pieces))) <= self.budget
-
-    def pack(self, start: int, pieces: list[str], joint: str, stays_open) -> Iterator[tuple[int, str]]:
-        """Pieces of a block into blocks that fit; pieces at a block's end that `stays_open` go to the next."""
-        held: list[str] = []
-        for piece in pieces:
-            if held and not self.fits(start, [*held, piece], joint):
-                keep = len(held)
-                while keep > 1 and stays_open(held[keep - 1]):
-                    keep -= 1
-                done = joint.join(held[:keep])
-                yield start, done
-                start += done.count("\n") + len(joint)
-                held = held[keep:]
-            held.append(piece)
-        if held:
-            yield start, joint.join(held)
-
-    def blocks(self, text: str) -> Iterator[tuple[int, str]]:
-        for start, body in _parts(text):
-            if self.fits(start, [body], ""):
-                yield start, body
-                continue
-            for at, paragraphs in self.pack(start, body.split("\n\n"), "\n\n", _is_heading):
-                if self.fits(at, [paragraphs], ""):
-                    yield at, paragraphs
-                else:
-                    yield from self.pack(at, paragraphs.split("\n"), "\n", lambda _: False)
-
-    def chunks(self, text: str) -> list[str]:
-        out: list[list[str]] = []
-        held: list[str] = []
-        used = 0
-        for start, body in self.blocks(text):
-            shown = self.show(start, body)
-            if held and used + len(shown) + 1 > self.budget:
-                keep = len(held)
-                while keep and _is_numbered_heading(held[keep - 1]):
-                    keep -= 1
-                if keep:
-                    out.append(held[:keep])
-                held = held[keep:]
-                used = sum(len(x) + 1 for x in held)
-            held.append(shown)
-            used += len(shown) + 1
-        if held:
-            out.append(held)
-        return [(self.lead if i else "") + "\n".join(x) for i, x in enumerate(out)]
-
-
-def _only_line(block: str) -> str | None:
-    lines = [x for x in block.splitlines() if x.strip()]
-    return lines[0] if len(lines) == 1 else None
-
-
-def _is_heading(block: str) -> bool:
-    line = _only_line(block)
-    return line is not None and line.lstrip().startswith(("**-", "**+"))
-
-
-def _is_numbered_heading(block: str) -> bool:
-    line = _only_line(block)
-    return line is not None and bool(_NUMBERED_HEADING.match(line))
+    while True:
+        blank = next((i for i in range(a + 1, b - 1) if not lines[i]), b)
+        out.append((a, blank))
+        if blank == b:
+            return out
+        a = blank + 1
+
+
+def _heading(lines: list[str]) -> bool:
+    """An option's heading and nothing else."""
+    worded = [x for x in lines if x.strip()]
+    return len(worded) == 1 and worded[0].lstrip().startswith(("**-", "**+"))
+
+
+def _blocks(lines: list[str], places: np.ndarray, room: int) -> list[tuple[int, int]]:
+    bounds = _section_bounds(lines)
+    out = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        parts = [(a, b)]
+        if places[b] - places[a] > room + 1:
+            items = _paragraphs(lines, a, b)
+            first, last = (np.array(x) for x in zip(*items, strict=True))
+            runs = _runs(places[first], places[last] - 1, room, [_heading(lines[i:j]) for i, j in items], 1)
+            parts = [(items[i][0], items[j - 1][1]) for i, j in runs]
+        for i, j in parts:
+            if places[j] - places[i] <= room + 1:
+                out.append((i, j))
+            else:
+                out += [(i + x, i + y) for x, y in _runs(places[i:j], places[i + 1 : j + 1] - 1, room, [False] * (j - i), 1)]
+    return out
 
 
 def chunk(text: str, size: int = CHUNK) -> list[str]:
     """Numbered chunks of at most `size` characters; later ones repeat the preamble; an option's heading stays with its body."""
-    c = _Chunker(text, size)
-    whole = c.show(1, text)
-    return [whole] if len(whole) <= size else c.chunks(text)
+    lines = text.split("\n")
+    width = len(str(len(lines)))
+    show = lambda a, b: "\n".join(f"{i + 1:>{width}}| {lines[i]}" for i in range(a, b))
+    places = np.concatenate(([0], np.cumsum([len(x) + width + 3 for x in lines])))
+    if places[-1] <= size + 1:
+        return [show(0, len(lines))]
+    lead = preamble(text)
+    lead = f"{CONTINUED}{lead}\n\n---\n\n" if lead else ""
+    blocks = _blocks(lines, places, size - len(lead))
+    sizes = np.concatenate(([0], np.cumsum([places[b] - places[a] for a, b in blocks])))
+    runs = _runs(sizes[:-1], sizes[1:], size - len(lead), [b - a == 1 and _heading(lines[a:b]) for a, b in blocks], 0)
+    return [(lead if k else "") + "\n".join(show(a, b) for a, b in blocks[i:j]) for k, (i, j) in enumerate(runs)]
 
 
 def chunks(pages: DataFrame, key: str, text: str, size: int = CHUNK) -> DataFrame:
