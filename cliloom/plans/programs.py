@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import analytics as O
+from ..operators import batches as B
 from ..operators import explain as E
 from ..operators import extract as X
 from ..operators import loadgen as L
 from ..sources import readers as R
+from ..sources.folders import new_folder
 from ..sources.sinks import contents_and_aliases, newest_entries
 from ..streaming import logs
 from . import analogs as A
@@ -77,9 +77,34 @@ def _(spark, d):
     return outcomes.select("source", "outcome", "reason", "dashless")
 
 
+@query("exe_batch_job", "", """WITH c AS (SELECT doc_id, length(substr(text, 4000 * k + 1, 4000)) AS n FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 3999) // 4000))) AS k FROM documents WHERE text IS NOT NULL))
+SELECT CAST(doc_id AS VARCHAR) AS item, CASE WHEN bool_or(n % 14 = 0) THEN 'failed' ELSE 'success' END AS outcome, count(*) AS chunks, count(*) FILTER (n % 14 > 0) AS done, CASE WHEN bool_or(n % 14 = 0) THEN 'missing' END AS error FROM c GROUP BY 1""")
+def _(spark, d):
+    """Documents by pieces of 4000 characters; a service that at first loses some and is too busy for others, and loses fewer when asked again."""
+    docs = A.table(spark, d, "documents").where("text is not null")
+    pieces = docs.select(F.col("doc_id").alias("item"), "text", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("text") / 4000)).cast("int") - 1)).alias("chunk"))
+    wanted = pieces.select("item", "chunk", F.substr("text", F.col("chunk") * 4000 + 1, F.lit(4000)).alias("body"))
+
+    def answers(lost, busy):
+        return lambda key, body: {"status": F.when(F.length(body) % busy == 0, 503).otherwise(200), "body": F.upper(body), "message": F.lit(None).cast("string"), "present": F.length(body) % lost != 0}
+
+    folder = new_folder(spark, "batches")
+    service = B.FolderService(spark, f"{folder}/inbox", answers(7, 11))
+    job = B.BatchJob(spark, f"{folder}/job", service)
+    job.prepare(wanted)
+    for later in (answers(14, 1 << 20), None):
+        job.submit()
+        service.serve()
+        job.collect()
+        if later:
+            service.answer = later
+            job.retry()
+    return job.outcomes()
+
+
 def _streamed(spark, d, make, name, keys=None):
     """The stream's whole output on bounded input, in the sink's folder: rows that are final, or the newest of each key."""
-    folder = f"{tempfile.mkdtemp(prefix='cliloom-stream-')}/{name}" if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/{name}-{spark.sql('select uuid()').first()[0]}"
+    folder = new_folder(spark, name)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = make(log.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ip", F.col("user_id").cast("string")))
