@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import strings as S
 from ..operators import analytics as O
 from ..operators import compare as D
+from ..operators import evals as V
 from ..operators import ingest as I
 from ..operators import metadata as M
 from ..operators import options as P
@@ -205,6 +206,53 @@ def _(spark, d):
     return T.audit_summary(T.audit(pages, "page_id", "md", "html", tuple(r for r in T.RULES if r[0] == "giant_markdown_line")), "page_id")
 
 
+# Metrics of pages and comparisons of runs.
+
+_TAG_SQL = r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|''[^'']*''|[^''">])*)>"""
+_DATA_SQL = f"regexp_replace(plain, '{_TAG_SQL}', '', 'g')"
+for _entity, _char in V._ENTITIES:
+    _DATA_SQL = f"replace({_DATA_SQL}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+#: From r(…, html) to x with plain, tags (whole ones), opening (names), data, lines and lengths of the page as Markdown.
+_PAGE_SQL = f"""c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)(<script\\b[^>]*>).*?(</script\\s*>)', '\\1\\2', 'g'), '(?is)(<style\\b[^>]*>).*?(</style\\s*>)', '\\1\\2', 'g') AS plain FROM r),
+t AS (SELECT *, regexp_extract_all(plain, '{_TAG_SQL}') AS tags, {_DATA_SQL} AS data, CASE WHEN ends_with(html, chr(10)) OR html = '' THEN list_slice(string_split(html, chr(10)), 1, -2) ELSE string_split(html, chr(10)) END AS lines FROM c),
+x AS (SELECT *, list_transform(list_filter(tags, lambda g: NOT starts_with(g, '</')), lambda g: lower(regexp_extract(g, '<([a-zA-Z][^\\s/>]*)', 1))) AS opening, list_transform(lines, lambda l: length(l)) AS lengths FROM t)"""
+_DEPTH_SQL = """list_reduce(list_transform(tags, lambda g: CASE WHEN starts_with(g, '</') THEN -1 WHEN ends_with(g, '/>') THEN 0 ELSE 1 END::BIGINT),
+  lambda s, e: greatest(s // 1000000 + e, 0) * 1000000 + greatest(s % 1000000, greatest(s // 1000000 + e, 0)), 0::BIGINT) % 1000000"""
+
+
+@query("agg_page_metrics", "", f"""WITH r AS (SELECT page_id, html FROM pages), {_PAGE_SQL}
+SELECT page_id, {_DEPTH_SQL} AS max_depth, length(data) AS data_chars, len(list_filter(opening, lambda g: g = 'p')) AS p, len(list_filter(opening, lambda g: g = 'a')) AS a, length(data) - length(replace(data, '<', '')) AS lt, length(data) - length(replace(data, '_', '')) AS low,
+len(lines) AS line_count, len(list_filter(lines, lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))) AS nonblank, coalesce(list_max(lengths), 0) AS longest, CASE WHEN len(lines) > 0 THEN round(list_sum(lengths) / len(lines), 2) ELSE 0 END AS mean_length FROM x""")
+def _(spark, d):
+    m = V.page_metrics(A.table(spark, d, "pages"), "page_id", "html", "html")
+    md, h = (lambda n: F.col(f"markdown.{n}")), (lambda n: F.col(f"html.{n}"))
+    return m.select("page_id", h("max_depth").alias("max_depth"), h("data_chars").alias("data_chars"), h("tags")["p"].alias("p"), h("tags")["a"].alias("a"), h("chars")["<"].alias("lt"), h("chars")["_"].alias("low"), md("line_count").alias("line_count"), md("nonblank_line_count").alias("nonblank"), md("max_line_length").alias("longest"), md("avg_line_length").alias("mean_length"))
+
+
+_METRICS_SQL = {
+    "markdown.max_line_length": "coalesce(list_max(lengths), 0)", "markdown.giant_lines_500": "len(list_filter(lengths, lambda n: n > 500))", "markdown.giant_lines_1000": "len(list_filter(lengths, lambda n: n > 1000))",
+    "markdown.unescaped_star_runs": r"len(regexp_extract_all(html, '(?:^|[^\\*])\*+')) + len(regexp_extract_all(html, '\\\*\*+'))", "markdown.unescaped_under_runs": r"len(regexp_extract_all(html, '(?:^|[^\\_])_+')) + len(regexp_extract_all(html, '\\__+'))",
+    "markdown.char_count": "length(html)", "html.data_chars": "length(data)",
+    **{m: f"len(list_filter(opening, lambda g: g = '{m.rsplit('.', 1)[1]}'))" for m, _ in V.RENDER_CHECKS if m.startswith("html.tags.")},
+    **{f"html.chars.{c}": f"length(data) - length(replace(data, '{c}', ''))" for c in V.SENSITIVE},
+}
+_ALL_METRICS = "[" + ", ".join(f"{{'metric': '{m}', 'value': CAST({x} AS DOUBLE)}}" for m, x in _METRICS_SQL.items()) + "]"
+
+
+@query("dif_metrics", "", f"""WITH r AS (SELECT 0 AS run, page_id, html FROM pages WHERE page_id % 17 > 0
+  UNION ALL SELECT 1, page_id, CASE page_id % 3 WHEN 0 THEN replace(replace(html, '<p>', '<div>'), 'er', '*') WHEN 1 THEN html || chr(10) || '<ul><li>a_b &lt;c&gt;</ul>' ELSE html END FROM pages WHERE page_id % 13 > 0), {_PAGE_SQL},
+m AS (SELECT run, page_id, unnest({_ALL_METRICS}) AS u FROM x), a AS (SELECT page_id, u.metric AS metric, u.value AS before FROM m WHERE run = 0), b AS (SELECT page_id, u.metric AS metric, u.value AS after FROM m WHERE run = 1)
+SELECT CAST(page_id AS VARCHAR) AS path, metric, before, after, after - before AS delta, 'changed' AS reason FROM a JOIN b USING (page_id, metric) WHERE after <> before AND abs(after - before) / greatest(abs(before), 1) > CASE WHEN metric IN ('markdown.char_count', 'html.data_chars') THEN 0.02 ELSE 0 END
+UNION ALL SELECT CAST(page_id AS VARCHAR), NULL, NULL, NULL, NULL, CASE WHEN page_id % 17 = 0 THEN 'added' ELSE 'removed' END FROM pages WHERE (page_id % 17 = 0) <> (page_id % 13 = 0)""")
+def _(spark, d):
+    """Two renderings of the pages, all structural metrics but the option-like tokens, whose pattern the SQL can't say."""
+    p, n = A.table(spark, d, "pages"), F.col("page_id") % 3
+    html = F.when(n == 0, F.replace(F.replace("html", F.lit("<p>"), F.lit("<div>")), F.lit("er"), F.lit("*"))).when(n == 1, F.concat("html", F.lit("\n<ul><li>a_b &lt;c&gt;</ul>"))).otherwise(F.col("html"))
+    run = lambda df: V.unpivoted(V.page_metrics(df, "page_id", "html", "html"), "page_id")
+    checks = V.render_checks(spark).where("metric <> 'markdown.max_option_like_tokens_on_line'")
+    return V.compared(run(p.where("page_id % 17 > 0")), run(p.where("page_id % 13 > 0").withColumn("html", html)), checks)
+
+
 # Options.
 
 
