@@ -86,7 +86,6 @@ def _gone(docs: DataFrame, ranges: DataFrame, text_col: str, id_col: str) -> Dat
     """_row, _a, _b: the ranges of lines whose bytes are those of their first occurrences."""
     wanted = ranges.select("_row", "_low", "_high").union(ranges.select("_row0", F.col("_low") - F.col("_off"), F.col("_high") - F.col("_off"))).distinct()
     wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("_low", "_high")).alias("_wanted"))
-    # The columns are those of the join that gives the result, so that both share one shuffle of the texts.
     held = docs.join(wanted, "_row").withColumn("_lines", _lines(F.col(text_col)))
     # Only the wanted lines leave a row, each range with its own; null where the text has no such line.
     cut = F.expr("transform(_wanted, w -> struct(w._low, w._high, transform(sequence(w._low, w._high), i -> get(_lines, i)) as _part))")
@@ -113,13 +112,17 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranges = written(_repeated(chunks), "ranges")
     drop(chunks)
     gone = _gone(docs, ranges, text_at, id_at).groupBy("_row").agg(F.collect_set(F.struct("_a", "_b")).alias("_gone"))
-    out = docs.join(gone, "_row", "left").withColumn("_lines", _lines(F.col(text_at)))
+    # The same columns as in _gone, so that one shuffle of the texts serves both; other columns come by a shuffle of their own.
+    out = docs.select("_row", id_at, text_at).join(gone, "_row", "left").withColumn("_lines", _lines(F.col(text_at)))
     left = F.when(F.col("_gone").isNotNull(), F.expr("array_except(sequence(0, size(_lines) - 1), flatten(transform(_gone, g -> sequence(g._a, g._b))))"))
     out = out.withColumn("_left", left)
     text = F.when(F.col("_gone").isNull(), F.col(text_at)).otherwise(F.array_join(F.expr("transform(_left, i -> _lines[i])"), "\n"))
     many = F.when(F.col(text_at).isNull(), 0).otherwise(F.size("_lines")).cast("long")
     removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long")
-    return out.select(*(text.alias(c) if c == text_at else F.col(c) for c in plain.columns), many, removed).toDF(*names, *fresh(names, "_n_lines", "_n_removed"))
+    out = out.select("_row", id_at, text.alias(text_at), many.alias("_many"), removed.alias("_removed"))
+    if rest := [c for c in plain.columns if c not in (id_at, text_at)]:
+        out = out.join(docs.select("_row", *rest), "_row")
+    return out.select(*plain.columns, "_many", "_removed").toDF(*names, *fresh(names, "_n_lines", "_n_removed"))
 
 
 def line_dedup_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
