@@ -9,6 +9,7 @@ from ..operators import batches as B
 from ..operators import explain as E
 from ..operators import extract as X
 from ..operators import loadgen as L
+from ..sources import logsource, pagefiles
 from ..sources import readers as R
 from ..sources.folders import new_folder
 from ..sources.sinks import contents_and_aliases, newest_entries
@@ -77,6 +78,33 @@ def _(spark, d):
     return outcomes.select("source", "outcome", "reason", "dashless")
 
 
+@query("src_log_window", "", """SELECT 'row' AS what, CAST(user_id AS VARCHAR) AS user, count(*) AS n FROM events WHERE event_id % 50 > 0 AND event_id % 7 > 0 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 2
+UNION ALL SELECT 'rejected', NULL, count(*) FROM events WHERE event_id % 50 = 0""")
+def _(spark, d):
+    """The event log as JSON lines, some of them broken, some without an address: a window of it through the log source."""
+    e, n = A.table(spark, d, "events"), F.col("event_id")
+    line = F.when(n % 50 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("ts").cast("string").alias("at"), F.when(n % 7 > 0, F.col("user_id").cast("string")).alias("user"), n.alias("id"))))
+    folder = new_folder(spark, "log")
+    e.select(line.alias("value")).write.text(folder)
+    log = logsource.register(spark).read.format("cliloom_log").option("time", "at")
+    window = log.schema("at timestamp, user string, id long").load(folder).where("at >= timestamp '2024-01-05 00:00:00' and at < timestamp '2024-01-20 12:00:00' and user is not null")
+    rejected = spark.read.format("cliloom_log").options(time="at", rejects="true").load(folder)
+    return window.groupBy(F.lit("row").alias("what"), "user").agg(F.count("*").alias("n")).unionByName(rejected.agg(F.count("*").alias("n")).select(F.lit("rejected").alias("what"), F.lit(None).cast("string").alias("user"), "n"))
+
+
+@query("snk_page_files", "", """SELECT 'page' AS what, 'doc/' || lang || '/1/d' || doc_id || '.1' AS source, length(text) AS n FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'alias', 'doc/' || lang || '/1/d' || doc_id || '.1', count(*) FROM documents WHERE doc_id % 3 = 0 GROUP BY 2""")
+def _(spark, d):
+    """Documents as page files, every third with an alias, written in one commit and read back."""
+    docs = A.table(spark, d, "documents")
+    source = F.concat(F.lit("doc/"), "lang", F.lit("/1/d"), "doc_id", F.lit(".1.gz"))
+    rows = docs.select(source.alias("source"), "text", F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(F.lit("other"), "doc_id"))).otherwise(F.array().cast("array<string>")).alias("aliases"))
+    folder = new_folder(spark, "pages")
+    pagefiles.register(spark)
+    rows.write.format("cliloom_pages").mode("append").save(folder)
+    pages = pagefiles.read_pages(spark, folder).select(F.lit("page").alias("what"), "source", F.col("length").alias("n"))
+    return pages.unionByName(pagefiles.read_aliases(spark, folder).groupBy(F.lit("alias").alias("what"), "source").agg(F.count("*").alias("n")))
+
+
 @query("exe_batch_job", "", """WITH c AS (SELECT doc_id, length(substr(text, 4000 * k + 1, 4000)) AS n FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 3999) // 4000))) AS k FROM documents WHERE text IS NOT NULL))
 SELECT CAST(doc_id AS VARCHAR) AS item, CASE WHEN bool_or(n % 14 = 0) THEN 'failed' ELSE 'success' END AS outcome, count(*) AS chunks, count(*) FILTER (n % 14 > 0) AS done, CASE WHEN bool_or(n % 14 = 0) THEN 'missing' END AS error FROM c GROUP BY 1""")
 def _(spark, d):
