@@ -14,6 +14,7 @@ from ..sources import readers as R
 from ..sources.folders import new_folder
 from ..sources.sinks import contents_and_aliases, newest_entries
 from ..streaming import logs
+from ..streaming import sessions as N
 from . import analogs as A
 from .registry import query
 
@@ -161,6 +162,22 @@ def _(spark, d):
     return _streamed(spark, d, lambda log: logs.running_bursts(log, 10), "running").select("ip", "hits")
 
 
+@query("stm_sessions", "", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) // 1000 AS ms FROM events), n AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY ip ORDER BY ms) >= 7200000, true) AS opens FROM e),
+s AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY ip ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM n), g AS (SELECT ip, min(ms) AS a, max(ms) AS b, count(*) AS hits FROM s GROUP BY ip, k)
+SELECT 'session' AS kind, ip, a AS start, b AS "end", hits FROM g WHERE b + 7200000 <= (SELECT max(ms) FROM e) - 1500000""")
+def _(spark, d):
+    """Sessions that two hours without a request end, those that are over for sure."""
+    A.table(spark, d, "events")
+    out = _streamed(N.with_state(spark), d, lambda log: N.sessions(log, gap=120 * N.MINUTE), "sessions")
+    return out.select("kind", "ip", F.unix_millis("start").alias("start"), F.unix_millis("end").alias("end"), "hits")
+
+
+@query("stm_look_back", "", """SELECT u AS until, CAST(user_id AS VARCHAR) AS ip, count(*) AS hits FROM (SELECT user_id, unnest(list_transform(range(1, 6), lambda k: time_bucket(INTERVAL 5 MINUTE, ts) + k * INTERVAL 5 MINUTE)) AS u FROM events) GROUP BY 1, 2""")
+def _(spark, d):
+    A.table(spark, d, "events")
+    return _streamed(spark, d, N.look_back, "lookback", ["until", "ip"]).withColumn("until", F.col("until").cast("timestamp_ntz"))
+
+
 @query("lod_commands")
 def _(spark, d):
     return L.commands(spark, 1000)
