@@ -29,6 +29,11 @@ def in_scope(df: DataFrame, column: str, distro: str | None, release: str | None
     return with_prefix(df, column, f"{distro}/{release}/") if distro and release else df
 
 
+def known_scope(pages: DataFrame, distro: str, release: str | None = None) -> bool:
+    """The guard before a scoped query: whether there is a source of this distro (and release)."""
+    return not with_prefix(pages, "source", f"{distro}/{release}/" if release else f"{distro}/").limit(1).isEmpty()
+
+
 def in_set(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(F.col(key).alias("_key")).distinct(), F.col(column) == F.col("_key"), "left_semi")
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
@@ -122,18 +122,24 @@ def ask(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.mapInPandas(run, _REPLY)
 
 
-_SCHEMA = "struct<options:array<struct<short:array<string>,long:array<string>,has_argument:boolean,positional:string,lines:array<int>>>,dashless_opts:boolean>"
+_SCHEMA = "struct<options:array<struct<short:array<string>,long:array<string>,has_argument:boolean,positional:string,lines:array<int>>>,dashless_opts:boolean,subcommands:array<string>>"
+
+
+def _subcommands() -> Column:
+    parts = F.sort_array(F.collect_list(F.struct("part", F.coalesce("_j.subcommands", F.array().cast("array<string>")).alias("s"))))
+    return F.flatten(F.transform(parts, lambda x: x["s"]))
 
 
 def assemble(replies: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes, options).  pages: source, text.
 
     A page succeeds if it has no more than `MOST_CHUNKS` chunks, all were answered with JSON of the right form (fences and bad escapes are mended)
-    and the spans are sane.  Chunks and tokens are kept on failed pages too.
+    and the spans are sane.  Chunks and tokens are kept on failed pages too.  `subcommands` are those of all chunks, in
+    their order and without the page's name in front; `nested` says whether the synopsis names a command to run.
     """
     parsed = replies.withColumn("_j", F.from_json(S.repaired_json("reply"), _SCHEMA))
     bad = F.col("error").isNotNull() | F.col("_j.options").isNull()
-    state = parsed.groupBy("source").agg(F.bool_or(bad).alias("_bad"), F.count("*").alias("_n"), F.max("parts").alias("_parts"), F.sum("tokens").alias("tokens"), F.coalesce(F.bool_or("_j.dashless_opts"), F.lit(False)).alias("dashless"), F.min("error").alias("error"))
+    state = parsed.groupBy("source").agg(F.bool_or(bad).alias("_bad"), F.count("*").alias("_n"), F.max("parts").alias("_parts"), F.sum("tokens").alias("tokens"), F.coalesce(F.bool_or("_j.dashless_opts"), F.lit(False)).alias("dashless"), F.min("error").alias("error"), _subcommands().alias("subcommands"))
     each = parsed.where(~bad).select("source", "part", F.posexplode("_j.options").alias("i", "o"))
     each = each.select("source", (F.col("part") * 1_000_000 + F.col("i")).alias("idx"), F.col("o.short").alias("short"), F.col("o.long").alias("long"), F.coalesce("o.has_argument", F.lit(False)).alias("has_arg"), F.col("o.positional").alias("positional"), F.get("o.lines", F.lit(0)).alias("line_start"), F.get("o.lines", F.lit(1)).alias("line_end"))
     each = each.where(~P.malformed(each))
@@ -141,9 +147,11 @@ def assemble(replies: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
     each = P.chunk_dedup(each, "source", "idx", F.col("line_end") - F.col("line_start"))
     each = each.join(lines, "source").withColumn("text", T.line_slice(F.col("_lines"), F.col("line_start"), F.col("line_end"))).drop("_lines").withColumn("prefix", F.lit(None).cast("string")).withColumn("nested", F.lit(False))
     sane = P.span_sanity(each, "source")
-    out = state.join(sane, "source", "left")
+    heads = T.sections(pages, "source", "text").where(F.split_part("text", F.lit("\n"), F.lit(1)).rlike(r"^#+\s+SYNOPSIS\s*$"))
+    nested = heads.groupBy("source").agg(F.bool_or(F.exists(F.split("text", "\n"), S.names_nested_command)).alias("nested"))
+    out = state.join(sane, "source", "left").join(nested, "source", "left")
     reason = F.when(F.col("_parts") > T.MOST_CHUNKS, "too_many_chunks").when(F.col("_n") < F.col("_parts"), "missing_chunk").when(F.col("_bad"), "bad_reply").when(F.coalesce("failed", F.lit(False)), "line_span_coverage")
-    outcomes = out.select("source", F.when(reason.isNull(), "success").otherwise("failed").alias("outcome"), reason.alias("reason"), "tokens", "dashless", "error", F.col("_parts").alias("chunks"))
+    outcomes = out.select("source", F.when(reason.isNull(), "success").otherwise("failed").alias("outcome"), reason.alias("reason"), "tokens", "dashless", "error", F.col("_parts").alias("chunks"), S.normal_subcommands("subcommands", S.page_name("source")).alias("subcommands"), F.coalesce("nested", F.lit(False)).alias("nested"))
     good = outcomes.where("outcome = 'success'").select("source")
     return outcomes, P.postprocess(each.join(good, "source", "left_semi"), "source", "idx")
 
@@ -151,7 +159,7 @@ def assemble(replies: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame
 def extract(pages: DataFrame, model: str, chunk: int = T.CHUNK) -> tuple[DataFrame, DataFrame]:
     """pages: source, text.  Skipped pages are outcomes too."""
     verdict = T.size_verdict(F.col("text"))
-    work = pages.withColumn("_v", verdict)
+    work = pages.withColumn("text", S.plain_entities("text")).withColumn("_v", verdict)
     ready = T.filtered(work.where("_v is null"), "source", "text").select("source", "text")
     outcomes, options = assemble(ask(T.chunks(ready, "source", "text", chunk), model), ready)
     skipped = work.where("_v is not null").select("source", F.lit("skipped").alias("outcome"), F.col("_v").alias("reason"))

@@ -206,26 +206,28 @@ RULES = (
 )
 
 
-def _all_of(pattern: str):
-    return lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+def _shown(pattern: str):
+    """What a pattern finds in a line, as (found, shown with what is beside it)."""
+    return lambda line: F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), lambda x: F.struct(x.alias("found"), padded(line, x).alias("shown")))
 
 
 def audit(pages: DataFrame, key: str, markdown: str, html: str, rules=RULES, known_escapes: Column | None = None) -> DataFrame:
-    """key, rule, hits, snippets (the first three): lines against each rule, and the synopsis rule.
+    """key, rule, hits, snippets (the first three, with what is beside them): lines against each rule, and the synopsis rule.
 
     `known_escapes`, an array of names, keeps bracketed escapes to names that are in it.
     """
     arms = {"md": F.col(markdown), "raw": F.col(html), "html": F.regexp_replace(F.col(html), "<[^>]+>", "")}
     each = []
     for name, arm, pattern in rules:
-        found = F.flatten(F.transform(F.split(arms[arm], "\n", -1), _all_of(pattern)))
+        found = F.flatten(F.transform(F.split(arms[arm], "\n", -1), _shown(pattern)))
         if name == "roff_named_escape" and known_escapes is not None:
-            found = F.filter(found, lambda x: F.array_contains(known_escapes, F.regexp_extract(x, r"\\\[(.*)\]", 1)) | x.rlike(r"^\\\[u[0-9A-Fa-f]{4,6}\]$"))
+            found = F.filter(found, lambda x: F.array_contains(known_escapes, F.regexp_extract(x["found"], r"\\\[(.*)\]", 1)) | x["found"].rlike(r"^\\\[u[0-9A-Fa-f]{4,6}\]$"))
         each.append(F.struct(F.lit(name).alias("rule"), found.alias("f")))
-    out = pages.select(key, F.inline(F.array(*each)))
     runs = sections(pages, key, markdown).where(F.split_part("text", F.lit("\n"), F.lit(1)).rlike(r"(?i)^#+\s+SYNOPSIS\s*$"))
-    out = out.unionByName(runs.select(key, F.lit("synopsis_no_spaces_run").alias("rule"), F.regexp_extract_all("text", F.lit(r"\S{201,}"), F.lit(0)).alias("f")))
-    return out.where(F.size("f") > 0).select(key, "rule", F.size("f").alias("hits"), F.slice("f", 1, 3).alias("snippets"))
+    out = runs.select(key, F.lit("synopsis_no_spaces_run").alias("rule"), F.flatten(F.transform(F.split("text", "\n", -1), _shown(r"\S{201,}"))).alias("f"))
+    if each:
+        out = out.unionByName(pages.select(key, F.inline(F.array(*each))))
+    return out.where(F.size("f") > 0).select(key, "rule", F.size("f").alias("hits"), F.slice(F.transform("f", lambda x: x["shown"]), 1, 3).alias("snippets"))
 
 
 def padded(text: Column, found: Column, pad: int = 12) -> Column:

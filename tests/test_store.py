@@ -85,6 +85,24 @@ def test_command_line(spark, store, capsys):
     for command in (["distros"], ["stats"], ["sections", "arch", "latest"], ["pages", "arch/"], ["mappings", "--prefix", "arch/"], ["explain", "git-commit -a"]):
         assert main([store.path, *command], spark) == 0
     assert "all of it" in capsys.readouterr().out
+    assert main([store.path, "page", "git", "--distro", "suse", "--release", "1"], spark) == 1
+
+
+def test_more_commands(spark, store, capsys, tmp_path):
+    store.log_event("extraction", {"succeeded": 2, "failed": {"x": 1}})
+    assert main([store.path, "events", "-n", "1"], spark) == 0
+    assert "extraction\n  failed: {\"x\": 1}\n  succeeded: 2" in capsys.readouterr().out
+    spark.createDataFrame([parsed_row("ubuntu/26.04/1/git-commit.1.gz", "git-commit", options=[option("new", "-n")])], PARSED).write.parquet(str(tmp_path / "fresh"))
+    assert main([store.path, "diff", str(tmp_path / "fresh")], spark) == 0
+    out = capsys.readouterr().out
+    assert "added" in out and "removed" in out
+    files = [(0, "ubuntu/26.04/1/git.1.gz", "x", 1, None), (1, "ubuntu/26.04/1/n.1.gz", None, 1, None), (2, "ubuntu/26.04/1/m.1.gz", None, 9000, None)]
+    spark.createDataFrame(files, "pos int, source string, sha string, length int, canonical string").write.parquet(str(tmp_path / "files"))
+    assert main([store.path, "plan", str(tmp_path / "files"), "--size", "small"], spark) == 0
+    out = capsys.readouterr().out
+    assert "size_skip" in out and "stored" in out and "work" in out
+    assert main([store.path, "diff-extractors", "reader..reader", "--prefix", "arch/"], spark) == 0
+    assert "success" in capsys.readouterr().out
 
 
 def test_metadata(spark):
