@@ -84,15 +84,19 @@ def _repeated(chunks: DataFrame) -> DataFrame:
 
 def _gone(docs: DataFrame, ranges: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """_row, _a, _b: the ranges of lines whose bytes are those of their first occurrences."""
-    wanted = ranges.select("_row", "_low", "_high").union(ranges.select("_row0", F.col("_low") - F.col("_off"), F.col("_high") - F.col("_off"))).distinct()
-    wanted = wanted.groupBy("_row").agg(F.collect_list(F.struct("_low", "_high")).alias("_wanted"))
+    # A range and its first occurrence meet at the first one's place; each text gives out its lines once for each such place.
+    place = [F.col("_row0").alias("_m"), (F.col("_low") - F.col("_off")).alias("_mlow"), (F.col("_high") - F.col("_off")).alias("_mhigh")]
+    copies = ranges.select("_row", F.struct("_low", "_high", *place, "_from", "_to", F.lit(False).alias("_original")).alias("_w"))
+    low, high = F.col("_w._mlow").alias("_low"), F.col("_w._mhigh").alias("_high")
+    none = F.lit(None).cast(ranges.schema["_from"].dataType)
+    firsts = copies.select(F.col("_w._m").alias("_row"), F.struct(low, high, "_w._m", "_w._mlow", "_w._mhigh", none.alias("_from"), none.alias("_to"), F.lit(True).alias("_original")).alias("_w")).distinct()
+    wanted = copies.unionByName(firsts).groupBy("_row").agg(F.collect_list("_w").alias("_wanted"))
     held = docs.join(wanted, "_row").withColumn("_lines", _lines(F.col(text_col)))
-    # Only the wanted lines leave a row, each range with its own; null where the text has no such line.
-    cut = F.expr("transform(_wanted, w -> struct(w._low, w._high, transform(sequence(w._low, w._high), i -> get(_lines, i)) as _part))")
+    # Only the wanted lines leave a row; null where the text has no such line.
+    cut = F.expr("transform(_wanted, w -> struct(w._low, w._high, w._m, w._mlow, w._mhigh, w._from, w._to, w._original, transform(sequence(w._low, w._high), i -> get(_lines, i)) as _part))")
     parts = held.select("_row", F.col(id_col).alias("_id"), F.inline(cut))
-    first = parts.select(F.col("_row").alias("_row0"), F.col("_id").alias("_id0"), F.col("_low").alias("_low0"), F.col("_part").alias("_part0"), F.col("_high").alias("_high0"))
-    pairs = ranges.join(parts, ["_row", "_low", "_high"]).withColumn("_low0", F.col("_low") - F.col("_off")).withColumn("_high0", F.col("_high") - F.col("_off"))
-    pairs = pairs.join(first, ["_row0", "_low0", "_high0"]).where(F.struct("_id0", "_row0") <= F.struct("_id", "_row"))
+    first = parts.where("_original").select("_m", "_mlow", "_mhigh", F.col("_row").alias("_row0"), F.col("_id").alias("_id0"), F.col("_part").alias("_part0"))
+    pairs = parts.where("not _original").join(first, ["_m", "_mlow", "_mhigh"]).where(F.struct("_id0", "_row0") <= F.struct("_id", "_row"))
     apart = F.expr("filter(sequence(0, size(_part) - 1), i -> coalesce(_part[i] <> _part0[i], true))")
     pairs = pairs.withColumn("_apart", apart).where("not exists(_apart, i -> i between _from - _low and _to - _low)")
     pairs = pairs.withColumn("_a", F.expr("coalesce(array_max(filter(_apart, i -> i < _from - _low)), -1) + 1")).withColumn("_b", F.expr("coalesce(array_min(filter(_apart, i -> i > _to - _low)), size(_part)) - 1"))
