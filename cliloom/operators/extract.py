@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..sources.folders import written
 from . import options as P
 from . import texts as T
 
@@ -161,6 +162,7 @@ def extract(pages: DataFrame, model: str, chunk: int = T.CHUNK) -> tuple[DataFra
     verdict = T.size_verdict(F.col("text"))
     work = pages.withColumn("text", S.plain_entities("text")).withColumn("_v", verdict)
     ready = T.filtered(work.where("_v is null"), "source", "text").select("source", "text")
-    outcomes, options = assemble(ask(T.chunks(ready, "source", "text", chunk), model), ready)
+    replies = written(ask(T.chunks(ready, "source", "text", chunk), model), "replies")  # a model is asked once
+    outcomes, options = assemble(replies, ready)
     skipped = work.where("_v is not null").select("source", F.lit("skipped").alias("outcome"), F.col("_v").alias("reason"))
     return outcomes.unionByName(skipped, allowMissingColumns=True), options

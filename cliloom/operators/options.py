@@ -99,6 +99,7 @@ def superset_dedup(options: DataFrame, by: str, idx: str) -> DataFrame:
     by them.  So a page takes as many rounds as its longest chain of nested options, and all
     pages take them together.
     """
+    options = written(options, "all-options")  # it is read for each step below
     pairs = written(containments(options, by, idx), "pairs")
     moved = ["text", "line_start", "line_end"]
     ends = pairs.select(by, F.col("sub").alias(idx)).unionByName(pairs.select(by, F.col("sup").alias(idx))).distinct()

@@ -86,14 +86,14 @@ def missing_parts(spark: SparkSession, path: str, parts: int) -> list[int]:
     return [k for k in range(parts) if _names(k)[0] not in held]
 
 
-def run_extraction(pages: DataFrame, model: str, path: str, tag: str, parts: int = 32, chunk: int = T.CHUNK, registry: Registry = REGISTRY) -> int:
-    """Extracts the parts of pages (source, text) that `path` hasn't yet; how many.  `parts` and the pages are those of the first run."""
+def run_extraction(pages: DataFrame, model: str, path: str, tag: str, parts: int = 32, chunk: int = T.CHUNK, registry: Registry = REGISTRY, most: int | None = None) -> int:
+    """Extracts the parts of pages (source, text) that `path` hasn't yet, `most` of them for now; how many.  `parts` and the pages are those of the first run."""
     spark = pages.sparkSession
     store, run = Snapshots(spark, path), Run(tag, path, parts)
     registry.begin(run)
     spark.sparkContext.addJobTag(tag)
     try:
-        for k in missing_parts(spark, path, parts):
+        for k in missing_parts(spark, path, parts)[:most]:
             if run.cancelled:
                 raise Interrupted(tag)
             outcomes, options = X.extract(pages.where(F.pmod(F.xxhash64("source"), F.lit(parts)) == k), model, chunk)

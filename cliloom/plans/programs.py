@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analytics as O
 from ..operators import batches as B
 from ..operators import explain as E
 from ..operators import extract as X
+from ..operators import layout as Y
 from ..operators import loadgen as L
+from ..operators import running as Z
 from ..sources import logsource, pagefiles
 from ..sources import readers as R
 from ..sources.folders import new_folder
@@ -162,6 +167,31 @@ def _(spark, d):
     return _streamed(spark, d, lambda log: logs.running_bursts(log, 10), "running").select("ip", "hits")
 
 
+@query("exe_resumed", "", """SELECT 'd/' || lang || '/1/p' || doc_id || '.1.gz' AS source, 'success' AS outcome, doc_id % 3 = 0 AS nested FROM documents""")
+def _(spark, d):
+    """An extraction of a page for each document in two parts, of which one run does the first and another goes on."""
+    docs = A.table(spark, d, "documents")
+    text = F.concat(F.lit("# SYNOPSIS\ntool "), F.when(F.col("doc_id") % 3 == 0, "command").otherwise("file"), F.lit("\n# OPTIONS\n-a, --all "), F.coalesce("source", F.lit("none")))
+    pages = docs.select(F.concat(F.lit("d/"), "lang", F.lit("/1/p"), "doc_id", F.lit(".1.gz")).alias("source"), text.alias("text"))
+    folder = new_folder(spark, "extraction")
+    Z.run_extraction(pages, "reader", folder, folder, parts=2, most=1)
+    Z.run_extraction(pages, "reader", folder, folder, parts=2)
+    return Z.extracted(spark, folder)[0].select("source", "outcome", "nested")
+
+
+@query("lod_layout", "a_page a_map", """SELECT 'point' AS shape, count(*) AS n FROM a_map WHERE src = (SELECT min(p_name) FROM part) UNION ALL SELECT 'in_list', count(*) FROM a_map WHERE src IN (SELECT p_name FROM part ORDER BY p_partkey LIMIT 20)
+UNION ALL SELECT 'prefix', count(*) FROM a_map WHERE starts_with(src, 'blue ') UNION ALL SELECT 'by_page', count(*) FROM a_map WHERE dst = (SELECT min(source) FROM a_page)""")
+def _(spark, d):
+    """Four shapes of lookup on mappings in any order and laid out by name; a shape whose rows aren't the same in both isn't given."""
+    maps, part = A.mappings(spark, d), A.table(spark, d, "part")
+    names = [r["p_name"] for r in part.orderBy("p_partkey").limit(20).collect()]
+    shapes = Y.lookups(part.agg(F.min("p_name")).first()[0], names, "blue ", A.pages(spark, d).agg(F.min("source")).first()[0])
+    laid = Y.laid_out(maps, new_folder(spark, "laid"), files=8)
+    summary = lambda table, condition: table.where(condition).agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst", "score").cast("decimal(20)")).alias("h"))
+    rows = [summary(maps, c).intersect(summary(laid, c)).select(F.lit(shape).alias("shape"), "n") for shape, c in shapes.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("stm_sessions", "", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) // 1000 AS ms FROM events), n AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY ip ORDER BY ms) >= 7200000, true) AS opens FROM e),
 s AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY ip ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM n), g AS (SELECT ip, min(ms) AS a, max(ms) AS b, count(*) AS hits FROM s GROUP BY ip, k)
 SELECT 'session' AS kind, ip, a AS start, b AS "end", hits FROM g WHERE b + 7200000 <= (SELECT max(ms) FROM e) - 1500000""")

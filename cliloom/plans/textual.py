@@ -199,6 +199,14 @@ def _(spark, d):
     return T.audit(pages, "page_id", "md", "html").select("page_id", "rule", "hits")
 
 
+@query("aud_synopsis", "", r"""WITH t AS (SELECT doc_id, string_split(replace(replace(text, ' ', ''), '#', ''), chr(10)) AS l FROM documents), f AS (SELECT doc_id, flatten(list_transform(l, lambda x: list_transform(regexp_extract_all(x, '\S{201,}'), lambda y: {'x': x, 'y': y}))) AS f FROM t)
+SELECT doc_id, 'synopsis_no_spaces_run' AS rule, len(f) AS hits, substr(f[1].x, greatest(strpos(f[1].x, f[1].y) - 12, 1), strpos(f[1].x, f[1].y) - greatest(strpos(f[1].x, f[1].y) - 12, 1) + length(f[1].y) + 12) AS snippet FROM f WHERE len(f) > 0""")
+def _(spark, d):
+    docs = A.table(spark, d, "documents").where("text is not null")
+    squeezed = F.concat(F.lit("# NAME\n" + "x" * 300 + "\n# SYNOPSIS\n"), F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("#"), F.lit("")), F.lit("\n# OTHER\n" + "y" * 300))
+    return T.audit(docs.select("doc_id", squeezed.alias("md"), F.lit("").alias("html")), "doc_id", "md", "html", rules=()).select("doc_id", "rule", "hits", F.get("snippets", F.lit(0)).alias("snippet"))
+
+
 @query("aud_summary", "", """WITH r AS (SELECT page_id, len(list_filter(string_split(html, chr(10)), lambda x: length(x) > 2000)) AS hits FROM pages)
 SELECT 'giant_markdown_line' AS rule, count(*) AS pages, CAST(sum(hits) AS BIGINT) AS hits, (SELECT list(page_id ORDER BY hits DESC, page_id) FROM (SELECT * FROM r WHERE hits > 0 ORDER BY hits DESC, page_id LIMIT 10)) AS top FROM r WHERE hits > 0""")
 def _(spark, d):
