@@ -14,7 +14,7 @@ backslash behind its first character, so no control string is left in them and
 Turns are ordered by `turn` (nulls first), ties by role, then text.  Nulls: a
 null text or role is empty; rows with a null id are one conversation.  Repeated
 rows are repeated turns.  Empty tables give empty results.  Other columns aren't
-used.  A task reads its conversations turn by turn and holds the formatted
+used.  A very long text is formatted whole.  A task reads its conversations turn by turn and holds the formatted
 prefix of one; an example is as long as its prefix, so the output of a
 conversation grows with the square of its turns, as the expansion wants it.
 """

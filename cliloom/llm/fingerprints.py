@@ -17,7 +17,7 @@ chance: an estimate of the Jaccard similarity of the phrase sets.
 
 Nulls: a null text is empty and has an empty fingerprint; two empty ones are
 alike, an empty and another are not.  A null id ranks before all others; rows of
-equal ids follow each other in the order of their texts, and equal rows are
+equal or of null ids are in one range of ids, so in one task, and follow each other in the order of their texts, and equal rows are
 neighbours.  Empty tables give empty results.  Only id and text are used, so
 columns with clashing names don't matter.  A task holds a few texts at a time;
 its memory grows with the longest text (some 60 bytes for each of its bytes).

@@ -15,8 +15,10 @@ A document is rejected if its base fails (under 50 words, or over half of its
 words lie in 3-word windows that it repeats) or if the lines removed hold more
 than `most_lost` of the code points of its words.
 
-Nulls: a null text counts as empty, has no words and is rejected.  Rows are
-judged one by one: equal rows get equal verdicts, other columns pass through.
+Nulls: a null text counts as empty, has no words and is rejected, as is an empty one.
+Rows are judged one by one: equal rows get equal verdicts, there are no ties, other
+columns pass through, whatever their names.  A very long text is judged whole, in one
+task, which holds some 30 bytes for each of its words.  Empty tables give empty results.
 """
 
 from __future__ import annotations

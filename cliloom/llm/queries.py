@@ -71,7 +71,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,10 @@ executor costs a task.
 
 Nulls: a null text has no words; null ids rank before all others.  Rows of one
 id are one document and don't count against each other; where their texts
-differ, places found in one are removed in all.  Empty tables give empty results.  Only id
+differ, places found in one are removed in all.  Of equal windows of several ids the
+smallest id keeps its own, so ties can't arise.  A very long text is split into words and
+windows by one task, which holds its bytes and some 40 bytes for each of its words.  Empty
+tables give empty results.  Only id
 and text are used, so columns with clashing names don't matter.
 """
 
@@ -48,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import delete, new_path
+from .shared import delete, new_path, written
 
 WINDOW, GRAM = 13, 4
 #: Bytes of text for each bucket, and the least number of buckets.
@@ -472,11 +475,13 @@ class FingerprintIndex:
         self.runs: list[tuple[DataFrame, int]] = []  # and the number of its folder
         self.hits: list[DataFrame] = []
         self.made = self.compactions = 0
+        self.names: list[str] = []
 
     def _table(self, rows: DataFrame) -> DataFrame:
         """The rows as a table that is bucketed by `bucket`, which joins and groups of it need not shuffle; a folder for each kind."""
         self.made += 1
         name = f"cliloom_{uuid.uuid4().hex}"
+        self.names.append(name)
         rows.write.partitionBy("kind").bucketBy(min(self.buckets, MOST_FILES), "bucket").sortBy("bucket").option("path", f"{self.folder}/{self.made}").saveAsTable(name)
         return self.spark.table(name).select(*rows.columns)
 
@@ -506,6 +511,13 @@ class FingerprintIndex:
                 delete(self.spark, f"{self.folder}/{made}/kind=0")
         self.compactions += 1
 
+    def close(self) -> None:
+        """Takes the index's tables from the catalog and deletes their files; nothing that reads them works any more."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
+        delete(self.spark, self.folder)
+
     def resolve(self, documents: DataFrame) -> DataFrame:
         """doc_id, n_words, n_removed, kept_text, kept_sha256 of documents (doc_id, text) that hold all that was ingested."""
         texts = self._table(documents.select("doc_id", "text").mapInArrow(_texts(self.buckets), _TEXTS).repartition(min(self.buckets, MOST_FILES), "bucket"))
@@ -523,8 +535,11 @@ class FingerprintIndex:
         return later.select("bucket", "a", "b").groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text and kept_sha256 of each row, from an index that takes the documents in batches by id."""
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (if `texts`) and kept_sha256 of each row, from an index that takes the documents in batches by id.
+
+    The rows are written; the index and its tables are gone by then.
+    """
     df = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     index = FingerprintIndex(df.sparkSession, max(LEAST_BUCKETS, size // BUCKET_BYTES))
@@ -537,4 +552,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         if high is not None:
             batch = batch.where((F.col("doc_id") <= high) | F.col("doc_id").isNull() if low is None else F.col("doc_id") <= high)
         index.ingest(batch)
-    return index.resolve(df)
+    found = index.resolve(df)
+    out = written(found if texts else found.drop("kept_text"), "kept")
+    index.close()
+    return out
