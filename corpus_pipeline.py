@@ -3,6 +3,21 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one
 reads it back from Parquet.  All but the last return the columns of `documents`,
 `n_chars` brought up to date where texts change.
+
+What each stage does with odd rows (the operators' docstrings say more):
+
+quality_rules   null and empty texts have no words and go; equal rows get equal verdicts.
+line_dedup      null texts go, as do those without a word left; of equal passages the one of the
+                smallest id stays, of rows with equal id and text an arbitrary one keeps it.
+near_dedup      the smallest id of a group stays; rows of one id are one document; null texts and
+                those without words would be near nothing and stay, but none are left here.
+mix_sources     null sources are one source, the last; rows of a source with equal id and size are
+                drawn together; a row without words is taken 0 words.
+pack_sequences  null texts are empty, and an empty one is its end token; repeated rows are packed
+                each time; only what is longer than a sequence is cut.
+
+All take texts of any length whole, keep columns with clashing names, and give empty
+tables for empty tables.
 """
 
 from __future__ import annotations
