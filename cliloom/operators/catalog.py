@@ -241,8 +241,9 @@ def reconcile_subcommands(pages: DataFrame, mappings: DataFrame, parents: DataFr
     return kept.select("src", "dst", F.col("score").cast("int").alias("score")).unionByName(valid)
 
 
-def lost_on_reimport(mappings: DataFrame, page: str, aliases: DataFrame) -> DataFrame:
-    return mappings.where(F.col("dst") == page).join(aliases, "src", "left_anti")
+def lost_on_reimport(mappings: DataFrame, pages: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The mappings of `pages` (source), which come again, that aren't among their new aliases (src, dst)."""
+    return mappings.join(pages.select(F.col("source").alias("dst")).distinct(), "dst", "left_semi").join(aliases.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
 # Browsing.

@@ -47,11 +47,14 @@ def compare_options(stored: DataFrame, fresh: DataFrame, page: str, idx: str, fi
     return j.select(page, "key", change.alias("change"), F.coalesce(F.col(f"a.{idx}"), F.col(f"b.{idx}") + 1_000_000).alias("place")).where("change is not null")
 
 
-def agreement(left: DataFrame, right: DataFrame, page: str) -> DataFrame:
-    """page, only_left, only_right, common, agreement."""
-    keys = lambda df, s: df.select(page, agreement_key().alias("key")).distinct().withColumn(s, F.lit(1))
+def agreement(left: DataFrame, right: DataFrame, page: str, idx: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """page, only_left, only_right, common, agreement, and for each of `fields` in how many common keys it differs (of one key's options the last by `idx` counts)."""
+    last = [F.max(F.struct(idx, *fields)) if fields else F.lit(1)]
+    keys = lambda df, s: df.select(page, agreement_key().alias("key"), *([idx, *fields] if fields else [])).groupBy(page, "key").agg(*(c.alias(s) for c in last))
     j = keys(left, "l").join(keys(right, "r"), [page, "key"], "full_outer")
-    out = j.groupBy(page).agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common"))
+    both = F.col("l").isNotNull() & F.col("r").isNotNull()
+    differ = [F.count_if(both & ~F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}"))).alias(f"diff_{f}") for f in fields]
+    out = j.groupBy(page).agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"), F.count_if(both).alias("common"), *differ)
     return out.withColumn("agreement", S.guarded_ratio(F.col("common"), F.col("common") + F.col("only_left"), F.col("common") + F.col("only_right")))
 
 

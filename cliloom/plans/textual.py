@@ -368,12 +368,12 @@ def _(spark, d):
     return D.compare_options(o.where("idx < 4"), o.where("idx > 2"), "page", "at").select("page", "key", "change")
 
 
-@query("dif_agreement", "a_option", """, k AS (SELECT page, idx, array_to_string(list_sort(short), ',') || '|' || array_to_string(list_sort(long), ',') AS key FROM a_option), a AS (SELECT DISTINCT page, key FROM k WHERE idx < 4), b AS (SELECT DISTINCT page, key FROM k WHERE idx > 2),
-j AS (SELECT coalesce(a.page, b.page) AS page, a.key AS l, b.key AS r FROM a FULL JOIN b ON a.page = b.page AND a.key = b.key), c AS (SELECT page, count(*) FILTER (r IS NULL) AS only_left, count(*) FILTER (l IS NULL) AS only_right, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS common FROM j GROUP BY 1)
+@query("dif_agreement", "a_option", """, k AS (SELECT page, idx, array_to_string(list_sort(short), ',') || '|' || array_to_string(list_sort(long), ',') AS key, text FROM a_option), a AS (SELECT page, key, max({'idx': idx, 'text': text}).text AS t FROM k WHERE idx < 4 GROUP BY 1, 2), b AS (SELECT page, key, max({'idx': idx, 'text': text}).text AS t FROM k WHERE idx > 2 GROUP BY 1, 2),
+j AS (SELECT coalesce(a.page, b.page) AS page, a.key AS l, b.key AS r, a.t AS lt, b.t AS rt FROM a FULL JOIN b ON a.page = b.page AND a.key = b.key), c AS (SELECT page, count(*) FILTER (r IS NULL) AS only_left, count(*) FILTER (l IS NULL) AS only_right, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS common, count(*) FILTER (lt <> rt) AS diff_text FROM j GROUP BY 1)
 SELECT *, common / greatest(common + only_left, common + only_right, 1) AS agreement FROM c""")
 def _(spark, d):
     o = A.options(spark, d)
-    return D.agreement(o.where("idx < 4"), o.where("idx > 2"), "page")
+    return D.agreement(o.where("idx < 4"), o.where("idx > 2"), "page", "idx", ("text",))
 
 
 @query("dif_runs", "", """WITH a AS (SELECT o_orderpriority AS path, o_orderstatus AS metric, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT o_orderpriority AS path, o_orderstatus AS metric, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE o_orderkey % 2 = 1 AND o_orderstatus <> 'P' GROUP BY 1, 2)

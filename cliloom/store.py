@@ -132,11 +132,12 @@ class Catalog:
         return C.find_pages(names, self.parsed, self.mappings, distro, release)
 
     def page(self, name: str, distro: str | None = None, release: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """(the winner's row, the other candidates and its suggestions)."""
+        """(the winner's row, the other candidates and its suggestions by section)."""
         found = self.find(self.spark.createDataFrame([(1, name)], "query_id int, name string"), distro, release)
         won = self.parsed.join(found.where("rank = 1").select("source"), "source", "left_semi")
         more = C.suggestions(won, self.mappings).select(F.col("other").alias("source"))
-        return won, found.where("rank > 1").select("source").unionByName(C.in_scope(more, "source", distro, release)).distinct().orderBy("source")
+        others = found.where("rank > 1").select("source").unionByName(C.in_scope(more, "source", distro, release)).distinct()
+        return won, others.orderBy(S.section_of("source"), "source")
 
     def raw_page(self, source: str) -> DataFrame:
         """At most one row; shown as HTML where a Markdown generator made it."""

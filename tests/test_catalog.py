@@ -89,7 +89,8 @@ def test_changes(spark, pages, maps):
         C.add_mappings(maps, maps.limit(1))
     up = C.upgrade_aliases(maps, spark.createDataFrame([("grep", "ubuntu/26.04/1/egrep.1.gz"), ("new", "ubuntu/26.04/1/tar.1.gz")], "src string, dst string"))
     assert {(r.src, r.score) for r in up.where("src in ('grep', 'new')").collect()} == {("grep", 10), ("new", 10)}
-    assert C.lost_on_reimport(maps, "ubuntu/26.04/1/egrep.1.gz", spark.createDataFrame([("egrep",)], "src string")).collect()[0].src == "grep"
+    page = spark.createDataFrame([("ubuntu/26.04/1/egrep.1.gz",)], "source string")
+    assert [r.src for r in C.lost_on_reimport(maps, page, spark.createDataFrame([("egrep", "ubuntu/26.04/1/egrep.1.gz")], "src string, dst string")).collect()] == ["grep"]
 
 
 def test_prefix_reaches_the_scan(spark, pages, tmp_path):
