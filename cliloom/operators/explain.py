@@ -87,10 +87,10 @@ def explain(commands: DataFrame, pages: DataFrame, mappings: DataFrame, distro:
 
 def help_dictionary(spans: DataFrame) -> DataFrame:
     """Spans with help_id: texts numbered by first occurrence within a line, and `first`, where each text first stands."""
-    known = spans.where("group_no >= 0 and text is not null")
-    firsts = known.groupBy("query_id", "text").agg(F.min(F.struct("group_no", "start")).alias("_f"))
-    ids = firsts.withColumn("help_id", F.row_number().over(Window.partitionBy("query_id").orderBy("_f")) - 1).select("query_id", "text", "help_id", F.col("_f.start").alias("first"))
-    return spans.where("group_no >= 0").join(ids, ["query_id", "text"], "left")
+    first = F.min(F.struct("group_no", "start")).over(Window.partitionBy("query_id", "text"))
+    rows = spans.where("group_no >= 0").withColumn("_f", F.when(F.col("text").isNotNull(), first))
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.col("_f").asc_nulls_last())) - 1
+    return rows.withColumn("help_id", F.when(F.col("_f").isNotNull(), place)).withColumn("first", F.col("_f.start")).drop("_f")
 
 
 def with_spaces(spans: DataFrame) -> DataFrame:

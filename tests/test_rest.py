@@ -6,6 +6,7 @@ import random
 import re
 import statistics
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,9 +160,31 @@ def test_filter_takes_subsections_along(spark):
 
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.sampled_from(["", "# A", "## B", "text", "> quote", "# SEE ALSO"]), min_size=1, max_size=12))
-def test_sections_give_the_text_back(lines):
-    text = "\n".join(lines)
-    assert "\n".join(b for _, b in T._parts(text)) == text
+def test_sections_and_paragraphs_give_the_text_back(lines):
+    bounds = T._section_bounds(lines)
+    parts = list(zip(bounds, bounds[1:], strict=False))
+    assert [x for a, b in parts for x in lines[a:b]] == lines
+    for a, b in parts:
+        assert ["\n".join(lines[i:j]) for i, j in T._paragraphs(lines, a, b)] == "\n".join(lines[a:b]).split("\n\n")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.booleans()), min_size=1, max_size=12), st.integers(1, 30), st.integers(0, 1))
+def test_runs_are_as_long_as_fits(items, room, least):
+    """Against taking one item after the other."""
+    sizes, waits = [n for n, _ in items], [w for _, w in items]
+    places = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+    got = T._runs(np.array(places[:-1]), np.array(places[1:]), room, waits, least)
+    want, at, taken = [], 0, 0  # the run begins at `at` and has `taken` items
+    for k, n in enumerate(sizes):
+        if taken and sum(sizes[at:k]) + n > room:
+            while taken > least and waits[at + taken - 1]:
+                taken -= 1
+            if taken:
+                want.append((at, at + taken))
+            at, taken = at + taken, k - at - taken
+        taken += 1
+    assert got == [*want, (at, len(sizes))]
 
 
 def test_slices(spark):
@@ -232,10 +255,12 @@ def test_superset_merge_keeps_the_order_of_the_fold(spark):
     assert merged(spark, pages) == {p: folded(o) for p, o in pages.items()}
 
 
+def test_exact_dedup_and_mentions(spark):
     rows = [(1, 0, ["-o"], [], "short"), (1, 1, ["-x"], [], "x"), (1, 2, ["-o"], [], "a longer text"), (1, 3, [], [], "pos")]
     out = P.exact_dedup(spark.createDataFrame(rows, "p int, idx int, short array<string>, long array<string>, text string"), "p", "idx", "text").orderBy("idx").collect()
     assert [(r.idx, r.text) for r in out] == [(0, "a longer text"), (1, "x"), (3, "pos")]
     for text, flag, yes in (("see -b.", "-b", True), ("see --b", "-b", False), ("see -bc", "-b", False), ("(-b)", "-b", True)):
+        assert one(spark, P.mentions(F.lit(text), F.lit(flag))) == yes
 
 
 # Comparisons and ingest.
