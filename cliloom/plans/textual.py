@@ -427,7 +427,7 @@ def _(spark, d):
 
 
 @query("cls_plan_counts", "", f"""WITH {_FILES}, e AS (SELECT f.*, CASE WHEN len > 2048 THEN 'size_skip' WHEN canonical IS NOT NULL THEN 'symlink' WHEN src IN (SELECT src FROM st) THEN 'filter_skip' END AS early, sha || ':' || dir AS key FROM f)
-SELECT kind, count(*) AS n FROM (SELECT early AS kind FROM e WHERE early IS NOT NULL UNION ALL SELECT CASE WHEN row_number() OVER (PARTITION BY key ORDER BY pos) > 1 THEN 'content_dup' ELSE 'work' END FROM e WHERE early IS NULL) GROUP BY 1""")
+SELECT kind, count(*) AS n FROM (SELECT early AS kind FROM e WHERE early IS NOT NULL UNION ALL SELECT CASE WHEN key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY pos) > 1 THEN 'content_dup' ELSE 'work' END FROM e WHERE early IS NULL) GROUP BY 1""")
 def _(spark, d):
     docs = A.table(spark, d, "documents")
     f = docs.select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/x/"), "doc_id").alias("source"), F.when(F.col("doc_id") % 8 > 0, F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.octet_length("text").alias("length"), F.when(F.col("doc_id") % 9 == 0, "other").alias("canonical"))
