@@ -208,9 +208,9 @@ def _(spark, d):
     return _streamed(spark, d, N.look_back, "lookback", ["until", "ip"]).withColumn("until", F.col("until").cast("timestamp_ntz"))
 
 
-@query("lod_commands")
+@query("lod_commands", "", L.commands_sql("events", "event_id"))
 def _(spark, d):
-    return L.commands(spark, 1000)
+    return L.commands(A.table(spark, d, "events"), "event_id")
 
 
 @query("src_basenames", "a_page", "SELECT DISTINCT name || '.' || section AS name FROM a_page")

@@ -383,7 +383,7 @@ def test_versions(spark, tmp_path):
 
 
 def test_load_lines_are_the_same_each_time(spark):
-    a, b = (L.commands(spark, 200).collect() for _ in range(2))
+    a, b = (L.commands(spark.range(200), "id").collect() for _ in range(2))
     assert a == b
     assert len({r.cmd for r in a}) > 30
 
