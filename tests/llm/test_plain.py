@@ -105,10 +105,10 @@ def test_equal_substrings_share_phrases_whatever_their_offset():
 
 @pytest.fixture(scope="module")
 def long(spark):
-    """Texts of some 2.5 MB: one, its copy, one that differs in a few words, and one without a blank."""
+    """Texts of over a block: one, its copy, one that differs in a few words, and one without a blank."""
     rng = random.Random(6)
-    text = cases.prose(rng, 500_000)
-    assert len(text) > 2 * kernels.BLOCK_BYTES
+    text = cases.prose(rng, 260_000)
+    assert len(text) > kernels.BLOCK_BYTES
     near = text.replace(" an ", " different ", 20)
     return [(1, text), (2, text), (3, near), (4, "x" * (2 * kernels.BLOCK_BYTES + 7)), (5, "short. one"), (6, None)]
 
@@ -150,7 +150,7 @@ def test_long_texts_are_tokenized_whole(spark, long, long_docs):
     assert {r[0]: r[1] for r in sections} == {i: len(encoding.encode_ordinary(t or "")) for i, t in long if i != 4}
     packed = pack_documents(long_docs.where("doc_id in (1, 2, 5, 6)"), tokenizer_path("word_bpe_49k.json")).collect()
     size = {i: sum(r["length"] for r in packed if r["doc_id"] == i) for i in (1, 2, 5, 6)}
-    assert size[1] == size[2] > 500_000 and size[6] == 1 and all(r["length"] <= 4096 for r in packed)
+    assert size[1] == size[2] > 260_000 and size[6] == 1 and all(r["length"] <= 4096 for r in packed)
     scores = rows_of(lm_scores(long_docs.where("doc_id in (1, 3, 5, 6)"), path))
     assert all(scores[i]["n_tokens"] == len(cases.words(dict(long)[i])) + 1 for i in (1, 3, 5, 6))
     turns = spark.createDataFrame([(9, 0, "user", "q"), (9, 1, "assistant", long[0][1])], "conv_id long, turn long, role string, text string")
