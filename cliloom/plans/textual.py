@@ -240,7 +240,7 @@ def _(spark, d):
 _METRICS_SQL = {
     "markdown.max_line_length": "coalesce(list_max(lengths), 0)", "markdown.giant_lines_500": "len(list_filter(lengths, lambda n: n > 500))", "markdown.giant_lines_1000": "len(list_filter(lengths, lambda n: n > 1000))",
     "markdown.unescaped_star_runs": r"len(regexp_extract_all(html, '(?:^|[^\\*])\*+')) + len(regexp_extract_all(html, '\\\*\*+'))", "markdown.unescaped_under_runs": r"len(regexp_extract_all(html, '(?:^|[^\\_])_+')) + len(regexp_extract_all(html, '\\__+'))",
-    "markdown.char_count": "length(html)", "html.data_chars": "length(data)",
+    "markdown.char_count": "length(html)", "filtered.line_count": "len(lines)", "html.data_chars": "length(data)",
     **{m: f"len(list_filter(opening, lambda g: g = '{m.rsplit('.', 1)[1]}'))" for m, _ in V.RENDER_CHECKS if m.startswith("html.tags.")},
     **{f"html.chars.{c}": f"length(data) - length(replace(data, '{c}', ''))" for c in V.SENSITIVE},
 }
