@@ -370,6 +370,23 @@ def test_lm_learns_from_all_training_documents(docs, rows, monkeypatch):
     assert learnt["ids"] == learnt["counted"] > 1000
 
 
+def test_each_shard_is_in_one_task_and_the_shards_in_several(docs, monkeypatch):
+    from cliloom.llm import lm
+
+    seen, fit = [], lm.fit
+
+    def looked(samples, counts, shards, *rest):
+        seen.extend(samples.select("bucket", F.spark_partition_id().alias("task")).distinct().collect())
+        assert "Exchange" not in samples._jdf.queryExecution().executedPlan().toString()  # nothing is dealt again in a round
+        return fit(samples, counts, shards, *rest)
+
+    monkeypatch.setattr(lm, "fit", looked)
+    monkeypatch.setattr(lm, "SHARD_IDS", 500)
+    assert lm_scores(docs, tokenizer_path("byte_bpe_50k.tiktoken")).count() > 0
+    assert len({r.bucket for r in seen}) == len(seen) > 3
+    assert len({r.task for r in seen}) > 1
+
+
 def test_every_document_is_learnt_from_in_each_epoch(monkeypatch):
     import pyarrow as pa
 
