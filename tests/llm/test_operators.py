@@ -490,6 +490,72 @@ def test_attention_model_is_causal_and_normalised():
         assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(g[name][where], rel=0.05, abs=1e-3)
 
 
+def test_gradients_of_all_parameters_where_some_places_are_left_out():
+    from cliloom.llm.attention import WINDOW, Model
+
+    model, rng = Model(5, 6), np.random.default_rng(3)
+    t0, t1, t2, y = (rng.integers(0, 30, (7, WINDOW)) for _ in range(4))
+    valid = np.arange(WINDOW) < np.array([1, 5, 32, 17, 32, 2, 9])[:, None]
+    model.gradient(t1, t0, y, t2, np.ones_like(valid))  # its arrays are written again by the next
+    loss, g = model.gradient(t0, t1, t2, y, valid)
+    assert loss == pytest.approx(-model.score(t0, t1, t2, y, valid).mean(), rel=1e-5)
+    g = {name: x.copy() for name, x in g.items()}
+    assert sum(x.size for x in g.values()) == model.vector().size
+    for name, slope in g.items():
+        along, kept, losses = rng.standard_normal(slope.shape).astype(np.float32), model.p[name].copy(), []
+        along += slope / np.abs(slope).max()
+        for step in (3e-3, -3e-3):
+            model.p[name][...] = kept + np.float32(step) * along
+            losses.append(-model.score(t0, t1, t2, y, valid).astype(np.float64).mean())
+        model.p[name][...] = kept
+        assert (losses[0] - losses[1]) / 6e-3 == pytest.approx(float((slope * along).sum()), rel=0.02, abs=2e-4), name
+
+
+def test_adam_agrees_with_its_formula():
+    from cliloom.llm.attention import WINDOW, Adam, Model
+
+    model, rng = Model(4, 4), np.random.default_rng(1)
+    adam, p = Adam(model, 1e-2), model.vector().astype(np.float64)
+    m, v = np.zeros_like(p), np.zeros_like(p)
+    for i in range(1, 6):
+        t, y = rng.integers(0, 16, (2, 3, WINDOW))
+        model.gradient(t, t, t, y, np.ones_like(t, bool))
+        slope = model.slope.astype(np.float64) * (1 if i < 3 else 20)  # the later ones are clipped
+        model.slope[...] = slope
+        adam.step(0.5)
+        slope *= min(1, 1 / np.sqrt(slope @ slope))
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        p -= 0.5e-2 * np.sqrt(1 - 0.99**i) / (1 - 0.9**i) * m / (np.sqrt(v) + 1e-8)
+        assert model.vector() == pytest.approx(p, abs=2e-5)
+
+
+def test_a_training_step_writes_into_the_arrays_of_the_step_before():
+    import tracemalloc
+
+    from cliloom.llm import lm
+
+    counts = np.zeros(lm.END + 1, np.int64)
+    counts[:4000] = np.arange(4000, 0, -1)
+    vocabulary, rng, peaks = lm.Vocabulary(counts), np.random.default_rng(2), []
+    ids = (4000 * rng.random(40_000) ** 3).astype(np.int32)
+    model, inner = lm.initial(vocabulary), lm.Adam.step
+
+    def step(self, *given):
+        inner(self, *given)
+        peaks.append(tracemalloc.get_traced_memory()[1] - tracemalloc.get_traced_memory()[0])
+        tracemalloc.reset_peak()
+
+    before = model.vector()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm.Adam, "step", step)
+        tracemalloc.start()
+        lm.train(model, ids, np.array([0, 15_000, 40_000]), vocabulary, 0.0, 0.25, 0)
+        tracemalloc.stop()
+    assert len(peaks) > 40
+    assert max(peaks[2:-1]) < before.nbytes  # not one more array as large as the parameters
+    assert np.abs(model.vector() - before).max() > 0.01
+
+
 def test_line_dedup(docs, none, rows):
     expected = cases.line_dedup(rows)
     assert sum(n for _, n in expected.values()) > 20
