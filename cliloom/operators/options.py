@@ -80,14 +80,15 @@ def containments(options: DataFrame, by: str, idx: str) -> DataFrame:
     """by, sub, sup, extra (flags): the pairs of a page whose first option's flags are a part of the second's.
 
     A larger set holds the smaller one's rarest flag, so options meet by that flag only, not each with each.
+    All sides grow with the options, and files of repeated texts say little of a table's size in memory: no side is broadcast.
     """
     sets = options.select(by, F.col(idx).alias("sub"), F.array_distinct(flags()).alias("_f")).where(F.size("_f") > 0)
     each = sets.select(by, "sub", F.explode("_f").alias("_flag"))
     counts = each.groupBy(by, "_flag").agg(F.count("*").alias("_c"))
-    rarest = each.join(counts, [by, "_flag"]).groupBy(by, "sub").agg(F.min(F.struct("_c", "_flag"))["_flag"].alias("_flag"))
-    small = sets.join(rarest, [by, "sub"])
+    rarest = each.join(counts.hint("merge"), [by, "_flag"]).groupBy(by, "sub").agg(F.min(F.struct("_c", "_flag"))["_flag"].alias("_flag"))
+    small = sets.join(rarest.hint("merge"), [by, "sub"])
     large = sets.select(by, F.col("sub").alias("sup"), F.col("_f").alias("_g"), F.explode("_f").alias("_flag"))
-    met = small.join(large, [by, "_flag"]).where((F.size("_g") > F.size("_f")) & (F.size(F.array_except("_f", "_g")) == 0))
+    met = small.join(large.hint("merge"), [by, "_flag"]).where((F.size("_g") > F.size("_f")) & (F.size(F.array_except("_f", "_g")) == 0))
     return met.select(by, "sub", "sup", F.array_except("_g", "_f").alias("extra"))
 
 
@@ -97,13 +98,13 @@ def superset_dedup(options: DataFrame, by: str, idx: str) -> DataFrame:
     Options are settled in order, each seeing what those before it did, and that is all that
     holds up a round: an option waits for those before it whose flags hold its own or are held
     by them.  So a page takes as many rounds as its longest chain of nested options, and all
-    pages take them together.
+    pages take them together.  As in `containments`, no side of a join is broadcast.
     """
     options = written(options, "all-options")  # it is read for each step below
     pairs = written(containments(options, by, idx), "pairs")
     moved = ["text", "line_start", "line_end"]
     ends = pairs.select(by, F.col("sub").alias(idx)).unionByName(pairs.select(by, F.col("sup").alias(idx))).distinct()
-    state = options.join(ends, [by, idx]).select(by, idx, F.struct(*moved).alias("held"), F.lit(False).alias("gone"), F.lit(False).alias("settled"))
+    state = options.join(ends.hint("merge"), [by, idx]).select(by, idx, F.struct(*moved).alias("held"), F.lit(False).alias("gone"), F.lit(False).alias("settled"))
     touching = pairs.select(by, F.col("sub").alias(idx), F.col("sup").alias("_other")).unionByName(pairs.select(by, F.col("sup").alias(idx), F.col("sub").alias("_other")))
     touching = touching.where(F.col("_other") < F.col(idx))
     while True:
@@ -111,19 +112,19 @@ def superset_dedup(options: DataFrame, by: str, idx: str) -> DataFrame:
         open_ = state.where("not settled").select(by, idx)
         if open_.isEmpty():
             break
-        waits = touching.join(open_.withColumnRenamed(idx, "_other"), [by, "_other"], "left_semi").select(by, idx)
-        ready = open_.join(waits, [by, idx], "left_anti")
+        waits = touching.join(open_.withColumnRenamed(idx, "_other").hint("merge"), [by, "_other"], "left_semi").select(by, idx)
+        ready = open_.join(waits.hint("merge"), [by, idx], "left_anti")
         live = state.where("not gone").select(by, F.col(idx).alias("sup"))
-        texts = state.join(ready, [by, idx], "left_semi").select(by, F.col(idx).alias("sub"), "held")
+        texts = state.join(ready.hint("merge"), [by, idx], "left_semi").select(by, F.col(idx).alias("sub"), "held")
         named = F.exists("extra", lambda f: mentions(F.col("held.text"), f))
-        goes = pairs.join(texts, [by, "sub"]).join(live, [by, "sup"], "left_semi").where(named)
+        goes = pairs.join(texts.hint("merge"), [by, "sub"]).join(live.hint("merge"), [by, "sup"], "left_semi").where(named)
         goes = goes.groupBy(by, "sub").agg(F.min(F.struct(F.size("extra").alias("n"), "sup"))["sup"].alias("sup"), F.any_value("held").alias("held"))
         # Of several that merge into one the longest text, the first of equally long ones.
         come = goes.groupBy(by, F.col("sup").alias(idx)).agg(F.max_by("held", F.struct(F.length("held.text"), -F.col("sub"))).alias("_new"))
-        state = state.join(ready.withColumn("_ready", F.lit(True)), [by, idx], "left").join(goes.select(by, F.col("sub").alias(idx), F.lit(True).alias("_goes")), [by, idx], "left").join(come, [by, idx], "left")
+        state = state.join(ready.withColumn("_ready", F.lit(True)).hint("merge"), [by, idx], "left").join(goes.select(by, F.col("sub").alias(idx), F.lit(True).alias("_goes")).hint("merge"), [by, idx], "left").join(come.hint("merge"), [by, idx], "left")
         held = F.when(F.coalesce(F.length("_new.text") > F.length("held.text"), F.lit(False)), F.col("_new")).otherwise(F.col("held"))
         state = state.select(by, idx, held.alias("held"), (F.col("gone") | F.col("_goes").isNotNull()).alias("gone"), (F.col("settled") | F.col("_ready").isNotNull()).alias("settled"))
-    out = options.join(state.select(by, idx, "held", "gone"), [by, idx], "left").where("not coalesce(gone, false)")
+    out = options.join(state.select(by, idx, "held", "gone").hint("merge"), [by, idx], "left").where("not coalesce(gone, false)")
     put = {c: F.when(F.col("held").isNull(), F.col(c)).otherwise(F.col(f"held.{c}")).alias(c) for c in moved}
     return out.select(*(put.get(c, F.col(c)) for c in options.columns))
 

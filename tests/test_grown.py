@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cliloom.functions import strings as S
+from cliloom.operators import options as P
 
 
 def test_short_tokens_rounds_as_printf(spark):
@@ -12,3 +13,19 @@ def test_short_tokens_rounds_as_printf(spark):
     want = {n: "%.1fM" % (n / 1_000_000) if n >= 1_000_000 else "%.0fK" % (n / 1000) if n >= 1000 else str(n) for n in numbers}
     assert got == want
     assert got[137 * 1_350_000] == "184.9M" and got[137 * 1_650_000] == "226.1M"
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_superset_merge_broadcasts_nothing(spark, monkeypatch):
+    # The file's size says little of a table of repeated texts: what is planned by it may not fit the driver.
+    plans, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, label: plans.append(planned(df)) or write(df, label))
+    flags = F.slice(F.array(*map(F.lit, ["-a", "-b", "--all", "--zone"])), 1, (F.col("id") % 4 + 1).cast("int"))
+    rows = spark.range(400).select((F.col("id") / 4).cast("int").alias("page"), (F.col("id") % 4).cast("int").alias("idx"), flags.alias("short"), F.array().cast("array<string>").alias("long"), F.lit("as -b or --zone").alias("text"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"))
+    out = P.superset_dedup(rows, "page", "idx")
+    plans.append(planned(out))
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
+    assert {(r["idx"], r["n"]) for r in out.groupBy("idx").agg(F.count("*").alias("n")).collect()} == {(3, 100)}
