@@ -1,8 +1,11 @@
 """What shows on larger tables only: rounding, and plans that have to stay small."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from cliloom.functions import strings as S
+from cliloom.operators import catalog as C
 from cliloom.operators import options as P
 
 
@@ -29,3 +32,15 @@ def test_superset_merge_broadcasts_nothing(spark, monkeypatch):
     plans.append(planned(out))
     assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
     assert {(r["idx"], r["n"]) for r in out.groupBy("idx").agg(F.count("*").alias("n")).collect()} == {(3, 100)}
+
+
+def test_suggestions_shuffle_no_pairs(spark):
+    rng = random.Random(5)
+    pairs = [(rng.choice("abcdef"), f"p{rng.randint(0, 30)}") for _ in range(90)] + [("a", None), (None, "p1")]
+    sources = [(f"p{k}",) for k in range(0, 40, 2)] * 2 + [(None,)]
+    out = C.suggestions(spark.createDataFrame(sources, "source string"), spark.createDataFrame(pairs, "src string, dst string"))
+    want = {(a, b) for (a,) in sources for n, x in pairs for m, b in pairs if a and x == a and n and n == m and b and b != a}
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got) == sorted(want)
+    above = planned(out).split("SortMergeJoin")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
