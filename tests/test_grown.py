@@ -34,6 +34,18 @@ def test_superset_merge_broadcasts_nothing(spark, monkeypatch):
     assert {(r["idx"], r["n"]) for r in out.groupBy("idx").agg(F.count("*").alias("n")).collect()} == {(3, 100)}
 
 
+def test_anchored_lookup_is_anchored(spark):
+    rng = random.Random(4)
+    commands = spark.createDataFrame([(q, rng.randint(0, 3), rng.choice("abcdx")) for q in range(40) for _ in range(rng.randint(1, 5))] + [(None, 0, "a")], "query_id int, pos int, name string")
+    places = spark.createDataFrame([(m, f"d{k}", f"{v}", f"d{k}/{v}/1/{m}.1.gz") for m in "abcd" for k in range(3) for v in range(3) if rng.random() < 0.5], "name string, distro string, release string, source string")
+    order = C.preference(places.select("distro", "release").distinct(), "d1")
+    found = commands.distinct().join(places, "name")
+    columns = ["query_id", "pos", "name", "distro", "release", "source"]
+    rows = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    got = C.anchored_lookup(commands, places, order)
+    assert rows(got) and rows(got) == rows(C.anchored(found, order))
+
+
 def test_suggestions_shuffle_no_pairs(spark):
     rng = random.Random(5)
     pairs = [(rng.choice("abcdef"), f"p{rng.randint(0, 30)}") for _ in range(90)] + [("a", None), (None, "p1")]
