@@ -34,6 +34,19 @@ def test_superset_merge_broadcasts_nothing(spark, monkeypatch):
     assert {(r["idx"], r["n"]) for r in out.groupBy("idx").agg(F.count("*").alias("n")).collect()} == {(3, 100)}
 
 
+def test_find_pages_broadcasts_no_catalog(spark, tmp_path):
+    # 3000 pages of one repeated name: a small file, and many rows once it is read.
+    n = F.col("id").cast("string")
+    p = spark.range(3000).select(F.concat(F.lit("d/1/1/page-"), n, F.lit(".1.gz")).alias("source"), F.concat(F.lit("page-"), n).alias("name"), F.lit("1").alias("section"))
+    p.write.parquet(f"{tmp_path}/pages")
+    p = spark.read.parquet(f"{tmp_path}/pages")
+    names = spark.createDataFrame([(1, "d/1/1/page-7.1.gz"), (2, "same"), (3, "same.1"), (4, "none")], "query_id int, name string")
+    found = C.find_pages(names, p, p.select(F.lit("same").alias("src"), F.col("source").alias("dst"), F.lit(1).alias("score")))
+    joins = [x for x in planned(found).splitlines() if "BroadcastHashJoin" in x and ("source#" in x or "_src#" in x and "LeftAnti" not in x)]
+    assert not joins
+    assert {r["query_id"]: r["n"] for r in found.groupBy("query_id").agg(F.count("source").alias("n")).collect()} == {1: 1, 2: 3000, 3: 3000, 4: 0}
+
+
 def test_anchored_lookup_is_anchored(spark):
     rng = random.Random(4)
     commands = spark.createDataFrame([(q, rng.randint(0, 3), rng.choice("abcdx")) for q in range(40) for _ in range(rng.randint(1, 5))] + [(None, 0, "a")], "query_id int, pos int, name string")
