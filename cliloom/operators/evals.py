@@ -7,9 +7,10 @@ field, and a table of directions and tolerances says which changes matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, MapType, NumericType, StructType
 
@@ -56,14 +57,19 @@ RENDER_CHECKS = (
     ("html.chars.<", 0.0),
     ("html.chars.>", 0.0),
 )
-#: Patterns of what looks like an option, and of runs of stars and underscores that no backslash precedes.
-OPTION_LIKE = r"(?<![\w\\])(?:\\?-{1,2}|\\\[mi\])[-A-Za-z0-9][-_A-Za-z0-9]*"
-STAR_RUN, UNDER_RUN = r"(?<!\\)\*+", r"(?<!\\)_+"
+#: Patterns of what looks like an option, and of runs of stars and underscores that no backslash precedes; what most places fail by comes first.
+OPTION_LIKE = r"(?=[-\\])(?<![\w\\])(?:\\?-{1,2}|\\\[mi\])[-A-Za-z0-9][-_A-Za-z0-9]*"
+STAR_RUN, UNDER_RUN = r"\*(?<!\\\*)\**", r"_(?<!\\_)_*"
 
 _TAG = r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>"""
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once, however often and in whatever loops `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def html_metrics(html: Column, void: tuple[str, ...] = ()) -> Column:
     """Struct of tags (opening ones of `TAGS`), data_chars, max_depth and chars (`SENSITIVE` ones in the text).
 
@@ -71,21 +77,28 @@ def html_metrics(html: Column, void: tuple[str, ...] = ()) -> Column:
     closes itself, or one of `void`, doesn't count.  Text is what stands outside of tags,
     comments, scripts and styles, common entities read as the characters they mean.
     """
-    plain = F.regexp_replace(html, r"(?s)<!--.*?-->|<![^>]*>", "")
+    plain = F.regexp_replace(html, r"(?s)<!(?:--.*?-->|[^>]*>)", "")
     plain = F.regexp_replace(plain, r"(?is)(<(script|style)\b[^>]*>).*?(</\2\s*>)", "$1$3")
-    opening = F.transform(F.filter(F.regexp_extract_all(plain, F.lit(_TAG), F.lit(0)), lambda t: ~t.startswith("</")), lambda t: F.lower(F.regexp_extract(t, _TAG, 2)))
-    step = lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>") | F.lower(F.regexp_extract(t, _TAG, 2)).isin(*void, ""), 0).otherwise(1)
+    name = lambda t: F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
+    level = lambda t: t.endswith("/>") | name(t).isin(*void) if void else t.endswith("/>")
+    step = lambda t: F.when(t.startswith("</"), -1).when(level(t), 0).otherwise(1)
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def walk(state: Column, t: Column) -> Column:
         now = F.greatest(state["now"] + step(t), F.lit(0))
         return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
 
-    deep = F.aggregate(F.regexp_extract_all(plain, F.lit(_TAG), F.lit(0)), start, walk)["most"]
-    data = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), _ENTITIES, F.regexp_replace(plain, _TAG, ""))
-    tags = F.map_from_arrays(F.lit(list(TAGS)), F.transform(F.lit(list(TAGS)), lambda x: F.size(F.filter(opening, lambda t: t == x))))
-    chars = F.map_from_arrays(F.lit(list(SENSITIVE)), F.transform(F.lit(list(SENSITIVE)), lambda c: F.length(data) - F.length(F.replace(data, c, F.lit("")))))
-    return F.struct(tags.alias("tags"), F.length(data).alias("data_chars"), deep.alias("max_depth"), chars.alias("chars"))
+    def counted(whole: Column, opening: Column, data: Column) -> Column:
+        tags = F.map_from_arrays(F.lit(list(TAGS)), F.array(*(F.size(opening) - F.size(F.array_remove(opening, x)) for x in TAGS)))
+        chars = F.map_from_arrays(F.lit(list(SENSITIVE)), F.array(*(F.length(data) - F.length(F.replace(data, F.lit(c), F.lit(""))) for c in SENSITIVE)))
+        return F.struct(tags.alias("tags"), F.length(data).alias("data_chars"), F.aggregate(whole, start, walk)["most"].alias("max_depth"), chars.alias("chars"))
+
+    def parsed(plain: Column) -> Column:
+        data = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), _ENTITIES, F.regexp_replace(plain, _TAG, ""))
+        opening = lambda whole: F.transform(F.filter(whole, lambda t: ~t.startswith("</")), name)
+        return _let(F.regexp_extract_all(plain, F.lit(_TAG), F.lit(0)), lambda whole: _let(opening(whole), lambda o: _let(data, lambda x: counted(whole, o, x))))
+
+    return _let(plain, parsed)
 
 
 def _shown_lines(text: Column) -> Column:
@@ -96,17 +109,19 @@ def _shown_lines(text: Column) -> Column:
 
 def markdown_metrics(markdown: Column) -> Column:
     """Struct of 12 counts over a text's lines."""
-    lines = _shown_lines(markdown)
-    lengths = F.transform(lines, F.length)
-    likely = F.transform(lines, lambda x: F.regexp_count(x, F.lit(OPTION_LIKE)))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    n = F.size(lines)
-    return F.struct(
-        n.alias("line_count"), F.size(F.filter(lines, lambda x: F.trim(F.translate(x, "\t\r\f\x0b", "    ")) != "")).alias("nonblank_line_count"), F.length(markdown).alias("char_count"), F.coalesce(F.array_max(lengths), F.lit(0)).alias("max_line_length"),
-        F.when(n > 0, F.round(total(lengths) / n, 2)).otherwise(0.0).alias("avg_line_length"), F.size(F.filter(lengths, lambda x: x > 500)).alias("giant_lines_500"), F.size(F.filter(lengths, lambda x: x > 1000)).alias("giant_lines_1000"),
-        total(likely).alias("option_like_tokens"), F.coalesce(F.array_max(likely), F.lit(0)).alias("max_option_like_tokens_on_line"), F.size(F.filter(likely, lambda x: x >= 2)).alias("lines_with_multiple_option_like_tokens"),
-        F.regexp_count(markdown, F.lit(STAR_RUN)).alias("unescaped_star_runs"), F.regexp_count(markdown, F.lit(UNDER_RUN)).alias("unescaped_under_runs"),
-    )
+
+    def counted(lines: Column, lengths: Column, likely: Column) -> Column:
+        n = F.size(lines)
+        return F.struct(
+            n.alias("line_count"), F.size(F.filter(lines, lambda x: F.trim(F.translate(x, "\t\r\f\x0b", "    ")) != "")).alias("nonblank_line_count"), F.length(markdown).alias("char_count"), F.coalesce(F.array_max(lengths), F.lit(0)).alias("max_line_length"),
+            F.when(n > 0, F.round(total(lengths) / n, 2)).otherwise(0.0).alias("avg_line_length"), F.size(F.filter(lengths, lambda x: x > 500)).alias("giant_lines_500"), F.size(F.filter(lengths, lambda x: x > 1000)).alias("giant_lines_1000"),
+            total(likely).alias("option_like_tokens"), F.coalesce(F.array_max(likely), F.lit(0)).alias("max_option_like_tokens_on_line"), F.size(F.filter(likely, lambda x: x >= 2)).alias("lines_with_multiple_option_like_tokens"),
+            F.regexp_count(markdown, F.lit(STAR_RUN)).alias("unescaped_star_runs"), F.regexp_count(markdown, F.lit(UNDER_RUN)).alias("unescaped_under_runs"),
+        )
+
+    likely = lambda lines: F.transform(lines, lambda x: F.regexp_count(x, F.lit(OPTION_LIKE)))
+    return _let(_shown_lines(markdown), lambda lines: _let(F.transform(lines, F.length), lambda n: _let(likely(lines), lambda k: counted(lines, n, k))))
 
 
 def page_metrics(pages: DataFrame, key: str, markdown: str, html: str) -> DataFrame:
@@ -146,18 +161,21 @@ def compared(before: DataFrame, after: DataFrame, checks: DataFrame) -> DataFram
     isn't there counts 0, a boolean false; a number matters beyond the tolerance, relative to what it was
     (1 at least); a boolean metric matters when it flips.  A page of one run only is `added` or `removed`.
     """
-    side = lambda run, s: run.select("path", "metric", F.col("value").alias(f"{s}_value"), F.col("truth").alias(f"{s}_truth"))
-    pages = before.select("path").distinct().withColumn("_a", F.lit(True)).join(after.select("path").distinct().withColumn("_b", F.lit(True)), "path", "full_outer")
-    whole = pages.where("_a is null or _b is null").select("path", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"), F.lit(None).cast("double").alias("delta"), F.when(F.col("_a").isNull(), "added").otherwise("removed").alias("reason"))
-    both = side(before, "a").join(side(after, "b"), ["path", "metric"], "full_outer").join(pages.where("_a and _b").select("path"), "path", "left_semi")
+    # Each run is made once: its joined rows tell whether a page is in both, and one row stands for a page that isn't.
+    side = lambda run, s: run.select("path", "metric", F.col("value").alias(f"{s}_value"), F.col("truth").alias(f"{s}_truth"), F.lit(True).alias(f"_{s}"))
+    both = side(before, "a").join(side(after, "b"), ["path", "metric"], "full_outer").join(F.broadcast(checks.withColumn("_known", F.lit(True))), "metric", "left")
+    w = Window.partitionBy("path", F.when(F.col("path").isNull(), F.col("_a").isNull()))
+    both = both.withColumns({"_in_a": F.max("_a").over(w), "_in_b": F.max("_b").over(w), "_n": F.row_number().over(w.orderBy("metric"))})
     is_truth = F.col("a_truth").isNotNull() | F.col("b_truth").isNotNull()
     number = lambda s: F.when(is_truth, F.coalesce(f"{s}_truth", F.lit(False)).cast("double")).otherwise(F.coalesce(f"{s}_value", F.lit(0.0)))
-    rows = both.join(checks, "metric").select("path", "metric", number("a").alias("before"), number("b").alias("after"), "tolerance", "direction", is_truth.alias("_t"))
+    rows = both.withColumns({"before": number("a"), "after": number("b"), "_t": is_truth, "_apart": F.col("_in_a").isNull() | F.col("_in_b").isNull()})
     rows = rows.withColumn("delta", F.col("after") - F.col("before"))
     that_way = F.col("direction").isNull() | ((F.col("direction") == "up") & (F.col("delta") > 0)) | ((F.col("direction") == "down") & (F.col("delta") < 0))
     beyond = F.col("_t") | (F.abs("delta") / F.greatest(F.abs("before"), F.lit(1.0)) > F.col("tolerance"))
-    found = rows.where((F.col("delta") != 0) & that_way & beyond)
-    return whole.unionByName(found.select("path", "metric", "before", "after", "delta", F.when(F.col("_t"), "flipped").otherwise("changed").alias("reason")))
+    found = rows.where(F.when(F.col("_apart"), F.col("_n") == 1).otherwise(F.col("_known") & (F.col("delta") != 0) & that_way & beyond))
+    shown = lambda c: F.when(~F.col("_apart"), F.col(c)).alias(c)
+    reason = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(F.col("_t"), "flipped").otherwise("changed")
+    return found.select("path", *map(shown, ("metric", "before", "after", "delta")), reason.alias("reason"))
 
 
 def removed_sections_changed(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cliloom.functions import strings as S
 from cliloom.operators import catalog as C
+from cliloom.operators import evals as V
 from cliloom.operators import options as P
 
 
@@ -69,3 +70,32 @@ def test_suggestions_shuffle_no_pairs(spark):
     assert sorted(got) == sorted(want)
     above = planned(out).split("SortMergeJoin")[0]
     assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_metrics_parse_a_page_once(spark):
+    # What loops over tags and characters names used to be worked out again for each of them.
+    html = spark.createDataFrame([("<p>a</p>",)], "h string")
+    plan = planned(html.select(V.html_metrics(F.col("h")).alias("m")))
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("(script|style)") == 1
+    plan = planned(html.select(V.markdown_metrics(F.col("h")).alias("m")))
+    assert plan.count(V.OPTION_LIKE) == 1
+
+
+def test_comparison_makes_each_run_once(spark):
+    rng = random.Random(6)
+    rows = lambda n: [(rng.choice(["p1", "p2", "p3", f"only{n}"]), rng.choice(["a", "b", "c", "flag", "other"]), float(rng.randint(0, 2))) for _ in range(25)] + [(None, "a", 1.0)]
+    runs = [rows(1), rows(2)]
+    frame = lambda r: spark.createDataFrame([(p, m, None if m == "flag" else v, v > 0 if m == "flag" else None) for p, m, v in r], "path string, metric string, value double, truth boolean")
+    checks = {"a": 0.0, "b": 0.6, "flag": 0.0}
+    made = frame(runs[0]), frame(runs[1])
+    out = V.compared(*made, spark.createDataFrame([(m, t, None) for m, t in checks.items()], "metric string, tolerance double, direction string"))
+    assert planned(out).count("Scan ExistingRDD[path") == 2
+    paths = [{p for p, _, _ in r if p} for r in runs]
+    want = [(p, None, None, "removed") for p in paths[0] - paths[1]] + [(p, None, None, "added") for p in paths[1] - paths[0]] + [(None, None, None, "removed"), (None, None, None, "added")]
+    for p in paths[0] & paths[1]:
+        for m in checks:
+            sides = [[float(v > 0) if m == "flag" else v for q, n, v in r if (q, n) == (p, m)] for r in runs]
+            if sides[0] or sides[1]:
+                want += [(p, m, x, y, "flipped" if m == "flag" else "changed") for x in sides[0] or [0.0] for y in sides[1] or [0.0] if x != y and (m == "flag" or abs(y - x) / max(x, 1) > checks[m])]
+    got = [(r["path"], r["metric"], r["before"], r["after"], r["reason"]) if r["metric"] else (r["path"], None, None, r["reason"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
