@@ -8,8 +8,9 @@ ends so), aliases to entries of their own that name the source; a null text is a
 alone.  gzip headers have a fixed time and no name, and entries are sorted, so equal rows give
 equal bytes, whenever and wherever they are written.
 
-Tasks write below a hidden folder of their own attempt.  The commit takes the attempts that
-Spark counts, writes the aliases' table and renames the hidden folder to ``set-<digest>``, all
+Tasks write below a hidden folder of their own attempt, with sorted lists of what they wrote.
+The commit takes the attempts that Spark counts, merges their lists row by row (it holds none
+of them whole), writes the aliases' table and renames the hidden folder to ``set-<digest>``, all
 at once, where the digest is of the rows' names and contents; a set that is there already is
 left as it is, so writing the same again changes nothing.  Before that a reader sees nothing.
 A task that fails deletes what it wrote, an aborted job its folder; what tasks write that are
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import heapq
 import io
 import json
 import os
 import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,6 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+#: A task's lists of (place, digest) and of (alias, place), until the commit has merged them.
+LISTS = ("_files", "_aliases")
+#: Fixed value: characters of texts in a batch that is read.
+BATCH = 1 << 23
+
 SCHEMA = "source string, text string, aliases array<string>"
 
 
@@ -55,11 +62,24 @@ def _place(source: str) -> str:
     return source if source.endswith(".gz") else source + ".gz"
 
 
+def _merged(fs: pafs.FileSystem, lists: list[str]) -> Iterator[list[str]]:
+    """The rows of sorted lists in order, read as they are asked for."""
+
+    def rows(path: str) -> Iterator[list[str]]:
+        with fs.open_input_stream(path, compression=None) as source:
+            for line in io.TextIOWrapper(source, encoding="utf-8", newline="\n"):
+                yield json.loads(line)
+
+    return heapq.merge(*map(rows, lists))
+
+
 @dataclass
 class Written(WriterCommitMessage):
+    """Where a task's pages are; what they are is told by the two lists beside them, so that the driver holds a line for each task only."""
+
     attempt: str
-    files: list[tuple[str, str]] = field(default_factory=list)  # (place, digest)
-    aliases: list[tuple[str, str]] = field(default_factory=list)
+    files: int = 0
+    aliases: int = 0
 
 
 class PageWriter(DataSourceArrowWriter):
@@ -81,37 +101,61 @@ class PageWriter(DataSourceArrowWriter):
         return done
 
     def _write(self, fs: pafs.FileSystem, done: Written, iterator: Iterator[pa.RecordBatch]) -> None:
+        files, aliases = [], []
         for batch in iterator:
             for row in batch.to_pylist():
                 place = _place(row["source"])
-                done.aliases += [(a, place) for a in row["aliases"] or [] if a != row["source"]]
+                aliases += [(a, place) for a in row["aliases"] or [] if a != row["source"]]
                 if row["text"] is None:
                     continue
                 data, target = packed(row["text"]), f"{done.attempt}/{place}"
                 fs.create_dir(target.rsplit("/", 1)[0])
                 with fs.open_output_stream(target, compression=None) as out:
                     out.write(data)
-                done.files.append((place, hashlib.sha256(data).hexdigest()))
+                files.append((place, hashlib.sha256(data).hexdigest()))
+        for name, rows in zip(LISTS, (files, aliases)):
+            if files or aliases:
+                fs.create_dir(done.attempt)
+                with fs.open_output_stream(f"{done.attempt}/{name}", compression=None) as out:
+                    for row in sorted(set(rows) if name == LISTS[1] else rows):
+                        out.write((json.dumps(row) + "\n").encode())
+        done.files, done.aliases = len(files), len(aliases)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = self._opened()
-        done = [m for m in messages if m]
-        files, aliases = sorted(x for m in done for x in m.files), sorted({x for m in done for x in m.aliases})
-        if len({p for p, _ in files}) < len(files):
+        done = [m for m in messages if m and (m.files or m.aliases)]
+        job = f"{root}/_job-{self.job}"
+        digest = hashlib.sha256(b"[[")  # of the JSON of all files and all aliases
+        if not done:
             self.abort(messages)
-            raise ValueError("a page is there twice")
-        name = hashlib.sha256(json.dumps([files, aliases]).encode()).hexdigest()
-        job, final = f"{root}/_job-{self.job}", f"{root}/set-{name}"
-        if not files and not aliases or fs.get_file_info(final).type != pafs.FileType.NotFound:
+            return
+        last, comma = None, ""
+        for place, hash_ in _merged(fs, [f"{m.attempt}/{LISTS[0]}" for m in done]):
+            if place == last:
+                self.abort(messages)
+                raise ValueError("a page is there twice")
+            digest.update((comma + json.dumps([place, hash_])).encode())
+            last, comma = place, ", "
+        digest.update(b"], [")
+        last, comma = None, ""
+        with fs.open_output_stream(f"{job}/aliases.jsonl", compression=None) as out:
+            for row in _merged(fs, [f"{m.attempt}/{LISTS[1]}" for m in done]):
+                if row != last:
+                    digest.update((comma + json.dumps(row)).encode())
+                    out.write((json.dumps({"alias": row[0], "place": row[1]}) + "\n").encode())
+                last, comma = row, ", "
+        digest.update(b"]]")
+        final = f"{root}/set-{digest.hexdigest()}"
+        if fs.get_file_info(final).type != pafs.FileType.NotFound:
             self.abort(messages)
             return
-        fs.create_dir(job)
-        counted = {m.attempt for m in done}
-        for info in fs.get_file_info(pafs.FileSelector(job)):  # attempts of lost tasks
-            if info.path not in counted:
+        counted = {m.attempt: m.files for m in done}
+        for info in fs.get_file_info(pafs.FileSelector(job)):  # attempts of lost tasks, and those with aliases alone
+            if info.type == pafs.FileType.Directory and not counted.get(info.path):
                 fs.delete_dir(info.path)
-        with fs.open_output_stream(f"{job}/aliases.jsonl", compression=None) as out:
-            out.write("".join(json.dumps({"alias": a, "place": p}) + "\n" for a, p in aliases).encode())
+        for m in done:
+            for name in LISTS if m.files else ():
+                fs.delete_file(f"{m.attempt}/{name}")
         fs.move(job, final)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -151,10 +195,35 @@ def vacuum(path: str, older_than: float = 7 * 86_400) -> list[str]:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """source (without .gz), text and length of the pages of all sets."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(f"{path.rstrip('/')}/set-*", wholetext=True)
-    place = F.regexp_extract(F.col("_metadata.file_path"), r"/set-[0-9a-f]{64}/[0-9a-f]{32}/(.*)\.gz$", 1)
-    return files.select(F.url_decode(F.replace(place, F.lit("+"), F.lit("%2B"))).alias("source"), F.col("value").alias("text"), F.length("value").alias("length"))
+    """source (without .gz), text and length of the pages of all sets.
+
+    The driver lists the folders that tasks wrote, never files; each is listed and read by one task.
+    """
+    path = path if ":/" in path else os.path.abspath(path)
+    fs, root = pafs.FileSystem.from_uri(path)
+    sets = [i.path for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if i.base_name.startswith("set-")]
+    folders = [(i.path,) for s in sets for i in fs.get_file_info(pafs.FileSelector(s)) if i.type == pafs.FileType.Directory]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(path)
+        made = lambda rows: pa.RecordBatch.from_pylist(rows, pa.schema([("source", pa.string()), ("text", pa.string())]))
+        rows, size = [], 0
+        for folder in (x for b in batches for x in b.column(0).to_pylist()):
+            for info in fs.get_file_info(pafs.FileSelector(folder, recursive=True)):
+                if info.type != pafs.FileType.File or not info.path.endswith(".gz"):
+                    continue
+                with fs.open_input_stream(info.path, compression=None) as source:
+                    text = gzip.decompress(source.read()).decode("utf-8", "replace")
+                rows.append({"source": info.path.removeprefix(folder + "/").removesuffix(".gz"), "text": text})
+                size += len(text) + 100
+                if size > BATCH:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    listed = spark.createDataFrame(spark.sparkContext.parallelize(folders, len(folders)), "folder string") if folders else spark.createDataFrame([], "folder string")
+    return listed.mapInArrow(read, "source string, text string").select("source", "text", F.length("text").alias("length"))
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """What shows on larger tables only: rounding, and plans that have to stay small."""
 
+import hashlib
+import json
+import pickle
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cliloom.functions import strings as S
 from cliloom.operators import catalog as C
 from cliloom.operators import evals as V
 from cliloom.operators import options as P
+from cliloom.sources import pagefiles as G
 
 
 def test_short_tokens_rounds_as_printf(spark):
@@ -99,3 +104,21 @@ def test_comparison_makes_each_run_once(spark):
                 want += [(p, m, x, y, "flipped" if m == "flag" else "changed") for x in sides[0] or [0.0] for y in sides[1] or [0.0] if x != y and (m == "flag" or abs(y - x) / max(x, 1) > checks[m])]
     got = [(r["path"], r["metric"], r["before"], r["after"], r["reason"]) if r["metric"] else (r["path"], None, None, r["reason"]) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_page_files_leave_lists_to_tasks(spark, tmp_path):
+    rows = [{"source": f"d/e/1/p{k:03d}", "text": f"text {k}", "aliases": [f"a{k}", "shared"]} for k in range(500)]
+    writer = G.PageWriter(str(tmp_path))
+    batch = lambda part: iter([pa.RecordBatch.from_pylist(part, pa.schema([("source", pa.string()), ("text", pa.string()), ("aliases", pa.list_(pa.string()))]))])
+    messages = [writer.write(batch(rows[k::3])) for k in range(3)] + [writer.write(batch([{"source": "d/e/1/p000.gz", "text": None, "aliases": ["a0"]}]))]
+    assert all(len(pickle.dumps(m)) < 1000 for m in messages)
+    writer.commit(messages)
+    # The name is that of the whole lists, as it was when the driver held them.
+    files = sorted((r["source"] + ".gz", hashlib.sha256(G.packed(r["text"])).hexdigest()) for r in rows)
+    aliases = sorted({(a, r["source"] + ".gz") for r in rows for a in r["aliases"]})
+    assert [p.name for p in tmp_path.iterdir()] == ["set-" + hashlib.sha256(json.dumps([files, aliases]).encode()).hexdigest()]
+    assert sum(p.is_file() for p in tmp_path.rglob("*")) == 501 and len([p for p in next(tmp_path.iterdir()).iterdir() if p.is_dir()]) == 3
+    pages = G.read_pages(spark, str(tmp_path))
+    assert "FileScan" not in planned(pages) and G.read_pages(spark, str(tmp_path / "none")).count() == 0
+    assert {(r["source"], r["text"], r["length"]) for r in pages.collect()} == {(r["source"], r["text"], len(r["text"])) for r in rows}
+    assert G.read_aliases(spark, str(tmp_path)).count() == 1000
