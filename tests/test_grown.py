@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cliloom.functions import strings as S
+from cliloom.operators import batches as B
 from cliloom.operators import catalog as C
 from cliloom.operators import evals as V
 from cliloom.operators import options as P
@@ -122,3 +123,24 @@ def test_page_files_leave_lists_to_tasks(spark, tmp_path):
     assert "FileScan" not in planned(pages) and G.read_pages(spark, str(tmp_path / "none")).count() == 0
     assert {(r["source"], r["text"], r["length"]) for r in pages.collect()} == {(r["source"], r["text"], len(r["text"])) for r in rows}
     assert G.read_aliases(spark, str(tmp_path)).count() == 1000
+
+
+def test_batch_job_writes_texts_once(spark, tmp_path):
+    lose = [True]
+    answer = lambda i, body: {"status": F.lit(200), "body": F.upper(body), "message": F.lit(None).cast("string"), "present": ~body.contains("lost") if lose[0] else F.lit(True)}
+    service = B.FolderService(spark, str(tmp_path / "inbox"), answer)
+    job = B.BatchJob(spark, str(tmp_path / "job"), service, size=3)
+    rows = [("a", k, f"body {k}") for k in range(4)] + [("b", k, f"lost {k}") for k in range(3)]
+    assert job.prepare(spark.createDataFrame(rows + rows[:2], "item string, chunk int, body string")) == 7
+    for again in (True, False):
+        job.submit()
+        service.serve()
+        job.collect()
+        lose[0] = False
+        assert job.retry() == (3 if again else 0)
+    assert not list(tmp_path.glob("job/outbox/*/batch=*")) and list(tmp_path.glob("inbox/batch=*/*.gz"))
+    written = lambda kind: sorted(r["text"] for folder in tmp_path.glob(f"job/state/data/{kind}-*/*") for r in spark.read.parquet(str(folder)).toDF("custom_id", "text").collect())
+    assert written("bodies") == sorted(x for _, _, x in rows) and written("replies") == sorted(x.upper() for _, _, x in rows)
+    assert all(set(spark.read.parquet(str(f)).columns).isdisjoint({"body", "reply"}) for f in tmp_path.glob("job/state/data/states/*"))
+    assert {(r["item"], r["chunk"], r["body"], r["reply"], r["state"]) for r in job.requests().collect()} == {(*r, r[2].upper(), "done") for r in rows}
+    assert job.prepare(spark.createDataFrame([*rows, ("c", 0, "new")], "item string, chunk int, body string")) == 1 and job.requests().count() == 8
